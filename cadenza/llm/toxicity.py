@@ -24,7 +24,7 @@ from cadenza.llm.common import text_of
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings and ends of a word that are features besides the whole word.
-HEADS, TAILS = range(3, 11), range(3, 7)
+HEADS, TAILS = range(3, 11), range(5, 7)
 CACHE_WORDS = 1_000_000
 TOKENS_AT_ONCE = 2_000_000
 
@@ -83,25 +83,29 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray) ->
     return out
 
 
-def _tagged(docs: list[tuple[list[str], int]]) -> tuple[dict[str, float], list[list[int]]]:
-    """The telling features with their strength and the token labels that follow from them."""
+def _tagged(docs: list[tuple[list[str], int]]) -> tuple[set[str], list[list[int]]]:
+    """The words with a telling feature and the token labels that follow from them."""
     count = {0: Counter(), 1: Counter()}
+    known: dict[str, list[str]] = {}
     for words, toxic in docs:
-        count[toxic].update({f for w in set(words) for f in features(w)})
+        own: set[str] = set()
+        for w in set(words):
+            if w not in known:
+                known[w] = features(w)
+            own.update(known[w])
+        count[toxic].update(own)
     total = {t: sum(1 for _, x in docs if x == t) for t in (0, 1)}
     share = total[1] / max(1, len(docs))
-    strong: dict[str, float] = {}
+    strong: set[str] = set()
     for f, a in count[1].items():
         b = count[0][f]
         rate = (a / max(1, total[1])) / ((b + 0.5) / max(1, total[0]))
         if a >= 3 and rate >= 10:
             gain = a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0)
-            if gain >= 9:
-                strong[f] = gain
-    labels = []
-    for words, toxic in docs:
-        labels.append([int(toxic and any(f in strong for f in features(w))) for w in words])
-    return strong, labels
+            if gain >= 10:
+                strong.add(f)
+    telling = {w for w, own in known.items() if any(f in strong for f in own)}
+    return telling, [[int(toxic and w in telling) for w in words] for words, toxic in docs]
 
 
 def _train(sequences: list[tuple[list[str], list[int]]], l2: float, rounds: int, max_features: int) -> ToxicityModel:
@@ -154,11 +158,12 @@ def _messages(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np
 
 def fit(rows: list[tuple[str, int]], window: int = 8, l2: float = 0.5, rounds: int = 120, max_features: int = 50_000) -> ToxicityModel:
     """Fit on (text, 0/1) rows; see ``fit_toxicity`` for where they come from. Without both labels nothing is toxic."""
-    docs = [(TOKEN.findall(text.lower()), toxic) for text, toxic in rows]
+    # copies of one text count once, or they would make its rare words telling
+    docs = [(TOKEN.findall(text.lower()), toxic) for text, toxic in dict.fromkeys(rows)]
     docs = [d for d in docs if d[0]]
     if not any(t for _, t in docs) or all(t for _, t in docs):
         return ToxicityModel()
-    strong, labels = _tagged(docs)
+    telling, labels = _tagged(docs)
     sequences, width = [], 2 * window + 1
     for i, ((words, toxic), tags) in enumerate(zip(docs, labels)):
         if toxic:
@@ -171,19 +176,17 @@ def fit(rows: list[tuple[str, int]], window: int = 8, l2: float = 0.5, rounds: i
         else:  # one window of clean text at a place that depends on the row alone, and every token that looks telling
             a = (i * 7919) % max(1, len(words) - width)
             sequences.append((words[a : a + width], [0] * len(words[a : a + width])))
-            odd = [t for t, w in enumerate(words) if any(f in strong for f in features(w))]
+            odd = [t for t, w in enumerate(words) if w in telling]
             sequences += [(words[max(0, t - 1) : t + 2], [0] * len(words[max(0, t - 1) : t + 2])) for t in odd[:4]]
     model = _train(sequences, l2, rounds, max_features)
-    best = np.array([_best(words, model) for words, _ in docs])
+    known: dict[str, float] = {}
+    held = [_emissions(" ".join(words), model, known) for words, _ in docs]
+    lengths = np.array([len(x) for x in held])
+    best = np.maximum.reduceat(marginals(np.concatenate(held), lengths, model.trans), np.cumsum(lengths) - lengths)
     model.slope, model.offset = _calibrate(best, np.array([t for _, t in docs], float))
     return model
 
 
-def _best(words: list[str], model: ToxicityModel) -> float:
-    e = np.array([model.emission(w) for w in words])
-    return float(marginals(e, np.array([len(e)]), model.trans).max())
-
-
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve by damped Newton steps; the slope stays positive."""
     x = np.clip(x, -20, 20)
@@ -198,7 +201,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0.05 else (1.0, 0.0)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2_000, max_clean: int = 6_000, max_chars: int = 20_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1_500, max_clean: int = 4_500, max_chars: int = 20_000) -> ToxicityModel:
     """Fit on at most ``max_toxic`` and ``max_clean`` labelled rows, each of at most ``max_chars`` characters.
 
     The rows are those with the smallest hashes of their ids among the labelled rows whose
@@ -236,12 +239,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             score, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            at, held = 0, []
+            at, held, tokens = 0, [], 0
             for i, x in enumerate(texts):
                 held.append(_emissions(x.as_py(), m, _cache[key]))
-                if sum(map(len, held[-1:])) and (i + 1 == batch.num_rows or sum(map(len, held)) > TOKENS_AT_ONCE) or i + 1 == batch.num_rows:
+                tokens += len(held[-1])
+                if i + 1 == batch.num_rows or tokens > TOKENS_AT_ONCE:
                     _score(held, at, texts, m, score, spans)
-                    at, held = i + 1, []
+                    at, held, tokens = i + 1, [], 0
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
             predicted = pa.array((score >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(score), predicted, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], names=schema.names)
