@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import table
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.near_dedup import near_duplicates
+from cadenza.llm.packing import pack_documents
 from cadenza.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +29,8 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 LINE_DEDUP_SQL = f"""
@@ -63,3 +68,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(docs.select("doc_id", "text"), model)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
