@@ -13,6 +13,7 @@ from cadenza.llm.common import table
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.near_dedup import near_duplicates
 from cadenza.llm.packing import pack_documents
+from cadenza.llm.token_count import count_tokens
 from cadenza.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op3_token_count")
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512).drop("text")
