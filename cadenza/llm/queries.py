@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.chat import conversation_digests, format_windows
 from cadenza.llm.common import table
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.near_dedup import near_duplicates
@@ -84,3 +85,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_count")
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, limit=512).drop("text")
+
+
+#: formatted_chars counts windows with their repeats, which the SQL doesn't model; it is checked by tests instead
+CHAT_SQL = None
+
+
+@query("op8_chat_format", CHAT_SQL)
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return conversation_digests(format_windows(rows.unionByName(extra)))
