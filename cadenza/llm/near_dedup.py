@@ -2,14 +2,15 @@
 
 1. Each document's set of word shingles is hashed to 64 bits; exact copies of a set collapse to one
    node (its smallest id), so copies never meet each other again.
-2. ``bands x rows`` minima per node give band buckets; the low ``BITS`` bits of each minimum are
-   packed into longs and kept as the node's signature.
+2. ``bands x rows`` minima per node give band buckets. Nodes that share a bucket get a signature: the
+   low ``BITS`` bits of ``MINIMA`` minima, packed into longs.
 3. In every bucket each member meets the bucket's leader only (a star). Pairs whose collision-corrected
-   similarity, estimated from bit counts, is far below the threshold go; the rest is confirmed on full sets.
+   similarity, estimated from bit counts, is clearly below the threshold go; the rest is confirmed on full sets.
 4. Members of one bucket that are still in different components are compared in a join whose
-   condition holds the bit-count estimate, so no pairs but likely ones are emitted. While a bucket
-   would need too many comparisons, further leaders take a round each: a leader that has met all
-   members leaves its bucket. No pair of a bucket goes uncompared unless both ends are already joined.
+   condition holds the bit-count estimate, so only likely pairs are emitted, each from the first bucket
+   that it shares. While that would need too many comparisons, further leaders take a round each: a
+   leader that has met all members leaves its bucket. No pair of a bucket goes uncompared unless both
+   ends are already joined.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import forget, mix64, text_of, written
 from cadenza.llm.components import components
 
-BITS = 4
-PER_LONG = 64 // BITS
-#: Estimates this far below the threshold are dropped; more than six standard deviations at 192 minima.
-MARGIN = 0.2
+BITS, MINIMA = 4, 512
+PER_LONG, LONGS = 64 // BITS, MINIMA * BITS // 64
+#: Pairs estimated this far below the threshold go: 4.9 standard deviations of an estimate from 512 minima at 0.85.
+MARGIN = 0.08
+#: Up to so many documents, small tables are read back in a few tasks instead of one for each shuffle partition.
+FEW_DOCS, DOCS_PER_TASK = 1_000_000, 8_000
 CACHE_WORDS = 1_000_000
 _words: dict[bytes, int] = {}
 
@@ -84,35 +87,28 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, s1, s2, bands array, sig array): set size, two hashes of the set, band hashes, packed low bits."""
-    longs = bands * rows // PER_LONG
+    """(id, n, s1, s2, bands): set size, two hashes of the set, band hashes (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(bands * rows)
-        shift = (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS))[None, :]
-        base = np.arange(bands, dtype=np.uint64) + np.uint64(1)
+        base = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            n, s1, s2, band, sig = [], [], [], [], []
+            n, s1, s2, band = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), k)
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    s1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    s2.append(int(mix64(s + np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    if len(s):
-                        m = minima(s, a, b).astype(np.uint64)
-                        h = base * np.uint64(0x9E3779B97F4A7C15)
-                        for r in range(rows):
-                            h = mix64(h * np.uint64(31) + m[r::rows][:bands])
-                        band.append(h.view(np.int64))
-                        sig.append(((m & np.uint64(2**BITS - 1)).reshape(longs, PER_LONG) << shift).sum(axis=1, dtype=np.uint64).view(np.int64))
-                    else:
-                        band.append(np.zeros(0, np.int64))
-                        sig.append(np.zeros(longs, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(band), _lists(sig)], names=["id", "n", "s1", "s2", "bands", "sig"])
+                s1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
+                s2.append(int(mix64(s + np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
+                h = base
+                if len(s):
+                    m = minima(s, a, b).astype(np.uint64).reshape(bands, rows)
+                    for r in range(rows):
+                        h = mix64(h * np.uint64(31) + m[:, r])
+                band.append(h.view(np.int64) if len(s) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(band)], names=["id", "n", "s1", "s2", "bands"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("t"))
-    return rows_in.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, sig array<long>")
+    return rows_in.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -121,99 +117,102 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, s): full shingle sets, for confirming."""
+    """(id, n, sig, s): set size, packed low bits of minima, and the full shingle set for confirming."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = multipliers(MINIMA)
+        shift = (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS))[None, :]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t.as_py(), k).view(np.int64) for t in part.column(1)])], names=["id", "s"])
+                sets = [shingle_set(t.as_py(), k) for t in part.column(1)]
+                sig = [((minima(s, a, b).astype(np.uint64) & np.uint64(2**BITS - 1)).reshape(LONGS, PER_LONG) << shift).sum(axis=1, dtype=np.uint64).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sig), _lists([s.view(np.int64) for s in sets])], names=["id", "n", "sig", "s"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("t")).mapInArrow(run, "id long, s array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("t")).mapInArrow(run, "id long, n long, sig array<long>, s array<long>")
 
 
-def estimate(sa: Column, sb: Column, longs: int) -> Column:
+def estimate(sa: Column, sb: Column) -> Column:
     """Similarity from two packed signatures: the share of equal fields, corrected for chance collisions."""
-    low = F.lit(int("1" * PER_LONG, 16) if BITS == 4 else 0)
+    low = F.lit(sum(1 << (BITS * i) for i in range(PER_LONG)))
     differ = None
-    for i in range(longs):
+    for i in range(LONGS):
         x = F.get(sa, F.lit(i)).bitwiseXOR(F.get(sb, F.lit(i)))
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        any_bit = x
+        for bit in range(1, BITS):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, bit))
         n = F.bit_count(any_bit.bitwiseAND(low))
         differ = n if differ is None else differ + n
-    equal = 1 - differ / F.lit(float(longs * PER_LONG))
+    equal = 1 - differ / F.lit(float(MINIMA))
     return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|, on full sets."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return left.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    return full.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum")).where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, most_pairs: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, most_pairs: int = 64) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row per row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their k-word shingle sets is at least
     ``percent`` / 100; a component's id is the smallest document id in it, and that document is kept.
-    Documents without words have an empty set and link with nothing. Rows that share an id are one
-    document each with the same label. A null id is labelled null and kept. With 32 bands of 6 rows a
-    pair at the threshold of 0.85 shares no band with a chance of 3e-7 (at 0.8: 7e-5).
+    Documents without words have an empty set and link with nothing. Rows that share an id get the
+    label of their own set each. A null id is labelled null and kept. With 32 bands of 6 rows a pair at
+    the threshold of 0.85 shares no band with a chance of 3e-7 (at 0.8, with 40 bands: 5e-6).
     ``most_pairs``: comparisons per document that the last step may make at most; beyond it further
     star rounds come first. This bounds work, it drops nothing.
     """
-    longs = bands * rows // PER_LONG
     sigs = written(signatures(docs, id_col, text_col, k, bands, rows), "nd-sig")
+    n_docs = sigs.count()
+    few = lambda df: df.coalesce(max(4, n_docs // DOCS_PER_TASK)) if n_docs <= FEW_DOCS else df
     # exact copies of a set: one node. Empty sets stay alone.
-    nodes = written(sigs.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.min_by("sig", "id").alias("sig")), "nd-nodes")
-    n_nodes = nodes.count()
-    buckets = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    members = written(buckets.join(shared.select("bucket", "leader"), "bucket"), "nd-members")
-    sig = nodes.select("id", "sig")
-    busy = written(members.select("id").distinct(), "nd-busy")
-    sig = written(sig.join(busy, "id"), "nd-busy-sig")
-    sets = None
+    nodes = written(few(sigs.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))), "nd-nodes")
+    buckets = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    shared = few(buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m"))).where(F.col("m") > 1).select("bucket", "leader")
+    members = written(few(buckets.join(shared.hint("merge"), "bucket")), "nd-members")
+    busy = members.select(F.col("id").alias("__nd_id")).distinct()
+    mine = docs.select(F.col(id_col).cast("long").alias("__nd_id"), F.col(text_col).alias("__nd_text")).join(busy, "__nd_id", "left_semi")
+    # a row each, should rows share an id: any of them, since an unequal one is a node of its own only by its own id
+    sets = written(few(sets_of(mine, "__nd_id", "__nd_text", k).dropDuplicates(["id"])), "nd-sets")
+    percent_of = percent / 100
+    sized = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    likely = lambda x, y: estimate(x, y) >= percent_of - MARGIN
+    end = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     links: DataFrame | None = None
-    comp: DataFrame | None = None
-    likely = lambda: estimate(F.col("sa"), F.col("sb"), longs) >= percent / 100 - MARGIN
-    seen = None
     while True:
         # every member meets its bucket's leader
-        star = members.where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        cand = star.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").where(likely()).select("a", "b")
-        cand = written(cand if seen is None else cand.join(seen, ["a", "b"], "left_anti"), "nd-cand")
-        found = written(confirm(cand, _needed(docs, cand, id_col, text_col, k), percent), "nd-links")
-        seen = cand if seen is None else seen.union(cand)
+        star = few(members.where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+        cand = few(star.join(end("a").hint("merge"), "a")).join(end("b").hint("merge"), "b")
+        cand = few(cand.where(sized(F.col("na"), F.col("nb")) & likely(F.col("sa"), F.col("sb"))).select("a", "b"))
+        found = written(few(confirm(cand, sets, percent)), "nd-links")
         links = found if links is None else links.union(found)
-        comp = components(links)
+        comp = components(links, few)
         # what is left: buckets whose members, the leader apart, are in more than one component
-        labelled = members.where(F.col("id") != F.col("leader")).join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        per = labelled.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-        open_ = written(per.where(F.col("parts") > 1).select("bucket", (F.col("m") * F.col("m") - F.col("mm")).alias("pairs")), "nd-open")
-        total = open_.agg(F.sum("pairs")).first()[0] or 0
+        labelled = written(few(members.where(F.col("id") != F.col("leader")).join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("c"))), "nd-labelled")
+        forget(members)
+        per = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("id").alias("leader"), F.count(F.lit(1)).cast("double").alias("m"))
+        open_ = written(few(per.where(F.col("c0") != F.col("c1"))), "nd-open")
+        total = open_.agg(F.sum(F.col("m") * F.col("m") / 2)).first()[0] or 0
         if not total:
             break
-        left = written(labelled.join(open_.select("bucket"), "bucket"), "nd-left")
-        if total <= max(1_000_000, most_pairs * n_nodes):
-            x = left.join(sig, "id")
-            cand = x.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa")).join(x.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sig").alias("sb")), "bucket")
-            cand = cand.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely()).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-            cand = written(cand, "nd-cand")
-            found = confirm(cand, _needed(docs, cand, id_col, text_col, k), percent)
-            comp = components(written(links.union(found), "nd-links"))
-            break
-        leaders = left.groupBy("bucket").agg(F.min("id").alias("leader"))
-        members = written(left.select("bucket", "id").join(leaders, "bucket"), "nd-members")
-    roots = nodes.select("s1", "s2", "n", F.col("id").alias("node")).join(comp, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("root"))
-    out = sigs.select("id", "n", "s1", "s2").join(roots, ["s1", "s2", "n"], "left")
+        members = labelled.join(open_.select("bucket", "leader").hint("merge"), "bucket")
+        if total > max(20_000_000, most_pairs * n_docs):
+            members = written(few(members.drop("c")), "nd-members")
+            continue
+        x = few(members.join(nodes.select("id", "bands").join(sets.select("id", "n", "sig"), "id").hint("merge"), "id"))
+        side = lambda c: x.select("bucket", F.col("band").alias(f"i{c}"), *[F.col(y).alias(z + c) for y, z in (("id", ""), ("c", "c"), ("n", "n"), ("sig", "s"), ("bands", "b"))])
+        first = ~F.arrays_overlap(F.slice("ba", F.lit(1), F.col("ia")), F.slice("bb", F.lit(1), F.col("ia")))
+        meet = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized(F.col("na"), F.col("nb")) & likely(F.col("sa"), F.col("sb")) & first
+        cand = written(few(side("a").alias("l").join(side("b").alias("r").hint("merge"), meet).select("a", "b")), "nd-cand")
+        found = written(few(confirm(cand, sets, percent)), "nd-links")
+        if found.limit(1).count():
+            comp = components(links.union(found), few)
+        break
+    forget(sets)
+    roots = few(nodes.select("s1", "s2", "n", F.col("id").alias("node")).join(comp, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("root")))
+    out = sigs.select("id", "n", "s1", "s2").join(roots.hint("merge"), ["s1", "s2", "n"], "left")
     own = F.coalesce("root", "id")
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
-
-
-def _needed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """The shingle sets of the documents in ``pairs`` alone."""
-    ids = pairs.select(F.col("a").alias("__nd_id")).union(pairs.select(F.col("b").alias("__nd_id"))).distinct()
-    mine = docs.select(F.col(id_col).cast("long").alias("__nd_id"), F.col(text_col).alias("__nd_text")).join(ids, "__nd_id", "left_semi")
-    return written(sets_of(mine, "__nd_id", "__nd_text", k), "nd-sets").dropDuplicates(["id"])
+    return few(out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept")))
