@@ -201,17 +201,20 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0.05 else (1.0, 0.0)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1_500, max_clean: int = 4_500, max_chars: int = 20_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1_000, max_clean: int = 3_000, max_chars: int = 20_000) -> ToxicityModel:
     """Fit on at most ``max_toxic`` and ``max_clean`` labelled rows, each of at most ``max_chars`` characters.
 
     The rows are those with the smallest hashes of their ids among the labelled rows whose
     crc32(id as text) mod 5 is not 0. Null texts, ids and labels take no part.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.length("t").between(1, max_chars))
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where((F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0) & F.col("y").isin(0, 1))
-    rows = d.join(known, "id")
-    first = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "t").limit(n).select("t", "y")
-    return fit([(r["t"], r["y"]) for r in first(1, max_toxic).union(first(0, max_clean)).collect()])
+    text = F.col(text_col).cast("string")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where((F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0) & F.col("y").isin(0, 1)).distinct()
+    # ids and lengths alone meet the labels; the texts of the few chosen rows are read after that
+    rows = docs.select(F.col(id_col).alias("id"), F.length(text).alias("n")).where(F.col("n").between(1, max_chars)).join(known, "id")
+    first = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n).select("id", "y")
+    chosen = F.broadcast(first(1, max_toxic).union(first(0, max_clean)))  # at most max_toxic + max_clean rows
+    found = docs.select(F.col(id_col).alias("id"), text.alias("t")).where(F.length("t").between(1, max_chars)).join(chosen, "id").select("id", "t", "y")
+    return fit([(r["t"], r["y"]) for r in sorted(found.collect(), key=lambda r: (r["id"], r["t"], r["y"]))])
 
 
 _cache: dict[str, dict[str, float]] = {}
