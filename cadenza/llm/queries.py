@@ -14,8 +14,10 @@ from cadenza.llm.common import table
 from cadenza.llm.html_extract import extract
 from cadenza.llm.kdtree import top_k
 from cadenza.llm.line_dedup import dedup_lines
+from cadenza.llm.media import decode_media, encode_media
 from cadenza.llm.near_dedup import near_duplicates
 from cadenza.llm.packing import pack_documents
+from cadenza.llm.piece_lattice import encode_nbest
 from cadenza.llm.token_count import count_tokens
 from cadenza.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -34,6 +36,7 @@ def query(name: str, sql: str | None = None):
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -121,3 +124,17 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS
 @query("op1_top_k", TOP_K_SQL)
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_nbest(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, n=3, with_ids=False)
+    best = F.col("nbest")[0]
+    return out.select("doc_id", best["n_pieces"].cast("long").alias("n_pieces"), best["score"].alias("score"), best["ids_crc32"].alias("ids_crc32"), best["round_trip"].alias("round_trip"), F.transform("nbest", lambda x: x["score"]).alias("scores"), F.transform("nbest", lambda x: x["ids_crc32"]).alias("crcs"))
+
+
+@query("op10_media")
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    stored = encode_media(docs, "text", "media").select("doc_id", "n_bytes", "media")
+    return decode_media(stored, "media", tensors=False)
