@@ -18,7 +18,7 @@ def pick_tier(tiers: DataFrame, file: str, tier: str, preferred: str, fallbacks:
         rank = F.when(F.lower(tier) == n.lower(), len(names) + i).otherwise(rank)
     for i, n in reversed(list(enumerate(names))):
         rank = F.when(F.col(tier) == n, i).otherwise(rank)
-    best = tiers.withColumn("__rank", rank).groupBy(file).agg(F.min_by(tier, F.struct("__rank", tier)).alias("__t"), F.min("__rank").alias("__best"))
+    best = tiers.withColumn("__rank", rank).groupBy(file).agg(F.min_by(tier, F.struct(F.coalesce("__rank", F.lit(1 << 30)), tier)).alias("__t"), F.min("__rank").alias("__best"))
     return best.select(file, F.when(F.col("__best").isNotNull(), F.col("__t")).alias(tier), F.when(F.col("__best").isNull(), "missing_tier").alias("reason"))
 
 
@@ -32,11 +32,17 @@ def is_silence_scored(label: Column) -> Column:
     return X.word_token(label).isin(*SILENCE_LABELS)
 
 
-def contained(phones: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """JN-07: phones inside a word, both ends closed: an equi-join on ``key`` whose residual is the range."""
-    p, w = phones.alias("p"), words.alias("w")
-    on = (F.col(f"p.{key}") == F.col(f"w.{key}")) & (F.col("p.xmin") >= F.col("w.xmin")) & (F.col("p.xmax") <= F.col("w.xmax"))
-    return w.join(p, on).select("w.*", F.col("p.xmin").alias("p_xmin"), F.col("p.xmax").alias("p_xmax"), F.col("p.label").alias("p_label"))
+def contained(phones: DataFrame, words: DataFrame, key: str, width: float = 1.0) -> DataFrame:
+    """JN-07: phones inside a word, both ends closed.
+
+    Time is cut into buckets of ``width`` seconds: a phone is in the bucket of its start, a word in all
+    that it touches, so the join is an equi-join on (key, bucket) with a small residual, however long an
+    utterance is. Each pair meets in one bucket only.
+    """
+    p = phones.withColumn("__bucket", F.floor(F.col("xmin") / width)).alias("p")
+    w = words.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("xmin") / width), F.floor(F.col("xmax") / width)))).alias("w")
+    on = (F.col(f"p.{key}") == F.col(f"w.{key}")) & (F.col("p.__bucket") == F.col("w.__bucket")) & (F.col("p.xmin") >= F.col("w.xmin")) & (F.col("p.xmax") <= F.col("w.xmax"))
+    return w.join(p, on).select(*[F.col(f"w.{c}") for c in words.columns], F.col("p.xmin").alias("p_xmin"), F.col("p.xmax").alias("p_xmax"), F.col("p.label").alias("p_label"))
 
 
 def contained_local(words: DataFrame, phones_column: str) -> DataFrame:

@@ -138,9 +138,9 @@ def wn_14(spark, sf):
     return P.mask_positions(w, 0.3, 1, seed=5).select("utterance_id", F.size("mask").alias("masked"))
 
 
-@query("wn_15_speaker_splits", f"WITH {V.DOCS_SQL}, s AS (SELECT speaker_id, sha256('17:' || speaker_id) AS h FROM (SELECT DISTINCT speaker_id FROM docs WHERE doc_id % 10 <> 0)), r AS (SELECT speaker_id, row_number() OVER (ORDER BY h) AS rn, count(*) OVER () AS n FROM s) SELECT speaker_id, CASE WHEN rn <= greatest(1, least(n - 1, ceil(n * 0.1))) THEN 'val' ELSE 'train' END AS split FROM r")
+@query("wn_15_speaker_splits", f"WITH {V.DOCS_SQL}, s AS (SELECT speaker_id, sha256('17:' || speaker_id) AS h FROM (SELECT DISTINCT speaker_id FROM docs WHERE subset <> 'test-clean')), r AS (SELECT speaker_id, row_number() OVER (ORDER BY h) AS rn, count(*) OVER () AS n FROM s) SELECT speaker_id, CASE WHEN rn <= greatest(1, least(n - 1, ceil(n * 0.1))) THEN 'val' ELSE 'train' END AS split FROM r")
 def wn_15(spark, sf):
-    return P.speaker_splits(V.doc_paths(spark, sf).where(F.col("doc_id") % 10 != 0), "speaker_id", 0.1, seed=17)
+    return P.speaker_splits(V.doc_paths(spark, sf).where(F.col("subset") != "test-clean"), "speaker_id", 0.1, seed=17)
 
 
 @query("sl_01_head_per_split", f"WITH {V.DOCS_SQL}, r AS (SELECT utterance_id, {SPLIT_SQL} AS split, row_number() OVER (PARTITION BY {SPLIT_SQL} ORDER BY speaker_id, utterance_id) AS rn FROM docs) SELECT utterance_id, split FROM r WHERE rn <= 5")
@@ -187,9 +187,9 @@ def set_02(spark, sf):
     return s("train").intersect(s("val"))
 
 
-@query("set_03_split_completeness", f"WITH {V.DOCS_SQL}, o AS (SELECT DISTINCT speaker_id FROM docs WHERE doc_id % 10 <> 0) SELECT count(*) AS official, 0 AS missing, 0 AS extra FROM o")
+@query("set_03_split_completeness", f"WITH {V.DOCS_SQL}, o AS (SELECT DISTINCT speaker_id FROM docs WHERE subset <> 'test-clean') SELECT count(*) AS official, 0 AS missing, 0 AS extra FROM o")
 def set_03(spark, sf):
-    d = V.doc_paths(spark, sf).where(F.col("doc_id") % 10 != 0)
+    d = V.doc_paths(spark, sf).where(F.col("subset") != "test-clean")
     official, dealt = d.select("speaker_id").distinct(), P.speaker_splits(d, "speaker_id", 0.1, seed=17).select("speaker_id")
     sides = official.select(F.lit("o").alias("k")).union(official.exceptAll(dealt).select(F.lit("m"))).union(dealt.exceptAll(official).select(F.lit("e")))
     return sides.agg(F.count_if(F.col("k") == "o").alias("official"), F.count_if(F.col("k") == "m").cast("int").alias("missing"), F.count_if(F.col("k") == "e").cast("int").alias("extra"))
