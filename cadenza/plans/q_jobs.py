@@ -1 +1,177 @@
-"""q_jobs"""
+"""Queries of the composite jobs JOB-01..JOB-13."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cadenza.functions import labels as L
+from cadenza.functions import text as X
+from cadenza.operators import align, jobs, verify
+from cadenza.operators import reports as R
+from cadenza.operators import words as O
+from cadenza.plans import views as V
+from cadenza.plans.q_aggregates import DIM_SQL, OVERALL_SQL, SPLIT_SQL, STATS_SQL, V1_SQL
+from cadenza.plans.q_functions import SEVERITY_SQL, STATUS_SQL
+from cadenza.plans.q_joins import IV_SQL, SIDECAR_SQL, intervals, lexicon, score_words, sidecars
+from cadenza.plans.registry import query
+from cadenza.plans.views import r6
+from cadenza.session import table
+from cadenza.sources import sinks
+
+
+@query("job_01_prepare_read_speech", f"WITH {V.DOCS_SQL} SELECT utterance_id, speaker_id, {SPLIT_SQL} AS split, regexp_replace(audio_path, '\\.wav$', '') || {SIDECAR_SQL} AS transcript_path, CASE WHEN {SIDECAR_SQL} IS NULL THEN 'missing_transcript' WHEN trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) = '' THEN 'empty_transcript' END AS reason FROM docs")
+def job_01(spark, sf):
+    d = V.doc_paths(spark, sf)
+    return jobs.prepare_read_speech(d.select("audio_path"), sidecars(spark, sf), d.select("audio_path", "text")).select("utterance_id", "speaker_id", "split", "transcript_path", "reason")
+
+
+@query("job_02_prepare_scored", f"WITH {V.DOCS_SQL}, u AS (SELECT docs.*, labels.quality FROM docs JOIN labels USING (doc_id)), s AS (SELECT speaker_id, sha256('17:' || speaker_id) AS h FROM (SELECT DISTINCT speaker_id FROM u WHERE subset <> 'test-clean')), r AS (SELECT speaker_id, row_number() OVER (ORDER BY h) AS rn, count(*) OVER () AS n FROM s) SELECT utterance_id, quality, CASE WHEN subset = 'test-clean' THEN 'test' WHEN rn <= greatest(1, least(n - 1, ceil(n * 0.1))) THEN 'val' ELSE 'train' END AS split FROM u LEFT JOIN r USING (speaker_id)")
+def job_02(spark, sf):
+    u = V.doc_paths(spark, sf).join(table(spark, sf, "labels"), "doc_id").withColumn("official", F.when(F.col("subset") == "test-clean", "test").otherwise("train"))
+    return jobs.prepare_scored(u, 0.1, 17).select("utterance_id", "quality", "split")
+
+
+@query("job_03_export_transcripts", f"WITH {V.DOCS_SQL} SELECT subset, count(*) AS n, sum(length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))))::BIGINT AS chars FROM docs GROUP BY 1")
+def job_03(spark, sf):
+    t = sinks.transcript_rows(V.doc_paths(spark, sf))
+    return t.groupBy(F.get(F.split("rel_path", "/"), F.lit(1)).alias("subset")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+JOB_04_SQL = f"""WITH {IV_SQL}, w AS (SELECT doc_id, pos, regexp_replace(lower(trim(label)), '[^a-z'']+', '', 'g') AS word, token, len, stop FROM wi),
+x AS (SELECT w.*, lex.spelled, CASE WHEN token = '' THEN '' ELSE upper(token) END AS said FROM w LEFT JOIN lex ON lex.word = w.word),
+r AS (SELECT *, CASE WHEN word IN ('', 'sp', 'sil', 'spn', '<eps>') THEN 'skip_word_label' WHEN spelled IS NULL THEN 'missing_cmudict' WHEN len * 50 < 80 THEN 'too_short' WHEN length(said) <> length(spelled) THEN 'phone_count_mismatch' WHEN said <> spelled THEN 'phone_identity_mismatch' END AS reason FROM x)
+SELECT doc_id || '__' || word || '__' || CAST(round_even((stop - len) * 0.05::DOUBLE * 1000, 0) AS INT) AS artifact_id, length(spelled) AS phones FROM r WHERE reason IS NULL"""
+
+
+@query("job_04_aligned_native", JOB_04_SQL)
+def job_04(spark, sf):
+    w, p = intervals(spark, sf)
+    return align.aligned_words(w, p, lexicon(spark, sf)).where(F.col("reason").isNull()).select("artifact_id", F.size("phones").cast("long").alias("phones"))
+
+
+JOB_05_SQL = f"""WITH {V.PHONES_SQL} SELECT utterance_id, CAST(index AS INT) AS index, phoneme, CASE WHEN human_score >= 1.5 THEN 'correct' WHEN human_score >= 0.5 THEN 'accented' ELSE 'wrong_or_missed' END AS class, round({V.TARGET_SQL}, 6) AS target, omission AND index % 5 <> 4 AND index % 3 = 0 AS omission, NULL AS reason FROM phones WHERE utterance_id % 11 <> 0
+UNION ALL SELECT DISTINCT utterance_id, NULL, NULL, NULL, NULL, NULL, 'missing_phone_scores' FROM phones WHERE utterance_id % 11 = 0"""
+
+
+@query("job_05_aligned_scored", JOB_05_SQL)
+def job_05(spark, sf):
+    rows = jobs.scored_phone_labels(score_words(spark, sf))
+    return rows.select("utterance_id", "index", "phoneme", "class", r6(F.col("target")).alias("target"), "omission", "reason")
+
+
+@query("job_06_phone_features", f"""WITH {V.SPANS_SQL}, {V.PHONES_SQL}, x AS (SELECT s.utterance_id, s.index, unnest(f.vector) AS v FROM spans s JOIN frames f ON f.utterance_id = s.utterance_id AND f.frame >= s.start AND f.frame < s."end"), b AS (SELECT utterance_id, index, var_pop(v) AS variance FROM x GROUP BY ALL),
+p AS (SELECT utterance_id, index, phoneme, lag(phoneme) OVER w AS prev_phoneme, lead(phoneme) OVER w AS next_phoneme, round({V.TARGET_SQL}, 6) AS regression_target FROM phones WINDOW w AS (PARTITION BY utterance_id ORDER BY index))
+SELECT utterance_id, index, phoneme, prev_phoneme, next_phoneme, regression_target, round(coalesce(variance, 0), 6) AS variance FROM spans JOIN p USING (utterance_id, index) LEFT JOIN b USING (utterance_id, index)""")
+def job_06(spark, sf):
+    p = V.phones(spark, sf).select("utterance_id", "index", "phoneme", "source", "human_score")
+    f = jobs.phone_features(V.frames(spark, sf), V.spans(spark, sf), p, 64)
+    return f.select("utterance_id", "index", "phoneme", "prev_phoneme", "next_phoneme", r6(F.col("regression_target")).alias("regression_target"), r6(F.col("variance")).alias("variance"))
+
+
+@query("job_07_verify_features", f"WITH {V.PHONES_SQL} SELECT split, count(*) AS rows, count(DISTINCT utterance_id) AS utterances, 0 AS row_delta, true AS matches FROM phones GROUP BY 1")
+def job_07(spark, sf):
+    p = V.phones(spark, sf)
+    r = verify.reconcile(p, V.words(spark, sf)).select(F.col("row_delta").cast("int").alias("row_delta"), "matches")
+    return verify.profile(p).select("split", "rows", "utterances").join(F.broadcast(r))  # r is one row
+
+
+@query("job_08_dense_table", f"WITH {V.PHONES_SQL}, w AS (SELECT utterance_id, first(split) AS split, count(*) AS seq_len, round(sum(variance + energy), 6) AS total FROM phones GROUP BY 1) SELECT utterance_id, CAST(seq_len AS INT) AS seq_len, total, CAST(sum(seq_len) OVER (PARTITION BY split ORDER BY utterance_id ROWS UNBOUNDED PRECEDING) - seq_len AS BIGINT) AS row_offset FROM w")
+def job_08(spark, sf):
+    d = O.two_level_offsets(V.words(spark, sf), "split", "utterance_id", "seq_len")
+    return d.select("utterance_id", "seq_len", r6(F.aggregate("acoustic_flat", F.lit(0.0), lambda s, x: s + x)).alias("total"), F.col("offset").alias("row_offset"))
+
+
+def long_sql(section: str, key: str, metrics: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {key} AS key, '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM {source}" for m, x in metrics.items())
+
+
+CELL = "(SELECT d.class AS tc, p.class AS pc, (SELECT count(*) FROM e WHERE e.tc = d.class AND e.pc = p.class) AS n, (SELECT count(*) FROM e WHERE e.tc = d.class) AS total FROM {0} CROSS JOIN (VALUES ('wrong_or_missed'), ('accented'), ('correct')) p(class))".format(DIM_SQL)
+COUNTS = "(SELECT d.class, (SELECT count(*) FROM e WHERE e.{0} = d.class) AS n, (SELECT count(*) FROM e) AS total FROM " + DIM_SQL + ")"
+HIST = "(SELECT g.class, printf('%02d-%02d', g.bin, g.bin + 9) AS label, (SELECT count(*) FROM e WHERE e.tc = g.class AND CAST(floor(greatest(0, least(100 - 1e-6, e.{0})) / 10) * 10 AS INT) = g.bin) AS n FROM (SELECT class, unnest(range(0, 100, 10)) AS bin FROM (SELECT DISTINCT tc AS class FROM e)) g)"
+PCT = "(SELECT tc, " + ", ".join(f"quantile_cont({{0}}, {p / 100}) AS p{p}" for p in R.PERCENTILES) + " FROM e GROUP BY 1)"
+
+
+def class_part(score: str, target: str, prob: str) -> str:
+    src = f"(SELECT tc, count(*) AS n, avg({score}) AS a, avg({target}) AS b, avg({prob}) AS c, count(*) FILTER (pc = 'correct') / count(*) AS d, count(*) FILTER ({score} >= 80) / count(*) AS h FROM e GROUP BY 1)"
+    return long_sql("class", "tc", {"n": "n", "mean_score": "a", "mean_target": "b", "mean_prob": "c", "called_correct_rate": "d", "high_score_rate": "h"}, src)
+
+
+def presence_part(section: str, prob: str, truth: str) -> str:
+    return long_sql(section, "'all'", {"accuracy": f"avg(CASE WHEN ({prob} >= 0.5) = ({truth} = 1) THEN 1.0 ELSE 0.0 END)", "mean_present": f"avg({prob}) FILTER ({truth} = 1)", "mean_omitted": f"avg({prob}) FILTER ({truth} = 0)", "present": f"count(*) FILTER ({truth} = 1)", "omitted": f"count(*) FILTER ({truth} = 0)"}, "e")
+
+
+def error_part(pairs: dict[str, tuple[str, str]]) -> str:
+    m = {}
+    for name, (p, t) in pairs.items():
+        m |= {f"{name}_mae": f"avg(abs({p} - {t}))", f"{name}_rmse": f"sqrt(avg(({p} - {t}) ** 2))"}
+    return long_sql("errors", "'all'", m, "e")
+
+
+PARTS_1 = [
+    error_part({"match": ("match_pred", "match_target"), "duration": ("duration_pred", "duration_target")}),
+    long_sql("pearson", "'all'", {"r": "corr(match_pred, match_target)"}, "e"),
+    presence_part("presence", "presence_prob", "presence_target"),
+    long_sql("confusion", "tc || '/' || pc", {"n": "n", "rate": "n / greatest(1, total)"}, CELL),
+    long_sql("target", "class", {"n": "n", "rate": "n / greatest(1, total)"}, COUNTS.format("tc")),
+    long_sql("predicted", "class", {"n": "n", "rate": "n / greatest(1, total)"}, COUNTS.format("pc")),
+    class_part("match_pred", "match_target", "presence_prob"),
+    long_sql("percentiles", "tc", {f"p{p}": f"p{p}" for p in R.PERCENTILES}, PCT.format("match_pred")),
+    long_sql("histogram", "class || '/' || label", {"n": "n"}, HIST.format("match_pred")),
+    long_sql("diagnostics", "'all'", {"separation": "avg(match_pred) FILTER (tc = 'correct') - avg(match_pred) FILTER (tc = 'wrong_or_missed')", "all_correct": "CASE WHEN bool_and(pc = 'correct') THEN 1 ELSE 0 END", "weak": "CASE WHEN corr(match_pred, match_target) < 0.3 THEN 1 ELSE 0 END", "collapsed": "CASE WHEN avg(match_pred) FILTER (tc = 'correct') - avg(match_pred) FILTER (tc = 'wrong_or_missed') < 5 THEN 1 ELSE 0 END", "uninformative": "CASE WHEN count(*) FILTER (presence_target <> 1) = 0 THEN 1 ELSE 0 END"}, "e"),
+]
+ROUNDED = "SELECT section, key, metric, round(value, 6) + 0.0 AS value FROM ({0})"
+
+
+@query("job_09_eval_report_v1", f"WITH {V1_SQL} " + ROUNDED.format(" UNION ALL ".join(PARTS_1)))
+def job_09(spark, sf):
+    c = F.col
+    report = jobs.evaluation_v1(V.predictions(spark, sf), c("match_pred"), c("duration_pred"), c("presence_prob"), c("match_target"), c("duration_target"), c("presence_target"))
+    return report.withColumn("value", r6(F.col("value")))
+
+
+V2_SQL = V.PRED_SQL + f", e AS (SELECT {V.CLASS2_SQL.format('match_target')} AS tc, {V.CLASS2_SQL.format('match_pred')} AS pc, round(1 - presence_prob, 3) AS o, match_pred AS s, match_target AS t, 1 - presence_target AS om FROM pred)"
+PARTS_2 = [
+    error_part({"score": ("s", "t")}),
+    long_sql("pearson", "'all'", {"r": "corr(s, t)"}, "e"),
+    long_sql("accuracy", "'all'", {"class": "avg(CASE WHEN tc = pc THEN 1.0 ELSE 0.0 END)"}, "e"),
+    presence_part("omission", "o", "om"),
+    long_sql("confusion", "tc || '/' || pc", {"n": "n", "rate": "n / greatest(1, total)"}, CELL),
+    class_part("s", "t", "o"),
+    long_sql("percentiles", "tc", {f"p{p}": f"p{p}" for p in R.PERCENTILES}, PCT.format("s")),
+    long_sql("histogram", "class || '/' || label", {"n": "n"}, HIST.format("s")),
+]
+
+
+@query("job_10_eval_report_v2", f"WITH {V2_SQL} " + ROUNDED.format(" UNION ALL ".join(PARTS_2)))
+def job_10(spark, sf):
+    c = F.col
+    report = jobs.evaluation_v2(V.predictions(spark, sf), L.class_of_target(c("match_pred"), "v2"), L.class_of_target(c("match_target"), "v2"), F.round(1 - c("presence_prob"), 3), c("match_pred"), c("match_target"), 1 - c("presence_target"))
+    return report.withColumn("value", r6(F.col("value")))
+
+
+JOB_11_SQL = f"""WITH {OVERALL_SQL}, x AS (SELECT utterance_id, phoneme, {STATUS_SQL} AS status, row_number() OVER (PARTITION BY utterance_id ORDER BY round({SEVERITY_SQL}, 8) DESC, index) AS rn FROM scored)
+SELECT o.o_orderkey AS utterance_id, coalesce(overall.score, 0) AS score, CASE WHEN x.status IS NULL THEN 'no_signal' WHEN x.status = 'ok' THEN 'low_match' ELSE x.status END AS issue, x.phoneme AS issue_phone FROM orders o LEFT JOIN overall ON overall.utterance_id = o.o_orderkey LEFT JOIN x ON x.utterance_id = o.o_orderkey AND rn = 1"""
+
+
+@query("job_11_assess_recordings", JOB_11_SQL)
+def job_11(spark, sf):
+    k = F.col("utterance_id") % 3
+    p = V.phones(spark, sf).select("utterance_id", "index", "phoneme", "energy", "variance", ((F.col("frames") - 25) / 20.0).alias("z"), (F.col("frames") % 10 == 0).alias("late"), L.alignment_confidence(F.col("source")).alias("alignment_confidence"), F.when(k == 0, "ok").when(k == 1, "low_confidence").otherwise("rejected").alias("quality"))
+    return jobs.assess_words(table(spark, sf, "orders").select(F.col("o_orderkey").alias("utterance_id")), p, "utterance_id").drop("confidence")
+
+
+@query("job_12_plan_feature_runs", f"WITH {V.EVENTS_SQL}, s AS (SELECT DISTINCT CAST(p_partkey % 150 AS VARCHAR) AS feature_key FROM part), l AS (SELECT feature_key, arg_max(CASE audio_path WHEN 'view' THEN 'planned' WHEN 'click' THEN 'running' ELSE 'complete' END, recording_id) AS status FROM events_v GROUP BY 1) SELECT s.feature_key, CASE WHEN l.status IS NULL THEN 'missing_state' WHEN l.status <> 'complete' THEN 'incomplete' WHEN s.feature_key::INT % 4 = 0 THEN 'missing_rows' END AS reason FROM s LEFT JOIN l USING (feature_key)")
+def job_12(spark, sf):
+    specs = table(spark, sf, "part").select((F.col("p_partkey") % 150).cast("string").alias("feature_key")).distinct()
+    e = V.events(spark, sf)
+    status = F.when(F.col("audio_path") == "view", "planned").when(F.col("audio_path") == "click", "running").otherwise("complete")
+    states = e.select("feature_key", status.alias("status"), F.col("recording_id").alias("seq"))
+    present = specs.where(F.col("feature_key").cast("int") % 4 != 0)
+    return jobs.plan_runs(specs, states, present).select("feature_key", "reason")
+
+
+@query("job_13_epoch_plan")
+def job_13(spark, sf):
+    w = V.phones(spark, sf).groupBy("utterance_id", "split").agg(F.count(F.lit(1)).cast("int").alias("seq_len"))
+    return jobs.epoch_plan(w, "split", "utterance_id", 16, 64, seed=3, epoch=2, mask_ratio=0.3).select("utterance_id", "split", "block", "batch_in_block", "mask")

@@ -17,8 +17,6 @@ from cadenza.plans.q_functions import ID_SQL, SCORES_SQL, SEVERITY_SQL, STATUS_S
 from cadenza.plans.registry import query
 from cadenza.session import table
 
-INDEX = F.col
-
 
 def idx():
     return F.col("index").cast("long").alias("index")

@@ -76,8 +76,8 @@ def manifests(spark: SparkSession, path: str, schema: str = PREPARED) -> DataFra
 
 
 def feature_shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """SRC-03: ``part-*.jsonl`` files with their name as ``shard``; a folder without one is an error of Spark's reader."""
-    return spark.read.schema(schema).option("pathGlobFilter", "part-*.jsonl").json(folder).withColumn("shard", F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1))
+    """SRC-03: ``part-*.json`` and ``.jsonl`` files with their name as ``shard``; a folder without one is an error of Spark's reader."""
+    return spark.read.schema(schema).option("pathGlobFilter", "part-*.json*").json(folder).withColumn("shard", F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1))
 
 
 def audio_listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("wav", "flac")) -> DataFrame:
@@ -89,22 +89,26 @@ def audio_listing(spark: SparkSession, root: str, extensions: tuple[str, ...] =
     return f.where(suffix.isin(*extensions) & ~derived)
 
 
-def score_file(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: one row per utterance of a file that holds one JSON object."""
-    t = spark.read.text(path, wholetext=True)
-    return t.select(F.explode(F.from_json("value", SCORES_SCHEMA)).alias("utterance_id", "entry"))
+def json_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(value): each file as one text."""
+    return spark.read.text(path, wholetext=True)
 
 
-def curated_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-12: (word, phones, ipa, reference_audio_id, syllables); keys in lower case, syllables default to none."""
+def score_entries(texts: DataFrame) -> DataFrame:
+    """SRC-06: one row per utterance of JSON objects keyed by utterance."""
+    return texts.select(F.explode(F.from_json("value", SCORES_SCHEMA)).alias("utterance_id", "entry"))
+
+
+def curated_lexicon(texts: DataFrame) -> DataFrame:
+    """SRC-12: (word, phones, ipa, reference_audio_id, syllables, stress_pattern); keys in lower case, syllables default to none."""
     kind = "map<string,struct<phones:array<string>,ipa:string,reference_audio_id:string,syllables:array<array<string>>,stress_pattern:string>>"
-    t = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("w", "e"))
+    t = texts.select(F.explode(F.from_json("value", kind)).alias("w", "e"))
     return t.select(F.lower("w").alias("word"), "e.phones", "e.ipa", "e.reference_audio_id", F.coalesce("e.syllables", F.array().cast("array<array<string>>")).alias("syllables"), "e.stress_pattern")
 
 
-def reference_audio(spark: SparkSession, path: str) -> DataFrame:
+def reference_audio(texts: DataFrame) -> DataFrame:
     """SRC-13: (audio_id, word, accent_target, asset_path)."""
-    t = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<word:string,accent_target:string,asset_path:string>>")).alias("audio_id", "e"))
+    t = texts.select(F.explode(F.from_json("value", "map<string,struct<word:string,accent_target:string,asset_path:string>>")).alias("audio_id", "e"))
     return t.select("audio_id", "e.*")
 
 
@@ -117,3 +121,13 @@ def dense_words(spark: SparkSession, path: str, columns: list[str] | None = None
         ok = F.size("acoustic_flat") == F.col("seq_len") * width
         df = df.withColumn("acoustic_flat", F.when(ok, F.col("acoustic_flat")).otherwise(F.raise_error(F.lit("acoustic_flat has another length")).cast("array<double>")))
     return df.select(*columns) if columns else df
+
+
+def read_features(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """SRC-15: the dense table of a split where there is one, else its JSON shards assembled to the same columns."""
+    from cadenza.operators.words import assemble_words
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/dense")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.parquet(f"{folder}/dense")
+    return assemble_words(feature_shards(spark, f"{folder}/shards", schema))
