@@ -42,6 +42,15 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that a broadcast may hold: 8 bytes each and some overhead, so tens of MB at most.
+BROADCAST_IDS = 500_000
+
+
+def if_few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids with a broadcast hint if it is counted to be small; else as it is, for a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

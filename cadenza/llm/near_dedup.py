@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import forget, mix64, text_of, written
+from cadenza.llm.common import forget, if_few, mix64, text_of, written
 from cadenza.llm.components import components
 
 BITS, MINIMA = 4, 512
@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = few(buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m"))).where(F.col("m") > 1).select("bucket", "leader")
     members = written(few(buckets.join(shared.hint("merge"), "bucket")), "nd-members")
-    busy = members.select(F.col("id").alias("__nd_id")).distinct()
+    # few documents share a bucket; then only their ids travel, and the texts stay where they are
+    busy = if_few(written(few(members.select(F.col("id").alias("__nd_id")).distinct()), "nd-busy"))
     mine = docs.select(F.col(id_col).cast("long").alias("__nd_id"), F.col(text_col).alias("__nd_text")).join(busy, "__nd_id", "left_semi")
     # a row each, should rows share an id: any of them, since an unequal one is a node of its own only by its own id
     sets = written(few(sets_of(mine, "__nd_id", "__nd_text", k).dropDuplicates(["id"])), "nd-sets")

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import forget, table, written
+from cadenza.llm.common import forget, if_few, table, written
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.near_dedup import near_duplicates
 from cadenza.llm.packing import pack_documents
@@ -33,8 +33,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five words, similarity of 0.8 or more); rows that share an id stay or go together."""
-    kept = near_duplicates(docs, percent=80, bands=40).where("kept").select(F.col("id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    out = written(near_duplicates(docs, percent=80, bands=40), "near-dedup")
+    # the ids that go are fewer than those that stay; while they are few, the texts aren't shuffled for them
+    gone = if_few(written(out.where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct(), "near-gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
