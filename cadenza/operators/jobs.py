@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,7 @@ def evaluation_v1(df: DataFrame, match: Column, duration: Column, presence: Colu
     """JOB-09: the first report as (section, key, metric, value) rows."""
     e = df.select(match.alias("m"), duration.alias("d"), presence.alias("p"), match_target.alias("mt"), duration_target.alias("dt"), present.alias("pt"))
     e = e.withColumn("tc", L.class_of_target(F.col("mt"), "v1")).withColumn("pc", L.predicted_class(F.col("m"), F.col("p")))
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)  # ten sections read it; it spills, and lost blocks are computed again
     parts = {
         "errors": reports.errors(e, {"match": (F.col("m"), F.col("mt")), "duration": (F.col("d"), F.col("dt"))}),
         "pearson": reports.pearson(e, F.col("m"), F.col("mt")),
@@ -74,6 +76,7 @@ def evaluation_v1(df: DataFrame, match: Column, duration: Column, presence: Colu
 def evaluation_v2(df: DataFrame, class_pred: Column, class_target: Column, omission_prob: Column, expected: Column, score_target: Column, omitted: Column) -> DataFrame:
     """JOB-10: the second report: classes are predicted directly, omission is a probability of its own."""
     e = df.select(class_pred.alias("pc"), class_target.alias("tc"), omission_prob.alias("o"), expected.alias("s"), score_target.alias("t"), omitted.alias("om"))
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)
     parts = {
         "errors": reports.errors(e, {"score": (F.col("s"), F.col("t"))}),
         "pearson": reports.pearson(e, F.col("s"), F.col("t")),
