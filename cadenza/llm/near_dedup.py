@@ -154,7 +154,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum")).where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, most_pairs: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, most_pairs: int = 64, free_pairs: int = 20_000_000) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row per row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their k-word shingle sets is at least
@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents without words have an empty set and link with nothing. Rows that share an id get the
     label of their own set each. A null id is labelled null and kept. With 32 bands of 6 rows a pair at
     the threshold of 0.85 shares no band with a chance of 3e-7 (at 0.8, with 40 bands: 5e-6).
-    ``most_pairs``: comparisons per document that the last step may make at most; beyond it further
-    star rounds come first. This bounds work, it drops nothing.
+    The last step makes at most ``free_pairs`` comparisons, or ``most_pairs`` per document if that is
+    more; beyond that further star rounds come first. This bounds work, it drops nothing.
     """
     sigs = written(signatures(docs, id_col, text_col, k, bands, rows), "nd-sig")
     n_docs = sigs.count()
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not total:
             break
         members = labelled.join(open_.select("bucket", "leader").hint("merge"), "bucket")
-        if total > max(20_000_000, most_pairs * n_docs):
+        if total > max(free_pairs, most_pairs * n_docs):
             members = written(few(members.drop("c")), "nd-members")
             continue
         x = few(members.join(nodes.select("id", "bands").join(sets.select("id", "n", "sig"), "id").hint("merge"), "id"))
