@@ -4,7 +4,8 @@ The lattice of a text has an edge for every vocabulary piece that matches at a p
 finds the best score from the start to every place; that is exactly what a backward partial path still
 needs, so the backward search pops complete segmentations in order of score. No piece but a run of
 spaces goes on after a space that follows another character, so the lattice falls into units (spaces and
-the characters after them) whose n-best lists are kept in a bounded table and combined, best sums first.
+the characters after them) whose best
+segmentation and loss of the second best are kept in a bounded table; the n best sums touch the cheapest losses alone.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +27,7 @@ from cadenza.llm.common import text_of
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
 #: A character without a piece costs this much more than the worst piece; it becomes bytes, if the file has them.
 UNKNOWN_COST = 10.0
 
@@ -42,11 +44,13 @@ class Lattice:
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
         self.unknown = sp.unk_id()
         self.pieces = {self.text[i]: ((i,), sp.get_score(i)) for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        self.longest = max(map(len, self.pieces), default=1)
+        #: Every beginning of a piece, with the piece that it is or None.
+        self.prefixes: dict[str, tuple | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p) + 1)} | self.pieces
         self.worst = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - UNKNOWN_COST
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece goes on after an inner space; units would cut it")
         self.cache: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
     def _fallback(self, c: str) -> tuple[int, ...]:
         if not self.id_of_byte:
@@ -56,47 +60,61 @@ class Lattice:
     def segment(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a unit as (score, ids), best first; fewer if there are no more."""
         length = len(unit)
-        get, longest = self.pieces.get, self.longest
+        get = self.prefixes.get
         ending: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(length + 1)]
         forward = [0.0] + [-float("inf")] * length
         for i in range(length):
-            base = forward[i]
-            for j in range(i + 1, min(length, i + longest) + 1):
-                found = get(unit[i:j])
-                if found is None:
-                    if j > i + 1:
-                        continue
-                    found = self._fallback(unit[i]), self.worst
+            base, j = forward[i], i
+            while j < length:
+                j += 1
+                found = get(unit[i:j], 0)
+                if not found:
+                    if j == i + 1:
+                        ending[j].append((i, self._fallback(unit[i]), self.worst))
+                        if base + self.worst > forward[j]:
+                            forward[j] = base + self.worst
+                    if found == 0:  # no piece begins like this
+                        break
+                    continue
                 ending[j].append((i, *found))
                 score = base + found[1]
                 if score > forward[j]:
                     forward[j] = score
         out: list[tuple[float, tuple[int, ...]]] = []
-        tick = 0
-        push, pop = heapq.heappush, heapq.heappop
-        # ties go to the deepest path, so equal scores don't fan out
-        heap: list[tuple[float, int, int, float, tuple | None]] = [(-forward[length], 0, length, 0.0, None)]
-        while heap:
-            _, _, at, done, path = pop(heap)
+        # The agenda holds partial paths by their exact totals, best first. No two share a completion and each
+        # has one of just that total, so the entries beyond those still wanted can never be needed.
+        wanted, tick = self.n, 0
+        agenda: list[tuple[float, int, int, float, tuple | None]] = [(-forward[length], 0, length, 0.0, None)]
+        while agenda:
+            _, _, at, done, path = agenda.pop(0)
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
                     ids.extend(path[0])
                     path = path[1]
                 out.append((done, tuple(ids)))
-                if len(out) == self.n:
+                wanted -= 1
+                if not wanted:
                     break
                 continue
             for start, ids_, score in ending[at]:
-                tick -= 1
                 score += done
-                push(heap, (-(score + forward[start]), tick, start, score, (ids_, path)))
+                total = -(score + forward[start])
+                if len(agenda) < wanted or total <= agenda[-1][0]:
+                    tick -= 1  # ties go to the newest, so equal scores don't fan out
+                    insort(agenda, (total, tick, start, score, (ids_, path)))
+                    if len(agenda) > wanted:
+                        agenda.pop()
         return out
 
     def _unit(self, unit: str) -> tuple:
-        """(best score, best ids, loss of the second best, all) of a unit."""
+        """(best score, best ids, loss of the second best) of a unit; its other segmentations are found again where they count."""
+        row = self.cache.get(unit) or self.old.get(unit)
+        if row is not None:
+            self.cache[unit] = row
+            return row
         found = self.segment(unit)
-        row = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"), found)
+        row = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
         if len(unit) <= 64:
             self.cache[unit] = row
         return row
@@ -105,13 +123,13 @@ class Lattice:
         """The n best segmentations of a whole text as (score, ids), best first; the empty text has one, empty."""
         if not text:
             return [(0.0, np.zeros(0, np.int32))]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
+        if len(self.cache) > CACHE_UNITS:  # units met again move on from the old table, the others go with it
+            self.old, self.cache = self.cache, {}
         units = UNIT.findall(SPACE + text.replace(" ", SPACE))
         rows = list(map(self.cache.get, units))
         if None in rows:
-            rows = [self.cache.get(u) or self._unit(u) if r is None else r for u, r in zip(units, rows)]
-        scores, best_ids, losses, lists = zip(*rows)
+            rows = [self._unit(u) if r is None else r for u, r in zip(units, rows)]
+        scores, best_ids, losses = zip(*rows)
         best = float(sum(scores))
         base = np.fromiter(chain.from_iterable(best_ids), np.int32)
         # a choice other than the best costs its loss; the n best sums touch the n - 1 cheapest units only
@@ -120,6 +138,7 @@ class Lattice:
         cheap = np.sort(np.argpartition(loss, few - 1)[:few]) if few else np.zeros(0, np.int64)
         cheap = [int(i) for i in cheap if np.isfinite(loss[i])]
         ends = np.cumsum([len(x) for x in best_ids[: cheap[-1] + 1]]) if cheap else None
+        lists = {i: self.segment(units[i]) for i in cheap}
         out = []
         for cost, pick in self._combine([[lists[i][0][0] - y[0] for y in lists[i]] for i in cheap]):
             ids = base
