@@ -60,6 +60,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+_worker_cache: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A table that lives as long as the Python worker, until another operator asks for its own: one at a time bounds memory."""
+    if owner not in _worker_cache:
+        _worker_cache.clear()
+        _worker_cache[owner] = {}
+    return _worker_cache[owner]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser on uint64 arrays."""
     x = x.copy()

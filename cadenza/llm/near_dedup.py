@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import forget, if_few, mix64, text_of, written
+from cadenza.llm.common import forget, if_few, mix64, text_of, worker_cache, written
 from cadenza.llm.components import components
 
 BITS, MINIMA = 4, 512
@@ -32,19 +32,19 @@ PER_LONG, LONGS = 64 // BITS, MINIMA * BITS // 64
 MARGIN = 0.08
 #: Up to so many documents, small tables are read back in a few tasks instead of one for each shuffle partition.
 FEW_DOCS, DOCS_PER_TASK = 1_000_000, 8_000
-CACHE_WORDS = 1_000_000
-_words: dict[bytes, int] = {}
+CACHE_WORDS = 500_000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a bounded cache lives as long as the worker."""
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    get, out = _words.get, []
+    known = worker_cache("near-dedup")
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    get, out = known.get, []
     for w in words:
         h = get(w)
         if h is None:
-            h = _words[w] = xxhash.xxh64_intdigest(w)
+            h = known[w] = xxhash.xxh64_intdigest(w)
         out.append(h)
     return np.array(out, np.uint64)
 

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import text_of
+from cadenza.llm.common import text_of, worker_cache
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -184,14 +184,11 @@ class Lattice:
         return whole[1:] if whole[:1] == " " else whole
 
 
-_made: dict[tuple[int, int], Lattice] = {}
-
-
 def _lattice(model: bytes, n: int) -> Lattice:
-    key = (hash(model), n)
-    if key not in _made:
-        _made[key] = Lattice(model, n)
-    return _made[key]
+    made, key = worker_cache("pieces"), (hash(model), n)
+    if key not in made:
+        made[key] = Lattice(model, n)
+    return made[key]
 
 
 def _read(path: str) -> bytes:

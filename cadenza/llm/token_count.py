@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import text_of
+from cadenza.llm.common import text_of, worker_cache
 from cadenza.llm.tokens import PATTERN, byte_symbols, read_tokenizer
 
 CACHE_PRETOKENS = 1_000_000
@@ -93,9 +93,6 @@ class TokenCounter(dict):
         return sum(map(self.__getitem__, SPLIT.findall(text)))
 
 
-_made: dict[int, TokenCounter] = {}
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", limit: int = 512) -> DataFrame:
     """The rows with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (n_tokens > limit) added.
 
@@ -110,10 +107,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
     schema = df.drop("__tc_text").withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(source.value)
-        if key not in _made:
-            _made[key] = TokenCounter(source.value)
-        counter = _made[key]
+        made, key = worker_cache("token-count"), hash(source.value)
+        if key not in made:
+            made[key] = TokenCounter(source.value)
+        counter = made[key]
         for b in batches:
             n = [counter.count(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(n, pa.int64())], names=schema.names)

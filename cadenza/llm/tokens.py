@@ -8,6 +8,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
+from cadenza.llm.common import worker_cache
+
 #: The splitting pattern of byte-level BPE files with ``use_regex`` (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -48,12 +50,9 @@ class ByteBpe:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-_made: dict[int, ByteBpe] = {}
-
-
 def byte_bpe(source: str) -> ByteBpe:
     """One tokenizer per worker and file."""
-    key = hash(source)
-    if key not in _made:
-        _made[key] = ByteBpe(source)
-    return _made[key]
+    made, key = worker_cache("byte-bpe"), hash(source)
+    if key not in made:
+        made[key] = ByteBpe(source)
+    return made[key]

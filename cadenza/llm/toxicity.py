@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import text_of
+from cadenza.llm.common import text_of, worker_cache
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings and ends of a word that are features besides the whole word.
 HEADS, TAILS = range(3, 11), range(5, 7)
-CACHE_WORDS = 1_000_000
-TOKENS_AT_ONCE = 2_000_000
+CACHE_WORDS = 500_000
+TOKENS_AT_ONCE = 500_000
 
 
 def features(word: str) -> list[str]:
@@ -217,9 +218,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return fit([(r["t"], r["y"]) for r in sorted(found.collect(), key=lambda r: (r["id"], r["t"], r["y"]))])
 
 
-_cache: dict[str, dict[str, float]] = {}
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", key: str = "") -> DataFrame:
     """The rows with ``score`` (0..1), ``predicted`` (score >= 0.5) and ``spans`` (start, end, p) added.
 
@@ -229,22 +227,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """
     own = [c for c in docs.columns if c not in ("score", "predicted", "spans")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = key or str(shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else id(shared))
+    key = key or uuid.uuid4().hex  # another model, another table of words
     df = docs.select(*own, text_of(F.col(text_col)).alias("__tx"))
     kind = "array<struct<start:int,end:int,p:double>>"
     schema = docs.select(*own, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast(kind).alias("spans")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if key not in _cache:
-            _cache.clear()
-            _cache[key] = {}
+        known = worker_cache(f"toxicity-{key}")
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             score, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             at, held, tokens = 0, [], 0
             for i, x in enumerate(texts):
-                held.append(_emissions(x.as_py(), m, _cache[key]))
+                held.append(_emissions(x.as_py(), m, known))
                 tokens += len(held[-1])
                 if i + 1 == batch.num_rows or tokens > TOKENS_AT_ONCE:
                     _score(held, at, texts, m, score, spans)
