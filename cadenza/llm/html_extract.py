@@ -5,6 +5,10 @@ forms, adverts, comments and the like are boilerplate by their element; blocks o
 are text unless they are mostly links; all others are judged by link density, length and stop-word
 density. In the second pass, blocks too short or too middling to judge take the label of their
 nearest decided neighbour.
+
+What a form or a class name says is doubted: a form around an article says nothing, and a form without
+one, or an article in an element with a name of boilerplate, counts as text if it holds more text than
+all else that would be kept.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILER = frozenset("nav header footer aside form button select option datalist dialog menu svg math object canvas audio video map head fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id names that mark boilerplate, and those that mark content (fixed values).
-BOILER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended widget toolbar pagination pager copyright legal disclaimer".split())
-COMMENT_NAMES = frozenset("comment comments reply replies respond disqus".split())
+#: Whole class and id names that mark boilerplate, and those that mark content (fixed values). Parts of names say little: has-sidebar, comments-open.
+BOILER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended widget toolbar pagination pager copyright legal disclaimer site-header page-header site-footer page-footer main-nav site-nav top-nav nav-menu main-menu main-navigation site-navigation cookie-banner cookie-notice cookie-consent ad-slot ad-container ad-wrapper ad-banner google-ad adsbygoogle social-share share-buttons social-links related-posts related-articles newsletter-signup sidebar-widget widget-area".split())
+COMMENT_NAMES = frozenset("comment comments reply replies respond disqus comment-list commentlist comments-area comments-section comment-body comment-form comment-respond disqus-thread".split())
 CONTENT_NAMES = frozenset("article main content post entry story text".split())
 #: Frequent function words of some European languages (fixed values).
 STOP_WORDS = frozenset(
@@ -41,42 +45,49 @@ STOP_WORDS = frozenset(
 WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 MAX_LINKS, SHORT_CHARS, LONG_CHARS, STOP_LOW, STOP_HIGH = 0.5, 70, 200, 0.2, 0.3
+#: The stop words fit a page's language if blocks with so large a share of its longer blocks' characters reach STOP_LOW.
+FIT_SHARE = 0.25
+#: What an element says about its content; boilerplate by form, name, comment name or element, the surest last.
+ARTICLE, NOTHING, FORM, NAME, COMMENT, ELEMENT = -1, 0, 1, 2, 3, 4
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
 class Block:
-    __slots__ = ("parts", "links", "article", "boiler", "heading", "text", "label")
+    __slots__ = ("parts", "links", "article", "boiler", "heading", "doubt", "text", "label")
 
-    def __init__(self, article: bool, boiler: bool, heading: bool):
+    def __init__(self, article: bool, boiler: int, heading: bool, doubt: int):
         self.parts: list[str] = []
-        self.links, self.article, self.boiler, self.heading = 0, article, boiler, heading
+        self.links, self.article, self.boiler, self.heading, self.doubt = 0, article, boiler, heading, doubt
 
 
-def _role(tag: str, attrs: str) -> str:
-    """What an element says about its content: '' nothing, 'article', 'boiler' or 'comment'."""
+def _role(tag: str, attrs: str) -> int:
+    """What an element says about its content."""
     names: set[str] = set()
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            names.update(re.split(r"[^a-z0-9]+", value))
+            names.update(value.replace("_", "-").split())
         elif name == "role" and value in ROLES or name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return "boiler"
-    if names & COMMENT_NAMES and tag not in ("body", "html"):
-        return "comment"
-    if tag in ("article", "main"):
-        return "article"
+            return ELEMENT
+    if tag == "main" or tag == "article" and (names & CONTENT_NAMES or not names & COMMENT_NAMES):
+        return ARTICLE
     if tag in ("body", "html"):
-        return ""
-    if tag in BOILER or names & BOILER_NAMES and not names & CONTENT_NAMES:
-        return "boiler"
-    return ""
+        return NOTHING
+    if tag in BOILER and tag != "form":
+        return ELEMENT
+    if names & COMMENT_NAMES:
+        return COMMENT
+    if names & BOILER_NAMES and not names & CONTENT_NAMES:
+        return NAME
+    return FORM if tag == "form" else NOTHING
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with what their elements say."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, article, boilerplate, link, heading
-    state = (False, False, False, False)
+    stack: list[tuple[str, bool, int, bool, bool, int]] = []  # tag, article, boilerplate, link, heading, number of the doubted element
+    start = state = (False, NOTHING, False, False, 0)
+    doubts = 0
     current: Block | None = None
     breaks, at, n = 0, 0, len(page)
 
@@ -87,8 +98,8 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if s.isspace():
                 return
-            article, boiler, _, heading = state
-            current = Block(article, boiler, heading)
+            article, boiler, _, heading, doubt = state
+            current = Block(article, boiler, heading, doubt)
             out.append(current)
         if "&" in s:
             s = html.unescape(s)
@@ -114,7 +125,7 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    state = stack[-1][1:] if stack else (False, False, False, False)
+                    state = stack[-1][1:] if stack else start
                     break
             if tag in BLOCK:
                 current = None
@@ -138,26 +149,38 @@ def blocks(page: str) -> list[Block]:
                 open_ = stack[i][0]
                 if open_ in CLOSES and tag in CLOSES[open_]:
                     del stack[i:]
-                    state = stack[-1][1:] if stack else (False, False, False, False)
+                    state = stack[-1][1:] if stack else start
                     break
                 if open_ in BLOCK:
                     break
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
-        article, boiler, link, heading = state
-        role = _role(tag, attrs) if attrs or tag in BOILER or tag in ("article", "main") else ""
-        if role == "article":
+        article, boiler, link, heading, doubt = state
+        role = _role(tag, attrs) if attrs or tag in BOILER or tag in ("article", "main") else NOTHING
+        if role == ARTICLE:
+            # navigation or a page header left open doesn't hold the article, and a form around it says nothing; main is never a part of a comment
+            holds = [x[2] for x in stack if x[0] not in ("nav", "header")]
+            if boiler and max(holds, default=NOTHING) <= (COMMENT if tag == "main" else FORM):
+                boiler, doubt = NOTHING, 0
+            elif boiler and max(holds) == NAME and not (article and doubt):
+                doubts += 1
+                doubt = doubts
             article = True
-            # navigation or a page header left open doesn't hold the article
-            if boiler and all(x[0] in ("nav", "header") or not x[2] for x in stack):
-                boiler = False
         elif role:
-            boiler = True
+            if role == FORM and not boiler and not article:
+                doubts += 1
+                doubt = doubts
+            elif role > FORM or boiler != FORM:
+                doubt = 0
+            boiler = max(boiler, role)
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = True
-            if article and boiler and all(x[0] == "header" or not x[2] for x in stack):
-                boiler = False  # the title in an article's own header
-        state = (article, boiler, link or tag == "a", heading)
+            if article and boiler:
+                # the title in an article's own header
+                around = next((x for x in reversed(stack) if x[0] != "header"), None)
+                if around is None or not around[2] or around[5]:
+                    boiler, doubt = (around[2], around[5]) if around else (NOTHING, 0)
+        state = (article, boiler, link or tag == "a", heading, doubt)
         stack.append((tag, *state))
     for b in out:
         b.text = " ".join("".join(b.parts).split())
@@ -166,6 +189,7 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(found: list[Block]) -> None:
     whole = any(b.article and not b.boiler for b in found)
+    long: list[tuple[Block, bool, float]] = []
     for b in found:
         chars = len(b.text.replace(" ", ""))
         linked = b.links / max(1, chars)
@@ -181,12 +205,15 @@ def first_pass(found: list[Block]) -> None:
             words = WORD.findall(b.text.lower())
             stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             latin = b.text.isascii() or sum(c < "ɐ" for c in b.text) > len(b.text) / 2
-            if not latin:  # the stop words say nothing about other scripts
-                b.label = GOOD if len(b.text) > LONG_CHARS else NEAR
-            elif stop >= STOP_HIGH:
-                b.label = GOOD if len(b.text) > LONG_CHARS else NEAR
-            else:
-                b.label = NEAR if stop >= STOP_LOW else BAD
+            long.append((b, latin, stop))
+    in_latin = sum(len(b.text) for b, latin, _ in long if latin)
+    fits = sum(len(b.text) for b, latin, stop in long if latin and stop >= STOP_LOW) >= FIT_SHARE * in_latin
+    for b, latin, stop in long:
+        # the stop words say nothing about other scripts and languages
+        if not latin or not fits or stop >= STOP_HIGH:
+            b.label = GOOD if len(b.text) > LONG_CHARS else NEAR
+        else:
+            b.label = NEAR if stop >= STOP_LOW else BAD
 
 
 def second_pass(found: list[Block]) -> None:
@@ -216,11 +243,37 @@ def second_pass(found: list[Block]) -> None:
             b.label = GOOD if GOOD in (decided[p], decided[q]) and (decided[i] == NEAR or decided[p] == decided[q]) else BAD
 
 
+def settle(found: list[Block]) -> None:
+    """Both passes, and the doubted elements that hold more than all else that is kept."""
+    first_pass(found)
+    second_pass(found)
+    doubted: dict[int, list[Block]] = {}
+    for b in found:
+        if b.doubt:
+            doubted.setdefault(b.doubt, []).append(b)
+    if not doubted:
+        return
+    kept = sum(len(b.text) for b in found if b.label == GOOD)
+    for article in (True, False):
+        parts = [x for x in doubted.values() if x[0].article == article]
+        if not parts or not article and any(b.article and not b.boiler for b in found):
+            continue
+        verdict = parts[0][0].boiler
+        for b in (b for x in parts for b in x):
+            b.boiler = NOTHING
+        first_pass(found)
+        for part in parts:
+            if sum(len(b.text) for b in part if b.label in (GOOD, NEAR)) <= kept:
+                for b in part:
+                    b.boiler = verdict
+    first_pass(found)
+    second_pass(found)
+
+
 def main_text(page: str) -> tuple[str, int]:
     """The main text, kept blocks joined by newlines, and the number of blocks of the page."""
     found = blocks(page)
-    first_pass(found)
-    second_pass(found)
+    settle(found)
     return "\n".join(b.text for b in found if b.label == GOOD), len(found)
 
 

@@ -215,6 +215,21 @@ def test_html(spark):
     assert html_extract.main_text(f"<ul>{menu}</ul><div><h2>Head</h2><p>{prose}</p><p>Short.</p><p>{prose}</p></div>")[0].split("\n")[0] == "Head"
 
 
+def test_html_wrappers_keep_the_main_text():
+    text = html_extract.main_text
+    prose = ("The cat sat on the mat and it was the best of all that he had for his own in the house of the man. " * 3).strip()
+    polish = ("Wczoraj wieczorem spotkałem starego przyjaciela, który opowiedział mi historię swojej rodziny i długiej podróży przez góry. " * 3).strip()
+    for around in ('<div class="layout has-sidebar">', '<form id="aspnetForm"><div>', '<div class="sidebar">', '<div id="menu"><form>'):
+        assert text(f"{around}<article><header><h1>Head</h1></header><p>{prose}</p></article>")[0] == f"Head\n{prose}"
+    assert text(f'<article class="post comments-open"><p>{prose}</p></article>')[0] == prose
+    assert text(f'<form id="aspnetForm"><div><p>{prose}</p></div></form>')[0] == prose
+    assert text(f'<div><a href="/">Start</a></div><div><p>{polish}</p><p>{polish}</p></div>')[0] == f"{polish}\n{polish}"
+    # teasers, comments and forms beside a main text stay out
+    assert text(f'<article><p>{prose} {prose}</p></article><div class="related"><article><p>{prose}</p></article></div>')[0] == f"{prose} {prose}"
+    assert text(f'<div><p>{prose}</p></div><div id="comments"><article class="comment"><p>{prose} {prose}</p></article></div>')[0] == prose
+    assert text(f"<div><p>{prose}</p></div><form><p>Your name</p><p>{prose[:99]}</p></form>")[0] == prose
+
+
 def test_html_hostile_markup_is_linear():
     html_extract.main_text("<" * 20_000 + "<a b='" * 2_000 + "<!--" * 2_000)
 
