@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions import labels as L
 from cadenza.functions.constants import ACOUSTIC_WIDTH
+from cadenza.session import scratch
 
 
 def assemble_words(phones: DataFrame) -> DataFrame:
@@ -93,19 +100,113 @@ def batch_count(rows: Column, batch: int, block_words: int, drop_last: bool = Fa
     return (full * per + tail).cast("long")
 
 
-def capped_batches(df: DataFrame, key: str, order: str, size: str, cap: int) -> DataFrame:
+def _next_start(sums: list[int], at: int, cap: int, sorted_: bool) -> int:
+    """Where the batch after the one that starts at ``at`` starts; the length where it doesn't end. ``sums`` has a leading 0."""
+    most = sums[at] + cap
+    if sorted_:
+        return max(at + 1, bisect_right(sums, most, at + 1) - 1)
+    return next((j for j in range(at + 1, len(sums) - 1) if sums[j + 1] > most), len(sums) - 1)
+
+
+def _known(sizes: list[int | None]) -> tuple[list[int], bool, bool]:
+    """Prefix sums up to the first null, whether they only grow, and whether there is a null, after which no batch ends."""
+    n = next((i for i, x in enumerate(sizes) if x is None), len(sizes))
+    return [0, *accumulate(sizes[:n])], all(x >= 0 for x in sizes[:n]), n < len(sizes)
+
+
+def _block_ends(sizes: list[int | None], cap: int, lowest: int) -> tuple[list[int], list[int], list[int | None], int | None]:
+    """What a block of sizes does to the size used so far: the sums at which a first batch can start in it, how many
+    batches start from there, the size used after them, and the sum of all where none starts. ``lowest``: of the size used so far."""
+    sums, sorted_, null = _known(sizes)
+    starts, tops = [], []
+    for i, x in enumerate(sums[1:]):
+        if not tops or x > tops[-1]:
+            starts.append(i)
+            tops.append(x)
+            if x > cap - lowest:
+                break
+    found: dict[int, tuple[int, int | None]] = {len(sums) - 1: (0, None)}
+    for start in starts:
+        path, at = [], start
+        while at not in found:
+            path.append(at)
+            at = _next_start(sums, at, cap, sorted_)
+        n, used = found[at]
+        for i in reversed(path):
+            if n == 0:
+                used = None if null else sums[-1] - sums[i]
+            n += 1
+            found[i] = (n, used)
+    return tops, [found[i][0] for i in starts], [found[i][1] for i in starts], None if null else sums[-1]
+
+
+def _block_batches(sizes: list[int | None], cap: int, batch: int, used: int | None, first: bool) -> list[int]:
+    """The batch of each row of a block that begins in ``batch`` with ``used``."""
+    out = []
+    for x in sizes:
+        if not first and used is not None and x is not None and used + x > cap:
+            batch, used = batch + 1, 0
+        first = False
+        used = None if used is None or x is None else used + x
+        out.append(batch)
+    return out
+
+
+def capped_batches(df: DataFrame, key: str, order: str, size: str, cap: int, block_rows: int = 4096) -> DataFrame:
     """WN-04: greedy batches in order; a batch starts anew where ``cap`` would be passed, so an oversize item stands alone.
 
-    The state depends on where the last batch began, so a key's rows are folded in order. The key must
-    be bounded (an audio file, a session); the ordered rows of one key meet in one task.
+    The state depends on where the last batch began. Rows are range-partitioned by key and order and cut
+    into blocks of at most ``block_rows``; each block is summed up by what it does to any size that comes
+    in (a few numbers, since a batch soon ends), these are chained over a key's blocks, and each block is
+    then batched with what came in. So no key's rows meet in one task, and a key of any size can be done.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("__rows"))
-    empty = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<{order}:bigint,batch:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (F.size(acc["out"]) > 0) & (acc["used"] + x[size] > cap)
-        b = acc["b"] + F.when(new, 1).otherwise(0)
-        used = F.when(new, F.lit(0).cast("long")).otherwise(acc["used"]) + x[size]
-        return F.struct(b.cast("long").alias("b"), used.cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(x[order].cast("long").alias(order), b.cast("long").alias("batch")))).alias("out"))
-
-    return rows.select(key, F.inline(F.aggregate("__rows", empty, step, lambda a: a["out"])))
+    spark = df.sparkSession
+    d = df.select(key, F.col(order).cast("long").alias(order), F.col(size).cast("long").alias("__size"))
+    d = d.repartitionByRange(key, order, "__size").sortWithinPartitions(key, order, "__size").withColumn("__at", F.monotonically_increasing_id())
+    rows = F.array_sort(F.collect_list(F.struct("__at", F.col(order).alias("o"), F.col("__size").alias("s"))))
+    d = d.groupBy(key, F.floor(F.col("__at") / block_rows).alias("__b")).agg(F.min("__at").alias("__block"), rows.alias("r"))
+    path = scratch(spark, "capped")
+    d.select(key, "__block", F.transform("r", lambda x: x["o"]).alias("orders"), F.transform("r", lambda x: x["s"]).alias("sizes")).write.parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    below = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.least(x, F.lit(0)), F.lit(0)))
+    lowest = blocks.agg(F.sum(below)).first()[0] or 0
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_block_ends(x, cap, lowest) for x in b.column("sizes").to_pylist()]
+            cols = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column("__block"), *cols], names=[key, "__block", "tops", "ns", "ends", "total"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, batch, used = None, 0, 0
+        for b in batches:
+            out = []
+            for k, tops, ns, after, total in zip(*(b.column(c).to_pylist() for c in (key, "tops", "ns", "ends", "total")), strict=True):
+                first = last != (k,)
+                if first:
+                    last, batch, used = (k,), 0, 0
+                out.append((batch, used, first))
+                if used is None:
+                    continue
+                at = 0 if first else bisect_right(tops, cap - used)
+                if at < len(tops):
+                    batch, used = batch + ns[at] - first, after[at]
+                else:
+                    used = None if total is None else used + total
+            yield pa.RecordBatch.from_arrays([b.column("__block"), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_())))], names=["__block", "batch", "used", "first"])
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                sizes = part.column("sizes").to_pylist()
+                found = [_block_batches(*x) for x in zip(sizes, repeat(cap), *(part.column(c).to_pylist() for c in ("batch", "used", "first")))]
+                keys = part.column(0).take(pa.array([i for i, x in enumerate(sizes) for _ in x], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, part.column("orders").flatten(), pa.array([x for y in found for x in y], pa.int64())], names=[key, order, "batch"])
+
+    kind = lambda **more: T.StructType([blocks.schema[key], *(T.StructField(k, t) for k, t in more.items())])
+    n, many = T.LongType(), T.ArrayType(T.LongType())
+    summed = blocks.mapInArrow(ends, kind(__block=n, tops=many, ns=many, ends=many, total=n))
+    summed.repartition(key).sortWithinPartitions(key, "__block").mapInArrow(chain, "__block long, batch long, used long, first boolean").write.parquet(f"{path}/carried")
+    carried = spark.read.parquet(f"{path}/carried")
+    return blocks.join(carried, "__block").select(key, "orders", "sizes", "batch", "used", "first").mapInArrow(rows_of, kind(**{order: n, "batch": n}))

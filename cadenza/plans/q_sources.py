@@ -9,6 +9,7 @@ from cadenza.functions import labels as L
 from cadenza.functions import text as X
 from cadenza.operators import encoder as E
 from cadenza.operators import ledger
+from cadenza.operators.words import ranked
 from cadenza.plans import views as V
 from cadenza.plans.q_joins import IV_SQL, intervals
 from cadenza.plans.registry import query
@@ -56,12 +57,18 @@ def src_04(spark, sf):
     return found.select(F.regexp_replace(F.regexp_extract("path", r"subset=(.+)/[^/]*$", 1), "speaker_id=", "").alias("folder")).distinct()
 
 
+def score_texts(words, most=1000):
+    """(speaker_id, value): JSON objects of at most ``most`` of a speaker's words each, so no text grows with a speaker."""
+    entry = F.concat(F.lit('"'), F.col("utterance_id").cast("string"), F.lit('":{"text":"x","words":[{"text":"x","phones":"'), F.array_join("phones", " "), F.lit('"}]}'))
+    w = ranked(words.select("speaker_id", "utterance_id", entry.alias("j")), "speaker_id", "utterance_id")
+    g = w.groupBy("speaker_id", F.floor(F.col("rn") / most).alias("part"))
+    return g.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("j"), ","), F.lit("}")).alias("value")).drop("part")
+
+
 @query("src_06_score_entries", f"WITH {V.PHONES_SQL} SELECT CAST(utterance_id AS VARCHAR) AS utterance_id, string_agg(phoneme, ' ' ORDER BY index) AS phones FROM phones GROUP BY 1")
 def src_06(spark, sf):
-    w = V.words(spark, sf).select("speaker_id", F.concat(F.lit('"'), F.col("utterance_id").cast("string"), F.lit('":{"text":"x","words":[{"text":"x","phones":"'), F.array_join("phones", " "), F.lit('"}]}')).alias("j"))
-    texts = w.groupBy("speaker_id").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("j"), ","), F.lit("}")).alias("value"))
     path = scratch(spark, "scores")
-    texts.select("value").write.text(path)
+    score_texts(V.words(spark, sf)).select("value").write.text(path)
     e = corpora.score_entries(spark.read.text(path))
     return e.select("utterance_id", F.get(F.col("entry.words"), F.lit(0))["phones"].alias("phones"))
 

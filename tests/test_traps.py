@@ -1,6 +1,9 @@
 """Hand-computed rows for boundary rules."""
 
+import glob
+import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +17,9 @@ from cadenza.operators import align as A
 from cadenza.operators import assess, reports, sampling
 from cadenza.operators import words as O
 from cadenza.operators.pooling import masked_error
+from cadenza.plans.q_sources import score_texts
+from cadenza.session import scratch
+from cadenza.sources.corpora import score_entries
 
 
 def one(spark, c):
@@ -109,6 +115,46 @@ def test_capped_batches(spark):
     assert [got[i] for i in range(7)] == [0, 0, 1, 2, 3, 3, 4]
 
 
+def greedy(sizes, cap):
+    out, batch, used = [], 0, 0
+    for i, x in enumerate(sizes):
+        if i and used is not None and x is not None and used + x > cap:
+            batch, used = batch + 1, 0
+        used = None if used is None or x is None else used + x
+        out.append(batch)
+    return out
+
+
+def test_capped_batches_of_long_keys_in_blocks(spark):
+    rnd = random.Random(4)
+    keys = {
+        "a": [rnd.randint(0, 9) for _ in range(2000)], "b": [3] * 1500, "c": [0] * 500 + [1] * 500, "d": [rnd.randint(-5, 9) for _ in range(900)],
+        "e": [5, None, 50, 50], "f": [None, 50, 50], "g": [99], "h": [rnd.choice([1, 12]) for _ in range(900)] + [None] + [9] * 99, None: [7, 7, 7],
+    }
+    df = spark.createDataFrame([(k, i, x) for k, s in keys.items() for i, x in enumerate(s)], "k string, i long, s long").repartition(5)
+    for d in (df, df.where("k IN ('a', 'b', 'c')")):
+        got = {(r["k"], r["i"]): r["batch"] for r in O.capped_batches(d, "k", "i", "s", 10, block_rows=16).collect()}
+        assert len(got) == d.count()
+        for k in {k for k, _ in got}:
+            assert [got[k, i] for i in range(len(keys[k]))] == greedy(keys[k], 10), k
+
+
+def test_capped_batches_never_gather_a_key(spark):
+    df = spark.range(20_000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("i"), (F.col("id") % 7).alias("s"))
+    before = set(glob.glob(f"{scratch(spark, 'x').removeprefix('file://').rsplit('/', 1)[0]}/cadenza-capped-*"))
+    out = O.capped_batches(df, "k", "i", "s", 100)
+    assert out.count() == 20_000
+    (path,) = set(glob.glob(f"{scratch(spark, 'x').removeprefix('file://').rsplit('/', 1)[0]}/cadenza-capped-*")) - before
+    assert spark.read.parquet(f"{path}/blocks").agg(F.max(F.size("sizes"))).first()[0] <= 4096
+
+
+def test_score_texts_are_bounded(spark):
+    w = spark.range(2500).select(F.lit(3).alias("speaker_id"), F.col("id").alias("utterance_id"), F.array(F.lit("AA"), F.lit("B")).alias("phones"))
+    texts = score_texts(w).select("value")
+    assert max(len(json.loads(r["value"])) for r in texts.collect()) <= 1000
+    assert {r["utterance_id"] for r in score_entries(texts).collect()} == {str(i) for i in range(2500)}
+
+
 def test_block_shuffle_covers_all_and_is_stable(spark):
     df = spark.range(100).select(F.lit("a").alias("k"), F.col("id").alias("o"))
     a = O.block_shuffle(df, "k", "o", 8, 16, 1, 0).select("o", "block", "batch_in_block")
