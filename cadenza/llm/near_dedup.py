@@ -1,7 +1,8 @@
 """Near-duplicate documents by b-bit MinHash.
 
 1. Each document's set of word shingles is hashed to 64 bits; exact copies of a set collapse to one
-   node (its smallest id), so copies never meet each other again.
+   node, so copies never meet each other again. Nodes have numbers of their own, since rows with
+   unlike sets can share an id; at the end a component's number becomes its smallest document id.
 2. ``bands x rows`` minima per node give band buckets. Nodes that share a bucket get a signature: the
    low ``BITS`` bits of ``MINIMA`` minima, packed into longs.
 3. In every bucket each member meets the bucket's leader only (a star). Pairs whose collision-corrected
@@ -87,7 +88,7 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, s1, s2, bands): set size, two hashes of the set, band hashes (none for an empty set)."""
+    """(id, n, s1, s2, bands, t): set size, two hashes of the set, band hashes (none for an empty set), the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(bands * rows)
@@ -105,10 +106,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int,
                     for r in range(rows):
                         h = mix64(h * np.uint64(31) + m[:, r])
                 band.append(h.view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(band)], names=["id", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(band), batch.column(2)], names=["id", "n", "s1", "s2", "bands", "t"])
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("t"))
-    return rows_in.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>")
+    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("text"), text_hash(F.col(text_col)).alias("t"))
+    return rows_in.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, t long")
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(text_of(text))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -154,8 +160,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum")).where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, most_pairs: int = 64, free_pairs: int = 20_000_000) -> DataFrame:
-    """(id, n_shingles, component_id, kept): one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, most_pairs: int = 64, free_pairs: int = 20_000_000, with_hash: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept): one row per row of ``docs``; with ``with_hash`` also ``text_hash``.
 
     Two documents are linked if the Jaccard similarity of their k-word shingle sets is at least
     ``percent`` / 100; a component's id is the smallest document id in it, and that document is kept.
@@ -169,15 +175,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_docs = sigs.count()
     few = lambda df: df.coalesce(max(4, n_docs // DOCS_PER_TASK)) if n_docs <= FEW_DOCS else df
     # exact copies of a set: one node. Empty sets stay alone.
-    nodes = written(few(sigs.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))), "nd-nodes")
+    nodes = few(sigs.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "t")).alias("r"), F.min_by("bands", "id").alias("bands")))
+    # numbered in the order of ids: early documents are often the originals, which as leaders meet the same members in all buckets
+    nodes = nodes.select(F.col("r.id").alias("doc"), F.col("r.t").alias("t"), "s1", "s2", "n", "bands").repartitionByRange("doc", "t").sortWithinPartitions("doc", "t")
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("id"), "*"), "nd-nodes")
     buckets = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = few(buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m"))).where(F.col("m") > 1).select("bucket", "leader")
     members = written(few(buckets.join(shared.hint("merge"), "bucket")), "nd-members")
     # few documents share a bucket; then only their ids travel, and the texts stay where they are
-    busy = if_few(written(few(members.select(F.col("id").alias("__nd_id")).distinct()), "nd-busy"))
-    mine = docs.select(F.col(id_col).cast("long").alias("__nd_id"), F.col(text_col).alias("__nd_text")).join(busy, "__nd_id", "left_semi")
-    # a row each, should rows share an id: any of them, since an unequal one is a node of its own only by its own id
-    sets = written(few(sets_of(mine, "__nd_id", "__nd_text", k).dropDuplicates(["id"])), "nd-sets")
+    busy = members.select("id").distinct().join(nodes.select("id", "doc", "t"), "id")
+    busy = if_few(written(few(busy.select(F.col("doc").alias("__nd_id"), F.col("t").alias("__nd_hash"), F.col("id").alias("__nd_node"))), "nd-busy"))
+    mine = docs.select(F.col(id_col).cast("long").alias("__nd_id"), text_hash(F.col(text_col)).alias("__nd_hash"), F.col(text_col).alias("__nd_text")).join(busy, ["__nd_id", "__nd_hash"])
+    # a row each, should rows share an id and a text
+    sets = written(few(sets_of(mine, "__nd_node", "__nd_text", k).dropDuplicates(["id"])), "nd-sets")
     percent_of = percent / 100
     sized = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     likely = lambda x, y: estimate(x, y) >= percent_of - MARGIN
@@ -213,7 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comp = components(links.union(found), few)
         break
     forget(sets)
-    roots = few(nodes.select("s1", "s2", "n", F.col("id").alias("node")).join(comp, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("root")))
-    out = sigs.select("id", "n", "s1", "s2").join(roots.hint("merge"), ["s1", "s2", "n"], "left")
+    # a component's number becomes its smallest document id
+    tops = if_few(written(few(comp.join(nodes.select(F.col("id").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("top"))), "nd-tops"))
+    tops = few(comp.join(tops, "component")).select("node", "top")
+    roots = few(nodes.select("s1", "s2", "n", "doc", F.col("id").alias("node")).join(tops, "node", "left").select("s1", "s2", "n", F.coalesce("top", "doc").alias("root")))
+    out = sigs.select("id", "n", "s1", "s2", "t").join(roots.hint("merge"), ["s1", "s2", "n"], "left")
     own = F.coalesce("root", "id")
-    return few(out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept")))
+    more = [F.col("t").alias("text_hash")] if with_hash else []
+    return few(out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"), *more))

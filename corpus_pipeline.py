@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import forget, if_few, table, written
 from cadenza.llm.line_dedup import dedup_lines
-from cadenza.llm.near_dedup import near_duplicates
+from cadenza.llm.near_dedup import near_duplicates, text_hash
 from cadenza.llm.packing import pack_documents
 from cadenza.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -32,11 +32,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, similarity of 0.8 or more); rows that share an id stay or go together."""
-    out = written(near_duplicates(docs, percent=80, bands=40), "near-dedup")
+    """One document of each group of near duplicates stays (five words, similarity of 0.8 or more); of rows that share an id only those whose own text is a copy go."""
+    out = written(near_duplicates(docs, percent=80, bands=40, with_hash=True), "near-dedup")
     # the ids that go are fewer than those that stay; while they are few, the texts aren't shuffled for them
-    gone = if_few(written(out.where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct(), "near-gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = if_few(written(out.where(~F.col("kept")).select(F.col("id").alias("__gone"), "text_hash").distinct(), "near-gone"))
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (text_hash(docs["text"]) == gone["text_hash"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

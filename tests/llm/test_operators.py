@@ -98,6 +98,23 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_with_shared_ids(spark):
+    rnd = random.Random(3)
+    said = lambda: " ".join(rnd.choice("abcdefghij") + str(rnd.randint(0, 999)) for _ in range(60))
+    rows, want = [], {}
+    for i in range(0, 80, 2):  # (i, X), (i + 1, X'), (i + 1, Y), in both orders of the last two, and a near copy of Y
+        x, y = said(), said()
+        pair = [(i + 1, f"{x} end"), (i + 1, y)]
+        rows += [(i, x), *(pair if i % 4 else pair[::-1]), (i + 100, f"{y} end")]
+        want |= {(i, x): (i, True), (i + 1, f"{x} end"): (i, False), (i + 1, y): (i + 1, True), (i + 100, f"{y} end"): (i + 1, False)}
+    df = spark.createDataFrame([(i, t, None, None, None, 0.5, "x", None) for i, t in rows], DOCS)
+    hashed = df.select("doc_id", "text", near_dedup.text_hash(F.col("text")).alias("text_hash"))
+    out = near_dedup.near_duplicates(df, with_hash=True).withColumnRenamed("id", "doc_id").join(hashed, ["doc_id", "text_hash"])
+    assert {(r["doc_id"], r["text"]): (r["component_id"], r["kept"]) for r in out.collect()} == want
+    left = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == sorted(x for x, (_, kept) in want.items() if kept)
+
+
 def test_signature_estimate(spark):
     a, b = near_dedup.multipliers(near_dedup.MINIMA)
     x = near_dedup.mix64(np.arange(1, 4001, dtype=np.uint64))
