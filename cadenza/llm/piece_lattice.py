@@ -1,11 +1,19 @@
 """N-best SentencePiece segmentation: forward Viterbi scores guide a backward A-star search.
 
-The lattice of a text has an edge for every vocabulary piece that matches at a place. The forward pass
-finds the best score from the start to every place; that is exactly what a backward partial path still
-needs, so the backward search pops complete segmentations in order of score. No piece but a run of
-spaces goes on after a space that follows another character, so the lattice falls into units (spaces and
-the characters after them) whose best
-segmentation and loss of the second best are kept in a bounded table; the n best sums touch the cheapest losses alone.
+The lattice of a text has an edge for every vocabulary piece that matches at a place. A byte-pair model
+file holds no probabilities but an order of merges, so a segmentation's score is the multiset of merges
+that make its pieces, compared from the earliest merge on: of two segmentations the better one makes
+more of the earliest merge in which they differ, or as many further to the left. Such scores add up and
+keep their order under sums, as Viterbi and A-star need, and the best segmentation is the one that
+merging itself arrives at.
+
+The forward pass finds the best score from the start to every place; that is exactly what a backward
+partial path still needs, so the backward search pops complete segmentations in order of what they lose
+against the best. No piece but a run of spaces goes on after a space that follows another character, so
+the lattice falls into units (spaces and the characters after them). Units that a worker hasn't met run
+through the forward and backward recursions together in numpy, by length; their best segmentation and
+the earliest merge that their second best goes without stay in a bounded table. The n best of a text
+touch only the units that lose least, and the search runs over those.
 """
 
 from __future__ import annotations
@@ -14,8 +22,8 @@ import heapq
 import re
 import zlib
 from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +34,52 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import text_of, worker_cache
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE_UNITS = 400_000
-#: A character without a piece costs this much more than the worst piece; it becomes bytes, if the file has them.
-UNKNOWN_COST = 10.0
+#: Units of a worker's table (two generations of it are held) and characters of the texts that go through it at a time.
+CACHE_UNITS, CHARS_AT_ONCE = 300_000, 4_000_000
+#: Units of one array; longer units, and those whose merges need more base-4 digits than fit into a long, are searched one by one.
+UNITS_AT_ONCE, ARRAY_CHARS, DIGITS = 8_192, 24, 31
+#: Units longer than this are cut where no piece goes across; what is left in one part beyond SPARSE_CHARS uses sparse scores.
+WHOLE_CHARS, SPARSE_CHARS = 64, 2_000
+#: The earliest missing merge of a segmentation that loses nothing, and of one that doesn't exist.
+TIE, NONE = 2**31 - 1, -1
+#: A sparse score counts merges in units of this, less the places where they are made.
+ONE = 1 << 32
+
+
+class Score:
+    """A sparse multiset of merges: by rank, ``ONE`` for each less the sum of their places; ordered by the lowest rank with a difference."""
+
+    __slots__ = ("at",)
+
+    def __init__(self, at: dict[int, int]):
+        self.at = at
+
+    def _with(self, other: Score, sign: int) -> Score:
+        out = dict(self.at)
+        for r, c in other.at.items():
+            c = out.get(r, 0) + sign * c
+            if c:
+                out[r] = c
+            else:
+                out.pop(r, None)
+        return Score(out)
+
+    def __add__(self, other: Score) -> Score:
+        return self._with(other, 1)
+
+    def __sub__(self, other: Score) -> Score:
+        return self._with(other, -1)
+
+    def __lt__(self, other: Score) -> bool:
+        rest = (self - other).at
+        return bool(rest) and rest[min(rest)] < 0
+
+    def lead(self) -> int:
+        return min(self.at) if self.at else TIE
 
 
 class Lattice:
-    """The vocabulary of a model file and the segmentations under it."""
+    """The vocabulary of a byte-pair model file and the segmentations under its merge order."""
 
     def __init__(self, model: bytes, n: int):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -42,133 +88,368 @@ class Lattice:
         self.text = [sp.id_to_piece(i) for i in range(size)]
         self.byte_of = {i: int(self.text[i][3:5], 16) for i in range(size) if sp.is_byte(i)}
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
+        self.is_byte = np.zeros(size, bool)
+        self.is_byte[list(self.byte_of)] = True
         self.unknown = sp.unk_id()
-        self.pieces = {self.text[i]: ((i,), sp.get_score(i)) for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        #: Every beginning of a piece, with the piece that it is or None.
-        self.prefixes: dict[str, tuple | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p) + 1)} | self.pieces
-        self.worst = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - UNKNOWN_COST
-        if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
+        plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        scores = {self.text[i]: sp.get_score(i) for i in plain}
+        # merges in their order; pieces with one score share a rank
+        steps = {s: r for r, s in enumerate(sorted({-s for p, s in scores.items() if len(p) > 1}))}
+        if any(s != round(s) for s in steps):
+            raise ValueError("only byte-pair model files have an order of merges")
+        rank = {p: steps[-s] for p, s in scores.items() if len(p) > 1}
+        if any(SPACE in p.lstrip(SPACE) for p in scores):
             raise ValueError("a piece goes on after an inner space; units would cut it")
-        self.cache: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.piece: dict[str, int] = {}
+        self.rank, self.split = np.full(size, TIE, np.int32), np.zeros(size, np.int32)
+        for i in plain:
+            p = self.text[i]
+            at = _last_merge(p, rank)
+            if at:  # a piece that merging can't make is no edge
+                self.piece[p], self.split[i], self.rank[i] = i, at, rank.get(p, TIE)
+        self.longest = max(map(len, self.piece))
+        #: Every beginning of a piece, with the id of the piece that it is or -1.
+        self.prefixes: dict[str, int] = {p[:i]: -1 for p in self.piece for i in range(1, len(p) + 1)} | self.piece
+        self._merges: dict[int, list[tuple[int, int]]] = {}
+        self._tables()
+        self.ids: dict[str, bytes] = {}
+        self.lead: dict[str, int] = {}
+        self.old: tuple[dict[str, bytes], dict[str, int]] = {}, {}
+        self.lists: dict[str, list[tuple[Score, bytes]]] = {}
+
+    def _tables(self) -> None:
+        """The tree of beginnings as arrays: (node, character) pairs in order, the node each leads to, the piece at each node."""
+        letters = sorted({c for p in self.piece for c in p})
+        known = re.escape("".join(c for c in letters if c != SPACE))
+        # a character without a piece is a unit
+        self.unit = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{SPACE}{known}]")
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        node = {p: i + 1 for i, p in enumerate(self.prefixes)}
+        at = {c: i + 1 for i, c in enumerate(letters)}
+        pairs = sorted(((node[p[:-1]] if len(p) > 1 else 0) * self.letters + at[p[-1]], node[p]) for p in node)
+        self.keys, self.to = np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs], np.int32)
+        self.piece_at = np.full(len(node) + 1, -1, np.int32)
+        self.piece_at[[node[p] for p in self.piece]] = list(self.piece.values())
 
     def _fallback(self, c: str) -> tuple[int, ...]:
         if not self.id_of_byte:
             return (self.unknown,)
         return tuple(self.id_of_byte[b] for b in c.encode("utf-8", "surrogatepass"))
 
-    def segment(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a unit as (score, ids), best first; fewer if there are no more."""
-        length = len(unit)
-        get = self.prefixes.get
-        ending: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(length + 1)]
-        forward = [0.0] + [-float("inf")] * length
-        for i in range(length):
-            base, j = forward[i], i
-            while j < length:
-                j += 1
-                found = get(unit[i:j], 0)
-                if not found:
-                    if j == i + 1:
-                        ending[j].append((i, self._fallback(unit[i]), self.worst))
-                        if base + self.worst > forward[j]:
-                            forward[j] = base + self.worst
-                    if found == 0:  # no piece begins like this
-                        break
-                    continue
-                ending[j].append((i, *found))
-                score = base + found[1]
-                if score > forward[j]:
-                    forward[j] = score
-        out: list[tuple[float, tuple[int, ...]]] = []
-        # The agenda holds partial paths by their exact totals, best first. No two share a completion and each
-        # has one of just that total, so the entries beyond those still wanted can never be needed.
-        wanted, tick = self.n, 0
-        agenda: list[tuple[float, int, int, float, tuple | None]] = [(-forward[length], 0, length, 0.0, None)]
+    def merges(self, piece: int) -> list[tuple[int, int]]:
+        """The merges that make a piece: (rank, place from its start)."""
+        found = self._merges.get(piece)
+        if found is None:
+            p, m = self.text[piece], int(self.split[piece])
+            found = []
+            if len(p) > 1:
+                right = [(r, m + at) for r, at in self.merges(self.piece[p[m:]])]
+                found = [*self.merges(self.piece[p[:m]]), *right, (int(self.rank[piece]), 0)]
+            self._merges[piece] = found
+        return found
+
+    def _score(self, edges: list[tuple[int, int]]) -> Score:
+        """The score of the pieces at the given places."""
+        out: dict[int, int] = {}
+        for i, p in edges:
+            for r, at in self.merges(p) if p >= 0 else ():
+                out[r] = out.get(r, 0) + ONE - (i + at)
+        return Score(out)
+
+    def segment(self, unit: str, n: int) -> list[tuple[Score, bytes]]:
+        """The n best segmentations of a unit as (what it loses against the best, ids), best first; fewer if there are no more.
+
+        Whole numbers with a digit for each merge in the unit's lattice stand for scores; a very long unit uses sparse ones.
+        """
+        length, get = len(unit), self.prefixes.get
+        # the edges that end at each place, longest start first
+        ending: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
+        for i in range(length - 1, -1, -1):
+            for j in range(i + 1, length + 1):
+                found = get(unit[i:j])
+                if found is not None and found >= 0 or j == i + 1:
+                    ending[j].append((i, -1 if found is None else found))
+                if found is None:  # no piece begins like this
+                    break
+        if length > SPARSE_CHARS:
+            zero = Score({})
+            weight = lambda i, p: self._score([(i, p)])
+        else:
+            zero, one = 0, (length + 1) ** 2
+            bits = (length * one).bit_length()
+            held = {r for p in {p for x in ending for _, p in x if p >= 0} for r, _ in self.merges(p)}
+            digit = {r: bits * k for k, r in enumerate(sorted(held, reverse=True))}
+            weight = lambda i, p: sum((one - i - at) << digit[r] for r, at in self.merges(p)) if p >= 0 else 0
+        # forward: step[j] is the best score to j less the best to j - 1; loss of an edge: what the best path into its end has more
+        step: list = [zero] * (length + 1)
+        losses: list[list[tuple[int, int, object]]] = [[] for _ in range(length + 1)]
+        for j in range(1, length + 1):
+            since, k, values = zero, j - 1, []
+            for i, p in ending[j]:
+                while k > i:
+                    since = since + step[k]
+                    k -= 1
+                values.append(weight(i, p) - since)
+            best = values[0]
+            for v in values[1:]:
+                if best < v:
+                    best = v
+            step[j] = best
+            losses[j] = [(i, p, best - v) for (i, p), v in zip(ending[j], values)][::-1]
+        out: list[tuple[Score, bytes]] = []
+        # The agenda holds partial paths by their exact losses. No two share a completion and each has one of
+        # just that loss, so the entries beyond those still wanted can never be needed.
+        wanted, tick = n, 0
+        agenda: list[tuple[object, int, int, tuple | None]] = [(zero, 0, length, None)]
+        top = None
         while agenda:
-            _, _, at, done, path = agenda.pop(0)
+            lost, _, at, path = agenda.pop(0)
             if at == 0:
-                ids: list[int] = []
+                edges = []
                 while path is not None:
-                    ids.extend(path[0])
-                    path = path[1]
-                out.append((done, tuple(ids)))
+                    i, p, path = path
+                    edges.append((i, p))
+                ids = [x for i, p in edges for x in ((p,) if p >= 0 else self._fallback(unit[i]))]
+                made = self._score(edges)
+                top = top or made
+                out.append((top - made, np.array(ids, "<i4").tobytes()))
                 wanted -= 1
                 if not wanted:
                     break
                 continue
-            for start, ids_, score in ending[at]:
-                score += done
-                total = -(score + forward[start])
-                if len(agenda) < wanted or total <= agenda[-1][0]:
-                    tick -= 1  # ties go to the newest, so equal scores don't fan out
-                    insort(agenda, (total, tick, start, score, (ids_, path)))
+            for i, p, loss in losses[at]:
+                total = lost + loss
+                if len(agenda) < wanted or not agenda[-1][0] < total:
+                    tick -= 1  # ties go to the newest and among its edges to the shortest, as merging from the left does
+                    insort(agenda, (total, tick, i, (i, p, path)))
                     if len(agenda) > wanted:
                         agenda.pop()
         return out
 
-    def _unit(self, unit: str) -> tuple:
-        """(best score, best ids, loss of the second best) of a unit; its other segmentations are found again where they count."""
-        row = self.cache.get(unit) or self.old.get(unit)
-        if row is not None:
-            self.cache[unit] = row
-            return row
-        found = self.segment(unit)
-        row = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
-        if len(unit) <= 64:
-            self.cache[unit] = row
-        return row
-
-    def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
-        """The n best segmentations of a whole text as (score, ids), best first; the empty text has one, empty."""
-        if not text:
-            return [(0.0, np.zeros(0, np.int32))]
-        if len(self.cache) > CACHE_UNITS:  # units met again move on from the old table, the others go with it
-            self.old, self.cache = self.cache, {}
-        units = UNIT.findall(SPACE + text.replace(" ", SPACE))
-        rows = list(map(self.cache.get, units))
-        if None in rows:
-            rows = [self._unit(u) if r is None else r for u, r in zip(units, rows)]
-        scores, best_ids, losses = zip(*rows)
-        best = float(sum(scores))
-        base = np.fromiter(chain.from_iterable(best_ids), np.int32)
-        # a choice other than the best costs its loss; the n best sums touch the n - 1 cheapest units only
-        loss = np.array(losses)
-        few = min(self.n - 1, len(loss))
-        cheap = np.sort(np.argpartition(loss, few - 1)[:few]) if few else np.zeros(0, np.int64)
-        cheap = [int(i) for i in cheap if np.isfinite(loss[i])]
-        ends = np.cumsum([len(x) for x in best_ids[: cheap[-1] + 1]]) if cheap else None
-        lists = {i: self.segment(units[i]) for i in cheap}
-        out = []
-        for cost, pick in self._combine([[lists[i][0][0] - y[0] for y in lists[i]] for i in cheap]):
-            ids = base
-            for i, j in zip(reversed(cheap), reversed(pick)):  # from the right, so earlier places stay
-                if j:
-                    end = int(ends[i])
-                    ids = np.concatenate([ids[: end - len(best_ids[i])], np.array(lists[i][j][1], np.int32), ids[end:]])
-            out.append((best - cost, ids))
+    def _arrays(self, units: list[str], length: int) -> list[str]:
+        """Put units of one length into the table; returns those that need a search of their own."""
+        n = len(units)
+        text = self.letter[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).T]
+        alone = (text == 0).any(axis=0)
+        deep, widest = 1, min(self.longest, length)
+        piece = np.full((widest + 1, length, n), -1, np.int32)
+        where, state = np.arange(length * n), np.zeros(length * n, np.int64)
+        for d in range(1, widest + 1):
+            fit = where < (length - d + 1) * n
+            where, state = where[fit], state[fit]
+            key = state * self.letters + text.reshape(-1)[where + (d - 1) * n]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            fit = self.keys[at] == key
+            where, state = where[fit], self.to[at[fit]].astype(np.int64)
+            if not len(where):
+                break
+            deep = d
+            piece[d].reshape(-1)[where] = self.piece_at[state]
+        alone |= (piece[1] < 0).any(axis=0)
+        spans = [(d, i) for d in range(2, deep + 1) for i in range(length - d + 1) if (piece[d, i] >= 0).any()]
+        weight = np.full((deep + 1, length, n), -(2**62), np.int64)
+        weight[1] = 0
+        if spans:
+            # the merges of a unit's edges in order: they are base-4 digits, the earliest first
+            held = np.stack([piece[s] for s in spans], axis=1)
+            ranks = np.where(held >= 0, self.rank[held], TIE)
+            order = np.argsort(ranks, axis=1, kind="stable")
+            ranks = np.take_along_axis(ranks, order, axis=1)
+            true = ranks != TIE
+            new, again = np.ones(ranks.shape, bool), np.zeros(ranks.shape, bool)
+            new[:, 1:] = ranks[:, 1:] != ranks[:, :-1]
+            again[:, 1:] = ~new[:, 1:] & new[:, :-1]
+            # a merge with several places has a second digit: of as many, those further to the left
+            place = np.cumsum(new, axis=1) - 1 + np.cumsum(again, axis=1) - ~new
+            left = np.zeros(ranks.shape, np.int64)
+            left[:, :-1] = 2 * again[:, 1:]
+            left += again
+            alone |= np.where(true, place, 0).max(axis=1) >= DIGITS - 1
+            if ranks.shape[1] > 3:
+                alone |= ((ranks[:, 3:] == ranks[:, :-3]) & true[:, 3:]).any(axis=1)
+            shift = 2 * np.maximum(DIGITS - 1 - place, 1)
+            ones = np.empty(ranks.shape, np.int64)
+            np.put_along_axis(ones, order, (np.int64(1) << shift) + (left << (shift - 2)), axis=1)
+            every = np.arange(n)
+            for k, (d, i) in enumerate(spans):
+                p = piece[d, i]
+                u = every[(p >= 0) & ~alone]
+                m = self.split[p[u]]
+                weight[d, i, u] = ones[u, k] + weight[m, i, u] + weight[d - m, i + m, u]
+        forward, back = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
+        came = np.ones((length + 1, n), np.int64)
+        starts: list[list[int]] = [[1] for _ in range(length)]
+        for d, i in spans:
+            starts[i].append(d)
+        for j in range(1, length + 1):
+            best, from_ = forward[j - 1].copy(), came[j]
+            for d in range(2, min(deep, j) + 1):
+                if d in starts[j - d]:
+                    value = forward[j - d] + weight[d, j - d]
+                    up = value > best
+                    np.copyto(best, value, where=up)
+                    np.copyto(from_, d, where=up)
+            forward[j] = best
+        on = np.zeros((length, n), np.int64)  # the length of the best path's piece that starts here
+        ids, count = np.zeros((length, n), "<i4"), np.zeros(n, np.int64)
+        at, every = np.full(n, length), np.arange(n)
+        while True:
+            u = every[at > 0]
+            if not len(u):
+                break
+            d = came[at[u], u]
+            at[u] -= d
+            on[at[u], u] = d
+            count[u] += 1
+            ids[length - count[u], u] = piece[d, at[u], u]
+        second = np.full(n, -(2**62), np.int64)
+        for i in range(length - 1, -1, -1):
+            best = np.full(n, -(2**62), np.int64)
+            for d in starts[i]:
+                value = weight[d, i] + back[i + d]
+                np.maximum(best, value, out=best)
+                np.maximum(second, np.where(on[i] == d, -(2**62), value + forward[i]), out=second)
+            back[i] = best
+        # the first digit in which the two best differ names the merge that the second goes without
+        differ = forward[length] ^ np.maximum(second, 0)
+        bit = np.frexp((differ & ~(differ >> 1)).astype(float))[1] - 1
+        lead = np.full(n, TIE, np.int64)
+        if spans:
+            distinct = np.full((n, DIGITS), TIE, np.int64)
+            for of, more in ((new, 0), (again, 1)):
+                u, k = np.nonzero(of & true & ~alone[:, None])
+                distinct[u, place[u, k] + more] = ranks[u, k]
+            lead = np.where(differ > 0, distinct[every, np.clip(DIGITS - 1 - bit // 2, 0, DIGITS - 1)], TIE)
+        lead = np.where(second < 0, NONE, lead)
+        raw, wide = ids.T.tobytes(), 4 * length
+        for u, (unit, bad, c, lost) in enumerate(zip(units, alone.tolist(), count.tolist(), lead.tolist())):
+            if not bad:
+                self.ids[unit], self.lead[unit] = raw[(u + 1) * wide - 4 * c : (u + 1) * wide], lost
+        return [unit for unit, bad in zip(units, alone.tolist()) if bad]
+
+    def learn(self, units: set[str]) -> None:
+        """Put units that the table doesn't hold into it."""
+        by_length: dict[int, list[str]] = {}
+        for u in units:
+            by_length.setdefault(len(u), []).append(u)
+        for length, same in by_length.items():
+            alone = same
+            if length <= ARRAY_CHARS:
+                same.sort()
+                alone = [u for a in range(0, len(same), UNITS_AT_ONCE) for u in self._arrays(same[a : a + UNITS_AT_ONCE], length)]
+            for u in alone:
+                found = self.segment(u, 2)
+                self.ids[u], self.lead[u] = found[0][1], found[1][0].lead() if len(found) > 1 else NONE
+
+    def units(self, text: str) -> list[str]:
+        """The units of a text; very long ones cut where no piece goes across."""
+        out = self.unit.findall(SPACE + text.replace(" ", SPACE))
+        if max(map(len, out)) > WHOLE_CHARS:
+            out = [v for u in out for v in (self._parts(u) if len(u) > WHOLE_CHARS else (u,))]
         return out
 
-    def _combine(self, lists: list[list[float]]) -> list[tuple[float, tuple[int, ...]]]:
+    def _parts(self, unit: str) -> Iterator[str]:
+        get, begin, reach = self.prefixes.get, 0, 0
+        for i in range(len(unit)):
+            if i and reach <= i:
+                yield unit[begin:i]
+                begin = i
+            j = i + 1
+            while j <= len(unit) and (found := get(unit[i:j])) is not None:
+                if found >= 0:
+                    reach = max(reach, j)
+                j += 1
+        yield unit[begin:]
+
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
+        """The n best segmentations of each whole text as (score, ids as little-endian 32-bit), best first; the empty text has one, empty."""
+        at, chars = 0, 0
+        for i, t in enumerate(texts):
+            chars += len(t)
+            if chars > CHARS_AT_ONCE or i + 1 == len(texts):
+                yield from self._some(texts[at : i + 1])
+                at, chars = i + 1, 0
+
+    def _some(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
+        if len(self.ids) > CACHE_UNITS:  # units met again move on from the old table, the others go with it
+            self.old, self.ids, self.lead = (self.ids, self.lead), {}, {}
+        cut = [self.units(t) if t else [] for t in texts]
+        new = set().union(*cut).difference(self.ids)
+        old_ids, old_lead = self.old
+        for u in new.intersection(old_ids):
+            self.ids[u], self.lead[u] = old_ids[u], old_lead[u]
+        self.learn(new.difference(old_ids))
+        ids, lead = self.ids.__getitem__, self.lead.__getitem__
+        for units in cut:
+            if not units:
+                yield [(0.0, b"")]
+                continue
+            parts = list(map(ids, units))
+            yield self._best(units, parts, np.fromiter(map(lead, units), np.int64, len(units)))
+
+    def _best(self, units: list[str], parts: list[bytes], lead: np.ndarray) -> list[tuple[float, bytes]]:
+        """The n best of a text from the units that lose least: a choice other than a unit's best costs what it loses."""
+        out = [(0.0, b"".join(parts))]
+        if self.n == 1:
+            return out
+        least = max(0, int(np.partition(lead, -min(self.n - 1, len(lead)))[-min(self.n - 1, len(lead))]))
+        cheap: list[int] = []
+        seen: Counter[str] = Counter()
+        for i in np.flatnonzero(lead >= least).tolist():  # of equal units the first few say all
+            seen[units[i]] += 1
+            if seen[units[i]] < self.n:
+                cheap.append(i)
+        if not cheap:
+            return out
+        lists = [self._list(units[i]) for i in cheap]
+        first = sorted(range(len(cheap)), key=lambda k: (-lists[k][1][0].lead(), k))
+        if len(first) >= self.n:  # no need of a unit whose loss begins with an earlier merge than n - 1 others' losses
+            bound = lists[first[self.n - 2]][1][0].lead()
+            first = [k for k in first if lists[k][1][0].lead() >= bound]
+        first.sort()
+        cheap, lists = [cheap[k] for k in first], [lists[k] for k in first]
+        for lost, pick in self._combine([[x[0] for x in x_] for x_ in lists]):
+            if any(pick):
+                own = list(parts)
+                for i, j, found in zip(cheap, pick, lists):
+                    own[i] = found[j][1]
+                out.append((-1.0 / (1 + lost.lead()) if lost.at else 0.0, b"".join(own)))
+        return out
+
+    def _list(self, unit: str) -> list[tuple[Score, bytes]]:
+        found = self.lists.get(unit)
+        if found is None:
+            if len(self.lists) > CACHE_UNITS // 20:
+                self.lists.clear()
+            found = self.lists[unit] = self.segment(unit, self.n)
+        return found
+
+    def _combine(self, lists: list[list[Score]]) -> list[tuple[Score, tuple[int, ...]]]:
         """The n cheapest ways to take one entry of every ascending list."""
         start = tuple([0] * len(lists))
-        heap, seen, out = [(0.0, start)], {start}, []
+        heap, seen, out = [(Score({}), 0, start)], {start}, []
         while heap and len(out) < self.n:
-            loss, pick = heapq.heappop(heap)
+            loss, _, pick = heapq.heappop(heap)
             out.append((loss, pick))
             for k, j in enumerate(pick):
                 if j + 1 < len(lists[k]):
                     new = (*pick[:k], j + 1, *pick[k + 1 :])
                     if new not in seen:
                         seen.add(new)
-                        heapq.heappush(heap, (loss + lists[k][j + 1] - lists[k][j], new))
+                        heapq.heappush(heap, (loss + (lists[k][j + 1] - lists[k][j]), len(seen), new))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids: runs of byte pieces as UTF-8, the first space dropped."""
+        text = self.text
+        if not self.is_byte[ids].any():
+            whole = "".join(map(text.__getitem__, ids.tolist())).replace(SPACE, " ")
+            return whole[1:] if whole[:1] == " " else whole
         out: list[str] = []
         run = bytearray()
-        text, byte_of = self.text, self.byte_of
+        byte_of = self.byte_of
         for i in ids.tolist():
             b = byte_of.get(i)
             if b is not None:
@@ -184,6 +465,21 @@ class Lattice:
         return whole[1:] if whole[:1] == " " else whole
 
 
+def _last_merge(piece: str, rank: dict[str, int]) -> int:
+    """Where merging ``piece`` by itself joins its last two symbols; 1 for a single character, 0 if merging doesn't get there."""
+    symbols = list(piece)
+    last = 1
+    while len(symbols) > 1:
+        made = [rank.get(a + b, TIE) for a, b in zip(symbols, symbols[1:])]
+        r = min(made)
+        if r == TIE:
+            return 0
+        i = made.index(r)
+        last = len(symbols[0]) if len(symbols) == 2 else last
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+    return last
+
+
 def _lattice(model: bytes, n: int) -> Lattice:
     made, key = worker_cache("pieces"), (hash(model), n)
     if key not in made:
@@ -196,38 +492,69 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
+def _nbest(texts: list[str], lattice: Lattice, with_ids: bool) -> pa.ListArray:
+    """One array of segmentations for each text, as Arrow."""
+    many, score, pieces, crc, whole, raw = [0], [], [], [], [], []
+    for text, found in zip(texts, lattice.encode(texts)):
+        many.append(many[-1] + len(found))
+        for s, ids in found:
+            score.append(s)
+            pieces.append(len(ids) // 4)
+            crc.append(zlib.crc32(ids))
+            whole.append(lattice.decode(np.frombuffer(ids, "<i4")) == text)
+            raw.append(ids if with_ids else b"")
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32))
+    ids_ = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), "<i4")))
+    if not with_ids:
+        ids_ = pa.nulls(len(score), ids_.type)
+    fields = [pa.array(score, pa.float64()), pa.array(pieces, pa.int32()), pa.array(crc, pa.int64()), ids_, pa.array(whole, pa.bool_())]
+    each = pa.StructArray.from_arrays(fields, names=["score", "n_pieces", "ids_crc32", "ids", "round_trip"])
+    return pa.ListArray.from_arrays(pa.array(many, pa.int32()), each)
+
+
+#: Rows whose segmentations are held at a time, and characters; a single longer text goes alone.
+ROWS_OUT, CHARS_OUT = 2_000, 8_000_000
+
+
 def encode_nbest(docs: DataFrame, model: str, text_col: str = "text", n: int = 4, with_ids: bool = True) -> DataFrame:
-    """The rows with ``nbest`` added: an array of (score, n_pieces, ids_crc32, ids) of the n best segmentations, best first.
+    """The rows with ``nbest`` added: an array of (score, n_pieces, ids_crc32, ids, round_trip) of the n best segmentations, best first.
+
+    ``model`` is the path of a byte-pair model file. The best segmentation is the one that merging in the
+    file's order makes; the others do without as late a merge as can be. ``score`` is 0 for segmentations
+    that lose nothing and -1 / r for one that goes without the r-th merge of the file, the earliest that
+    it makes less often than the best.
 
     Null counts as empty; the empty text has one empty segmentation. Texts aren't normalized but for the
-    space mark, which texts that hold it themselves share with the space. Without ``with_ids`` the ids stay
-    null. ``ids_crc32`` is over little-endian 32-bit ids. A column named ``nbest`` is replaced.
+    space mark: a text that holds the mark itself decodes to spaces there, and its ``round_trip`` (whether
+    the segmentation's ids decode to the text as given) is false. Without ``with_ids`` the ids stay null.
+    ``ids_crc32`` is over little-endian 32-bit ids. A column named ``nbest`` is replaced.
     """
     source = docs.sparkSession.sparkContext.broadcast(_read(model))
     own = [c for c in docs.columns if c != "nbest"]
     kind = "array<struct<score:double,n_pieces:int,ids_crc32:bigint,ids:array<int>,round_trip:boolean>>"
     df = docs.select(*own, text_of(F.col(text_col)).alias("__pl_text"))
     schema = docs.select(*own, F.lit(None).cast(kind).alias("nbest")).schema
-    arrow = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(source.value, n)
         for b in batches:
-            out = []
-            for t in b.column(b.num_columns - 1):
-                text = t.as_py()
-                plain = text.replace(SPACE, " ")
-                found = lattice.encode(text)
-                # decoding is checked for the best; the others differ by pieces of the same characters
-                back = lattice.decode(found[0][1]) == plain
-                out.append([{"score": s, "n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.astype("<i4").tobytes()), "ids": ids if with_ids else None, "round_trip": back if not k else None} for k, (s, ids) in enumerate(found)])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(out, arrow)], names=schema.names)
+            texts = b.column(b.num_columns - 1).to_pylist()
+            at, chars = 0, 0
+            for i, t in enumerate(texts):
+                chars += len(t)
+                if chars > CHARS_OUT or i + 1 - at >= ROWS_OUT or i + 1 == len(texts):
+                    part = b.slice(at, i + 1 - at)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], _nbest(texts[at : i + 1], lattice, with_ids)], names=schema.names)
+                    at, chars = i + 1, 0
 
     return df.mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """The rows with ``out_col`` added: the text of each id array (null: null)."""
+    """The rows with ``out_col`` added: the text of each id array (a null array: null; an empty one: the empty text).
+
+    Null ids and ids that the file doesn't hold are left out. The two columns need different names.
+    """
     source = df.sparkSession.sparkContext.broadcast(_read(model))
     own = [c for c in df.columns if c != out_col]
     schema = df.select(*own, F.lit("").alias(out_col)).schema
@@ -236,9 +563,9 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(source.value, 1)
-        at = own.index(ids_col)
+        at, size = own.index(ids_col), len(lattice.text)
         for b in batches:
-            text = [None if x.as_py() is None else lattice.decode(np.array(x.as_py(), np.int64)) for x in b.column(at)]
+            text = [None if x is None else lattice.decode(np.array([i for i in x if i is not None and 0 <= i < size], np.int64)) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=schema.names)
 
     return df.select(*own).mapInArrow(run, schema)

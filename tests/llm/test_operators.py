@@ -1,5 +1,6 @@
 """Edge rows of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -319,40 +321,87 @@ def test_media_general_decoder_agrees(monkeypatch):
     assert sorted(media.ZIGZAG) == list(range(64)) and list(media.ZIGZAG[:6]) == [0, 1, 8, 16, 9, 2]
 
 
-def test_pieces_equal_brute_force():
-    lattice = piece_lattice.Lattice(open(PIECES, "rb").read(), 4)
+def piece_ids(raw):
+    return np.frombuffer(raw, "<i4").tolist()
+
+
+def brute_force_pieces(lattice, text):
+    """Every segmentation of a whole text with its merges, best first."""
+    s, out = "▁" + text.replace(" ", "▁"), []
+
+    def go(i, made, ids):
+        if i == len(s):
+            out.append((made, ids))
+        for j in range(i + 1, min(len(s), i + 16) + 1):
+            p = lattice.piece.get(s[i:j], -1)
+            if p >= 0 or j == i + 1:
+                merges = [(r, i + at) for r, at in lattice.merges(p)] if p >= 0 else []
+                go(j, made + merges, ids + ([p] if p >= 0 else list(lattice._fallback(s[i]))))
+
+    go(0, [], [])
 
-    def brute(s):
-        s, out = "▁" + s.replace(" ", "▁"), []
+    def better(x, y):
+        for r in sorted({r for r, _ in x[0] + y[0]}):
+            a, b = ((sum(q == r for q, _ in z), -sum(at for q, at in z if q == r)) for z in (x[0], y[0]))
+            if a != b:
+                return -1 if a > b else 1
+        return 0
 
-        def go(i, score, ids):
-            if i == len(s):
-                out.append((score, ids))
-            for j in range(i + 1, min(len(s), i + 16) + 1):
-                f = lattice.pieces.get(s[i:j])
-                if f or j == i + 1:
-                    ids_, cost = f or (lattice._fallback(s[i]), lattice.worst)
-                    go(j, score + cost, ids + ids_)
+    return sorted(out, key=functools.cmp_to_key(better)), better
 
-        go(0, 0.0, ())
-        return sorted(out, key=lambda x: -x[0])
 
+def test_pieces_equal_brute_force():
+    lattice = piece_lattice.Lattice(open(PIECES, "rb").read(), 4)
     rnd = random.Random(9)
-    for _ in range(200):
-        s = "".join(rnd.choice("abthe  in on😀é\n") for _ in range(rnd.randint(1, 9)))
-        want, got = brute(s), lattice.encode(s)
-        assert [round(x[0], 3) for x in got] == [round(x[0], 3) for x in want[:4]]
-        assert {tuple(x[1].tolist()) for x in got} <= {x[1] for x in want} and all(lattice.decode(x[1]) == s for x in got)
-    assert lattice.decode(lattice.encode("a" * 20_000)[0][1]) == "a" * 20_000
+    for _ in range(300):
+        s = "".join(rnd.choice("aabthe  in on😀é\n") for _ in range(rnd.randint(1, 9)))
+        want, better = brute_force_pieces(lattice, s)
+        got = next(lattice.encode([s]))
+        assert len(got) == min(4, len(want)) and got[0][0] == 0
+        by_ids = {tuple(ids): (made, ids) for made, ids in want}
+        for (_, ids), w in zip(got, want):  # ties may come in any order
+            assert better(by_ids[tuple(piece_ids(ids))], w) == 0
+        assert len({x for _, x in got}) == len(got)
+        assert all(lattice.decode(np.array(piece_ids(x))) == s for _, x in got)
+
+
+def test_best_pieces_equal_the_library():
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    lattice = piece_lattice.Lattice(open(PIECES, "rb").read(), 2)
+    rnd = random.Random(10)
+    parts = ["a", "aa", "th", "e", "in", "on", " ", "  ", "é", "😀", "\n", "\t", "ing", "ss", "ll", "&&", "▁", "中", "Ünd", "0"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    texts += ["a" * 20_000, "thequickbrownfox" * 300, "é" * 3000, "", " ", *(t or "" for t in TEXTS)]
+    for t, found in zip(texts, lattice.encode(texts)):
+        assert piece_ids(found[0][1]) == library.encode(t)
+
+
+def test_units_of_the_arrays_equal_their_searches():
+    lattice = piece_lattice.Lattice(open(PIECES, "rb").read(), 3)
+    rnd = random.Random(11)
+    units = {"▁" + "".join(rnd.choice(["th", "er", "an", "rr", "r", "e", "s", "ion", "é"]) for _ in range(rnd.randint(1, 9))) for _ in range(2000)}
+    lattice.learn(units)
+    for u in units:
+        found = lattice.segment(u, 2)
+        assert lattice.ids[u] == found[0][1]
+        assert lattice.lead[u] == (found[1][0].lead() if len(found) > 1 else piece_lattice.NONE)
 
 
 def test_pieces_table(spark):
-    out = piece_lattice.encode_nbest(docs(spark), PIECES, n=2)
+    d = docs(spark, [*TEXTS, "a▁b", " "]).withColumn("nbest", F.lit(1))
+    out = piece_lattice.encode_nbest(d, PIECES, n=2)
     rows = {r["doc_id"]: r["nbest"] for r in out.collect()}
-    assert rows[0][0]["n_pieces"] == 0 and all(x[0]["round_trip"] for x in rows.values())
+    last = len(TEXTS)
+    assert rows[0][0]["n_pieces"] == 0 and all(x["round_trip"] for i, found in rows.items() if i != last for x in found)
+    assert not any(x["round_trip"] for x in rows[last])  # the space mark itself is a space to such files
+    assert all(x["n_pieces"] == len(x["ids"]) and x["ids_crc32"] == zlib.crc32(np.array(x["ids"], "<i4").tobytes()) for found in rows.values() for x in found)
     ids = out.select("doc_id", F.col("nbest")[0]["ids"].alias("ids"))
     back = {r["doc_id"]: r["decoded"] for r in piece_lattice.decode_ids(ids, PIECES).collect()}
-    assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert back == {i: t or "" for i, t in enumerate([*TEXTS, "a b", " "])}
+    odd = spark.createDataFrame([(None,), ([],), ([None, -5, 10**6],)], "ids array<int>")
+    assert [r["decoded"] for r in piece_lattice.decode_ids(odd, PIECES).collect()] == [None, "", ""]
+    assert piece_lattice.encode_nbest(empty(spark), PIECES).count() == 0
+    assert all(x["ids"] is None for r in piece_lattice.encode_nbest(d, PIECES, with_ids=False).collect() for x in r["nbest"])
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):
