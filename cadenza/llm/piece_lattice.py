@@ -86,10 +86,10 @@ class Lattice:
         size = sp.get_piece_size()
         self.n = n
         self.text = [sp.id_to_piece(i) for i in range(size)]
-        self.byte_of = {i: int(self.text[i][3:5], 16) for i in range(size) if sp.is_byte(i)}
-        self.id_of_byte = {b: i for i, b in self.byte_of.items()}
-        self.is_byte = np.zeros(size, bool)
-        self.is_byte[list(self.byte_of)] = True
+        self.id_of_byte = {int(self.text[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
+        self.bytes = [p.replace(SPACE, " ").encode() for p in self.text]
+        for b, i in self.id_of_byte.items():
+            self.bytes[i] = bytes([b])
         self.unknown = sp.unk_id()
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         scores = {self.text[i]: sp.get_score(i) for i in plain}
@@ -442,26 +442,8 @@ class Lattice:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of a sequence of ids: runs of byte pieces as UTF-8, the first space dropped."""
-        text = self.text
-        if not self.is_byte[ids].any():
-            whole = "".join(map(text.__getitem__, ids.tolist())).replace(SPACE, " ")
-            return whole[1:] if whole[:1] == " " else whole
-        out: list[str] = []
-        run = bytearray()
-        byte_of = self.byte_of
-        for i in ids.tolist():
-            b = byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(text[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        whole = "".join(out).replace(SPACE, " ")
+        """The text of a sequence of ids: byte pieces as UTF-8, the first space dropped."""
+        whole = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return whole[1:] if whole[:1] == " " else whole
 
 
@@ -557,7 +539,7 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "
     """
     source = df.sparkSession.sparkContext.broadcast(_read(model))
     own = [c for c in df.columns if c != out_col]
-    schema = df.select(*own, F.lit("").alias(out_col)).schema
+    schema = df.select(*own, F.lit(None).cast("string").alias(out_col)).schema
     if ids_col not in own:
         raise ValueError("the ids and the decoded text need different column names")
 

@@ -328,6 +328,7 @@ def piece_ids(raw):
 def brute_force_pieces(lattice, text):
     """Every segmentation of a whole text with its merges, best first."""
     s, out = "▁" + text.replace(" ", "▁"), []
+    place = [k for u in lattice.units(text) for k in range(len(u))]  # places count within units
 
     def go(i, made, ids):
         if i == len(s):
@@ -335,7 +336,7 @@ def brute_force_pieces(lattice, text):
         for j in range(i + 1, min(len(s), i + 16) + 1):
             p = lattice.piece.get(s[i:j], -1)
             if p >= 0 or j == i + 1:
-                merges = [(r, i + at) for r, at in lattice.merges(p)] if p >= 0 else []
+                merges = [(r, place[i + at]) for r, at in lattice.merges(p)] if p >= 0 else []
                 go(j, made + merges, ids + ([p] if p >= 0 else list(lattice._fallback(s[i]))))
 
     go(0, [], [])
