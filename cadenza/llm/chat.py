@@ -1,10 +1,12 @@
 """Chat formatting in budgeted, turn-aligned windows; DataFrame functions only.
 
 A turn is rendered as ``<|turn|>role\\ntext<|end|>\\n``. Control strings inside roles and texts are
-escaped with ``~``, reversibly. Prefix sums of turn tokens deal a conversation's turns to spans; the
-window of a span repeats the system turn and a limited stretch of history before it, and only
-assistant texts that aren't repeats are under the loss mask. Prefix sums have two levels (within
-blocks of turn numbers, then over the blocks), so one very long conversation is no hot spot.
+escaped with ``~``, reversibly. Sums of turn tokens deal a conversation's turns to windows: a window is
+filled with turns up to its budget, of which the system turn and the history that it repeats are parts;
+only assistant texts that aren't repeats are under the loss mask.
+
+Rows are shuffled once, by conversation, as they come. Sorted, they are dealt to blocks of a bounded
+number of turns; windows are cut within blocks, so no array grows with a conversation.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>"
-#: Turn numbers per block of the two-level prefix sums.
+#: Turns of a block; a window ends where its block ends.
 BLOCK_TURNS = 1024
 
 
@@ -36,47 +38,74 @@ def tokens(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\w+|[^\w\s]")).cast("long")
 
 
+def _length(pieces: Column, of: str) -> Column:
+    return F.aggregate(pieces, F.lit(0).cast("long"), lambda total, x: total + x[of])
+
+
 def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = 512, history: int = 128) -> DataFrame:
     """(conv_id, window, formatted, n_repeated, loss): one row per window, windows numbered in order.
 
-    ``n_repeated``: how many turns at the front are repeats (system turn, history). ``loss``: array of
-    (begin, length) in code points of ``formatted``. A span's turns start within (budget - history) / 2
-    tokens of each other, so a window exceeds ``budget``, its system turn apart, only by a single turn
-    longer than that. The system turn is a first turn whose role is ``system``. Turns are ordered by
+    Every window but a conversation's first repeats the system turn, if there is one, and then the last
+    turns of the window before, as far as they hold at most ``history`` tokens (none at the start of a
+    block of 1,024 turns). Turns follow while they fit: a window holds at most ``budget`` tokens, repeats
+    included, unless its one own turn is too long for that. ``history`` tokens stay reserved for repeats.
+
+    ``n_repeated``: how many turns at the front are repeats. ``loss``: array of (begin, length) in code
+    points of ``formatted``. The system turn is a first turn whose role is ``system``. Turns are ordered by
     number, then role, then text (repeated rows are turns of their own); null roles and texts count as
     empty, a null number comes first, null conversation ids form one conversation. Other columns are
-    left out.
+    left out. A conversation is one key of the shuffle.
     """
-    half = max(1, (budget - history) // 2)
     t = df.select(F.col(conv_col).alias("c"), F.col(turn_col).cast("long").alias("n"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role"), line=True), F.lit("\n"))).withColumn("body", escape(F.col("text")))
-    t = t.withColumn("piece", F.concat("head", "body", F.lit(END + "\n"))).withColumn("k", tokens(F.col("piece"))).withColumn("m", F.length("piece").cast("long"))
-    t = t.withColumn("b", F.coalesce(F.floor(F.col("n") / BLOCK_TURNS), F.lit(-(2**62))))
-    blocks = t.groupBy("c", "b").agg(F.sum("k").alias("bk"), F.sum("m").alias("bm"))
-    over = Window.partitionBy("c").orderBy("b")
-    whole = Window.partitionBy("c")
-    blocks = blocks.select(F.col("c").alias("bc"), F.col("b").alias("bb"), (F.sum("bk").over(over) - F.col("bk")).alias("k0"), (F.sum("bm").over(over) - F.col("bm")).alias("m0"), F.sum("bk").over(whole).alias("total"))
-    within = Window.partitionBy("c", "b").orderBy(F.asc_nulls_first("n"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("ck", F.sum("k").over(within)).withColumn("cm", F.sum("m").over(within))
-    t = t.join(blocks, F.col("c").eqNullSafe(F.col("bc")) & (F.col("b") == F.col("bb")))
-    t = t.withColumn("p", F.col("k0") + F.col("ck") - F.col("k")).withColumn("q", F.col("m0") + F.col("cm") - F.col("m"))
-    t = t.withColumn("span", F.floor(F.col("p") / half)).withColumn("system", (F.col("p") == 0) & (F.col("role") == "system"))
-    stop = F.max(F.col("p") + F.col("k")).over(Window.partitionBy("c", "span"))
-    t = t.withColumn("stop", stop)
-    again = (F.col("stop") < F.col("total")) & (F.col("stop") - F.col("p") <= history) & ~F.col("system")
-    own = F.struct(F.col("span").alias("w"), F.lit(False).alias("repeated"))
-    next_ = F.struct(F.floor(F.col("stop") / half).alias("w"), F.lit(True).alias("repeated"))
-    dealt = t.select("c", "q", "p", "piece", "role", F.length("head").alias("h"), F.length("body").alias("l"), F.explode(F.when(again, F.array(own, next_)).otherwise(F.array(own))).alias("x"))
-    turn = F.struct("q", F.col("x.repeated").alias("repeated"), "piece", (F.col("role") == "assistant").alias("answer"), "h", "l")
-    windows = dealt.groupBy("c", F.col("x.w").alias("window")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    system = t.where("system").select(F.col("c").alias("sc"), F.col("piece").alias("sys"))
-    windows = windows.join(system, F.col("c").eqNullSafe(F.col("sc")), "left").withColumn("sys", F.when(F.col("window") > 0, F.col("sys")))
-    front = F.coalesce(F.length("sys"), F.lit(0))
-    first = F.col("turns")[0]["q"]
-    answers = F.filter("turns", lambda x: x["answer"] & ~x["repeated"])
-    loss = F.transform(answers, lambda x: F.struct((front + x["q"] - first + x["h"]).cast("int").alias("begin"), x["l"].cast("int").alias("length")))
-    repeats = F.size(F.filter("turns", lambda x: x["repeated"])) + F.when(F.col("sys").isNotNull(), 1).otherwise(0)
-    return windows.select(F.col("c").alias("conv_id"), "window", F.concat(F.coalesce("sys", F.lit("")), F.array_join(F.transform("turns", lambda x: x["piece"]), "")).alias("formatted"), repeats.alias("n_repeated"), loss.alias("loss"))
+    ordered = Window.partitionBy("c").orderBy(F.asc_nulls_first("n"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("c", "role", "text", (F.row_number().over(ordered) - 1).alias("i"), F.first(F.struct("role", "text")).over(ordered).alias("top"))
+    head = lambda role: F.concat(F.lit(TURN), escape(role, line=True), F.lit("\n"))
+    piece = lambda role, text: F.concat(head(role), escape(text), F.lit(END + "\n"))
+    t = t.select("c", F.floor(F.col("i") / BLOCK_TURNS).alias("b"), "i", "top", head(F.col("role")).alias("head"), piece(F.col("role"), F.col("text")).alias("piece"), (F.col("role") == "assistant").alias("answer"))
+    size = F.length("piece").cast("long")
+    turn = F.struct("i", "piece", tokens(F.col("piece")).alias("k"), size.alias("m"), F.length("head").cast("long").alias("h"), (size - F.length("head") - len(END) - 1).alias("l"), "answer")
+    blocks = t.groupBy("c", "b").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.first("top").alias("top"))
+    system = F.col("top.role") == "system"
+    blocks = blocks.select("c", "b", "turns", F.when(system, piece(F.col("top.role"), F.col("top.text"))).alias("sys"))
+    blocks = blocks.withColumn("room", F.greatest(F.lit(1), budget - history - F.coalesce(tokens(F.col("sys")), F.lit(0))).cast("long"))
+
+    # where windows start: a turn that doesn't fit opens the next one; a conversation's first window repeats nothing
+    def deal(a: Column, x: Column) -> Column:
+        room = F.when((F.col("b") == 0) & (F.size(a["starts"]) == 1), F.lit(budget).cast("long")).otherwise(F.col("room"))
+        full = (a["fill"] > 0) & (a["fill"] + x["k"] > room)
+        starts = F.when(full, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"])
+        return F.struct(F.when(full, x["k"]).otherwise(a["fill"] + x["k"]).alias("fill"), (a["at"] + 1).alias("at"), starts.alias("starts"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("fill"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
+    blocks = blocks.withColumn("starts", F.aggregate("turns", zero, deal, lambda a: a["starts"]))
+    before = F.sum(F.size("starts")).over(Window.partitionBy("c").orderBy("b")) - F.size("starts")
+    blocks = blocks.withColumn("before", before)
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("turns")))
+    lasts = F.concat(F.array(F.lit(0)), F.slice("starts", F.lit(1), F.size("starts") - 1))
+    cuts = F.arrays_zip(lasts.alias("last"), F.col("starts").alias("start"), ends.alias("end"))
+    windows = blocks.select("c", "before", "sys", "turns", F.posexplode(cuts).alias("w", "cut"))
+    part = lambda a, z: F.slice("turns", F.col(a) + 1, F.col(z) - F.col(a))
+
+    # the last turns of the window before, counted from its end while they fit; the system turn isn't one of them
+    def back(a: Column, x: Column) -> Column:
+        fits = a["open"] & (a["k"] + x["k"] <= history) & ((x["i"] > 0) | F.col("sys").isNull())
+        return F.struct((a["k"] + x["k"]).alias("k"), (a["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    none = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    repeated = F.aggregate(F.reverse(part("cut.last", "cut.start")), none, back, lambda a: a["n"])
+    windows = windows.withColumn("n", repeated)
+    windows = windows.select("c", (F.col("before") + F.col("w")).alias("window"), "sys", F.slice("turns", F.col("cut.start") - F.col("n") + 1, F.col("n")).alias("old"), part("cut.start", "cut.end").alias("own"))
+    windows = windows.withColumn("sys", F.when(F.col("window") > 0, F.col("sys")))
+    front = F.coalesce(F.length("sys"), F.lit(0)) + _length(F.col("old"), "m")
+
+    def mask(a: Column, x: Column) -> Column:
+        answer = F.struct((a["at"] + x["h"]).cast("int").alias("begin"), x["l"].cast("int").alias("length"))
+        return F.struct((a["at"] + x["m"]).alias("at"), F.when(x["answer"], F.concat(a["loss"], F.array(answer))).otherwise(a["loss"]).alias("loss"))
+
+    start = F.struct(front.cast("long").alias("at"), F.array().cast("array<struct<begin:int,length:int>>").alias("loss"))
+    text = F.concat(F.coalesce("sys", F.lit("")), F.array_join(F.transform(F.concat("old", "own"), lambda x: x["piece"]), ""))
+    n_repeated = F.size("old") + F.when(F.col("sys").isNotNull(), 1).otherwise(0)
+    return windows.select(F.col("c").alias("conv_id"), "window", text.alias("formatted"), n_repeated.alias("n_repeated"), F.aggregate("own", start, mask, lambda a: a["loss"]).alias("loss"))
 
 
 def read_windows(windows: DataFrame) -> DataFrame:

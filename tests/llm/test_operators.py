@@ -4,6 +4,7 @@ import functools
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -277,10 +278,31 @@ def test_chat(spark):
 
 
 def test_chat_windows_repeat_and_keep_the_budget(spark):
-    rows = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", "w " * 20) for i in range(1, 21)]
-    w = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=200, history=40).orderBy("window").collect()
-    assert len(w) > 3 and all(x["formatted"].startswith("<|turn|>system\nbe kind") for x in w)
-    assert all(x["n_repeated"] >= 2 for x in w[1:]) and w[0]["n_repeated"] == 0
+    rnd = random.Random(12)
+    count = lambda t: len(re.findall(r"\w+|[^\w\s]", t))
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", "w " * rnd.randint(0, 60)) for i in range(1, 40)]
+    rows += [(2, 0, "user", "long " * 900), (2, 1, "assistant", "ok"), (2, 2, "system", "late"), (3, 0, "system", "rules " * 150)]
+    rows += [(3, i, "assistant", f"a{i} " * 9) for i in range(1, 12)] + [(4, i, "user", "x") for i in range(2500)]
+    for budget, history in ((200, 40), (60, 20)):
+        w = chat.format_windows(spark.createDataFrame(rows, schema), budget=budget, history=history).orderBy("conv_id", "window").collect()
+        for c in (1, 2, 3, 4):
+            mine = [x for x in w if x["conv_id"] == c]
+            assert [x["window"] for x in mine] == list(range(len(mine))) and mine[0]["n_repeated"] == 0
+            before: list[str] = []
+            for x in mine:
+                turns = x["formatted"].split("<|turn|>")[1:]
+                own = turns[x["n_repeated"] :]
+                assert own and (count(x["formatted"]) <= budget or len(own) == 1)
+                again = turns[: x["n_repeated"]]
+                if c in (1, 3) and x["window"]:
+                    assert again[0].startswith("system\n")
+                    again = again[1:]
+                assert again == before[len(before) - len(again) :] and sum(count("<|turn|>" + t) for t in again) <= history
+                assert len(x["loss"]) == sum(t.startswith("assistant\n") for t in own)
+                before = own
+    first = [x for x in w if x["conv_id"] == 4]
+    assert sum(len(x["formatted"].split("<|turn|>")) - 1 - x["n_repeated"] for x in first) == 2500
 
 
 def test_top_k_equals_brute_force(spark):
