@@ -1,10 +1,13 @@
 """Line deduplication by a sharded minimal perfect hash.
 
-One pass counts line keys (hash pairs only, combined on the map side). The keys that repeat often
-enough are dealt to shards; each shard becomes one minimal perfect hash that indexes a fingerprint,
-a count and a keeper array. Documents then probe these arrays as they stream by: their lines are
-never shuffled or joined. The arrays reach the executors in waves of at most ``wave_bytes``; with
-more than one wave the documents are written between waves, so memory stays bounded at any size.
+One pass counts line keys (hash pairs only, combined on the map side); a key that is in one row alone
+needs no entry. The others are dealt to shards; each shard becomes one minimal perfect hash that indexes
+a fingerprint, a count and a keeper array. Documents probe these arrays: the count found there decides
+whether a line is repeated, the keeper where it stays. Lines are never joined.
+
+An index of at most ``most_bytes`` is broadcast and probed as documents stream by. A larger one stays
+where it is: hashes of long lines travel to the shards, only the places of dropped lines come back, and
+documents are read once more to drop them. Neither way rewrites documents or gathers the index.
 """
 
 from __future__ import annotations
@@ -16,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cadenza.llm.common import ASCII_SPACE, ascii_lower, forget, mix64, text_of, written
+from cadenza.llm.common import ASCII_SPACE, ascii_lower, forget, if_few, mix64, text_of, written
 
 GAMMA = 2.0
 
@@ -102,41 +104,29 @@ def line_keys(lines):
     return F.transform(lines, lambda x: ascii_lower(F.trim(x, F.lit(ASCII_SPACE))))
 
 
-def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, n, keeper) of each key of min_chars or more that min_docs or more documents hold."""
+def counted_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(h1, h2, n, keeper) of each key of min_chars or more that more than one row holds."""
     long_keys = F.array_distinct(F.filter(line_keys(F.split(text_of(F.col(text_col)), "\n")), lambda k: F.length(k) >= min_chars))
     keys = docs.select(F.col(id_col).cast("long").alias("id"), F.explode(long_keys).alias("k"))
     hashed = keys.select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), "id")
-    return hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    return hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") > 1)
 
 
 def build_index(keys: DataFrame, shard_keys: int = 65_536) -> tuple[DataFrame, int]:
     """(shard, blob) and the number of shards: keys dealt by hash to shards of about shard_keys, each a perfect hash and its arrays."""
     shards = max(1, -(-keys.count() // shard_keys))
-    dealt = keys.withColumn("keeper", F.coalesce("keeper", F.lit(-(2**63)))).withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
+    dealt = keys.withColumn("keeper", F.coalesce("keeper", F.lit(NOBODY))).withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(build_shard, "shard long, blob binary"), shards
 
 
-def _waves(index: DataFrame, wave_bytes: int) -> Iterator[dict[int, bytes]]:
-    """The index in consecutive shards of at most wave_bytes together."""
-    sizes = index.select("shard", F.length("blob").alias("n")).orderBy("shard").toLocalIterator()
-    run: list[int] = []
-    total = 0
-    runs: list[list[int]] = []
-    for r in sizes:
-        if run and total + r["n"] > wave_bytes:
-            runs.append(run)
-            run, total = [], 0
-        run.append(r["shard"])
-        total += r["n"]
-    if run:
-        runs.append(run)
-    for run in runs:
-        yield {r["shard"]: bytes(r["blob"]) for r in index.where(F.col("shard").between(run[0], run[-1])).collect()}
-
-
-def _probe(docs: DataFrame, blobs: dict[int, bytes], shards: int, id_at: str) -> DataFrame:
-    """Sets __ld_drop where a line's key is held by the wave and this document isn't its keeper."""
+def _dropped(shard: Shard, h1: np.ndarray, h2: np.ndarray, own: np.ndarray, min_docs: int) -> np.ndarray:
+    """Which lines go: their key is counted often enough and the row isn't its keeper."""
+    found, count, keeper = shard.probe(h1, h2)
+    return found & (count >= min_docs) & ((keeper != own) | (own == NOBODY))
+
+
+def _probe(docs: DataFrame, blobs: dict[int, bytes], shards: int, min_docs: int) -> DataFrame:
+    """Sets __ld_drop where a line of the row goes; the whole index is at hand."""
     blob = docs.sparkSession.sparkContext.broadcast(blobs)
     schema = docs.schema
     names = schema.names
@@ -145,28 +135,62 @@ def _probe(docs: DataFrame, blobs: dict[int, bytes], shards: int, id_at: str) ->
         held = {k: Shard(v) for k, v in blob.value.items()}
         for b in batches:
             columns = [b.column(i) for i in range(b.num_columns)]
-            h1a, h2a, da = (columns[names.index(n)] for n in ("__ld_h1", "__ld_h2", "__ld_drop"))
+            ids, h1a, h2a = (columns[names.index(n)] for n in ("__ld_id", "__ld_h1", "__ld_h2"))
             offsets = h1a.offsets.to_numpy(zero_copy_only=False)
             offsets = offsets - offsets[0]
             h1, h2 = h1a.flatten().to_numpy(zero_copy_only=False), h2a.flatten().to_numpy(zero_copy_only=False)
-            drop = da.flatten().to_numpy(zero_copy_only=False).astype(bool)
-            ids = columns[names.index(id_at)]
-            null = np.repeat(np.asarray(ids.is_null()), np.diff(offsets))
-            own = np.repeat(ids.fill_null(0).to_numpy(zero_copy_only=False), np.diff(offsets))
+            own = np.repeat(ids.to_numpy(zero_copy_only=False), np.diff(offsets))
+            drop = np.zeros(len(h1), bool)
             asked = np.flatnonzero(h1 != 0) if len(h1) else np.zeros(0, np.int64)
             to = h1[asked] % shards  # numpy's % is pmod
             for k, shard in held.items():
                 mine = asked[to == k]
-                found, _, keeper = shard.probe(h1[mine], h2[mine])
-                drop[mine] |= found & ((keeper != own[mine]) | null[mine])
-            at = names.index("__ld_drop")
-            columns[at] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(drop))
+                drop[mine] = _dropped(shard, h1[mine], h2[mine], own[mine], min_docs)
+            columns[names.index("__ld_drop")] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(drop))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, shard_keys: int = 65_536, wave_bytes: int = 64 << 20) -> DataFrame:
+def _probe_shards(probes: DataFrame, index: DataFrame, shards: int, min_docs: int, copies: int = 16) -> DataFrame:
+    """(id, t, pos) of the dropped lines among ``probes`` (id, t, pos, h1, h2).
+
+    Each shard leads the stream of its probes, so a task holds one shard and one batch. A very common
+    line sends all its probes to one shard; shards therefore have copies, dealt by the rows' ids.
+    """
+    to = F.pmod("h1", F.lit(shards)).alias("shard")
+    asked = probes.select(to, F.pmod(F.xxhash64("id", "t"), F.lit(copies)).alias("copy"), F.lit(None).cast("binary").alias("blob"), "id", "t", "pos", "h1", "h2")
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("id", "long"), ("t", "long"), ("pos", "int"), ("h1", "long"), ("h2", "long"))]
+    led = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), "blob", *none)
+    stream = led.unionByName(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("blob").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = -1, None
+        for b in batches:
+            t = b.to_pydict() if b.column(2).null_count < b.num_rows else None
+            key = b.column(0).to_numpy() * copies + b.column(1).to_numpy()
+            ids, h1, h2 = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (3, 6, 7))
+            leads = np.flatnonzero(np.asarray(b.column(2).is_valid()))
+            keep = np.zeros(b.num_rows, bool)
+            bounds = [0, *leads.tolist(), b.num_rows]
+            for x, y in zip(bounds, bounds[1:]):
+                if t is not None and y > x and t["blob"][x] is not None:
+                    at, shard = int(key[x]), Shard(t["blob"][x])
+                    x += 1
+                if y <= x or shard is None:
+                    continue
+                mine = np.arange(x, y)[key[x:y] == at]  # probes of a shard without keys follow another's
+                keep[mine] = _dropped(shard, h1[mine], h2[mine], ids[mine], min_docs)
+            yield b.filter(pa.array(keep)).select(["id", "t", "pos"])
+
+    return stream.mapInArrow(run, "id long, t long, pos int")
+
+
+#: Stands for a null id: such a row is no key's keeper.
+NOBODY = -(2**63)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, shard_keys: int = 65_536, most_bytes: int = 64 << 20) -> DataFrame:
     """The documents with ``kept_text``, ``n_lines`` (before) and ``n_dropped`` added.
 
     Lines end at \\n. A key is the line without ASCII white space at its ends, A-Z lower-cased; keys of
@@ -175,23 +199,40 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text is one empty line. A row whose id is null counts as a document and never keeps
     a repeated line. Columns of the input named like an output column are replaced.
     """
-    keys = written(repeated_keys(docs, id_col, text_col, min_chars, min_docs), "line-keys")
+    keys = written(counted_keys(docs, id_col, text_col, min_chars), "line-keys")
     index, shards = build_index(keys, shard_keys)
     index = written(index, "line-index")
     forget(keys)
-    return apply_index(docs, index, shards, id_col, text_col, min_chars, wave_bytes)
+    return apply_index(docs, index, shards, id_col, text_col, min_chars, min_docs, most_bytes)
 
 
-def apply_index(docs: DataFrame, index: DataFrame, shards: int, id_col: str, text_col: str, min_chars: int, wave_bytes: int) -> DataFrame:
-    out = ("kept_text", "n_lines", "n_dropped")
-    own = [c for c in docs.columns if c not in out]
-    lines = F.split(text_of(F.col(text_col)), "\n")
+def apply_index(docs: DataFrame, index: DataFrame, shards: int, id_col: str, text_col: str, min_chars: int, min_docs: int, most_bytes: int) -> DataFrame:
+    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    text = text_of(F.col(text_col))
+    lines = F.split(text, "\n")
+    me = F.coalesce(F.col(id_col).cast("long"), F.lit(NOBODY))
     # a key too short is asked for with 0, which is never looked up
     hash_of = lambda make: F.transform("__ld_keys", lambda k: F.when(F.length(k) >= min_chars, make(k)).otherwise(F.lit(0)))
-    df = docs.select(*own, F.col(id_col).cast("long").alias("__ld_id"), line_keys(lines).alias("__ld_keys"))
-    df = df.select(*own, "__ld_id", hash_of(F.xxhash64).alias("__ld_h1"), hash_of(lambda k: F.xxhash64(F.lit(1), k)).alias("__ld_h2"), F.transform("__ld_keys", lambda _: F.lit(False)).alias("__ld_drop"))
-    for i, blobs in enumerate(_waves(index, wave_bytes)):
-        df = _probe(written(df, "line-wave") if i else df, blobs, shards, "__ld_id")
-    dropped = F.size(F.filter("__ld_drop", lambda d: d))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.get(F.col("__ld_drop"), i)), "\n")
-    return df.select(*own, F.when(F.exists("__ld_drop", lambda d: d), kept).otherwise(text_of(F.col(text_col))).alias("kept_text"), F.size("__ld_drop").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    first, second = hash_of(F.xxhash64), hash_of(lambda k: F.xxhash64(F.lit(1), k))
+    if (index.agg(F.sum(F.length("blob"))).first()[0] or 0) <= most_bytes:
+        blobs = {r["shard"]: bytes(r["blob"]) for r in index.collect()}
+        df = docs.select(*own, me.alias("__ld_id"), line_keys(lines).alias("__ld_keys"))
+        df = df.select(*own, "__ld_id", first.alias("__ld_h1"), second.alias("__ld_h2"), F.array().cast("array<boolean>").alias("__ld_drop"))
+        df = _probe(df, blobs, shards, min_docs)
+        gone = F.col("__ld_drop")
+        goes = lambda i: F.get(gone, i)
+        n_dropped = F.size(F.filter(gone, lambda d: d))
+    else:
+        mark = F.xxhash64(text)  # rows that share an id and a text lose the same lines
+        df = docs.select(me.alias("id"), mark.alias("t"), line_keys(lines).alias("__ld_keys"))
+        df = df.select("id", "t", F.posexplode(F.arrays_zip(first.alias("h1"), second.alias("h2"))).alias("pos", "h"))
+        probes = df.select("id", "t", "pos", "h.h1", "h.h2").where(F.col("h1") != 0)
+        places = _probe_shards(probes, index, shards, min_docs).groupBy("id", "t").agg(F.sort_array(F.collect_set("pos")).alias("__ld_pos"))
+        places = if_few(written(places.select(F.col("id").alias("__ld_id"), F.col("t").alias("__ld_t"), "__ld_pos"), "line-places"), 100_000)
+        df = docs.select(*own, me.alias("__ld_me"), mark.alias("__ld_mark"))
+        df = df.join(places, (F.col("__ld_me") == F.col("__ld_id")) & (F.col("__ld_mark") == F.col("__ld_t")), "left")
+        gone = F.coalesce("__ld_pos", F.array().cast("array<int>"))
+        goes = lambda i: F.array_contains(gone, i)
+        n_dropped = F.size(gone)
+    kept = F.array_join(F.filter(lines, lambda _, i: ~goes(i)), "\n")
+    return df.select(*own, F.when(n_dropped > 0, kept).otherwise(text).alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))

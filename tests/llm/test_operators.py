@@ -43,13 +43,32 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
-def test_line_dedup_waves_agree(spark):
+def brute_force_lines(rows):
+    """(id, text, kept, n_lines, n_dropped) of every row; documents are rows."""
+    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    held, keeper = defaultdict(int), {}
+    for i, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            held[k] += 1
+            keeper[k] = max((x for x in (keeper.get(k), i) if x is not None), default=None)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (len(key(x)) >= 40 and held[key(x)] >= 5 and (i is None or keeper[key(x)] != i))]
+        out.append((str(i), t or "", "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most_bytes", [64 << 20, 0])
+def test_line_dedup_equals_brute_force(spark, most_bytes):
     rnd = random.Random(1)
-    lines = [f"{i} {'y' * 45}" for i in range(300)]
-    d = docs(spark, ["\n".join(rnd.choices(lines, k=20)) for _ in range(200)])
-    one = line_dedup.dedup_lines(d)
-    many = line_dedup.dedup_lines(d, shard_keys=20, wave_bytes=4000)
-    assert sorted(one.select("doc_id", "kept_text").collect()) == sorted(many.select("doc_id", "kept_text").collect())
+    lines = [f"{i} {'y' * 45}" for i in range(300)] + ["short", "", f"  {LONG.upper()}\r"]
+    rows = [(rnd.choice([None, *range(60)]), "\n".join(rnd.choices(lines, k=rnd.randint(1, 20)))) for _ in range(200)]
+    rows += [*enumerate(TEXTS), (7, LONG), (7, LONG), (8, LONG), (8, LONG)]
+    d = spark.createDataFrame([(i, t, None, None, None, 0.5, "x", None) for i, t in rows], DOCS).withColumn("n_lines", F.lit("x"))
+    got = line_dedup.dedup_lines(d, shard_keys=20, most_bytes=most_bytes).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got) == brute_force_lines(rows)
+    assert line_dedup.dedup_lines(empty(spark), most_bytes=-1).count() == 0
 
 
 def test_perfect_hash_is_minimal():
