@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, grain: int = 8, block_rows: in
 
     ``pieces`` has doc_id, start and length (1..capacity) and is read several times: hand in a written
     table. Pieces are ranked within their class in blocks of hashed ids, so that a very common length
-    is no hot spot. Rows that agree in every column share a rank by chance; no row is lost.
+    is no hot spot. Ranks follow all columns, so only rows that agree in every one are dealt by chance; no row is lost.
     """
     spark = pieces.sparkSession
     size = capacity // grain
@@ -155,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, grain: int = 8, block_rows: in
     df = df.withColumn("__b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int"))
     sizes = df.groupBy("__c", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__c", "__b", (F.sum("__n").over(Window.partitionBy("__c").orderBy("__b")) - F.col("__n")).alias("__before"))
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy("__c", "__b").orderBy("doc_id", "start")))
+    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy("__c", "__b").orderBy(*pieces.columns)))
     ranked = ranked.join(before, ["__c", "__b"]).withColumn("__rank", F.col("__before") + F.col("__r") - 1)
     # the interval table has a row for each pattern and class in it: bounded by the number of classes, not by the data
     at = F.col("__rank") - F.col("__from")

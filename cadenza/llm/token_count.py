@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import text_of, worker_cache
-from cadenza.llm.tokens import PATTERN, byte_symbols, read_tokenizer
+from cadenza.llm.tokens import PATTERN, byte_symbols, check_byte_level, read_tokenizer
 
-CACHE_PRETOKENS = 1_000_000
+#: Pretokens that are kept, and the longest of them.
+CACHE_PRETOKENS, CACHE_CHARS = 1_000_000, 64
 #: Texts longer than this are split as a stream, so their pretokens are never all held at once.
 STREAM_CHARS = 1_000_000
 SPLIT = regex.compile(PATTERN)
@@ -61,11 +62,7 @@ class TokenCounter(dict):
 
     def __init__(self, source: str):
         spec = json.loads(source)
-        pre = spec["pre_tokenizer"] or {}
-        if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or spec["normalizer"]:
-            raise ValueError("only byte-level BPE files without a normalizer or prefix space are counted")
-        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-            raise ValueError("added tokens that strip or need word ends aren't counted")
+        check_byte_level(spec)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.symbol = {b: c for c, b in byte_symbols().items()}
@@ -74,7 +71,9 @@ class TokenCounter(dict):
 
     def __missing__(self, pretoken: str) -> int:
         symbol = self.symbol
-        n = self[pretoken] = merged_count([symbol[b] for b in pretoken.encode("utf-8", "surrogatepass")], self.ranks)
+        n = merged_count([symbol[b] for b in pretoken.encode("utf-8", "surrogatepass")], self.ranks)
+        if len(pretoken) <= CACHE_CHARS:
+            self[pretoken] = n
         return n
 
     def count(self, text: str) -> int:

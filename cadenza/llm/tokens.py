@@ -26,6 +26,15 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
+def check_byte_level(spec: dict) -> None:
+    """Refuse files whose tokens aren't what splitting by PATTERN and merging bytes gives."""
+    pre = spec["pre_tokenizer"] or {}
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or spec["normalizer"]:
+        raise ValueError("only byte-level BPE files without a normalizer or prefix space are read")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens that strip or need word ends aren't read")
+
+
 class ByteBpe:
     """Ids of whole texts, equal to the ``tokenizers`` library's for the same file.
 
@@ -35,9 +44,14 @@ class ByteBpe:
 
     def __init__(self, source: str):
         spec = json.loads(source)
+        check_byte_level(spec)
+        vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:])):
+            raise ValueError("ids don't follow the order of merges")
         symbols = byte_symbols()
-        ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in token): i for token, i in vocab.items() if token not in special}
+        self.special = special
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.names = set(self.special)
         self.source, self.slow = source, None

@@ -30,6 +30,11 @@ CACHE_WORDS = 500_000
 TOKENS_AT_ONCE = 500_000
 
 
+def words_of(text: str) -> list[str]:
+    """The tokens of a text, each lower-cased by itself: a letter whose lower case is longer moves no other token."""
+    return [w.lower() for w in TOKEN.findall(text)]
+
+
 def features(word: str) -> list[str]:
     """The features of a lower-cased token: itself, its beginnings and its ends."""
     n = len(word)
@@ -157,10 +162,15 @@ def _messages(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np
     return fwd, total - fwd
 
 
-def fit(rows: list[tuple[str, int]], window: int = 8, l2: float = 0.5, rounds: int = 120, max_features: int = 50_000) -> ToxicityModel:
-    """Fit on (text, 0/1) rows; see ``fit_toxicity`` for where they come from. Without both labels nothing is toxic."""
+def fit(rows: list[tuple[str, int]], window: int = 8, l2: float = 0.5, rounds: int = 120, max_features: int = 50_000, clean_places: int = 4) -> ToxicityModel:
+    """Fit on (text, 0/1) rows; see ``fit_toxicity`` for where they come from. Without both labels nothing is toxic.
+
+    A toxic text gives windows of ``window`` tokens on each side of all its telling tokens, a clean one gives
+    one such window and the surroundings of up to ``clean_places`` telling tokens, spread over its length.
+    """
     # copies of one text count once, or they would make its rare words telling
-    docs = [(TOKEN.findall(text.lower()), toxic) for text, toxic in dict.fromkeys(rows)]
+    one: dict[str, str] = {}  # equal words are one object
+    docs = [([one.setdefault(w, w) for w in words_of(text)], toxic) for text, toxic in dict.fromkeys(rows)]
     docs = [d for d in docs if d[0]]
     if not any(t for _, t in docs) or all(t for _, t in docs):
         return ToxicityModel()
@@ -178,10 +188,10 @@ def fit(rows: list[tuple[str, int]], window: int = 8, l2: float = 0.5, rounds: i
             a = (i * 7919) % max(1, len(words) - width)
             sequences.append((words[a : a + width], [0] * len(words[a : a + width])))
             odd = [t for t, w in enumerate(words) if w in telling]
-            sequences += [(words[max(0, t - 1) : t + 2], [0] * len(words[max(0, t - 1) : t + 2])) for t in odd[:4]]
+            sequences += [(words[max(0, t - 1) : t + 2], [0] * len(words[max(0, t - 1) : t + 2])) for t in odd[:: -(-len(odd) // clean_places) or 1]]
     model = _train(sequences, l2, rounds, max_features)
     known: dict[str, float] = {}
-    held = [_emissions(" ".join(words), model, known) for words, _ in docs]
+    held = [_emissions(words, model, known) for words, _ in docs]
     lengths = np.array([len(x) for x in held])
     best = np.maximum.reduceat(marginals(np.concatenate(held), lengths, model.trans), np.cumsum(lengths) - lengths)
     model.slope, model.offset = _calibrate(best, np.array([t for _, t in docs], float))
@@ -240,7 +250,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             score, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             at, held, tokens = 0, [], 0
             for i, x in enumerate(texts):
-                held.append(_emissions(x.as_py(), m, known))
+                held.append(_emissions(words_of(x.as_py()), m, known))
                 tokens += len(held[-1])
                 if i + 1 == batch.num_rows or tokens > TOKENS_AT_ONCE:
                     _score(held, at, texts, m, score, spans)
@@ -252,10 +262,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     return df.mapInArrow(run, schema)
 
 
-def _emissions(text: str, model: ToxicityModel, cache: dict[str, float]) -> np.ndarray:
+def _emissions(words: list[str], model: ToxicityModel, cache: dict[str, float]) -> np.ndarray:
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    words = TOKEN.findall(text.lower())
     get = cache.get
     out = [get(w) for w in words]
     if None in out:
@@ -281,12 +290,9 @@ def _score(held: list[np.ndarray], at: int, texts, model: ToxicityModel, score:
 
 def _spans(text: str, odds: np.ndarray) -> list[dict]:
     """Runs of tokens with a marginal of at least one half, as offsets of the text itself."""
-    low = text.lower()
-    # lower-casing may change a text's length (a dotted capital I); then tokens are found in the text as it is
-    source = low if len(low) == len(text) else text
     out: list[dict] = []
     before = False
-    for m, o in zip(TOKEN.finditer(source), odds):
+    for m, o in zip(TOKEN.finditer(text), odds):
         if o >= 0:
             p = float(1 / (1 + math.exp(-min(30.0, o))))
             if before:

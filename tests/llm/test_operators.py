@@ -166,6 +166,15 @@ def test_toxicity_learns_words_and_families(spark):
     assert toxicity.score_toxicity(d, toxicity.fit([])).where("predicted = 1").count() == 0
 
 
+def test_toxic_spans_after_a_letter_with_a_longer_lower_case(spark):
+    model = toxicity.ToxicityModel({"=zz": 20.0}, bias=-8.0)
+    d = spark.createDataFrame([(1, "İİ a zz b c d", "x", 2.0), (1, "İİ a zz b c d", None, None)], "doc_id long, text string, spans string, score double")
+    rows = toxicity.score_toxicity(d, model).collect()
+    assert [[r["text"][s["start"] : s["end"]] for s in r["spans"]] for r in rows] == [["zz"], ["zz"]]
+    labels = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
+    assert toxicity.fit_toxicity(d, labels).weights == {}
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(4)
     trans = np.array([[0.0, -1.0], [0.3, 0.7]])
