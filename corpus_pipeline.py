@@ -17,18 +17,29 @@ from cadenza.llm.packing import pack_documents
 from cadenza.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """The documents with columns of these names called otherwise, and what brings all their columns back."""
+    own = {c: f"__own_{c}" if c in names else c for c in docs.columns}
+    return docs.select(*[F.col(c).alias(o) for c, o in own.items()]), [F.col(o).alias(c) for c, o in own.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model is fitted on the labelled rows among these documents."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    safe, own = apart(docs, "score", "predicted", "spans")
+    return score_toxicity(safe, model).where(F.col("predicted") == 0).select(*own)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, all documents stay; ``n_chars`` follows the text."""
-    out = dedup_lines(docs)
+    safe, own = apart(docs, "kept_text", "n_lines", "n_dropped")
+    out = dedup_lines(safe)
     changed = F.col("n_dropped") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {
+        "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")),
+    }
+    return out.select(*[new[name].alias(name) if name in new else c for name, c in zip(docs.columns, own)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
