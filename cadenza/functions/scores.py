@@ -37,9 +37,14 @@ def phone_status(match: Column, duration: Column, presence: Column, z: Column, l
     )
 
 
+def penalty(match: Column, duration: Column, presence: Column) -> Column:
+    """What a phone's scores lack, weighted."""
+    return (100 - match) + 0.75 * (100 - presence) + 0.45 * (100 - duration)
+
+
 def severity(match: Column, duration: Column, presence: Column, confidence: Column) -> Column:
-    """FN-31."""
-    return (0.65 + 0.35 * confidence) * ((100 - match) + 0.75 * (100 - presence) + 0.45 * (100 - duration))
+    """FN-31: the penalty scaled by the overall confidence of the recording, one number for all its phones."""
+    return (0.65 + 0.35 * confidence) * penalty(match, duration, presence)
 
 
 def quality_status(rms: Column, clipping: Column, silence: Column) -> Column:

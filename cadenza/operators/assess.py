@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import labels as L
 from cadenza.functions import scores as S
 
 
-def overall(phones: DataFrame, key: str, digits: int = 3) -> DataFrame:
-    """AG-21: weighted score and mean confidence of each recording, both scaled by its quality."""
+def _totals() -> list[Column]:
     w = F.when(F.length("phoneme") > 1, 1.5).otherwise(1.0)
-    s = 0.5 * F.col("match") + 0.25 * F.col("dur") + 0.25 * F.col("presence")
-    g = phones.groupBy(key).agg(F.sum(w * s).alias("ws"), F.sum(w).alias("w"), F.avg("confidence").alias("c"), F.first("quality").alias("quality"))
+    score = 0.5 * F.col("match") + 0.25 * F.col("dur") + 0.25 * F.col("presence")
+    return [F.sum(w * score).alias("ws"), F.sum(w).alias("w"), F.avg("confidence").alias("c"), F.first("quality").alias("quality")]
+
+
+def _worst() -> Column:
+    # the overall confidence scales all phones of a recording alike, so the penalty alone ranks them
+    rank = F.struct(S.penalty(F.col("match"), F.col("dur"), F.col("presence")).alias("penalty"), (-F.col("index")).alias("first"))
+    return F.max_by(F.struct("phoneme", "status", rank["penalty"].alias("penalty")), rank)
+
+
+def _overall(digits: int) -> tuple[Column, Column]:
     q = S.quality_factor(F.col("quality"))
     score = S.clamp_score(F.round(F.col("ws") / F.greatest(F.lit(1.0), F.col("w")) * q, 9))
-    return g.select(key, score.alias("score"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("c") * q)), digits).alias("confidence"))
+    return score, F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("c") * q)), digits)
+
+
+def _issue(worst: Column) -> Column:
+    return F.when(worst.isNull(), "no_signal").when(worst["status"] == "ok", "low_match").otherwise(worst["status"])
+
+
+def overall(phones: DataFrame, key: str, digits: int = 3) -> DataFrame:
+    """AG-21: weighted score and mean confidence of each recording, both scaled by its quality."""
+    score, confidence = _overall(digits)
+    return phones.groupBy(key).agg(*_totals()).select(key, score.alias("score"), confidence.alias("confidence"))
 
 
 def primary_issue(recordings: DataFrame, phones: DataFrame, key: str) -> DataFrame:
-    """SL-03: the most severe phone's status, the first of equals, ``ok`` read as ``low_match``; ``no_signal`` without phones."""
-    worst = phones.groupBy(key).agg(F.max_by(F.struct("phoneme", "status"), F.struct("severity", (-F.col("index")).alias("first"))).alias("x"))
-    out = recordings.select(key).join(worst, key, "left")
-    issue = F.when(F.col("x").isNull(), "no_signal").when(F.col("x.status") == "ok", "low_match").otherwise(F.col("x.status"))
-    return out.select(key, issue.alias("issue"), F.col("x.phoneme").alias("phoneme"))
+    """SL-03: the most severe phone's status, the first of equals, ``ok`` read as ``low_match``; ``no_signal`` without phones.
+
+    Severity is scaled by the recording's overall confidence, never by a phone's own.
+    """
+    worst = phones.groupBy(key).agg(_worst().alias("x"))
+    return recordings.select(key).join(worst, key, "left").select(key, _issue(F.col("x")).alias("issue"), F.col("x.phoneme").alias("phoneme"))
+
+
+def assessments(recordings: DataFrame, phones: DataFrame, key: str) -> DataFrame:
+    """AG-21, FN-31 and SL-03 in one aggregation: score, confidence, issue, issue_phone and the issue's severity."""
+    score, confidence = _overall(3)
+    d = recordings.select(key).join(phones.groupBy(key).agg(*_totals(), _worst().alias("x")), key, "left")
+    some = F.col("x").isNotNull()  # a recording without phones scores 0
+    d = d.select(key, F.when(some, score).otherwise(0).alias("score"), F.when(some, confidence).otherwise(0.0).alias("confidence"), "x")
+    severity = (0.65 + 0.35 * F.col("confidence")) * F.col("x.penalty")
+    return d.select(key, "score", "confidence", _issue(F.col("x")).alias("issue"), F.col("x.phoneme").alias("issue_phone"), severity.alias("severity"))
 
 
 def align_frames(phones: DataFrame, key: str = "utterance_id", frame_ms: float = 10.0) -> DataFrame:
@@ -55,7 +84,7 @@ def align_frames(phones: DataFrame, key: str = "utterance_id", frame_ms: float =
     return d.withColumn("z", z + 0.0).withColumn("start_ms", F.rint(F.col("start") * frame_ms).cast("int")).withColumn("end_ms", F.rint(F.col("end") * frame_ms).cast("int"))
 
 
-def span_confidence(energy: "F.Column", mean_energy: "F.Column"):
+def span_confidence(energy: Column, mean_energy: Column) -> Column:
     """WN-08: confidence from a span's energy against itself and the mean."""
     ratio = F.when(mean_energy == 0, 1.0).otherwise(energy / (mean_energy + 1e-6))
     return F.greatest(F.lit(0.4), F.least(F.lit(0.98), F.round(0.72 + 0.18 * F.least(ratio, F.lit(1.2)), 3)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions.labels import expected_value
+from cadenza.functions.signal import rms
 
 
 def spectral_encoder(width: int, window: int) -> Callable:
@@ -34,6 +35,21 @@ def encode(df: DataFrame, samples: str, make: Callable, n: int, batch_size: int
     return df.withColumn("encoded", f(F.col(samples).cast("array<float>")))
 
 
+def encode_signals(df: DataFrame, samples: str, make: Callable, longest: int, window: int, width: int, rate: int, batch_size: int = 256) -> DataFrame:
+    """UDF-01 for signals of any length up to ``longest`` samples: ``encoded`` (flat, ``width`` numbers a frame),
+    ``n_frames``, ``frame_ms`` and ``frame_energy``, the RMS of each frame.
+
+    A batch needs one shape, so signals are padded with zeros for the encoder, and what it makes of the padding is cut off.
+    """
+    n = F.floor(F.least(F.size(samples), F.lit(longest)) / window).cast("int")
+    padded = F.slice(F.concat(F.col(samples), F.array_repeat(F.lit(0.0), longest)), 1, longest)
+    d = encode(df.withColumn("__padded", padded).withColumn("n_frames", n), "__padded", make, longest, batch_size)
+    starts = F.when(F.col("n_frames") > 0, F.sequence(F.lit(0), F.col("n_frames") - 1)).otherwise(F.array().cast("array<int>"))
+    energy = F.transform(starts, lambda i: rms(F.slice(samples, i * window + 1, window)))
+    d = d.withColumn("encoded", F.slice("encoded", F.lit(1), F.col("n_frames") * width)).drop("__padded")
+    return d.withColumn("frame_ms", F.lit(1000.0 * window / rate)).withColumn("frame_energy", energy)
+
+
 def fit_phone_scorer(features: DataFrame, label: str = "class_index", weight: str = "weight", iterations: int = 20):
     """ML-01: a weighted multinomial scorer on pooled features (``embedding`` arrays)."""
     data = features.withColumn("features", array_to_vector("embedding"))

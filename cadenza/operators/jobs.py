@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import labels as L
 from cadenza.functions import scorejson as J
 from cadenza.functions import scores as S
+from cadenza.functions import signal as G
 from cadenza.functions import text as X
-from cadenza.operators import assess, ledger, pooling, reports, sampling, words
+from cadenza.operators import assess, encoder, ledger, pooling, reports, sampling, verify, words
 from cadenza.sources import corpora
 
 
@@ -45,13 +48,20 @@ def scored_phone_labels(scored: DataFrame, word: str = "w") -> DataFrame:
 
 def phone_features(frames: DataFrame, spans: DataFrame, phones: DataFrame, width: int) -> DataFrame:
     """JOB-06: pooled spans with the neighbours, targets and confidences of their phones (utterance_id, index)."""
-    from pyspark.sql import Window
-
     near = Window.partitionBy("utterance_id").orderBy("index")
     p = phones.select("*", F.lag("phoneme").over(near).alias("prev_phoneme"), F.lead("phoneme").over(near).alias("next_phoneme"), L.alignment_confidence(F.col("source")).alias("alignment_confidence"), L.regression_target(F.col("human_score")).alias("regression_target"))
     return pooling.pool_spans(frames, spans, width).join(p, ["utterance_id", "index"])
 
 
+#: The key columns of report parts that have several rows.
+REPORT_KEYS = {
+    "confusion": ["true_class", "predicted_class"],
+    "histogram": ["class", "label"],
+    "interpretation": ["message"],
+    **{k: ["class"] for k in ("target", "predicted", "class", "percentiles", "percentiles_duration", "percentiles_presence", "percentiles_omission")},
+}
+
+
 def evaluation_v1(df: DataFrame, match: Column, duration: Column, presence: Column, match_target: Column, duration_target: Column, present: Column) -> DataFrame:
     """JOB-09: the first report as (section, key, metric, value) rows."""
     e = df.select(match.alias("m"), duration.alias("d"), presence.alias("p"), match_target.alias("mt"), duration_target.alias("dt"), present.alias("pt"))
@@ -67,10 +77,11 @@ def evaluation_v1(df: DataFrame, match: Column, duration: Column, presence: Colu
         "class": reports.class_stats(e, "tc", "pc", F.col("m"), F.col("mt"), F.col("p")),
         "percentiles": reports.percentiles(e, "tc", F.col("m")),
         "histogram": reports.histogram(e, "tc", F.col("m")),
-        "diagnostics": reports.diagnostics(e, "tc", "pc", F.col("m"), F.col("mt"), F.col("pt")).drop("messages"),
+        "percentiles_duration": reports.percentiles(e, "tc", F.col("d")),
+        "percentiles_presence": reports.percentiles(e, "tc", F.col("p")),
+        **reports.told(reports.diagnostics(e, "tc", "pc", F.col("m"), F.col("mt"), F.col("pt"))),
     }
-    keys = {"confusion": ["true_class", "predicted_class"], "target": ["class"], "predicted": ["class"], "class": ["class"], "percentiles": ["class"], "histogram": ["class", "label"]}
-    return reports.long_report(parts, keys)
+    return reports.long_report(parts, REPORT_KEYS)
 
 
 def evaluation_v2(df: DataFrame, class_pred: Column, class_target: Column, omission_prob: Column, expected: Column, score_target: Column, omitted: Column) -> DataFrame:
@@ -86,19 +97,60 @@ def evaluation_v2(df: DataFrame, class_pred: Column, class_target: Column, omiss
         "class": reports.class_stats(e, "tc", "pc", F.col("s"), F.col("t"), F.col("o")),
         "percentiles": reports.percentiles(e, "tc", F.col("s")),
         "histogram": reports.histogram(e, "tc", F.col("s")),
+        "percentiles_omission": reports.percentiles(e, "tc", F.col("o")),
+        "target": reports.class_rates(e, "tc"),
+        "predicted": reports.class_rates(e, "pc"),
+        **reports.told(reports.diagnostics(e, "tc", "pc", F.col("s"), F.col("t"), 1 - F.col("om"))),
     }
-    keys = {"confusion": ["true_class", "predicted_class"], "class": ["class"], "percentiles": ["class"], "histogram": ["class", "label"]}
-    return reports.long_report(parts, keys)
+    return reports.long_report(parts, REPORT_KEYS)
 
 
 def assess_words(recordings: DataFrame, phones: DataFrame, key: str) -> DataFrame:
-    """JOB-11: phone rows (z, energy, variance, late, alignment confidence, quality) to one assessment per recording."""
+    """JOB-11, its scoring half: phone rows (z, energy, variance, late, alignment confidence, quality) to one assessment per recording."""
     z, e, v = F.col("z"), F.col("energy"), F.col("variance")
-    p = phones.select("*", S.match_score(v, e).alias("match"), S.duration_score(z).alias("dur"), S.presence_score(z, e).alias("presence"), S.phone_confidence(F.col("alignment_confidence"), e, v).alias("confidence"))
+    p = phones.select(
+        "*", S.match_score(v, e).alias("match"), S.duration_score(z).alias("dur"), S.presence_score(z, e).alias("presence"),
+        S.phone_confidence(F.col("alignment_confidence"), e, v).alias("confidence"),
+    )
     p = p.withColumn("status", S.phone_status(F.col("match"), F.col("dur"), F.col("presence"), z, F.col("late")))
-    p = p.withColumn("severity", F.round(S.severity(F.col("match"), F.col("dur"), F.col("presence"), F.col("confidence")), 8))
-    out = recordings.select(key).join(assess.overall(p, key), key, "left").join(assess.primary_issue(recordings, p, key), key)
-    return out.select(key, F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "issue", F.col("phoneme").alias("issue_phone"))
+    return assess.assessments(recordings, p, key)
+
+
+def assess_recordings(recordings: DataFrame, lexicon: DataFrame, assets: DataFrame, make_encoder: Callable, samples: int, rate: int, frame: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """JOB-11, ST-01: recordings to (assessments, rejects).
+
+    ``recordings`` (recording_id, asked, samples): asked words are trimmed and lower-cased and looked up in
+    ``lexicon`` (word, lexicon_phones) and ``assets`` (word, asset_path; none: null). Rejected with a reason:
+    ``unknown_word``, ``too_short``, ``too_long``, ``too_few_frames``. The signal is normalised to its peak,
+    judged, cut to at most ``samples`` and encoded; frames are ``frame`` samples long and
+    ``width`` wide, and are dealt to phones in proportion and pooled within the row.
+    """
+    ms = G.duration_ms(F.col("samples"), rate)
+    r = recordings.select("recording_id", F.lower(F.trim("asked")).alias("word"), "samples").join(lexicon, "word", "left").join(assets, "word", "left")
+    r = r.withColumn("reason", F.coalesce(F.when(F.col("lexicon_phones").isNull(), "unknown_word"), G.length_reason(ms)))
+    r = r.withColumn("total_frames", F.floor(F.least(F.size("samples"), F.lit(samples)) / frame).cast("int"))
+    r = r.withColumn("reason", F.coalesce("reason", F.when(F.col("total_frames") < F.size("lexicon_phones"), "too_few_frames")))
+    good = r.where(F.col("reason").isNull()).drop("reason")
+    x = G.peak_normalise(F.col("samples"))
+    quality = S.quality_status(G.rms(F.col("samples")), G.clipping_ratio(F.col("samples")), G.silence_ratio(F.col("samples")))
+    good = good.select("recording_id", "word", "asset_path", "lexicon_phones", "total_frames", quality.alias("quality"), x.alias("x"))
+    good = encoder.encode_signals(good, "x", make_encoder, samples, frame, width, rate).drop("x")
+    phones = good.select("*", F.posexplode("lexicon_phones").alias("index", "phoneme"))
+    p = assess.align_frames(phones, "recording_id", frame_ms=1000.0 * frame / rate)
+    length = F.col("end") - F.col("start")
+    vector = F.slice("encoded", F.col("start") * width + 1, length * width)
+    energy = G.mean(F.slice("frame_energy", F.col("start") + 1, length))
+    p = p.withColumn("variance", pooling.variance(vector)).withColumn("energy", F.coalesce(energy, F.lit(0.0)))
+    confidence = assess.span_confidence(F.col("energy"), F.coalesce(G.mean(F.col("frame_energy")), F.lit(0.0)))
+    p = p.select("recording_id", "index", "phoneme", "z", "variance", "energy", F.lit(False).alias("late"), confidence.alias("alignment_confidence"), "quality")
+    out = assess_words(good, p, "recording_id").join(good.select("recording_id", "word", "asset_path", "quality"), "recording_id")
+    return out, r.where(F.col("reason").isNotNull()).select("recording_id", "word", "reason")
+
+
+def verify_features(features: DataFrame, aligned: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """JOB-07: (profile of each split with its ``broken_rows``, one row of totals against the aligned words)."""
+    broken = features.groupBy("split").agg(F.count_if(F.size(L.violated(rules)) > 0).alias("broken_rows"))
+    return verify.profile(features).join(broken, "split"), verify.reconcile(features, aligned)
 
 
 def plan_runs(specs: DataFrame, ledger_rows: DataFrame, present: DataFrame) -> DataFrame:
@@ -108,7 +160,17 @@ def plan_runs(specs: DataFrame, ledger_rows: DataFrame, present: DataFrame) -> D
     return d.withColumn("reason", L.first_reason({"missing_state": F.col("status").isNull(), "incomplete": F.col("status") != "complete", "missing_rows": F.col("__there").isNull()})).drop("__there")
 
 
-def epoch_plan(dense: DataFrame, split: str, order: str, batch: int, block_words: int, seed: int, epoch: int, mask_ratio: float) -> DataFrame:
-    """JOB-13: for every word its batch and its masked positions."""
-    d = words.block_shuffle(dense, split, order, batch, block_words, seed, epoch)
+def epoch_plan(dense: DataFrame, split: str, order: str, batch: int, block_words: int, seed: int, epoch: int, mask_ratio: float, negatives: float = 0.0, multiplier: int = 8) -> DataFrame:
+    """JOB-13: for every word its block and batch, its batch among words of like length, padded ids with their mask of
+    real positions, ids, targets and presence after augmentation, and its masked positions.
+
+    ``dense`` has ``phoneme_ids``, ``match_targets``, ``presence_targets``, ``acoustic_flat`` and ``seq_len``.
+    """
+    d = words.block_shuffle(dense, split, order, batch, block_words, seed, epoch).drop("rn")
+    d = words.length_batches(d, split, order, batch, multiplier).withColumnRenamed("batch", "length_batch").drop("rn")
+    if negatives:
+        d = sampling.negative_words(d, negatives, seed + epoch, order)
+    widest = F.max("seq_len").over(Window.partitionBy(split, "bucket", "length_batch"))  # a batch of words
+    d = d.withColumn("width", widest).withColumn("padded_ids", words.pad(F.col("phoneme_ids"), F.col("width"), F.lit(0)))
+    d = d.withColumn("valid", words.valid_mask(F.col("seq_len"), F.col("width")))
     return sampling.mask_positions(d, mask_ratio, 1, seed + epoch, key=order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,14 @@ def pool_spans(frames: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     return out.select("utterance_id", "index", F.coalesce("m", zero).alias("mean_embedding"), F.coalesce("variance", F.lit(0.0)).alias("variance"), F.coalesce("e", F.lit(0.0)).alias("energy"), F.coalesce("n", F.lit(0)).cast("int").alias("frame_count"))
 
 
+def variance(values: Column) -> Column:
+    """The population variance of an array's values, 0 for an empty one."""
+    n = F.size(values)
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    square = F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return F.when(n > 0, F.greatest(F.lit(0.0), square / n - (total / n) * (total / n))).otherwise(0.0)
+
+
 def masked_error(df: DataFrame, key: str, prediction: str, target: str, mask: str) -> DataFrame:
     """AG-22: mean squared error over masked rows; a group with nothing masked is an error."""
     mse = F.aggregate(F.zip_with(prediction, target, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size(target)

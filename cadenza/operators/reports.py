@@ -52,12 +52,32 @@ def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
     return d.withColumn("rate", rate(F.col("n"), F.sum("n").over(Window.partitionBy("true_class"))))
 
 
-def percentiles(df: DataFrame, by: str, value: Column, approximate: bool = False) -> DataFrame:
-    """AG-14: linear percentiles for each class. ``approximate`` keeps a sketch instead of a histogram of values."""
-    ps = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    f = F.percentile_approx(value, ps) if approximate else F.percentile(value, ps)
-    d = df.groupBy(F.col(by).alias("class")).agg(f.alias("p"))
-    return d.select("class", *[F.get("p", F.lit(i)).alias(f"p{p}") for i, p in enumerate(PERCENTILES)])
+def percentiles(df: DataFrame, by: str, value: Column, approximate: bool = False, bin_width: float = 1.0) -> DataFrame:
+    """AG-14: linear percentiles for each class, exact at any size.
+
+    Values are counted, equal ones together; counts of bins of ``bin_width`` place every bin's values in
+    the class's order, and running sums within a bin place each value, so no class meets in one task.
+    With ``approximate`` a sketch of each class gives them in one aggregation.
+    """
+    if approximate:
+        p = F.percentile_approx(value, F.array(*[F.lit(p / 100) for p in PERCENTILES]))
+        d = df.groupBy(F.col(by).alias("class")).agg(p.alias("p"))
+        return d.select("class", *[F.get("p", F.lit(i)).alias(f"p{p}") for i, p in enumerate(PERCENTILES)])
+    v = df.select(F.col(by).alias("class"), value.cast("double").alias("v"))
+    v = v.groupBy("class", F.floor(F.col("v") / bin_width).alias("b"), "v").agg(F.count("v").alias("n"))
+    bins = v.groupBy("class", "b").agg(F.sum("n").alias("m"))  # as many rows as bins
+    bins = bins.select(
+        "class", "b", (F.sum("m").over(Window.partitionBy("class").orderBy("b")) - F.col("m")).alias("before"),
+        (F.sum("m").over(Window.partitionBy("class")) - 1).alias("last"),
+    )
+    upto = F.sum("n").over(Window.partitionBy("class", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = v.withColumn("upto", upto).join(bins, (v["class"].eqNullSafe(bins["class"])) & (v["b"].eqNullSafe(bins["b"]))).drop(bins["class"]).drop(bins["b"])
+    end = F.col("before") + F.col("upto")
+    at = lambda rank: F.max(F.when((rank < end) & (rank >= end - F.col("n")), F.col("v")))
+    place = {p: F.col("last") * (p / 100) for p in PERCENTILES}
+    ends = [x.alias(f"{side}{p}") for p, h in place.items() for side, x in (("lo", at(F.floor(h))), ("hi", at(F.ceil(h))))]
+    d = placed.groupBy("class").agg(*ends, F.first("last").alias("last"))
+    return d.select("class", *[(F.col(f"lo{p}") + (F.col(f"hi{p}") - F.col(f"lo{p}")) * (h - F.floor(h))).alias(f"p{p}") for p, h in place.items()])
 
 
 def histogram(df: DataFrame, by: str, value: Column, bucket: int = 10, upper: int = 100) -> DataFrame:
@@ -100,20 +120,27 @@ MESSAGES = {
 
 
 def diagnostics(df: DataFrame, true: str, predicted: str, score: Column, target: Column, present: Column) -> DataFrame:
-    """AG-19: one row with the separation of class means, four flags and their messages."""
-    right, wrong = CLASSES[2], CLASSES[0]
+    """AG-19: one row with the three separations of class means, four flags and their messages."""
+    wrong, middle, right = CLASSES
     m = df.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(predicted) == right).alias("called"), F.avg(F.when(F.col(true) == right, score)).alias("mc"), F.avg(F.when(F.col(true) == wrong, score)).alias("mw"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(predicted) == right).alias("called"), F.avg(F.when(F.col(true) == right, score)).alias("mc"), F.avg(F.when(F.col(true) == wrong, score)).alias("mw"), F.avg(F.when(F.col(true) == middle, score)).alias("ma"),
         F.count_if(present != 1).alias("omitted"), F.avg(score).alias("mx"), F.avg(target).alias("my"), F.avg(score * target).alias("mxy"), F.stddev_pop(score).alias("sx"), F.stddev_pop(target).alias("sy"),
     )
     r = F.when((F.col("n") < 2) | (F.col("sx") == 0) | (F.col("sy") == 0), F.lit(NAN)).otherwise(F.try_divide(F.col("mxy") - F.col("mx") * F.col("my"), F.col("sx") * F.col("sy")))
     sep = F.coalesce(F.col("mc") - F.col("mw"), F.lit(NAN))
     below = lambda c, v: ~F.isnan(c) & (c < v)  # noqa: E731  NaN is not below anything
-    m = m.select(sep.alias("separation"), (F.col("called") == F.col("n")).alias("all_correct"), below(r, 0.3).alias("weak"), below(sep, 5.0).alias("collapsed"), (F.col("omitted") == 0).alias("uninformative"))
+    upper, lower = F.coalesce(F.col("mc") - F.col("ma"), F.lit(NAN)), F.coalesce(F.col("ma") - F.col("mw"), F.lit(NAN))
+    m = m.select(sep.alias("separation"), upper.alias("separation_correct_accented"), lower.alias("separation_accented_wrong"), (F.col("called") == F.col("n")).alias("all_correct"), below(r, 0.3).alias("weak"), below(sep, 5.0).alias("collapsed"), (F.col("omitted") == 0).alias("uninformative"))
     told = F.filter(F.array(*[F.when(F.col(k), F.lit(v)) for k, v in MESSAGES.items()]), lambda x: x.isNotNull())
     return m.withColumn("messages", F.when(F.size(told) > 0, F.array_join(told, "; ")).otherwise("no collapse found"))
 
 
+def told(diagnosis: DataFrame) -> dict[str, DataFrame]:
+    """The numbers of the diagnostics and their messages, a row each, as two report parts."""
+    message = F.explode(F.split("messages", "; ")).alias("message")
+    return {"diagnostics": diagnosis.drop("messages"), "interpretation": diagnosis.select(message, F.lit(1).alias("told"))}
+
+
 def class_weights(df: DataFrame, column: str) -> DataFrame:
     """AG-20: inverse frequencies with counts of at least one, scaled to mean 1."""
     n = df.groupBy(F.col(column).alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -44,6 +44,29 @@ def negative_samples(df: DataFrame, p: float, seed: int, keys: tuple[str, ...] =
     return d.withColumn("new_id", F.when(is_sub, other).otherwise(F.col(phone_id)).cast("int")).withColumn("new_target", F.when(is_sub, 15.0).when(is_om, 0.0).otherwise(F.col("target"))).withColumn("new_presence", F.when(is_om, 0).otherwise(F.col("presence")))
 
 
+def negative_words(dense: DataFrame, p: float, seed: int, key: str = "utterance_id", vocabulary: int = 41) -> DataFrame:
+    """WN-13 on dense words: every position by its own draw; a substitution changes id and target, an omission clears
+    presence, target and the position's whole acoustic vector. Adds ``augmented``, the kind at each position.
+    """
+    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(key), i), F.lit(1_000_000)) / 1_000_000.0
+    kinds = F.transform("phoneme_ids", lambda x, i: F.when(draw(i) < p / 2, "substitution").when(draw(i) < p, "omission").otherwise(""))
+    d = dense.withColumn("augmented", kinds)
+    kind = lambda i: F.get(F.col("augmented"), i)
+
+    def other(x: Column, i: Column) -> Column:
+        pick = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), i), F.lit(vocabulary - 3)) + 2
+        return F.when(pick >= x, pick + 1).otherwise(pick).cast("int")
+
+    each = F.size("acoustic_flat") / F.greatest(F.lit(1), F.size("phoneme_ids"))
+    where = lambda i: F.floor(i / each).cast("int")
+    return (
+        d.withColumn("acoustic_flat", F.transform("acoustic_flat", lambda v, i: F.when(kind(where(i)) == "omission", 0.0).otherwise(v)))
+        .withColumn("phoneme_ids", F.transform("phoneme_ids", lambda x, i: F.when(kind(i) == "substitution", other(x, i)).otherwise(x)))
+        .withColumn("match_targets", F.transform("match_targets", lambda x, i: F.when(kind(i) == "substitution", 15.0).when(kind(i) == "omission", 0.0).otherwise(x)))
+        .withColumn("presence_targets", F.transform("presence_targets", lambda x, i: F.when(kind(i) == "omission", 0).otherwise(x)))
+    )
+
+
 def mask_count(n: Column, ratio: float, min_masks: int) -> Column:
     """WN-14: min(n, max(min_masks if ratio > 0 else 0, rint(n * ratio)))."""
     return F.least(n, F.greatest(F.lit(min_masks if ratio > 0 else 0), F.rint(n * ratio).cast("int"))).cast("int")

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def profile(features: DataFrame) -> DataFrame:
-    """AG-05: one row per split in a single aggregation."""
-    first = F.min_by("phoneme", F.struct("utterance_id", "index"))
-    return features.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("utterance_id").alias("utterances"), F.min("frames").alias("min_frames"), F.max("frames").alias("max_frames"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), first.alias("sample"))
+def profile(features: DataFrame, embedding: str | None = None, shard: str | None = None, group: str | None = None) -> DataFrame:
+    """AG-05: one row per split in a single aggregation, with the first row as ``sample_row`` (JSON).
+
+    ``shard`` adds ``shards``, how many there are; ``embedding`` adds ``widths``, a map of vector widths to row
+    counts; ``group`` adds ``group_runs``, the number of adjacent runs of that column (AG-06) within utterances.
+    """
+    first = F.struct("utterance_id", "index")
+    more = []
+    if shard:
+        more.append(F.count_distinct(shard).alias("shards"))
+    d = features.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("utterance_id").alias("utterances"), F.min("frames").alias("min_frames"), F.max("frames").alias("max_frames"),
+        F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.min_by("phoneme", first).alias("sample"),
+        F.min_by(F.to_json(F.struct("utterance_id", "index", "phoneme", "duration_ms", "frames")), first).alias("sample_row"), *more,
+    )
+    if embedding:
+        n = features.groupBy("split", F.size(embedding).alias("width")).agg(F.count(F.lit(1)).alias("n"))
+        d = d.join(n.groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("width", "n")))).alias("widths")), "split", "left")
+    if group:
+        before = F.lag(group).over(Window.partitionBy("split", "utterance_id").orderBy("index"))
+        turns = features.select("split", F.col(group).alias("g"), before.alias("p"))
+        runs = turns.groupBy("split").agg(F.count_if(F.col("p").isNull() | (F.col("g") != F.col("p"))).alias("group_runs"))
+        d = d.join(runs, "split", "left")
+    return d
 
 
 def reconcile(features: DataFrame, aligned: DataFrame) -> DataFrame:

@@ -16,13 +16,27 @@ from cadenza.functions.constants import ACOUSTIC_WIDTH
 from cadenza.session import scratch
 
 
-def assemble_words(phones: DataFrame) -> DataFrame:
-    """AG-08: phone rows to one row per word, arrays in index order and ``seq_len``."""
+def assemble_words(phones: DataFrame, embedding: str | None = None, width: int = ACOUSTIC_WIDTH) -> DataFrame:
+    """AG-08: phone rows to one row per word, arrays in index order and ``seq_len``.
+
+    With ``embedding`` (a column of vectors) and a ``z`` column, ``acoustic_flat`` holds the acoustic vectors
+    of FN-24, ``width`` numbers for each phone; without, variance and energy alone.
+    """
     target = L.regression_target(F.col("human_score"))
-    row = F.struct("index", "phoneme", L.phoneme_id(F.col("phoneme")).alias("id"), target.alias("target"), (1 - F.col("omission").cast("int")).alias("presence"), "duration_ms", "variance", "energy")
+    if embedding:
+        acoustic = acoustic_vector(F.col(embedding), F.col("variance"), F.col("z"), F.col("energy"), width)
+    else:
+        acoustic = F.array("variance", "energy")
+    row = F.struct(
+        "index", "phoneme", L.phoneme_id(F.col("phoneme")).alias("id"), target.alias("target"),
+        (1 - F.col("omission").cast("int")).alias("presence"), "duration_ms", acoustic.alias("acoustic"),
+    )
     g = phones.groupBy("utterance_id").agg(F.array_sort(F.collect_list(row)).alias("r"), F.first("speaker_id").alias("speaker_id"), F.first("split").alias("split"))
     pick = lambda name: F.transform("r", lambda x: x[name])
-    return g.select("utterance_id", "speaker_id", "split", pick("phoneme").alias("phones"), pick("id").alias("phoneme_ids"), pick("target").alias("match_targets"), pick("target").alias("duration_targets"), pick("presence").alias("presence_targets"), F.flatten(F.transform("r", lambda x: F.array(x["variance"], x["energy"]))).alias("acoustic_flat"), F.size("r").alias("seq_len"))
+    return g.select(
+        "utterance_id", "speaker_id", "split", pick("phoneme").alias("phones"), pick("id").alias("phoneme_ids"), pick("target").alias("match_targets"),
+        pick("target").alias("duration_targets"), pick("presence").alias("presence_targets"), F.flatten(pick("acoustic")).alias("acoustic_flat"), F.size("r").alias("seq_len"),
+    )
 
 
 def acoustic_vector(embedding: Column, variance: Column, z: Column, energy: Column, width: int = ACOUSTIC_WIDTH) -> Column:

@@ -10,7 +10,7 @@ from cadenza.functions import text as X
 from cadenza.operators import reports as R
 from cadenza.operators import runs, verify
 from cadenza.plans import views as V
-from cadenza.plans.q_functions import SCORES_SQL, scored
+from cadenza.plans.q_functions import PENALTY_SQL, SCORES_SQL, scored
 from cadenza.plans.registry import query
 from cadenza.plans.views import r6
 
@@ -49,9 +49,28 @@ def ag_04(spark, sf):
     return runs.scan_statistics(V.doc_paths(spark, sf).withColumn("transcript", F.when(has, F.col("text"))), "transcript")
 
 
-@query("ag_05_feature_profile", f"WITH {V.PHONES_SQL} SELECT split, count(*) AS rows, count(DISTINCT utterance_id) AS utterances, min(frames) AS min_frames, max(frames) AS max_frames, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, first(phoneme ORDER BY utterance_id, index) AS sample FROM phones GROUP BY split")
+PROFILE_SQL = """
+SELECT split, count(*) AS rows, count(DISTINCT utterance_id) AS utterances, min(frames) AS min_frames, max(frames) AS max_frames,
+  min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, first(phoneme ORDER BY utterance_id, index) AS sample,
+  first('{"utterance_id":' || utterance_id || ',"index":' || index || ',"phoneme":"' || phoneme || '","duration_ms":' || duration_ms || ',"frames":' || frames || '}'
+    ORDER BY utterance_id, index) AS sample_row,
+  count(DISTINCT utterance_id % 7) AS shards, count(*) FILTER (index % 3 = 0) AS width_1, count(*) FILTER (index % 3 <> 0) AS width_2,
+  count(*) FILTER (p IS NULL OR p <> source) AS group_runs
+FROM (SELECT *, lag(source) OVER (PARTITION BY split, utterance_id ORDER BY index) AS p FROM phones) GROUP BY split
+"""
+
+
+def profiled(spark, sf):
+    vector = F.when(F.col("index") % 3 == 0, F.array("variance")).otherwise(F.array("variance", "energy"))
+    p = V.phones(spark, sf).withColumn("vector", vector).withColumn("shard", F.col("utterance_id") % 7)
+    d = verify.profile(p, embedding="vector", shard="shard", group="source")
+    width = lambda n: F.coalesce(F.try_element_at("widths", F.lit(n)), F.lit(0))
+    return d.withColumn("width_1", width(1)).withColumn("width_2", width(2)).drop("widths")
+
+
+@query("ag_05_feature_profile", f"WITH {V.PHONES_SQL} {PROFILE_SQL}")
 def ag_05(spark, sf):
-    return verify.profile(V.phones(spark, sf))
+    return profiled(spark, sf)
 
 
 @query("ag_06_adjacent_runs", f"WITH {V.EVENTS_SQL}, l AS (SELECT speaker_id, audio_path, lag(audio_path) OVER (PARTITION BY speaker_id ORDER BY recording_id) AS p FROM events_v) SELECT speaker_id, count(*) FILTER (p IS NULL OR p <> audio_path) AS runs FROM l GROUP BY 1")
@@ -136,10 +155,23 @@ def ag_18(spark, sf):
     return v1(spark, sf).agg(r6(F.avg(F.when(F.col("tc") == F.col("pc"), 1.0).otherwise(0.0))).alias("accuracy"))
 
 
-@query("ag_19_diagnostics", f"WITH {V1_SQL}, m AS (SELECT avg(match_pred) FILTER (tc = 'correct') - avg(match_pred) FILTER (tc = 'wrong_or_missed') AS s, corr(match_pred, match_target) AS r, bool_and(pc = 'correct') AS a, count(*) FILTER (presence_target <> 1) = 0 AS u FROM e) SELECT round(s, 6) AS separation, a AS all_correct, r < 0.3 AS weak, s < 5 AS collapsed, u AS uninformative, coalesce(nullif(concat_ws('; ', CASE WHEN a THEN '{R.MESSAGES['all_correct']}' END, CASE WHEN s < 5 THEN '{R.MESSAGES['collapsed']}' END, CASE WHEN r < 0.3 THEN '{R.MESSAGES['weak']}' END, CASE WHEN u THEN '{R.MESSAGES['uninformative']}' END), ''), 'no collapse found') AS messages FROM m")
+MEANS_SQL = ", ".join(f"avg(match_pred) FILTER (tc = '{c}') AS m{i}" for i, c in enumerate(("wrong_or_missed", "accented", "correct")))
+
+
+@query("ag_19_diagnostics", f"""
+WITH {V1_SQL},
+m AS (SELECT {MEANS_SQL}, corr(match_pred, match_target) AS r, bool_and(pc = 'correct') AS a, count(*) FILTER (presence_target <> 1) = 0 AS u FROM e)
+SELECT round(m2 - m0, 6) AS separation, round(m2 - m1, 6) AS separation_correct_accented, round(m1 - m0, 6) AS separation_accented_wrong,
+  a AS all_correct, r < 0.3 AS weak, m2 - m0 < 5 AS collapsed, u AS uninformative,
+  coalesce(nullif(concat_ws('; ', CASE WHEN a THEN '{R.MESSAGES['all_correct']}' END, CASE WHEN m2 - m0 < 5 THEN '{R.MESSAGES['collapsed']}' END,
+    CASE WHEN r < 0.3 THEN '{R.MESSAGES['weak']}' END, CASE WHEN u THEN '{R.MESSAGES['uninformative']}' END), ''), 'no collapse found') AS messages
+FROM m
+""")
 def ag_19(spark, sf):
     d = R.diagnostics(v1(spark, sf), "tc", "pc", F.col("match_pred"), F.col("match_target"), F.col("presence_target"))
-    return d.withColumn("separation", r6(F.col("separation")))
+    for c in ("separation", "separation_correct_accented", "separation_accented_wrong"):
+        d = d.withColumn(c, r6(F.col(c)))
+    return d
 
 
 @query("ag_20_class_weights", f"WITH {V1_SQL}, n AS (SELECT tc AS class, count(*) AS n FROM e GROUP BY 1), w AS (SELECT class, n, sum(n) OVER () / (3.0 * n) AS w FROM n) SELECT class, n, round(w / avg(w) OVER (), 6) AS weight FROM w")
@@ -155,8 +187,26 @@ overall AS (SELECT utterance_id, greatest(0, least(100, CAST(round_even(round(su
 def ag_21(spark, sf):
     from cadenza.operators.assess import overall
 
-    p = scored(spark, sf).withColumn("quality", F.when(F.col("utterance_id") % 3 == 0, "ok").when(F.col("utterance_id") % 3 == 1, "low_confidence").otherwise("rejected"))
-    return overall(p, "utterance_id", digits=9)
+    return overall(with_quality(scored(spark, sf)), "utterance_id", digits=9)
+
+
+def with_quality(p):
+    k = F.col("utterance_id") % 3
+    return p.withColumn("quality", F.when(k == 0, "ok").when(k == 1, "low_confidence").otherwise("rejected"))
+
+
+@query("fn_31_severity", f"""
+WITH {OVERALL_SQL}
+SELECT s.utterance_id, s.index, round((0.65::DOUBLE + 0.35::DOUBLE * o.confidence) * {PENALTY_SQL}, 4) AS severity
+FROM scored s JOIN overall o USING (utterance_id)
+""")
+def fn_31(spark, sf):
+    from cadenza.operators.assess import overall
+
+    p = with_quality(scored(spark, sf))
+    confidence = overall(p, "utterance_id", digits=9).select("utterance_id", F.col("confidence").alias("overall"))
+    severity = S.severity(F.col("match"), F.col("dur"), F.col("presence"), F.col("overall"))
+    return p.join(confidence, "utterance_id").select("utterance_id", F.col("index").cast("long").alias("index"), F.round(severity, 4).alias("severity"))
 
 
 @query("ag_22_masked_error", f"WITH {V.FRAMES_SQL}, e AS (SELECT utterance_id, list_sum(list_transform(list_zip(vector, list_reverse(vector)), lambda z: (z[1] - z[2]) ** 2)) / len(vector) AS mse FROM frames WHERE frame % 3 = 0) SELECT utterance_id, round(avg(mse), 6) AS loss FROM e GROUP BY 1")

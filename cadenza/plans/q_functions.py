@@ -201,11 +201,11 @@ def scored(spark, sf):
     z, e, v = F.col("z"), F.col("energy"), F.col("variance")
     p = p.select("*", S.match_score(v, e).alias("match"), S.duration_score(z).alias("dur"), S.presence_score(z, e).alias("presence"), S.phone_confidence(F.col("conf0"), e, v).alias("confidence"))
     status = S.phone_status(F.col("match"), F.col("dur"), F.col("presence"), z, F.col("late"))
-    return p.withColumn("status", status).withColumn("severity", S.severity(F.col("match"), F.col("dur"), F.col("presence"), F.col("confidence")))
+    return p.withColumn("status", status)
 
 
 STATUS_SQL = "CASE WHEN presence < 45 THEN 'possibly_missing' WHEN match < 58 THEN 'low_match' WHEN late THEN 'late_start' WHEN dur < 58 AND z < 0 THEN 'too_short' WHEN dur < 58 AND z > 0 THEN 'too_long' WHEN presence < 70 OR match < 70 THEN 'weak' ELSE 'ok' END"
-SEVERITY_SQL = "(0.65::DOUBLE + 0.35::DOUBLE * confidence) * ((100 - match) + 0.75::DOUBLE * (100 - presence) + 0.45::DOUBLE * (100 - dur))"
+PENALTY_SQL = "((100 - match) + 0.75::DOUBLE * (100 - presence) + 0.45::DOUBLE * (100 - dur))"
 
 
 @query("fn_29_phone_scores", f"WITH {SCORES_SQL} SELECT utterance_id, index, match, dur, presence, round(confidence, 3) AS confidence FROM scored")
@@ -216,8 +216,3 @@ def fn_29(spark, sf):
 @query("fn_30_phone_status", f"WITH {SCORES_SQL} SELECT {STATUS_SQL} AS status, count(*) AS n FROM scored GROUP BY 1")
 def fn_30(spark, sf):
     return scored(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("fn_31_severity", f"WITH {SCORES_SQL} SELECT utterance_id, index, round({SEVERITY_SQL}, 8) AS severity FROM scored")
-def fn_31(spark, sf):
-    return scored(spark, sf).select("utterance_id", F.col("index").cast("long").alias("index"), F.round("severity", 8).alias("severity"))

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import labels as L
 from cadenza.functions import text as X
-from cadenza.operators import align, jobs, verify
+from cadenza.functions.constants import ACOUSTIC_WIDTH, ENCODER_WIDTH
+from cadenza.operators import align, encoder, jobs
 from cadenza.operators import reports as R
 from cadenza.operators import words as O
 from cadenza.plans import views as V
-from cadenza.plans.q_aggregates import DIM_SQL, OVERALL_SQL, SPLIT_SQL, STATS_SQL, V1_SQL
-from cadenza.plans.q_functions import SEVERITY_SQL, STATUS_SQL
+from cadenza.plans.q_aggregates import DIM_SQL, OVERALL_SQL, SPLIT_SQL, V1_SQL, with_quality
+from cadenza.plans.q_functions import PENALTY_SQL, STATUS_SQL
 from cadenza.plans.q_joins import IV_SQL, SIDECAR_SQL, intervals, lexicon, score_words, sidecars
 from cadenza.plans.registry import query
 from cadenza.plans.views import r6
-from cadenza.session import table
-from cadenza.sources import sinks
+
+PHONE_ROWS = "utterance_id long, index int, split string, phoneme string, duration_ms int, human_score double"
+from cadenza.session import scratch, table
+from cadenza.sources import corpora, sinks
 
 
 @query("job_01_prepare_read_speech", f"WITH {V.DOCS_SQL} SELECT utterance_id, speaker_id, {SPLIT_SQL} AS split, regexp_replace(audio_path, '\\.wav$', '') || {SIDECAR_SQL} AS transcript_path, CASE WHEN {SIDECAR_SQL} IS NULL THEN 'missing_transcript' WHEN trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) = '' THEN 'empty_transcript' END AS reason FROM docs")
@@ -69,23 +72,63 @@ def job_06(spark, sf):
     return f.select("utterance_id", "index", "phoneme", "prev_phoneme", "next_phoneme", r6(F.col("regression_target")).alias("regression_target"), r6(F.col("variance")).alias("variance"))
 
 
-@query("job_07_verify_features", f"WITH {V.PHONES_SQL} SELECT split, count(*) AS rows, count(DISTINCT utterance_id) AS utterances, 0 AS row_delta, true AS matches FROM phones GROUP BY 1")
+@query("job_07_verify_features", f"""
+WITH {V.PHONES_SQL}, written AS (SELECT * FROM phones WHERE NOT (utterance_id % 13 = 0 AND index = 0)),
+bad AS (SELECT split, count(*) FILTER (human_score > 1.8 OR frames < 2) AS broken FROM written GROUP BY 1)
+SELECT w.split, count(*) AS rows, count(DISTINCT utterance_id) AS utterances, any_value(broken) AS broken_rows,
+  CAST((SELECT count(*) FROM written) - (SELECT count(*) FROM phones) AS BIGINT) AS row_delta,
+  (SELECT count(*) FROM phones WHERE utterance_id % 13 = 0 AND index = 0) = 0 AS matches
+FROM written w JOIN bad USING (split) GROUP BY w.split
+""")
 def job_07(spark, sf):
+    path = scratch(spark, "verify")
     p = V.phones(spark, sf)
-    r = verify.reconcile(p, V.words(spark, sf)).select(F.col("row_delta").cast("int").alias("row_delta"), "matches")
-    return verify.profile(p).select("split", "rows", "utterances").join(F.broadcast(r))  # r is one row
-
-
-@query("job_08_dense_table", f"WITH {V.PHONES_SQL}, w AS (SELECT utterance_id, first(split) AS split, count(*) AS seq_len, round(sum(variance + energy), 6) AS total FROM phones GROUP BY 1) SELECT utterance_id, CAST(seq_len AS INT) AS seq_len, total, CAST(sum(seq_len) OVER (PARTITION BY split ORDER BY utterance_id ROWS UNBOUNDED PRECEDING) - seq_len AS BIGINT) AS row_offset FROM w")
+    sinks.write_shards(p.where(~((F.col("utterance_id") % 13 == 0) & (F.col("index") == 0))), path, 20_000)
+    rules = {"human_score": F.col("human_score") <= 1.8, "frames": F.col("frames") >= 2}
+    profile, totals = jobs.verify_features(corpora.feature_shards(spark, path, PHONE_ROWS + ", frames int"), V.words(spark, sf), rules)
+    totals = totals.select("row_delta", "matches")  # one row
+    return profile.select("split", "rows", "utterances", "broken_rows").join(F.broadcast(totals))
+
+
+@query("job_08_dense_table", f"""
+WITH {V.PHONES_SQL},
+v AS (SELECT *, (frames - 25) / 20.0::DOUBLE AS z FROM phones),
+w AS (SELECT utterance_id, first(split) AS split, count(*) AS seq_len, round(sum(variance + energy + z + human_score + index), 6) AS total FROM v GROUP BY 1)
+SELECT utterance_id, CAST(seq_len AS INT) AS seq_len, CAST(seq_len * 771 AS INT) AS flat, total,
+  CAST(sum(seq_len) OVER (PARTITION BY split ORDER BY utterance_id ROWS UNBOUNDED PRECEDING) - seq_len AS BIGINT) AS row_offset
+FROM w
+""")
 def job_08(spark, sf):
-    d = O.two_level_offsets(V.words(spark, sf), "split", "utterance_id", "seq_len")
-    return d.select("utterance_id", "seq_len", r6(F.aggregate("acoustic_flat", F.lit(0.0), lambda s, x: s + x)).alias("total"), F.col("offset").alias("row_offset"))
+    path = scratch(spark, "dense")
+    # a phone's embedding: its score and index, then zeros, 768 wide
+    vector = F.concat(F.array(F.col("human_score"), F.col("index").cast("double")), F.array_repeat(F.lit(0.0), ENCODER_WIDTH - 2))
+    p = V.phones(spark, sf).withColumn("z", (F.col("frames") - 25) / 20.0).withColumn("mean_embedding", vector)
+    manifest = sinks.write_dense_words(p, path, embedding="mean_embedding", width=ACOUSTIC_WIDTH)
+    d = corpora.dense_words(spark, path, ["utterance_id", "split", "seq_len", "acoustic_flat"], manifest["num_utterances"], manifest["acoustic_dim"])
+    d = d.select("utterance_id", "split", "seq_len", F.size("acoustic_flat").alias("flat"), r6(F.aggregate("acoustic_flat", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    return O.two_level_offsets(d, "split", "utterance_id", "seq_len").withColumnRenamed("offset", "row_offset").drop("split")
 
 
 def long_sql(section: str, key: str, metrics: dict[str, str], source: str) -> str:
     return " UNION ALL ".join(f"SELECT '{section}' AS section, {key} AS key, '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM {source}" for m, x in metrics.items())
 
 
+def percentile_part(section: str, value: str) -> str:
+    return long_sql(section, "tc", {f"p{p}": f"p{p}" for p in R.PERCENTILES}, PCT.format(value))
+
+
+def diagnostic_parts(score: str, target: str, omitted: str) -> list[str]:
+    mean = lambda c: f"avg({score}) FILTER (tc = '{c}')"
+    right, middle, wrong = mean("correct"), mean("accented"), mean("wrong_or_missed")
+    flag = lambda x: f"CASE WHEN {x} THEN 1 ELSE 0 END"
+    flags = {"all_correct": "bool_and(pc = 'correct')", "collapsed": f"{right} - {wrong} < 5", "weak": f"corr({score}, {target}) < 0.3", "uninformative": f"count(*) FILTER ({omitted}) = 0"}
+    numbers = {"separation": f"{right} - {wrong}", "separation_correct_accented": f"{right} - {middle}", "separation_accented_wrong": f"{middle} - {wrong}"}
+    told = [f"SELECT 'interpretation' AS section, '{R.MESSAGES[k]}' AS key, 'told' AS metric, 1.0::DOUBLE AS value FROM e HAVING {x}" for k, x in flags.items()]
+    none = " AND ".join(f"NOT ({x})" for x in flags.values())
+    told.append(f"SELECT 'interpretation' AS section, 'no collapse found' AS key, 'told' AS metric, 1.0::DOUBLE AS value FROM e HAVING {none}")
+    return [long_sql("diagnostics", "'all'", numbers | {k: flag(x) for k, x in flags.items()}, "e"), *told]
+
+
 CELL = "(SELECT d.class AS tc, p.class AS pc, (SELECT count(*) FROM e WHERE e.tc = d.class AND e.pc = p.class) AS n, (SELECT count(*) FROM e WHERE e.tc = d.class) AS total FROM {0} CROSS JOIN (VALUES ('wrong_or_missed'), ('accented'), ('correct')) p(class))".format(DIM_SQL)
 COUNTS = "(SELECT d.class, (SELECT count(*) FROM e WHERE e.{0} = d.class) AS n, (SELECT count(*) FROM e) AS total FROM " + DIM_SQL + ")"
 HIST = "(SELECT g.class, printf('%02d-%02d', g.bin, g.bin + 9) AS label, (SELECT count(*) FROM e WHERE e.tc = g.class AND CAST(floor(greatest(0, least(100 - 1e-6, e.{0})) / 10) * 10 AS INT) = g.bin) AS n FROM (SELECT class, unnest(range(0, 100, 10)) AS bin FROM (SELECT DISTINCT tc AS class FROM e)) g)"
@@ -116,9 +159,11 @@ PARTS_1 = [
     long_sql("target", "class", {"n": "n", "rate": "n / greatest(1, total)"}, COUNTS.format("tc")),
     long_sql("predicted", "class", {"n": "n", "rate": "n / greatest(1, total)"}, COUNTS.format("pc")),
     class_part("match_pred", "match_target", "presence_prob"),
-    long_sql("percentiles", "tc", {f"p{p}": f"p{p}" for p in R.PERCENTILES}, PCT.format("match_pred")),
+    percentile_part("percentiles", "match_pred"),
+    percentile_part("percentiles_duration", "duration_pred"),
+    percentile_part("percentiles_presence", "presence_prob"),
     long_sql("histogram", "class || '/' || label", {"n": "n"}, HIST.format("match_pred")),
-    long_sql("diagnostics", "'all'", {"separation": "avg(match_pred) FILTER (tc = 'correct') - avg(match_pred) FILTER (tc = 'wrong_or_missed')", "all_correct": "CASE WHEN bool_and(pc = 'correct') THEN 1 ELSE 0 END", "weak": "CASE WHEN corr(match_pred, match_target) < 0.3 THEN 1 ELSE 0 END", "collapsed": "CASE WHEN avg(match_pred) FILTER (tc = 'correct') - avg(match_pred) FILTER (tc = 'wrong_or_missed') < 5 THEN 1 ELSE 0 END", "uninformative": "CASE WHEN count(*) FILTER (presence_target <> 1) = 0 THEN 1 ELSE 0 END"}, "e"),
+    *diagnostic_parts("match_pred", "match_target", "presence_target <> 1"),
 ]
 ROUNDED = "SELECT section, key, metric, round(value, 6) + 0.0 AS value FROM ({0})"
 
@@ -138,8 +183,12 @@ PARTS_2 = [
     presence_part("omission", "o", "om"),
     long_sql("confusion", "tc || '/' || pc", {"n": "n", "rate": "n / greatest(1, total)"}, CELL),
     class_part("s", "t", "o"),
-    long_sql("percentiles", "tc", {f"p{p}": f"p{p}" for p in R.PERCENTILES}, PCT.format("s")),
+    percentile_part("percentiles", "s"),
+    percentile_part("percentiles_omission", "o"),
+    long_sql("target", "class", {"n": "n", "rate": "n / greatest(1, total)"}, COUNTS.format("tc")),
+    long_sql("predicted", "class", {"n": "n", "rate": "n / greatest(1, total)"}, COUNTS.format("pc")),
     long_sql("histogram", "class || '/' || label", {"n": "n"}, HIST.format("s")),
+    *diagnostic_parts("s", "t", "om <> 0"),
 ]
 
 
@@ -150,15 +199,60 @@ def job_10(spark, sf):
     return report.withColumn("value", r6(F.col("value")))
 
 
-JOB_11_SQL = f"""WITH {OVERALL_SQL}, x AS (SELECT utterance_id, phoneme, {STATUS_SQL} AS status, row_number() OVER (PARTITION BY utterance_id ORDER BY round({SEVERITY_SQL}, 8) DESC, index) AS rn FROM scored)
-SELECT o.o_orderkey AS utterance_id, coalesce(overall.score, 0) AS score, CASE WHEN x.status IS NULL THEN 'no_signal' WHEN x.status = 'ok' THEN 'low_match' ELSE x.status END AS issue, x.phoneme AS issue_phone FROM orders o LEFT JOIN overall ON overall.utterance_id = o.o_orderkey LEFT JOIN x ON x.utterance_id = o.o_orderkey AND rn = 1"""
+JOB_11_SQL = f"""
+WITH {OVERALL_SQL},
+x AS (SELECT utterance_id, phoneme, {STATUS_SQL} AS status, row_number() OVER (PARTITION BY utterance_id ORDER BY {PENALTY_SQL} DESC, index) AS rn FROM scored)
+SELECT o.o_orderkey AS utterance_id, coalesce(overall.score, 0) AS score,
+  CASE WHEN x.status IS NULL THEN 'no_signal' WHEN x.status = 'ok' THEN 'low_match' ELSE x.status END AS issue, x.phoneme AS issue_phone
+FROM orders o LEFT JOIN overall ON overall.utterance_id = o.o_orderkey LEFT JOIN x ON x.utterance_id = o.o_orderkey AND rn = 1
+"""
 
 
 @query("job_11_assess_recordings", JOB_11_SQL)
 def job_11(spark, sf):
-    k = F.col("utterance_id") % 3
-    p = V.phones(spark, sf).select("utterance_id", "index", "phoneme", "energy", "variance", ((F.col("frames") - 25) / 20.0).alias("z"), (F.col("frames") % 10 == 0).alias("late"), L.alignment_confidence(F.col("source")).alias("alignment_confidence"), F.when(k == 0, "ok").when(k == 1, "low_confidence").otherwise("rejected").alias("quality"))
-    return jobs.assess_words(table(spark, sf, "orders").select(F.col("o_orderkey").alias("utterance_id")), p, "utterance_id").drop("confidence")
+    p = V.phones(spark, sf).select(
+        "utterance_id", "index", "phoneme", "energy", "variance", ((F.col("frames") - 25) / 20.0).alias("z"), (F.col("frames") % 10 == 0).alias("late"),
+        L.alignment_confidence(F.col("source")).alias("alignment_confidence"),
+    )
+    recordings = table(spark, sf, "orders").select(F.col("o_orderkey").alias("utterance_id"))
+    return jobs.assess_words(recordings, with_quality(p), "utterance_id").drop("confidence", "severity")
+
+
+#: The signals that stand for recordings: 64 samples a second, frames of 2 samples, encoded 2 numbers wide.
+SIGNAL = {"samples": 256, "rate": 64, "frame": 2, "width": 2}
+
+
+def asked_recordings(spark, sf, events):
+    """Recordings of a table of events: the word asked for, and the vector of the event's user as the signal, 0.1 to 4.1 seconds long."""
+    words = word_ring(spark, sf)
+    n = words.count()
+    signals = V.frames(spark, sf).select(F.col("vec_id").alias("signal"), "vector")
+    m = signals.agg(F.max("signal") + 1).first()[0]
+    length = F.pmod(F.col("event_id"), F.lit(256)) + 8
+    r = events.withColumn("slot", F.pmod("user_id", F.lit(n + 2))).withColumn("signal", F.pmod("event_id", F.lit(m)))
+    r = r.join(words, "slot", "left").join(signals, "signal")
+    asked = F.concat(F.lit(" "), F.initcap(F.coalesce("w", F.concat(F.lit("zz"), F.col("slot").cast("string")))))
+    samples = F.transform(F.sequence(F.lit(0), (length - 1).cast("int")), lambda i: F.get("vector", i % 64))
+    return r.select(F.col("event_id").alias("recording_id"), asked.alias("asked"), samples.alias("samples"))
+
+
+def word_ring(spark, sf):
+    """(slot, w): every word of the lexicon with a number from 0 in alphabetical order."""
+    ranked = lexicon(spark, sf).select("word").withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("word")) - 1)  # the vocabulary of one table
+    return ranked.select(F.col("slot").cast("long").alias("slot"), F.col("word").alias("w"))
+
+
+def assessed(spark, sf, events):
+    lex = lexicon(spark, sf)
+    assets = lex.where(F.length("word") % 3 != 0).select("word", F.concat(F.lit("audio/"), "word", F.lit(".wav")).alias("asset_path"))
+    make = encoder.spectral_encoder(SIGNAL["width"], SIGNAL["frame"])
+    return jobs.assess_recordings(asked_recordings(spark, sf, events), lex, assets, make, **SIGNAL)
+
+
+@query("job_11_from_audio")
+def job_11_from_audio(spark, sf):
+    good, bad = assessed(spark, sf, table(spark, sf, "events"))
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
 
 @query("job_12_plan_feature_runs", f"WITH {V.EVENTS_SQL}, s AS (SELECT DISTINCT CAST(p_partkey % 150 AS VARCHAR) AS feature_key FROM part), l AS (SELECT feature_key, arg_max(CASE audio_path WHEN 'view' THEN 'planned' WHEN 'click' THEN 'running' ELSE 'complete' END, recording_id) AS status FROM events_v GROUP BY 1) SELECT s.feature_key, CASE WHEN l.status IS NULL THEN 'missing_state' WHEN l.status <> 'complete' THEN 'incomplete' WHEN s.feature_key::INT % 4 = 0 THEN 'missing_rows' END AS reason FROM s LEFT JOIN l USING (feature_key)")
@@ -173,5 +267,6 @@ def job_12(spark, sf):
 
 @query("job_13_epoch_plan")
 def job_13(spark, sf):
-    w = V.phones(spark, sf).groupBy("utterance_id", "split").agg(F.count(F.lit(1)).cast("int").alias("seq_len"))
-    return jobs.epoch_plan(w, "split", "utterance_id", 16, 64, seed=3, epoch=2, mask_ratio=0.3).select("utterance_id", "split", "block", "batch_in_block", "mask")
+    w = V.words(spark, sf)
+    d = jobs.epoch_plan(w, "split", "utterance_id", 16, 64, seed=3, epoch=2, mask_ratio=0.3, negatives=0.2)
+    return d.select("utterance_id", "split", "block", "batch_in_block", "bucket", "length_batch", "width", "padded_ids", "augmented", "presence_targets", "mask")

@@ -140,11 +140,18 @@ def src_14(spark, sf):
     return word_sums(corpora.dense_words(spark, path, ["utterance_id", "acoustic_flat", "seq_len"], manifest["num_utterances"], manifest["acoustic_dim"]))
 
 
-@query("src_15_feature_source", f"WITH {V.PHONES_SQL} {WORD_SUMS_SQL}")
+@query("src_15_feature_source", f"""
+WITH {V.PHONES_SQL}, s AS ({WORD_SUMS_SQL})
+SELECT 'shards' AS source, * FROM s UNION ALL SELECT 'dense' AS source, * FROM s
+""")
 def src_15(spark, sf):
-    path = scratch(spark, "features")
-    sinks.write_shards(V.phones(spark, sf), f"{path}/shards", 20_000)
-    return word_sums(corpora.read_features(spark, path, PHONE_ROWS))
+    shards, both = scratch(spark, "features"), scratch(spark, "features")
+    sinks.write_shards(V.phones(spark, sf), f"{shards}/shards", 20_000)
+    # where there is a dense table it is preferred to the shards beside it
+    sinks.write_dense_words(V.phones(spark, sf), f"{both}/dense")
+    sinks.write_shards(V.phones(spark, sf).limit(1), f"{both}/shards", 20_000)
+    read = lambda path, kind: word_sums(corpora.read_features(spark, path, PHONE_ROWS)).withColumn("source", F.lit(kind))
+    return read(shards, "shards").unionByName(read(both, "dense"))
 
 
 def wav_files(spark, sf):
@@ -208,10 +215,19 @@ def snk_06(spark, sf):
     return ledger.current_state(spark.read.parquet(path))
 
 
-@query("udf_01_encoder")
+@query("udf_01_encoder", f"""
+WITH {V.FRAMES_SQL}, m AS (SELECT vec_id, 8 + vec_id % 57 AS n, vector FROM frames), f AS (SELECT *, n // 8 AS k FROM m)
+SELECT vec_id, CAST(k AS INT) AS n_frames, 125.0::DOUBLE AS frame_ms, CAST(k AS INT) AS width,
+  round(list_sum(list_transform(range(0, k), lambda i: sqrt(list_sum(list_transform(vector[8 * i + 1:8 * i + 8], lambda x: x * x)) / 8))), 6) AS energy,
+  round(list_sum(list_transform(range(0, k), lambda i: ln(1 + abs(list_sum(vector[8 * i + 1:8 * i + 8]))))), 3) AS total
+FROM f
+""")
 def udf_01(spark, sf):
-    out = E.encode(V.frames(spark, sf).select("vec_id", "vector"), "vector", E.spectral_encoder(4, 16), 64)
-    return out.select("vec_id", F.size("encoded").alias("n"), F.round(F.aggregate("encoded", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    s = V.frames(spark, sf).select("vec_id", F.slice("vector", F.lit(1), (F.col("vec_id") % 57 + 8).cast("int")).alias("samples"))
+    # one number a frame: the log magnitude of frequency 0, the frame's sum
+    out = E.encode_signals(s, "samples", E.spectral_encoder(1, 8), 64, 8, 1, 64)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    return out.select("vec_id", "n_frames", "frame_ms", F.size("encoded").alias("width"), r6(add("frame_energy")).alias("energy"), F.round(add("encoded"), 3).alias("total"))
 
 
 @query("udf_02_alignment_parser", f"WITH {IV_SQL} SELECT count(*) AS intervals, count(DISTINCT doc_id) AS files FROM wi")
@@ -235,14 +251,15 @@ def ml_01(spark, sf):
     return out.select("vec_id", "class_index", F.col("prediction").cast("int").alias("predicted"), F.round("expected_score", 4).alias("expected_score"))
 
 
-@query("st_01_assess_stream", f"WITH {V.EVENTS_SQL} SELECT recording_id, CASE WHEN duration_ms < 250 THEN 'too_short' WHEN duration_ms > 4000 THEN 'too_long' END AS reason FROM events_v")
+@query("st_01_assess_stream")
 def st_01(spark, sf):
-    from cadenza.functions.signal import length_reason
+    from cadenza.plans.q_jobs import assessed
 
     path = scratch(spark, "stream")
-    job = lambda b: b.select(F.col("event_id").alias("recording_id"), length_reason((F.col("value") * 10).cast("int")).alias("reason"))
-    recordings.assess_stream(recordings.stream_table(spark, f"{sf}/events.parquet"), job, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").drop("batch")
+    stream = recordings.stream_table(spark, f"{sf}/events.parquet")
+    recordings.assess_stream(stream, lambda batch: assessed(spark, sf, batch), f"{path}/out", f"{path}/state").awaitTermination()
+    good = spark.read.parquet(f"{path}/out/assessments").withColumn("reason", F.lit(None).cast("string"))
+    return good.unionByName(spark.read.parquet(f"{path}/out/rejects"), allowMissingColumns=True).drop("batch")
 
 
 @query("st_02_progress_counts", "SELECT event_type AS split, count(*) AS processed FROM events GROUP BY 1")

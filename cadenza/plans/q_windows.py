@@ -13,7 +13,7 @@ from cadenza.operators import words as O
 from cadenza.operators.assess import align_frames, primary_issue
 from cadenza.plans import views as V
 from cadenza.plans.q_aggregates import SPLIT_SQL
-from cadenza.plans.q_functions import ID_SQL, SCORES_SQL, SEVERITY_SQL, STATUS_SQL, WEIGHT_SQL, scored
+from cadenza.plans.q_functions import ID_SQL, SCORES_SQL, PENALTY_SQL, STATUS_SQL, WEIGHT_SQL, scored
 from cadenza.plans.registry import query
 from cadenza.session import table
 
@@ -152,10 +152,15 @@ def sl_02(spark, sf):
     return V.doc_paths(spark, sf).select("speaker_id", "utterance_id").orderBy("speaker_id", "utterance_id")
 
 
-@query("sl_03_primary_issue", f"WITH {SCORES_SQL}, x AS (SELECT utterance_id, phoneme, {STATUS_SQL} AS status, row_number() OVER (PARTITION BY utterance_id ORDER BY round({SEVERITY_SQL}, 8) DESC, index) AS rn FROM scored), w AS (SELECT o_orderkey AS utterance_id FROM orders) SELECT w.utterance_id, CASE WHEN x.status IS NULL THEN 'no_signal' WHEN x.status = 'ok' THEN 'low_match' ELSE x.status END AS issue, x.phoneme FROM w LEFT JOIN x ON x.utterance_id = w.utterance_id AND rn = 1")
+@query("sl_03_primary_issue", f"""
+WITH {SCORES_SQL},
+x AS (SELECT utterance_id, phoneme, {STATUS_SQL} AS status, row_number() OVER (PARTITION BY utterance_id ORDER BY {PENALTY_SQL} DESC, index) AS rn FROM scored),
+w AS (SELECT o_orderkey AS utterance_id FROM orders)
+SELECT w.utterance_id, CASE WHEN x.status IS NULL THEN 'no_signal' WHEN x.status = 'ok' THEN 'low_match' ELSE x.status END AS issue, x.phoneme
+FROM w LEFT JOIN x ON x.utterance_id = w.utterance_id AND rn = 1
+""")
 def sl_03(spark, sf):
-    p = scored(spark, sf).withColumn("severity", F.round("severity", 8))
-    return primary_issue(table(spark, sf, "orders").select(F.col("o_orderkey").alias("utterance_id")), p, "utterance_id")
+    return primary_issue(table(spark, sf, "orders").select(F.col("o_orderkey").alias("utterance_id")), scored(spark, sf), "utterance_id")
 
 
 @query("sl_04_ordered_limit", f"WITH {V.PHONES_SQL} SELECT utterance_id, index, phoneme FROM phones ORDER BY utterance_id, index LIMIT 25")

@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the cluster's shared folder; in a folder of our own only where none is set, as in tests."""
+    """A new path in the cluster's shared folder; in a folder of our own only in local mode, as in tests, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-cadenza-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cadenza-{what}-{uuid.uuid4().hex}"

@@ -18,11 +18,13 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def assess_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """ST-01: each micro-batch goes through the batch job and is written under its batch id, so a repeated batch replaces itself."""
+def assess_stream(stream: DataFrame, job: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str, checkpoint: str):
+    """ST-01: each micro-batch goes through the batch job; its assessments and its rejects are written to a table each, under
+    the batch's id, so a repeated batch replaces itself."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for name, rows in zip(("assessments", "rejects"), job(batch)):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
