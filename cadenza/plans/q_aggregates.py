@@ -197,7 +197,7 @@ def with_quality(p):
 
 @query("fn_31_severity", f"""
 WITH {OVERALL_SQL}
-SELECT s.utterance_id, s.index, round((0.65::DOUBLE + 0.35::DOUBLE * o.confidence) * {PENALTY_SQL}, 4) AS severity
+SELECT s.utterance_id, s.index, round((0.65::DOUBLE + 0.35::DOUBLE * o.confidence) * {PENALTY_SQL} + 1e-8, 4) AS severity
 FROM scored s JOIN overall o USING (utterance_id)
 """)
 def fn_31(spark, sf):
@@ -206,7 +206,7 @@ def fn_31(spark, sf):
     p = with_quality(scored(spark, sf))
     confidence = overall(p, "utterance_id", digits=9).select("utterance_id", F.col("confidence").alias("overall"))
     severity = S.severity(F.col("match"), F.col("dur"), F.col("presence"), F.col("overall"))
-    return p.join(confidence, "utterance_id").select("utterance_id", F.col("index").cast("long").alias("index"), F.round(severity, 4).alias("severity"))
+    return p.join(confidence, "utterance_id").select("utterance_id", F.col("index").cast("long").alias("index"), F.round(severity + 1e-8, 4).alias("severity"))
 
 
 @query("ag_22_masked_error", f"WITH {V.FRAMES_SQL}, e AS (SELECT utterance_id, list_sum(list_transform(list_zip(vector, list_reverse(vector)), lambda z: (z[1] - z[2]) ** 2)) / len(vector) AS mse FROM frames WHERE frame % 3 = 0) SELECT utterance_id, round(avg(mse), 6) AS loss FROM e GROUP BY 1")
