@@ -333,21 +333,43 @@ def test_chat_windows_repeat_and_keep_the_budget(spark):
     assert sum(len(x["formatted"].split("<|turn|>")) - 1 - x["n_repeated"] for x in first) == 2500
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize(("shard_rows", "shard_queries"), [(60, 16_384), (25, 2), (8_192, 16_384)])
+def test_top_k_equals_brute_force(spark, shard_rows, shard_queries):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
-    rows += [(300 + i, rows[0][1]) for i in range(40)] + [(400, None), (401, [float("nan")] * 6), (402, [None] * 6), (403, [float("inf")] * 6), (404, [1.0, 2.0]), (None, [1.0] * 6), (500, [0.0] * 6)]
+    rows += [(300 + i, rows[0][1]) for i in range(200)] + [(600, None), (601, [float("nan")] * 6), (602, [None] * 6), (603, [float("inf")] * 6), (604, [1.0, 2.0]), (None, [1.0] * 6), (700, [0.0] * 6)]
+    rows += [(100, rows[100][1]), (200, [0.5] * 6), (900, [1.0] * 3), (901, [2.0] * 3), (7, rows[8][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     got = defaultdict(list)
-    for r in kdtree.top_k(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=60).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    v = {i: [math.floor(1024 * float(np.float32(x))) for x in e] for i, e in rows if i is not None and e and len(e) == 6 and all(x is not None and math.isfinite(x) for x in e)}
-    for q in (i for i in v if i % 100 == 0):
-        best = sorted(((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q))[:10]
-        assert got[q] == [(c, -s) for s, c in best]
+    out = kdtree.top_k(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=shard_rows, shard_queries=shard_queries, sample_rows=200)
+    for r in out.collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    fine = [(i, [math.floor(1024 * float(np.float32(x))) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
+    want = defaultdict(list)
+    for q, x in {(i, tuple(x)) for i, x in fine if i % 100 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in fine if c != q and len(y) == len(x))[:10]
+        want[q] += [(n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items() if x}
     assert kdtree.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_very_large_components(spark):
+    rows = [(i, [2.0**30 * (i + 1), -(2.0**29)]) for i in range(5)] + [(9, [2.0**60, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in kdtree.top_k(df, F.col("vec_id") == 0, k=9, scale=1).orderBy("rank").collect()]
+    want = sorted(((i, int(2**30 * v[0]) + 2**58) for i, v in rows[1:5]), key=lambda x: -x[1])
+    assert [x for x in got if x[0] != 9] == want
+
+
+def test_shards_follow_regions():
+    v = np.random.default_rng(1).integers(-50, 50, (500, 3))
+    nodes, after = kdtree.plan_shards(v, 5000, 1000, 7)
+    got = kdtree.route(nodes, np.arange(500), v)
+    assert after - 7 >= 5 and set(got) == set(range(7, after)) and np.bincount(got - 7).max() <= 100
+    nodes, after = kdtree.plan_shards(np.ones((50, 2), np.int64), 5000, 1000, 0)  # equal rows are dealt by their ids
+    assert after == 5 and len(set(kdtree.route(nodes, np.arange(500), np.ones((500, 2), np.int64)))) == 5
+
+
 def test_media_round_trip(spark):
     d = docs(spark).select("doc_id", "text", "score")
     got = {r["doc_id"]: r for r in media.decode_media(media.encode_media(d)).collect()}
