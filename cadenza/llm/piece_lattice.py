@@ -35,9 +35,9 @@ from cadenza.llm.common import text_of, worker_cache
 
 SPACE = "▁"
 #: Units of a worker's table (two generations of it are held) and characters of the texts that go through it at a time.
-CACHE_UNITS, CHARS_AT_ONCE = 300_000, 4_000_000
+CACHE_UNITS, CHARS_AT_ONCE = 150_000, 1_500_000
 #: Units of one array; longer units, and those whose merges need more base-4 digits than fit into a long, are searched one by one.
-UNITS_AT_ONCE, ARRAY_CHARS, DIGITS = 8_192, 24, 31
+UNITS_AT_ONCE, ARRAY_CHARS, DIGITS = 4_096, 24, 31
 #: Units longer than this are cut where no piece goes across; what is left in one part beyond SPARSE_CHARS uses sparse scores.
 WHOLE_CHARS, SPARSE_CHARS = 64, 2_000
 #: The earliest missing merge of a segmentation that loses nothing, and of one that doesn't exist.
@@ -421,7 +421,7 @@ class Lattice:
     def _list(self, unit: str) -> list[tuple[Score, bytes]]:
         found = self.lists.get(unit)
         if found is None:
-            if len(self.lists) > CACHE_UNITS // 20:
+            if len(self.lists) > CACHE_UNITS // 10:
                 self.lists.clear()
             found = self.lists[unit] = self.segment(unit, self.n)
         return found
@@ -495,7 +495,7 @@ def _nbest(texts: list[str], lattice: Lattice, with_ids: bool) -> pa.ListArray:
 
 
 #: Rows whose segmentations are held at a time, and characters; a single longer text goes alone.
-ROWS_OUT, CHARS_OUT = 2_000, 8_000_000
+ROWS_OUT, CHARS_OUT = 1_000, 3_000_000
 
 
 def encode_nbest(docs: DataFrame, model: str, text_col: str = "text", n: int = 4, with_ids: bool = True) -> DataFrame:
