@@ -35,7 +35,7 @@ from cadenza.llm.common import text_of, worker_cache
 
 SPACE = "▁"
 #: Units of a worker's table (two generations of it are held) and characters of the texts that go through it at a time.
-CACHE_UNITS, CHARS_AT_ONCE = 150_000, 1_500_000
+CACHE_UNITS, CHARS_AT_ONCE = 220_000, 1_500_000
 #: Units of one array; longer units, and those whose merges need more base-4 digits than fit into a long, are searched one by one.
 UNITS_AT_ONCE, ARRAY_CHARS, DIGITS = 4_096, 24, 31
 #: Units longer than this are cut where no piece goes across; what is left in one part beyond SPARSE_CHARS uses sparse scores.
@@ -337,7 +337,6 @@ class Lattice:
         for length, same in by_length.items():
             alone = same
             if length <= ARRAY_CHARS:
-                same.sort()
                 alone = [u for a in range(0, len(same), UNITS_AT_ONCE) for u in self._arrays(same[a : a + UNITS_AT_ONCE], length)]
             for u in alone:
                 found = self.segment(u, 2)
@@ -421,7 +420,7 @@ class Lattice:
     def _list(self, unit: str) -> list[tuple[Score, bytes]]:
         found = self.lists.get(unit)
         if found is None:
-            if len(self.lists) > CACHE_UNITS // 10:
+            if len(self.lists) > CACHE_UNITS // 15:
                 self.lists.clear()
             found = self.lists[unit] = self.segment(unit, self.n)
         return found
@@ -441,6 +440,11 @@ class Lattice:
                         heapq.heappush(heap, (loss + (lists[k][j + 1] - lists[k][j]), len(seen), new))
         return out
 
+    def says(self, ids: bytes, text: str) -> bool:
+        """Whether a sequence of ids decodes to this text."""
+        made = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))
+        return made[made[:1] == b" " :] == text.encode()  # UTF-8 of a text is valid, so equal bytes are an equal text
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids: byte pieces as UTF-8, the first space dropped."""
         whole = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -483,7 +487,7 @@ def _nbest(texts: list[str], lattice: Lattice, with_ids: bool) -> pa.ListArray:
             score.append(s)
             pieces.append(len(ids) // 4)
             crc.append(zlib.crc32(ids))
-            whole.append(lattice.decode(np.frombuffer(ids, "<i4")) == text)
+            whole.append(lattice.says(ids, text))
             raw.append(ids if with_ids else b"")
     ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32))
     ids_ = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), "<i4")))
