@@ -112,9 +112,9 @@ class Lattice:
         self.prefixes: dict[str, int] = {p[:i]: -1 for p in self.piece for i in range(1, len(p) + 1)} | self.piece
         self._merges: dict[int, list[tuple[int, int]]] = {}
         self._tables()
-        self.ids: dict[str, bytes] = {}
-        self.lead: dict[str, int] = {}
-        self.old: tuple[dict[str, bytes], dict[str, int]] = {}, {}
+        #: Best segmentation and the earliest merge that the second best goes without, by unit.
+        self.best: dict[str, tuple[bytes, int]] = {}
+        self.old: dict[str, tuple[bytes, int]] = {}
         self.lists: dict[str, list[tuple[Score, bytes]]] = {}
 
     def _tables(self) -> None:
@@ -326,7 +326,7 @@ class Lattice:
         raw, wide = ids.T.tobytes(), 4 * length
         for u, (unit, bad, c, lost) in enumerate(zip(units, alone.tolist(), count.tolist(), lead.tolist())):
             if not bad:
-                self.ids[unit], self.lead[unit] = raw[(u + 1) * wide - 4 * c : (u + 1) * wide], lost
+                self.best[unit] = raw[(u + 1) * wide - 4 * c : (u + 1) * wide], lost
         return [unit for unit, bad in zip(units, alone.tolist()) if bad]
 
     def learn(self, units: set[str]) -> None:
@@ -340,7 +340,7 @@ class Lattice:
                 alone = [u for a in range(0, len(same), UNITS_AT_ONCE) for u in self._arrays(same[a : a + UNITS_AT_ONCE], length)]
             for u in alone:
                 found = self.segment(u, 2)
-                self.ids[u], self.lead[u] = found[0][1], found[1][0].lead() if len(found) > 1 else NONE
+                self.best[u] = found[0][1], found[1][0].lead() if len(found) > 1 else NONE
 
     def units(self, text: str) -> list[str]:
         """The units of a text; very long ones cut where no piece goes across."""
@@ -362,8 +362,9 @@ class Lattice:
                 j += 1
         yield unit[begin:]
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
-        """The n best segmentations of each whole text as (score, ids as little-endian 32-bit), best first; the empty text has one, empty."""
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[float, bytes, bool]]]:
+        """The n best segmentations of each whole text as (score, ids as little-endian 32-bit, whether they decode to it),
+        best first; the empty text has one, empty."""
         at, chars = 0, 0
         for i, t in enumerate(texts):
             chars += len(t)
@@ -371,26 +372,25 @@ class Lattice:
                 yield from self._some(texts[at : i + 1])
                 at, chars = i + 1, 0
 
-    def _some(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
-        if len(self.ids) > CACHE_UNITS:  # units met again move on from the old table, the others go with it
-            self.old, self.ids, self.lead = (self.ids, self.lead), {}, {}
+    def _some(self, texts: list[str]) -> Iterator[list[tuple[float, bytes, bool]]]:
+        if len(self.best) > CACHE_UNITS:  # units met again move on from the old table, the others go with it
+            self.old, self.best = self.best, {}
         cut = [self.units(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.ids)
-        old_ids, old_lead = self.old
-        for u in new.intersection(old_ids):
-            self.ids[u], self.lead[u] = old_ids[u], old_lead[u]
-        self.learn(new.difference(old_ids))
-        ids, lead = self.ids.__getitem__, self.lead.__getitem__
-        for units in cut:
+        new = set().union(*cut).difference(self.best)
+        again = new.intersection(self.old)
+        self.best.update(zip(again, map(self.old.__getitem__, again)))
+        self.learn(new - again)
+        for text, units in zip(texts, cut):
             if not units:
-                yield [(0.0, b"")]
+                yield [(0.0, b"", not text)]
                 continue
-            parts = list(map(ids, units))
-            yield self._best(units, parts, np.fromiter(map(lead, units), np.int64, len(units)))
+            parts, lead = zip(*map(self.best.__getitem__, units))
+            yield self._best(text, units, parts, np.array(lead))
 
-    def _best(self, units: list[str], parts: list[bytes], lead: np.ndarray) -> list[tuple[float, bytes]]:
+    def _best(self, text: str, units: list[str], parts: tuple[bytes, ...], lead: np.ndarray) -> list[tuple[float, bytes, bool]]:
         """The n best of a text from the units that lose least: a choice other than a unit's best costs what it loses."""
-        out = [(0.0, b"".join(parts))]
+        whole = b"".join(parts)
+        out = [(0.0, whole, self.says(whole, text))]
         if self.n == 1:
             return out
         least = max(0, int(np.partition(lead, -min(self.n - 1, len(lead)))[-min(self.n - 1, len(lead))]))
@@ -411,10 +411,14 @@ class Lattice:
         cheap, lists = [cheap[k] for k in first], [lists[k] for k in first]
         for lost, pick in self._combine([[x[0] for x in x_] for x_ in lists]):
             if any(pick):
-                own = list(parts)
+                own, same = list(parts), True
                 for i, j, found in zip(cheap, pick, lists):
-                    own[i] = found[j][1]
-                out.append((-1.0 / (1 + lost.lead()) if lost.at else 0.0, b"".join(own)))
+                    if j:
+                        own[i] = found[j][1]
+                        same = same and self._bytes(own[i]) == self._bytes(parts[i])
+                ids = b"".join(own)
+                # decoding goes piece by piece: if the parts put in say what those they replace say, so do the wholes
+                out.append((-1.0 / (1 + lost.lead()) if lost.at else 0.0, ids, out[0][2] if same else self.says(ids, text)))
         return out
 
     def _list(self, unit: str) -> list[tuple[Score, bytes]]:
@@ -440,9 +444,12 @@ class Lattice:
                         heapq.heappush(heap, (loss + (lists[k][j + 1] - lists[k][j]), len(seen), new))
         return out
 
+    def _bytes(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("i")))
+
     def says(self, ids: bytes, text: str) -> bool:
         """Whether a sequence of ids decodes to this text."""
-        made = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))
+        made = self._bytes(ids)
         return made[made[:1] == b" " :] == text.encode()  # UTF-8 of a text is valid, so equal bytes are an equal text
 
     def decode(self, ids: np.ndarray) -> str:
@@ -481,13 +488,13 @@ def _read(path: str) -> bytes:
 def _nbest(texts: list[str], lattice: Lattice, with_ids: bool) -> pa.ListArray:
     """One array of segmentations for each text, as Arrow."""
     many, score, pieces, crc, whole, raw = [0], [], [], [], [], []
-    for text, found in zip(texts, lattice.encode(texts)):
+    for found in lattice.encode(texts):
         many.append(many[-1] + len(found))
-        for s, ids in found:
+        for s, ids, says in found:
             score.append(s)
             pieces.append(len(ids) // 4)
             crc.append(zlib.crc32(ids))
-            whole.append(lattice.says(ids, text))
+            whole.append(says)
             raw.append(ids if with_ids else b"")
     ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32))
     ids_ = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), "<i4")))
@@ -502,9 +509,11 @@ def _nbest(texts: list[str], lattice: Lattice, with_ids: bool) -> pa.ListArray:
 ROWS_OUT, CHARS_OUT = 1_000, 3_000_000
 
 
-def encode_nbest(docs: DataFrame, model: str, text_col: str = "text", n: int = 4, with_ids: bool = True) -> DataFrame:
+def encode_nbest(docs: DataFrame, model: str, text_col: str = "text", n: int = 4, with_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
     """The rows with ``nbest`` added: an array of (score, n_pieces, ids_crc32, ids, round_trip) of the n best segmentations, best first.
 
+    ``keep`` names the columns that come along (all by default): texts that aren't wanted afterwards needn't come back from Python.
+
     ``model`` is the path of a byte-pair model file. The best segmentation is the one that merging in the
     file's order makes; the others do without as late a merge as can be. ``score`` is 0 for segmentations
     that lose nothing and -1 / r for one that goes without the r-th merge of the file, the earliest that
@@ -516,7 +525,7 @@ def encode_nbest(docs: DataFrame, model: str, text_col: str = "text", n: int = 4
     ``ids_crc32`` is over little-endian 32-bit ids. A column named ``nbest`` is replaced.
     """
     source = docs.sparkSession.sparkContext.broadcast(_read(model))
-    own = [c for c in docs.columns if c != "nbest"]
+    own = [c for c in (docs.columns if keep is None else keep) if c != "nbest"]
     kind = "array<struct<score:double,n_pieces:int,ids_crc32:bigint,ids:array<int>,round_trip:boolean>>"
     df = docs.select(*own, text_of(F.col(text_col)).alias("__pl_text"))
     schema = docs.select(*own, F.lit(None).cast(kind).alias("nbest")).schema

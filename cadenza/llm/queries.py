@@ -129,7 +129,7 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode_nbest(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, n=3)
+    out = encode_nbest(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, n=3, keep=["doc_id"])
     best = F.col("nbest")[0]
     whole = F.forall("nbest", lambda x: x["round_trip"])
     return out.select("doc_id", best["n_pieces"].cast("long").alias("n_pieces"), best["ids_crc32"].alias("ids_crc32"), whole.alias("round_trip"), "nbest")
