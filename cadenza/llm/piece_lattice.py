@@ -362,9 +362,13 @@ class Lattice:
                 j += 1
         yield unit[begin:]
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[float, bytes, bool]]]:
-        """The n best segmentations of each whole text as (score, ids as little-endian 32-bit, whether they decode to it),
-        best first; the empty text has one, empty."""
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
+        """The n best segmentations of each whole text as (score, ids as little-endian 32-bit), best first; the empty text has one, empty."""
+        for found in self.checked(texts):
+            yield [(s, ids) for s, ids, _ in found]
+
+    def checked(self, texts: list[str]) -> Iterator[list[tuple[float, bytes, bool]]]:
+        """As ``encode``, each with whether the ids decode to the text."""
         at, chars = 0, 0
         for i, t in enumerate(texts):
             chars += len(t)
@@ -488,7 +492,7 @@ def _read(path: str) -> bytes:
 def _nbest(texts: list[str], lattice: Lattice, with_ids: bool) -> pa.ListArray:
     """One array of segmentations for each text, as Arrow."""
     many, score, pieces, crc, whole, raw = [0], [], [], [], [], []
-    for found in lattice.encode(texts):
+    for found in lattice.checked(texts):
         many.append(many[-1] + len(found))
         for s, ids, says in found:
             score.append(s)
