@@ -59,9 +59,11 @@ def label_spans(phones: DataFrame, frame_ms: float, key: str = "utterance_id") -
     """WN-09: label times to frame spans, with the z of their length against the expected share.
 
     ``phones`` has start_ms, end_ms and total_frames; the share is of total_frames, so its scope
-    (whole audio or word) is the caller's choice of that column.
+    (whole audio or word) is the caller's choice of that column. No frames count as one, and frames
+    last a millionth of a millisecond at least.
     """
-    n, w = F.col("total_frames"), L.duration_weight(F.col("phoneme"))
+    frame_ms = max(frame_ms, 1e-6)
+    n, w = F.greatest(F.lit(1), F.col("total_frames")), L.duration_weight(F.col("phoneme"))
     d = phones.withColumn("w", w).withColumn("ws", F.sum("w").over(Window.partitionBy(key)))
     d = d.withColumn("start", F.greatest(F.lit(0), F.least(n - 1, F.floor(F.col("start_ms") / frame_ms))).cast("int"))
     d = d.withColumn("end", F.least(n, F.greatest(F.col("start") + 1, F.ceil(F.col("end_ms") / frame_ms))).cast("int"))

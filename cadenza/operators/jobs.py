@@ -14,7 +14,7 @@ from cadenza.functions import scores as S
 from cadenza.functions import signal as G
 from cadenza.functions import text as X
 from cadenza.operators import assess, encoder, ledger, pooling, reports, sampling, verify, words
-from cadenza.sources import corpora
+from cadenza.sources import corpora, sinks
 
 
 def prepare_read_speech(listing: DataFrame, transcripts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -27,6 +27,23 @@ def prepare_read_speech(listing: DataFrame, transcripts: DataFrame, texts: DataF
     return d.withColumn("reason", L.first_reason({"missing_transcript": F.col("transcript_path").isNull(), "empty_transcript": F.coalesce("normalized_text", F.lit("")) == ""}))
 
 
+def write_prepared(rows: DataFrame, path: str, schema: str = corpora.PREPARED, disjoint: bool = False) -> DataFrame:
+    """JOB-01, JOB-02: what was kept (``reason`` null) to manifests by split in the order of speaker and utterance below
+    ``path``, and the counts of each split and reason to ``path``-summary. Returns the manifests as they read back.
+
+    An existing manifest is an error, and with ``disjoint`` a speaker of both train and val.
+    """
+    kept = rows.where(F.col("reason").isNull())
+    if disjoint and verify.leaked_speakers(kept.where(F.col("split").isin("train", "val"))).limit(1).count():
+        raise ValueError("a speaker is in both train and val")
+    order = ["split", "speaker_id", "utterance_id"]
+    # ranges, so that a speaker of very many rows spreads over tasks
+    sinks.write_manifest(kept.drop("reason").repartitionByRange(*order).sortWithinPartitions(*order), path)
+    counts = rows.groupBy("split", "reason").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("speaker_id").alias("speakers"))
+    sinks.write_report(counts, f"{path}-summary")
+    return corpora.manifests(rows.sparkSession, path, schema).drop("_bad")
+
+
 def prepare_scored(utterances: DataFrame, fraction: float, seed: int) -> DataFrame:
     """JOB-02: official training utterances get a speaker-disjoint validation split; test stays as it is."""
     train = utterances.where(F.col("official") == "train")

@@ -46,3 +46,9 @@ def row_differences(features: DataFrame, aligned: DataFrame, keys: list[str]) ->
     b = aligned.select(*keys).distinct().withColumn("in_aligned", F.lit(True))
     d = a.join(b, keys, "full_outer").select(*keys, F.coalesce("in_features", F.lit(False)).alias("in_features"), F.coalesce("in_aligned", F.lit(False)).alias("in_aligned"))
     return d.where(F.col("in_features") != F.col("in_aligned"))
+
+
+def leaked_speakers(df: DataFrame, speaker: str = "speaker_id", split: str = "split") -> DataFrame:
+    """SET-02: the speakers of more than one split; a null speaker is none."""
+    d = df.where(F.col(speaker).isNotNull()).groupBy(speaker).agg(F.min(split).alias("__a"), F.max(split).alias("__b"))
+    return d.where(F.col("__a") != F.col("__b")).select(speaker)

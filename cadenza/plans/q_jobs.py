@@ -26,18 +26,25 @@ from cadenza.sources import corpora, sinks
 @query("job_01_prepare_read_speech", f"WITH {V.DOCS_SQL} SELECT utterance_id, speaker_id, {SPLIT_SQL} AS split, regexp_replace(audio_path, '\\.wav$', '') || {SIDECAR_SQL} AS transcript_path, CASE WHEN {SIDECAR_SQL} IS NULL THEN 'missing_transcript' WHEN trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) = '' THEN 'empty_transcript' END AS reason FROM docs")
 def job_01(spark, sf):
     d = V.doc_paths(spark, sf)
-    return jobs.prepare_read_speech(d.select("audio_path"), sidecars(spark, sf), d.select("audio_path", "text")).select("utterance_id", "speaker_id", "split", "transcript_path", "reason")
+    rows = jobs.prepare_read_speech(d.select("audio_path"), sidecars(spark, sf), d.select("audio_path", "text"))
+    kept = jobs.write_prepared(rows, scratch(spark, "prepared")).withColumn("reason", F.lit(None).cast("string"))
+    out = ["utterance_id", "speaker_id", "split", "transcript_path", "reason"]
+    return kept.select(*out).unionByName(rows.where(F.col("reason").isNotNull()).select(*out))
 
 
 @query("job_02_prepare_scored", f"WITH {V.DOCS_SQL}, u AS (SELECT docs.*, labels.quality FROM docs JOIN labels USING (doc_id)), s AS (SELECT speaker_id, sha256('17:' || speaker_id) AS h FROM (SELECT DISTINCT speaker_id FROM u WHERE subset <> 'test-clean')), r AS (SELECT speaker_id, row_number() OVER (ORDER BY h) AS rn, count(*) OVER () AS n FROM s) SELECT utterance_id, quality, CASE WHEN subset = 'test-clean' THEN 'test' WHEN rn <= greatest(1, least(n - 1, ceil(n * 0.1))) THEN 'val' ELSE 'train' END AS split FROM u LEFT JOIN r USING (speaker_id)")
 def job_02(spark, sf):
     u = V.doc_paths(spark, sf).join(table(spark, sf, "labels"), "doc_id").withColumn("official", F.when(F.col("subset") == "test-clean", "test").otherwise("train"))
-    return jobs.prepare_scored(u, 0.1, 17).select("utterance_id", "quality", "split")
+    rows = jobs.prepare_scored(u, 0.1, 17).select("utterance_id", "speaker_id", "audio_path", "text", "quality", "split")
+    path, schema = scratch(spark, "scored"), "utterance_id string, speaker_id string, audio_path string, text string, quality int, split string"
+    return jobs.write_prepared(rows.withColumn("reason", F.lit(None).cast("string")), path, schema, disjoint=True).select("utterance_id", "quality", "split")
 
 
 @query("job_03_export_transcripts", f"WITH {V.DOCS_SQL} SELECT subset, count(*) AS n, sum(length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))))::BIGINT AS chars FROM docs GROUP BY 1")
 def job_03(spark, sf):
-    t = sinks.transcript_rows(V.doc_paths(spark, sf))
+    path = scratch(spark, "lab")
+    sinks.write_transcripts(sinks.transcript_rows(V.doc_paths(spark, sf)), path)
+    t = spark.read.parquet(path)
     return t.groupBy(F.get(F.split("rel_path", "/"), F.lit(1)).alias("subset")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 

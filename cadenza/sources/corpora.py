@@ -35,8 +35,8 @@ def scored_utterances(speakers: DataFrame, scores: DataFrame, audio: DataFrame,
 
 def resolve_audio(df: DataFrame, listing: DataFrame, path: str, root: str = "raw") -> DataFrame:
     """JN-14: ``resolved``: an absolute path as it is, else the path or the path under ``root`` that is listed, else null."""
-    a = listing.select(F.col("listed").alias("__a"))
-    b = listing.select(F.col("listed").alias("__b"))
+    a = listing.select(F.col("listed").alias("__a")).distinct()
+    b = listing.select(F.col("listed").alias("__b")).distinct()
     d = df.join(a, F.col(path) == F.col("__a"), "left").join(b, F.concat(F.lit(f"{root}/"), F.col(path)) == F.col("__b"), "left")
     return d.withColumn("resolved", F.when(F.startswith(path, F.lit("/")), F.col(path)).otherwise(F.coalesce("__a", "__b"))).drop("__a", "__b")
 

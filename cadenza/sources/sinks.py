@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as X
@@ -49,12 +49,21 @@ def transcript_rows(df: DataFrame) -> DataFrame:
 
 
 def write_transcripts(rows: DataFrame, path: str, existing: DataFrame | None = None) -> dict:
-    """SNK-05: transcripts that aren't there yet, partitioned by folder; how many were written and how many reused."""
-    new = rows if existing is None else rows.join(existing, "rel_path", "left_anti")
-    total = rows.count()
-    new.withColumn("folder", F.md5(F.regexp_replace("rel_path", "/[^/]*$", "").cast("binary"))).write.mode("append").parquet(path)
-    written = new.count()
-    return {"written": written, "reused": total - written}
+    """SNK-05: transcripts that aren't there yet, in a partition for each folder; how many were written and how many reused.
+
+    Both counts are taken while writing, so the rows are evaluated once.
+    """
+    seen = Observation()
+    there = F.lit(None).cast("boolean")
+    if existing is None:
+        d = rows.withColumn("__there", there)
+    else:
+        d = rows.join(existing.select("rel_path", F.lit(True).alias("__there")).distinct(), "rel_path", "left")
+    d = d.observe(seen, F.count(F.lit(1)).alias("total"), F.count("__there").alias("reused"))
+    new = d.where(F.col("__there").isNull()).drop("__there")
+    folder = F.md5(F.regexp_replace("rel_path", "/[^/]*$", "").cast("binary"))
+    new.withColumn("folder", folder).write.partitionBy("folder").mode("append").parquet(path)
+    return {"written": seen.get["total"] - seen.get["reused"], "reused": seen.get["reused"]}
 
 
 def append_ledger(df: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import scores as S
-from cadenza.operators import assess, encoder, jobs, reports, sampling, verify
+from cadenza.operators import align, assess, encoder, jobs, reports, sampling, verify
 from cadenza.operators import words as O
 from cadenza.session import scratch
 from cadenza.sources import corpora, sinks
@@ -186,3 +186,38 @@ def test_stream_writes_assessments_and_rejects(spark):
     good, bad = spark.read.parquet(f"{path}/out/assessments"), spark.read.parquet(f"{path}/out/rejects")
     want, _ = job(df)
     assert sorted(good.drop("batch").collect()) == sorted(want.collect()) and good.count() + bad.count() == 64
+
+
+def test_transcripts_are_written_once_each(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.lab", "one"), ("a/y.lab", "two"), ("b/z.lab", None)], "rel_path string, text string")
+    path = str(tmp_path / "lab")
+    assert sinks.write_transcripts(rows.limit(2), path) == {"written": 2, "reused": 0}
+    there = spark.read.parquet(path)
+    assert sinks.write_transcripts(rows, path, there.unionByName(there)) == {"written": 1, "reused": 2}
+    back = spark.read.parquet(path)
+    assert sorted((r.rel_path, r.text) for r in back.collect()) == [("a/x.lab", "one"), ("a/y.lab", "two"), ("b/z.lab", None)]
+    assert back.select("folder").distinct().count() == 2  # a partition for each folder
+
+
+def test_prepared_manifests(spark, tmp_path):
+    kind = "utterance_id string, speaker_id string, split string, reason string"
+    rows = spark.createDataFrame([("u1", "s1", "train", None), ("u2", "s2", "val", None), ("u3", None, "test", None), ("u4", "s2", "train", "empty_transcript")], kind)
+    kept = jobs.write_prepared(rows, str(tmp_path / "m"), disjoint=True)
+    assert sorted((r.utterance_id, r.split) for r in kept.collect()) == [("u1", "train"), ("u2", "val"), ("u3", "test")]
+    summary = {(r.split, r["reason"] if "reason" in r else None): r.rows for r in spark.read.json(str(tmp_path / "m-summary")).collect()}
+    assert summary == {("train", None): 1, ("val", None): 1, ("test", None): 1, ("train", "empty_transcript"): 1}
+    leak = rows.withColumn("reason", F.lit(None).cast("string"))
+    with pytest.raises(ValueError):
+        jobs.write_prepared(leak, str(tmp_path / "n"), disjoint=True)
+
+
+def test_label_spans_without_frames(spark):
+    p = spark.createDataFrame([("u", "AA", 0, 10, 0)], "utterance_id string, phoneme string, start_ms int, end_ms int, total_frames int")
+    got = align.label_spans(p, 0.0).first()
+    assert (got["start"], got["end"], got["z"]) == (0, 1, 0.0)
+
+
+def test_a_path_listed_twice_resolves_once(spark):
+    df = spark.createDataFrame([("a.wav",), (None,)], "p string")
+    listing = spark.createDataFrame([("raw/a.wav",), ("raw/a.wav",)], "listed string")
+    assert [r.resolved for r in corpora.resolve_audio(df, listing, "p").orderBy("p").collect()] == [None, "raw/a.wav"]
