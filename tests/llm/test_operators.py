@@ -490,3 +490,11 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     kept = {r["doc_id"] for r in d.collect()}
     assert kept == set(range(60)) | {101, 102}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
+
+
+def test_every_segmentation_is_checked_by_what_it_decodes_to():
+    lattice = piece_lattice._lattice(piece_lattice._read(public_tokenizers.path("piece_bpe_32k.model")), 4)
+    rng = random.Random(5)
+    texts = ["", " ", "▁", "a▁b", " x", "née ಠಠ ok", "\x00tab\t\n"] + ["".join(rng.choices("ab ▁é漢\n the", k=rng.randrange(1, 40))) for _ in range(300)]
+    for text, found in zip(texts, lattice.checked(texts)):
+        assert found and all(says == lattice.says(ids, text) == (lattice.decode(np.frombuffer(ids, "<i4")) == text) for _, ids, says in found), text
