@@ -18,6 +18,7 @@ from cadenza.llm.media import decode_media, encode_media
 from cadenza.llm.near_dedup import near_duplicates
 from cadenza.llm.packing import pack_documents
 from cadenza.llm.piece_lattice import encode_nbest
+from cadenza.llm.quality import quality_rules
 from cadenza.llm.token_count import count_tokens
 from cadenza.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -140,3 +141,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     stored = encode_media(docs, "text", "media").select("doc_id", "n_bytes", "media")
     return decode_media(stored, "media", tensors=False)
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
