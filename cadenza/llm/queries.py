@@ -21,6 +21,7 @@ from cadenza.llm.piece_lattice import encode_nbest
 from cadenza.llm.quality import quality_rules
 from cadenza.llm.token_count import count_tokens
 from cadenza.llm.toxicity import fit_toxicity, score_toxicity
+from cadenza.llm.variants import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,3 +147,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_quality")
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
