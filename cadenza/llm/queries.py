@@ -19,6 +19,7 @@ from cadenza.llm.near_dedup import near_duplicates
 from cadenza.llm.packing import pack_documents
 from cadenza.llm.piece_lattice import encode_nbest
 from cadenza.llm.quality import quality_rules
+from cadenza.llm.token_align import align_tokens
 from cadenza.llm.token_count import count_tokens
 from cadenza.llm.toxicity import fit_toxicity, score_toxicity
 from cadenza.llm.variants import spelling_variants
@@ -152,3 +153,8 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, PIECES)

@@ -51,7 +51,7 @@ class ByteBpe:
             raise ValueError("ids don't follow the order of merges")
         symbols = byte_symbols()
         ranks = {bytes(symbols[c] for c in token): i for token, i in vocab.items() if token not in special}
-        self.special = special
+        self.special, self.ranks = special, ranks
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.names = set(self.special)
         self.source, self.slow = source, None
@@ -63,6 +63,20 @@ class ByteBpe:
             self.slow = self.slow or Tokenizer.from_str(self.source)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def ordinary_ids(self, text: str) -> np.ndarray:
+        """Ids of a text in which the strings of special tokens are plain text."""
+        try:
+            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.int64)
+        except (ValueError, RuntimeError, OverflowError):
+            slow = Tokenizer.from_str(self.source)
+            slow.encode_special_tokens = True
+            return np.array(slow.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id; a special token's are its string's."""
+        known = {i: t for t, i in self.ranks.items()} | {i: t.encode() for t, i in self.special.items()}
+        return [known.get(i, b"") for i in range(max(known) + 1)]
+
 
 def byte_bpe(source: str) -> ByteBpe:
     """One tokenizer per worker and file."""
