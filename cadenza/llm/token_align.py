@@ -161,10 +161,11 @@ def cut_long(docs: DataFrame, part_bytes: int) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 whole, rows, begin, at = " " + text.as_py(), [], 0, 0
+                last = len(whole) - 1  # a space that ends the text isn't a part: B adds none to nothing
                 while begin < len(whole):
-                    stop = whole.find(" ", begin + part_bytes)
+                    stop = whole.find(" ", begin + part_bytes, last)
                     while 0 <= stop and (whole[stop - 1].isspace() or whole[stop - 1] == SPACE_MARK):
-                        stop = whole.find(" ", stop + 1)
+                        stop = whole.find(" ", stop + 1, last)
                     stop = len(whole) if stop < 0 else stop
                     rows.append((len(rows), at, whole[begin + 1 : stop]))
                     at += len(whole[begin:stop].encode())

@@ -456,8 +456,7 @@ def test_units_of_the_arrays_equal_their_searches():
     lattice.learn(units)
     for u in units:
         found = lattice.segment(u, 2)
-        assert lattice.ids[u] == found[0][1]
-        assert lattice.lead[u] == (found[1][0].lead() if len(found) > 1 else piece_lattice.NONE)
+        assert lattice.best[u] == (found[0][1], found[1][0].lead() if len(found) > 1 else piece_lattice.NONE)
 
 
 def test_pieces_table(spark):
