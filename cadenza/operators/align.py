@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import labels as L
+from cadenza.functions import scorejson as J
 from cadenza.functions import text as X
 from cadenza.functions.constants import SILENCE_LABELS
+from cadenza.sources.files import NO_TIER
 
 
 def pick_tier(tiers: DataFrame, file: str, tier: str, preferred: str, fallbacks: tuple[str, ...] = ()) -> DataFrame:
@@ -45,9 +52,77 @@ def contained(phones: DataFrame, words: DataFrame, key: str, width: float = 1.0)
     return w.join(p, on).select(*[F.col(f"w.{c}") for c in words.columns], F.col("p.xmin").alias("p_xmin"), F.col("p.xmax").alias("p_xmax"), F.col("p.label").alias("p_label"))
 
 
-def contained_local(words: DataFrame, phones_column: str) -> DataFrame:
-    """JN-07 for words that carry their utterance's phones as an array: no join at all."""
-    return words.withColumn("inside", F.filter(phones_column, lambda p: (p["xmin"] >= F.col("xmin")) & (p["xmax"] <= F.col("xmax"))))
+def tier_of(tiers: Column, preferred: str, fallbacks: tuple[str, ...] = ()) -> Column:
+    """SRC-11 within a file's tiers: the intervals of the preferred name, then of the fallbacks, then of any of them without regard to case; null if there is none."""
+    names = [preferred, *fallbacks]
+    of = lambda as_read, n: F.get(F.filter(tiers, lambda t: as_read(t["name"]) == n), F.lit(0))["intervals"]
+    return F.coalesce(*[of(lambda c: c, n) for n in names], *[of(F.lower, n.lower()) for n in names])
+
+
+def containment(words: np.ndarray, phones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, phone) of every phone inside a word, both ends closed, in the order of words and then of phones.
+
+    ``words`` and ``phones`` are (n, 2) bounds. A sweep: each phone meets the words that are open where it begins,
+    the last that began first; it goes on to earlier ones only while one of these still reaches its end.
+    """
+    order = np.argsort(words[:, 0], kind="stable")
+    begin, end = words[order, 0], words[order, 1]
+    reach = np.maximum.accumulate(end) if len(end) else end
+    phone = np.arange(len(phones))
+    at = np.searchsorted(begin, phones[:, 0], "right") - 1
+    found = []
+    while len(phone):
+        phone, at = phone[at >= 0], at[at >= 0]
+        going = reach[at] >= phones[phone, 1]
+        phone, at = phone[going], at[going]
+        inside = end[at] >= phones[phone, 1]
+        found.append(np.column_stack([order[at[inside]], phone[inside]]))
+        at = at - 1
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[:, 0], pairs[:, 1]
+
+
+def silent_native(label: str) -> bool:
+    """``is_silence_native`` of a phone's label."""
+    return re.sub(r"[0-9]", "", label.strip(" ").lower()) in SILENCE_LABELS
+
+
+def silent_scored(label: str) -> bool:
+    """``is_silence_scored`` of a phone's label."""
+    return re.sub(r"[^a-z']+", "", label.strip(" ").lower()) in SILENCE_LABELS
+
+
+def sweep(utterances: DataFrame, words: str, phones: str, silent: Callable[[str], bool]) -> DataFrame:
+    """JN-07 for utterances that hold their word and phone intervals as arrays: a row for each word, without a shuffle.
+
+    A row keeps the other columns of its utterance, with ``pos``, ``xmin``, ``xmax``, ``label`` and ``phones``, the intervals
+    inside it that aren't silent, in the order of the tier, their labels in upper case without stress. Arrays that are null have no words.
+    """
+    own = [c for c in utterances.columns if c not in (words, phones)]
+    interval = "struct<xmin:double,xmax:double,label:string>"
+    schema = utterances.select(*own, F.lit(0).alias("pos"), F.lit(0.0).alias("xmin"), F.lit(0.0).alias("xmax"), F.lit("").alias("label"), F.array().cast(f"array<{interval}>").alias("phones")).schema
+    shape = lambda a: np.column_stack([a.field(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1)
+                w, p = part.column(len(own)).flatten(), part.column(len(own) + 1).flatten()
+                if not len(w):
+                    continue
+                known = p.field(2).dictionary_encode()
+                names = known.dictionary.to_pylist()
+                heard = np.array([x is not None and not silent(x) for x in names] + [False])
+                said = pa.array([re.sub(r"[0-9]", "", (x or "").upper()) for x in names], pa.string()).take(known.indices)
+                p = pa.StructArray.from_arrays([p.field(0), p.field(1), said], names=["xmin", "xmax", "label"])
+                p = p.filter(pa.array(heard[known.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]))
+                at, of = containment(shape(w), shape(p))
+                offsets = pa.array(np.searchsorted(at, np.arange(len(w) + 1)), pa.int32())
+                same = pa.array(np.zeros(len(w), np.int64))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(same) for i in range(len(own))), pa.array(np.arange(len(w)), pa.int32()), *(w.field(i) for i in range(3)), pa.ListArray.from_arrays(offsets, p.take(pa.array(of)))], names=schema.names)
+
+    return utterances.select(*own, F.col(words).cast(f"array<{interval}>"), F.col(phones).cast(f"array<{interval}>")).mapInArrow(run, schema)
 
 
 def zip_positions(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -71,27 +146,92 @@ def label_spans(phones: DataFrame, frame_ms: float, key: str = "utterance_id") -
     return d.withColumn("z", F.round((F.greatest(F.lit(1), F.col("end") - F.col("start")) - x) / F.greatest(F.lit(1.0), 0.35 * x), 3) + 0.0)
 
 
-def word_reasons(min_word_ms: int = 80) -> dict[str, Column]:
-    """FLT-05 at the grain of words: rules in order, on columns word, lexicon_phones, phones, start_ms and end_ms."""
-    return {
-        "skip_word_label": F.col("word").isin(*SILENCE_LABELS),
-        "missing_cmudict": F.col("lexicon_phones").isNull(),
-        "too_short": F.col("end_ms") - F.col("start_ms") < min_word_ms,
-        "phone_count_mismatch": F.size("phones") != F.size("lexicon_phones"),
-        "phone_identity_mismatch": F.col("phones") != F.col("lexicon_phones"),
-    }
+def utterance_reasons(scored: bool) -> dict[str, Column]:
+    """FLT-05 at the grain of utterances: rules in order, on columns there, error, words, phones and, if ``scored``, entry, score_words and said."""
+    rules = {"missing_score_entry": F.col("entry").isNull()} if scored else {}
+    rules |= {"missing_textgrid": F.col("there").isNull(), "broken_textgrid": F.col("error") != NO_TIER, "missing_tier": F.col("words").isNull() | F.col("phones").isNull()}
+    if scored:
+        rules |= {
+            "missing_words": F.col("score_words").isNull(),
+            "word_count_mismatch": F.size("score_words") != F.size("words"),
+            "word_identity_mismatch": F.transform("score_words", lambda w: X.word_token(w["text"])) != F.transform("words", lambda w: X.word_token(w["label"])),
+        }
+    return rules
 
 
-def aligned_words(words: DataFrame, phones: DataFrame, lexicon: DataFrame, min_word_ms: int = 80) -> DataFrame:
-    """JOB-04: every word interval with its phones and one reason if it is rejected.
+def word_reasons(scored: bool = False, min_word_ms: int = 80) -> dict[str, Column]:
+    """FLT-05 at the grain of words: rules in order, on columns word, start_ms, end_ms, said (phones heard), canonical and, if ``scored``, score."""
+    rules = {"skip_word_label": F.col("word").isin(*SILENCE_LABELS)}
+    if scored:
+        rules |= {"missing_phones": F.col("canonical").isNull(), "missing_phone_scores": J.phone_scores(F.col("score")).isNull(), "phone_score_length_mismatch": F.size("canonical") != F.size(J.phone_scores(F.col("score")))}
+    else:
+        rules |= {"missing_cmudict": F.col("canonical").isNull()}
+    rules |= {"too_short": F.col("end_ms") - F.col("start_ms") < min_word_ms, "phone_count_mismatch": F.size("said") != F.size("canonical")}
+    return rules if scored else rules | {"phone_identity_mismatch": F.col("said") != F.col("canonical")}
 
-    ``words`` (utterance_id, pos, xmin, xmax, label), ``phones`` (utterance_id, xmin, xmax, label),
-    ``lexicon`` (word, lexicon_phones). The lexicon joins by word; Spark broadcasts it where it is small.
-    """
-    w = words.withColumn("word", X.word_token(F.col("label")))
+
+LABEL = "struct<phoneme:string,index:int,start_ms:int,end_ms:int,pronunciation_class:string,human_score:double,omission_label:boolean,pronounced_phone:string>"
+
+
+def artifacts(words: DataFrame, dataset: str, source: str, scored: bool, sample_rate: int, min_word_ms: int) -> DataFrame:
+    """Words with their phones (``sweep``), ``canonical`` and, if scored, ``score``, as aligned rows: labels of those that pass, a reason for the others."""
     start, end = X.seconds_to_ms(F.col("xmin"), F.col("xmax"))
-    inside = contained(phones.where(~is_silence_native(F.col("label"))), w.select("utterance_id", "pos", "xmin", "xmax"), "utterance_id")
-    got = inside.groupBy("utterance_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_xmin", "p_xmax", "p_label"))), lambda x: X.strip_stress(x["p_label"])).alias("phones"))
-    d = w.join(got, ["utterance_id", "pos"], "left").join(lexicon, "word", "left")
-    d = d.withColumn("phones", F.coalesce("phones", F.array().cast("array<string>"))).withColumn("start_ms", start).withColumn("end_ms", end)
-    return d.withColumn("reason", L.first_reason(word_reasons(min_word_ms))).withColumn("artifact_id", X.word_id(F.col("utterance_id"), F.col("word"), F.col("start_ms")))
+    d = words.withColumns({"start_ms": start, "end_ms": end, "said": F.col("phones.label")})
+    d = d.withColumn("reason", L.first_reason(word_reasons(scored, min_word_ms)))
+
+    def label(p: Column, i: Column) -> Column:
+        a, b = X.seconds_to_ms(p["xmin"], p["xmax"])
+        phone = F.get("canonical", i)
+        score = F.get(J.phone_scores(F.col("score")), i) if scored else F.lit(2.0)
+        spoken = F.try_element_at("mispronounced", i) if scored else phone
+        omitted = X.is_omission(spoken) if scored else F.lit(False)
+        return F.struct(phone.alias("phoneme"), i.alias("index"), a.alias("start_ms"), b.alias("end_ms"), L.class_of_human_score(score).alias("pronunciation_class"), score.alias("human_score"), omitted.alias("omission_label"), spoken.alias("pronounced_phone"))
+
+    if scored:
+        d = d.withColumn("mispronounced", J.mispronounced(F.col("score")))
+    passed = F.col("reason").isNull()
+    return d.select(
+        "utterance_id", "speaker_id", "split", "audio_path", "pos", "reason", F.when(passed, X.word_id(F.col("utterance_id"), F.col("word"), F.col("start_ms"))).alias("artifact_id"),
+        F.lit(dataset).alias("dataset"), F.col("word").alias("target_word"), F.lit("en-US").alias("accent_target"), F.col("canonical").alias("canonical_phones"), X.display_symbols(F.col("canonical")).alias("ipa"),
+        F.lit(sample_rate).alias("sample_rate"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), F.create_map(F.lit("status"), F.lit("ok"), F.lit("source"), F.lit(source)).alias("audio_quality"),
+        F.lit("mfa").alias("alignment_source"), F.when(passed, F.transform("phones", label)).cast(f"array<{LABEL}>").alias("phone_labels"),
+    )
+
+
+def aligned_native(utterances: DataFrame, lexicon: DataFrame, dataset: str = "libritts", sample_rate: int = 16_000, min_word_ms: int = 80) -> DataFrame:
+    """JOB-04 from ``utterances`` (``with_tiers``): a row for each word, and one with its reason for each utterance that has none.
+
+    ``lexicon`` (word, lexicon_phones) joins by word; Spark broadcasts it where it is small.
+    """
+    u = utterances.withColumn("reason", L.first_reason(utterance_reasons(False)))
+    good = u.where(F.col("reason").isNull()).select("utterance_id", "speaker_id", "split", "audio_path", "words", "phones")
+    w = sweep(good, "words", "phones", silent_native).withColumn("word", X.word_token(F.col("label")))
+    w = w.join(lexicon.select("word", F.col("lexicon_phones").alias("canonical")), "word", "left")
+    return _with_rejected(artifacts(w, dataset, f"native_{dataset}", False, sample_rate, min_word_ms), u)
+
+
+def aligned_scored(utterances: DataFrame, scores: DataFrame, dataset: str = "speechocean762", sample_rate: int = 16_000, min_word_ms: int = 80) -> DataFrame:
+    """JOB-05 from ``utterances`` (``with_tiers``) and ``scores`` (utterance_id, entry): as JOB-04, words and phones scored by people.
+
+    Words that are silence and score words without letters don't count; those left must be the same on both sides.
+    """
+    u = utterances.join(scores, "utterance_id", "left")
+    u = u.withColumn("words", F.filter("words", lambda w: ~is_silence_scored(w["label"])))
+    u = u.withColumn("score_words", F.filter("entry.words", lambda w: F.coalesce(X.word_token(w["text"]), F.lit("")) != ""))
+    u = u.withColumn("reason", L.first_reason(utterance_reasons(True)))
+    good = u.where(F.col("reason").isNull()).select("utterance_id", "speaker_id", "split", "audio_path", "score_words", "words", "phones")
+    w = sweep(good, "words", "phones", silent_scored).withColumn("score", F.get("score_words", F.col("pos"))).drop("score_words")
+    w = w.withColumn("word", X.word_token(F.col("score.text"))).withColumn("canonical", F.transform(J.canonical_phones(F.col("score")), X.strip_stress))
+    return _with_rejected(artifacts(w, dataset, dataset, True, sample_rate, min_word_ms), u)
+
+
+def _with_rejected(words: DataFrame, utterances: DataFrame) -> DataFrame:
+    bad = utterances.where(F.col("reason").isNotNull()).select("utterance_id", "speaker_id", "split", "audio_path", "reason")
+    return words.unionByName(bad, allowMissingColumns=True)
+
+
+def with_tiers(prepared: DataFrame, tiers: DataFrame, root: str, word_tier: str = "words", phone_tier: str = "phones") -> DataFrame:
+    """JN-04: prepared utterances with the words and phones of their alignment file below ``root``, named after their audio; ``there`` is null without one."""
+    found = tiers.select(X.relative_path(F.regexp_replace("path", "^file:/+", "/"), re.sub("^file:/+", "/", root)).alias("__file"), "tiers", "error", F.lit(True).alias("there"))
+    d = prepared.withColumn("__file", X.alignment_path(F.col("audio_path"))).join(found, "__file", "left")
+    return d.select("utterance_id", "speaker_id", "split", "audio_path", "there", "error", tier_of(F.col("tiers"), word_tier, ("word",)).alias("words"), tier_of(F.col("tiers"), phone_tier, ("phone",)).alias("phones"))

@@ -14,7 +14,7 @@ from cadenza.operators import words as O
 from cadenza.plans import views as V
 from cadenza.plans.q_aggregates import DIM_SQL, OVERALL_SQL, SPLIT_SQL, V1_SQL, with_quality
 from cadenza.plans.q_functions import PENALTY_SQL, STATUS_SQL
-from cadenza.plans.q_joins import IV_SQL, SIDECAR_SQL, intervals, lexicon, score_words, sidecars
+from cadenza.plans.q_joins import IV_SQL, SIDECAR_SQL, interval_arrays, lexicon, score_words, sidecars
 from cadenza.plans.registry import query
 from cadenza.plans.views import r6
 
@@ -56,8 +56,8 @@ SELECT doc_id || '__' || word || '__' || CAST(round_even((stop - len) * 0.05::DO
 
 @query("job_04_aligned_native", JOB_04_SQL)
 def job_04(spark, sf):
-    w, p = intervals(spark, sf)
-    return align.aligned_words(w, p, lexicon(spark, sf)).where(F.col("reason").isNull()).select("artifact_id", F.size("phones").cast("long").alias("phones"))
+    w = align.aligned_native(interval_arrays(spark, sf), lexicon(spark, sf))
+    return w.where(F.col("reason").isNull()).select("artifact_id", F.size("phone_labels").cast("long").alias("phones"))
 
 
 JOB_05_SQL = f"""WITH {V.PHONES_SQL} SELECT utterance_id, CAST(index AS INT) AS index, phoneme, CASE WHEN human_score >= 1.5 THEN 'correct' WHEN human_score >= 0.5 THEN 'accented' ELSE 'wrong_or_missed' END AS class, round({V.TARGET_SQL}, 6) AS target, omission AND index % 5 <> 4 AND index % 3 = 0 AS omission, NULL AS reason FROM phones WHERE utterance_id % 11 <> 0

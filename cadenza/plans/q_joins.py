@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -94,6 +98,33 @@ def intervals(spark, sf):
     return words, phones
 
 
+def interval_arrays(spark, sf):
+    """The same intervals with a row for each document, as its alignment file holds them: ``words`` and ``phones``."""
+    interval = pa.struct([("xmin", pa.float64()), ("xmax", pa.float64()), ("label", pa.string())])
+
+    def array(sizes, at, label):
+        xmin, xmax = (pa.array(np.array(at, np.int64) * 0.05), pa.array((np.array(at, np.int64) + np.array(sizes, np.int64)) * 0.05)) if len(at) else (pa.array([], pa.float64()),) * 2
+        return pa.StructArray.from_arrays([xmin, xmax, pa.array(label, pa.string())], fields=list(interval))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                tokens = re.split("[ \n\t\r]+", b.column("text")[i].as_py())
+                sizes = [max(1, len(t)) for t in tokens]
+                begin = np.cumsum(sizes) - sizes
+                label = ["sp" if p % 17 == 16 else "<eps>" if p % 19 == 18 else t for p, t in enumerate(tokens)]
+                letters = "".join(tokens)
+                at = np.concatenate([np.arange(a, a + len(t)) for a, t in zip(begin, tokens)]) if letters else np.zeros(0, np.int64)
+                lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (array(sizes, begin, label), array(np.ones(len(at), np.int64), at, [c.upper() for c in letters]))]
+                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns[:-1], *lists], names=[*b.schema.names[:-1], "words", "phones"])
+
+    d = V.doc_paths(spark, sf).where(F.col("text").isNotNull())
+    d = d.select(F.col("doc_id").cast("string").alias("utterance_id"), "speaker_id", X.split_of_path(F.col("audio_path")).alias("split"), "audio_path", F.lit(True).alias("there"), F.lit(None).cast("string").alias("error"), "text")
+    interval_type = "array<struct<xmin:double,xmax:double,label:string>>"
+    # a table of one file would be one task
+    return d.repartition("utterance_id").mapInArrow(run, f"utterance_id string, speaker_id string, split string, audio_path string, there boolean, error string, words {interval_type}, phones {interval_type}")
+
+
 def lexicon(spark, sf):
     t = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[ \\n]+")).alias("t"))
     w = t.select(X.word_token(F.col("t")).alias("word")).where(F.col("word") != "").distinct()
@@ -248,8 +279,7 @@ x AS (SELECT w.*, lex.spelled, CASE WHEN token = '' THEN '' ELSE upper(token) EN
 r AS (SELECT CASE WHEN word IN ('', 'sp', 'sil', 'spn', '<eps>') THEN 'skip_word_label' WHEN spelled IS NULL THEN 'missing_cmudict' WHEN len * 50 < 80 THEN 'too_short' WHEN length(regexp_replace(said, '[0-9]', 'x', 'g')) <> length(spelled) THEN 'phone_count_mismatch' WHEN said <> spelled THEN 'phone_identity_mismatch' ELSE 'ok' END AS reason FROM x)
 SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def flt_05(spark, sf):
-    w, p = intervals(spark, sf)
-    return A.aligned_words(w, p, lexicon(spark, sf)).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return A.aligned_native(interval_arrays(spark, sf), lexicon(spark, sf)).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("flt_06_partition_consistency", f"WITH {V.PHONES_SQL} SELECT split, count(*) FILTER (line % 5 = 0 AND split <> 'test') AS mismatched, count(*) AS n FROM phones GROUP BY 1")

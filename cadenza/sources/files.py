@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,14 @@ _NUMBER = re.compile(r"^\s*(xmin|xmax)\s*=\s*(\S+)")
 _STRING = re.compile(r'^\s*(class|name|text|mark)\s*=\s*"(.*)"\s*$')
 
 
-def interval_rows(path: str, text: str) -> list[tuple]:
-    """The intervals of an alignment file in its long text form; a file that isn't one gives a row with an error."""
+NO_TIER = "no interval tier"
+
+
+def file_tiers(text: str) -> tuple[list[tuple[str | None, list[tuple[float, float, str]]]], str | None]:
+    """The interval tiers of an alignment file in its long text form, empty ones too, or why it isn't one."""
     if "IntervalTier" not in text:
-        return [(path, None, None, None, None, None, "no interval tier")]
-    rows, tier, bounds, pos, items = [], None, {}, 0, False
+        return [], NO_TIER
+    tiers, bounds, items = [], {}, False
     for line in text.splitlines():
         if m := _NUMBER.match(line):
             bounds[m[1]] = m[2]
@@ -30,16 +34,24 @@ def interval_rows(path: str, text: str) -> list[tuple]:
             items, bounds = True, {}
         elif m := _STRING.match(line):
             if m[1] == "class":
-                tier, items, pos = None, False, 0
-            elif m[1] == "name":
-                tier = m[2].replace('""', '"')
-            elif items and m[1] == "text":
+                items = False
+                tiers.append((None, []))
+            elif m[1] == "name" and tiers:
+                tiers[-1] = (m[2].replace('""', '"'), tiers[-1][1])
+            elif items and m[1] == "text" and tiers:
                 try:
-                    rows.append((path, tier, pos, float(bounds["xmin"]), float(bounds["xmax"]), m[2].replace('""', '"'), None))
+                    tiers[-1][1].append((float(bounds["xmin"]), float(bounds["xmax"]), m[2].replace('""', '"')))
                 except (KeyError, ValueError):
-                    return [(path, None, None, None, None, None, "an interval without bounds")]
-                pos += 1
-    return rows
+                    return [], "an interval without bounds"
+    return tiers, None
+
+
+def interval_rows(path: str, text: str) -> list[tuple]:
+    """The intervals of an alignment file; a file that isn't one gives a row with an error."""
+    tiers, error = file_tiers(text)
+    if error:
+        return [(path, None, None, None, None, None, error)]
+    return [(path, tier, pos, *interval, None) for tier, intervals in tiers for pos, interval in enumerate(intervals)]
 
 
 def alignment_intervals(files: DataFrame) -> DataFrame:
@@ -54,9 +66,37 @@ def alignment_intervals(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, INTERVALS)
 
 
-def alignment_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-10: all alignment files of a folder."""
-    return alignment_intervals(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+TIERS = "path string, tiers array<struct<name:string,intervals:array<struct<xmin:double,xmax:double,label:string>>>>, error string"
+
+
+def alignment_tiers(files: DataFrame) -> DataFrame:
+    """SRC-10 at the grain of files: ``files`` (path, text) to one row each, its tiers as arrays in the order of the file.
+
+    An utterance's words and phones stay together, so nothing has to bring them together again.
+    """
+    interval = pa.struct([("xmin", pa.float64()), ("xmax", pa.float64()), ("label", pa.string())])
+    kind = pa.list_(pa.struct([("name", pa.string()), ("intervals", pa.list_(interval))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tiers, error = file_tiers(text or "")
+                last = dict(tiers)  # of tiers with one name the last counts
+                found = [{"name": k, "intervals": [dict(zip(("xmin", "xmax", "label"), x)) for x in v]} for k, v in last.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([found], kind), pa.array([error], pa.string())], names=["path", "tiers", "error"])
+
+    return files.select("path", "text").mapInArrow(run, TIERS)
+
+
+def alignment_texts(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-10: (path, text) of all alignment files below a folder."""
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.TextGrid").text(root, wholetext=True)
+    return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def alignment_files(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-10: the intervals of all alignment files below a folder."""
+    return alignment_intervals(alignment_texts(spark, root))
 
 
 def decode_wav(content: bytes) -> tuple[int, int, np.ndarray]:

@@ -66,6 +66,18 @@ def write_transcripts(rows: DataFrame, path: str, existing: DataFrame | None = N
     return {"written": seen.get["total"] - seen.get["reused"], "reused": seen.get["reused"]}
 
 
+def write_aligned(rows: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """JOB-04, JOB-05: words and utterances with and without a ``reason``, evaluated once into ``path``-rows; the words that passed as
+    manifests by split below ``path``, and how many rows each split and reason has as ``path``-summary. Returns all rows as they read back.
+    """
+    rows.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}-rows")
+    done = rows.sparkSession.read.parquet(f"{path}-rows")
+    kept = done.where(F.col("reason").isNull()).drop("reason", "pos", "utterance_id").withColumnRenamed("artifact_id", "utterance_id")
+    write_manifest(kept, path, overwrite)
+    write_report(done.groupBy("split", "reason").agg(F.count(F.lit(1)).alias("rows")), f"{path}-summary")
+    return done
+
+
 def append_ledger(df: DataFrame, path: str) -> None:
     """SNK-06: states are only ever appended."""
     df.write.mode("append").parquet(path)
