@@ -101,7 +101,8 @@ def sweep(utterances: DataFrame, words: str, phones: str, silent: Callable[[str]
     """
     own = [c for c in utterances.columns if c not in (words, phones)]
     interval = "struct<xmin:double,xmax:double,label:string>"
-    schema = utterances.select(*own, F.lit(0).alias("pos"), F.lit(0.0).alias("xmin"), F.lit(0.0).alias("xmax"), F.lit("").alias("label"), F.array().cast(f"array<{interval}>").alias("phones")).schema
+    made = {"pos": "int", "xmin": "double", "xmax": "double", "label": "string", "phones": f"array<{interval}>"}
+    schema = utterances.select(*own, *[F.lit(None).cast(t).alias(c) for c, t in made.items()]).schema
     shape = lambda a: np.column_stack([a.field(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,25 +133,25 @@ def assess_words(recordings: DataFrame, phones: DataFrame, key: str) -> DataFram
     return assess.assessments(recordings, p, key)
 
 
-def assess_recordings(recordings: DataFrame, lexicon: DataFrame, assets: DataFrame, make_encoder: Callable, samples: int, rate: int, frame: int, width: int) -> tuple[DataFrame, DataFrame]:
+def assess_recordings(recordings: DataFrame, lexicon: DataFrame, assets: DataFrame, make_encoder: Callable, rate: int, frame: int, width: int) -> tuple[DataFrame, DataFrame]:
     """JOB-11, ST-01: recordings to (assessments, rejects).
 
     ``recordings`` (recording_id, asked, samples): asked words are trimmed and lower-cased and looked up in
     ``lexicon`` (word, lexicon_phones) and ``assets`` (word, asset_path; none: null). Rejected with a reason:
     ``unknown_word``, ``too_short``, ``too_long``, ``too_few_frames``. The signal is normalised to its peak,
-    judged, cut to at most ``samples`` and encoded; frames are ``frame`` samples long and
-    ``width`` wide, and are dealt to phones in proportion and pooled within the row.
+    judged and encoded, whatever its length; frames are ``frame`` samples long and ``width`` wide, and are dealt to
+    phones in proportion and pooled within the row.
     """
     ms = G.duration_ms(F.col("samples"), rate)
     r = recordings.select("recording_id", F.lower(F.trim("asked")).alias("word"), "samples").join(lexicon, "word", "left").join(assets, "word", "left")
     r = r.withColumn("reason", F.coalesce(F.when(F.col("lexicon_phones").isNull(), "unknown_word"), G.length_reason(ms)))
-    r = r.withColumn("total_frames", F.floor(F.least(F.size("samples"), F.lit(samples)) / frame).cast("int"))
+    r = r.withColumn("total_frames", F.floor(F.size("samples") / frame).cast("int"))
     r = r.withColumn("reason", F.coalesce("reason", F.when(F.col("total_frames") < F.size("lexicon_phones"), "too_few_frames")))
     good = r.where(F.col("reason").isNull()).drop("reason")
     x = G.peak_normalise(F.col("samples"))
     quality = S.quality_status(G.rms(F.col("samples")), G.clipping_ratio(F.col("samples")), G.silence_ratio(F.col("samples")))
     good = good.select("recording_id", "word", "asset_path", "lexicon_phones", "total_frames", quality.alias("quality"), x.alias("x"))
-    good = encoder.encode_signals(good, "x", make_encoder, samples, frame, width, rate).drop("x")
+    good = encoder.encode_signals(good, "x", make_encoder, frame, width, rate).drop("x")
     phones = good.select("*", F.posexplode("lexicon_phones").alias("index", "phoneme"))
     p = assess.align_frames(phones, "recording_id", frame_ms=1000.0 * frame / rate)
     length = F.col("end") - F.col("start")

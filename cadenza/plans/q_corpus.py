@@ -10,8 +10,11 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cadenza.operators import align
+from cadenza.operators import align, encoder, features
+from cadenza.plans import views as V
+from cadenza.plans.q_functions import WEIGHT_SQL
 from cadenza.plans.registry import query
+from cadenza.plans.views import r6
 from cadenza.session import scratch, table
 from cadenza.sources import corpora, files, sinks
 from cadenza.sources.filesink import write_files
@@ -161,3 +164,66 @@ def job_05_files(spark, sf):
     human = F.round(F.aggregate("phone_labels", F.lit(0.0), lambda s, x: s + x["human_score"]), 6)
     omitted = F.size(F.filter("phone_labels", lambda x: x["omission_label"]))
     return of_labels(rows, human=human, omitted=omitted)
+
+
+#: The nine fields of a feature run's key.
+SPEC = {"dataset": "orders", "backbone_id": "windows", "backbone_revision": "main", "embedding_source": "fallback", "alignment_source": "mfa", "pooling_version": "phone_mean_v1", "artifact_schema_version": "phone_embedding_artifact_v1", "sample_rate": 64}
+ALIGNED = f"utterance_id string, speaker_id string, dataset string, split string, target_word string, accent_target string, audio_path string, canonical_phones array<string>, phone_labels array<{align.LABEL}>"
+
+
+def aligned_orders(spark, sf):
+    """Orders as aligned words, written as manifests and read back; word k is in the audio of vector k modulo their number."""
+    n = table(spark, sf, "embeddings").count()
+    p = V.phones(spark, sf)
+    label = F.struct(
+        F.col("index").cast("int").alias("index"), "phoneme", "start_ms", "end_ms", F.lit("correct").alias("pronunciation_class"), "human_score", F.col("omission").alias("omission_label"), F.col("phoneme").alias("pronounced_phone"),
+    )
+    w = p.groupBy("utterance_id").agg(F.array_sort(F.collect_list(label)).alias("phone_labels"), F.first("speaker_id").cast("string").alias("speaker_id"), F.first("split").alias("split"))
+    audio = F.concat(F.lit("v"), (F.col("utterance_id") % n).cast("string"), F.lit(".wav"))
+    w = w.select(F.col("utterance_id").cast("string").alias("utterance_id"), "speaker_id", F.lit("orders").alias("dataset"), "split", F.lit("w").alias("target_word"), F.lit("en-US").alias("accent_target"), audio.alias("audio_path"), F.col("phone_labels.phoneme").alias("canonical_phones"), "phone_labels")
+    path = scratch(spark, "aligned")
+    sinks.write_manifest(w, path)
+    return corpora.manifests(spark, path, ALIGNED).where(F.col("_bad").isNull()).drop("_bad")
+
+
+def written_audio(spark, sf):
+    """Each vector as a WAV file of 64 samples, a quarter of them below raw/, some cut short and some missing."""
+
+    def run(batches):
+        for b in batches:
+            kept = b[b["vec_id"] % 9 != 8]
+            rows = [(f"raw/v{k}.wav" if k % 4 == 0 else f"v{k}.wav", files.encode_wav(v, 64)[: 20 if k % 10 == 7 else None]) for k, v in zip(kept["vec_id"], kept["vector"])]
+            yield pd.DataFrame(rows, columns=["rel_path", "content"])
+
+    path = scratch(spark, "audio")
+    write_files(V.frames(spark, sf).select("vec_id", "vector").mapInPandas(run, "rel_path string, content binary"), path)
+    return path
+
+
+JOB_06_SQL = f"""WITH {V.PHONES_SQL}, {V.FRAMES_SQL}, c AS (SELECT count(*) AS n FROM embeddings),
+a AS (SELECT vec_id, list_transform(vector, lambda x: round_even(least(1, greatest(-1, x)) * 32767, 0) / 32768) AS raw FROM frames),
+s AS (SELECT vec_id, list_transform(raw, lambda x: x / CASE WHEN list_max(list_transform(raw, lambda y: abs(y))) > 0 THEN list_max(list_transform(raw, lambda y: abs(y))) ELSE 1 END) AS xs,
+  CASE WHEN vec_id % 9 = 8 THEN 'missing_audio' WHEN vec_id % 10 = 7 THEN 'undecodable' END AS reason FROM a),
+p AS (SELECT *, lag(phoneme) OVER w AS prev_phoneme, lead(phoneme) OVER w AS next_phoneme, {WEIGHT_SQL} AS weight, sum({WEIGHT_SQL}) OVER (PARTITION BY utterance_id) AS weights,
+  CAST(greatest(0, least(15, floor(start_ms / 62.5))) AS INT) AS f0 FROM phones WINDOW w AS (PARTITION BY utterance_id ORDER BY index)),
+j AS (SELECT p.*, s.xs, s.reason, CAST(least(16, greatest(f0 + 1, ceil(end_ms / 62.5))) AS INT) AS f1, greatest(1.0::DOUBLE, 16 * (weight / weights)) AS expected FROM p, c, s WHERE s.vec_id = utterance_id % c.n),
+k AS (SELECT *, xs[4 * f0 + 1:4 * f1] AS part FROM j WHERE reason IS NULL)
+SELECT CAST(utterance_id AS VARCHAR) AS utterance_id, split, CAST(index AS INT) AS index, phoneme, prev_phoneme, next_phoneme, f1 - f0 AS frame_count, round({V.TARGET_SQL}, 6) AS regression_target,
+  round(list_sum(part) / (f1 - f0), 6) + 0.0 AS total, round(list_aggregate(part, 'var_pop'), 6) AS variance,
+  round(list_avg(list_transform(range(f0, f1), lambda f: sqrt(list_sum(list_transform(xs[4 * f + 1:4 * f + 4], lambda x: x * x)) / 4))), 6) AS energy,
+  round((f1 - f0 - expected) / greatest(1.0::DOUBLE, 0.35 * expected), 3) + 0.0 AS z, NULL AS reason FROM k
+UNION ALL SELECT DISTINCT CAST(utterance_id AS VARCHAR), split, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM j WHERE reason IS NOT NULL"""
+
+
+@query("job_06_from_audio_files", JOB_06_SQL)
+def job_06_files(spark, sf):
+    aligned, audio, out = aligned_orders(spark, sf), written_audio(spark, sf), scratch(spark, "features")
+    run = lambda words: features.precompute_features(words, audio, out, SPEC, encoder.window_encoder(4), shard_rows=5_000, number="double")
+    run(aligned.where(F.col("split") != "test"))
+    state = run(aligned)  # taken up again: only the shards of the test split are left
+    rows = spark.read.parquet(f"{out}/{state.first()['feature_key']}")
+    total = F.aggregate("mean_embedding", F.lit(0.0), lambda s, x: s + x)
+    return rows.select(
+        "utterance_id", "split", "index", "phoneme", "prev_phoneme", "next_phoneme", "frame_count", r6(F.col("regression_target")).alias("regression_target"),
+        r6(total).alias("total"), r6(F.col("variance")).alias("variance"), r6(F.col("energy_mean")).alias("energy"), F.col("duration_z_score").alias("z"), "reason",
+    )

@@ -226,7 +226,7 @@ def job_11(spark, sf):
 
 
 #: The signals that stand for recordings: 64 samples a second, frames of 2 samples, encoded 2 numbers wide.
-SIGNAL = {"samples": 256, "rate": 64, "frame": 2, "width": 2}
+SIGNAL = {"rate": 64, "frame": 2, "width": 2}
 
 
 def asked_recordings(spark, sf, events):

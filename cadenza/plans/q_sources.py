@@ -225,7 +225,7 @@ FROM f
 def udf_01(spark, sf):
     s = V.frames(spark, sf).select("vec_id", F.slice("vector", F.lit(1), (F.col("vec_id") % 57 + 8).cast("int")).alias("samples"))
     # one number a frame: the log magnitude of frequency 0, the frame's sum
-    out = E.encode_signals(s, "samples", E.spectral_encoder(1, 8), 64, 8, 1, 64)
+    out = E.encode_signals(s, "samples", E.spectral_encoder(1, 8), 8, 1, 64)
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
     return out.select("vec_id", "n_frames", "frame_ms", F.size("encoded").alias("width"), r6(add("frame_energy")).alias("energy"), F.round(add("encoded"), 3).alias("total"))
 

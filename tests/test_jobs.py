@@ -101,7 +101,7 @@ def test_epoch_plan_pads_every_word_to_its_batch(spark):
 
 
 WORDS = {"cat": ["K", "AE", "T"], "go": ["G", "OW"], "longest": list("ABCDEFGHIJ")}
-RATE, FRAME, WIDTH, LONGEST = 64, 4, 2, 256
+RATE, FRAME, WIDTH = 64, 4, 2
 
 
 def assess_by_hand(asked, samples):
@@ -112,7 +112,7 @@ def assess_by_hand(asked, samples):
     ms = round(len(samples) / RATE * 1000)
     if ms < 250 or ms > 4000:
         return word, "too_short" if ms < 250 else "too_long"
-    ph, n = WORDS[word], min(len(samples), LONGEST) // FRAME
+    ph, n = WORDS[word], len(samples) // FRAME
     if n < len(ph):
         return word, "too_few_frames"
     x = np.array(samples)
@@ -164,7 +164,7 @@ def recorded(spark):
 
 def test_assess_recordings_equals_plain_python(spark):
     rows, df, lexicon, assets = recorded(spark)
-    good, bad = jobs.assess_recordings(df, lexicon, assets, encoder.spectral_encoder(WIDTH, FRAME), LONGEST, RATE, FRAME, WIDTH)
+    good, bad = jobs.assess_recordings(df, lexicon, assets, encoder.spectral_encoder(WIDTH, FRAME), RATE, FRAME, WIDTH)
     good, bad = {r["recording_id"]: r for r in good.collect()}, {r["recording_id"]: r for r in bad.collect()}
     assert sorted([*good, *bad]) == list(range(64)) and len(good) > 20
     assert {r["reason"] for r in bad.values()} == {"unknown_word", "too_short", "too_long", "too_few_frames"}
@@ -181,7 +181,7 @@ def test_stream_writes_assessments_and_rejects(spark):
     _, df, lexicon, assets = recorded(spark)
     path = scratch(spark, "stream")
     df.write.parquet(f"{path}/in")
-    job = lambda batch: jobs.assess_recordings(batch, lexicon, assets, encoder.spectral_encoder(WIDTH, FRAME), LONGEST, RATE, FRAME, WIDTH)
+    job = lambda batch: jobs.assess_recordings(batch, lexicon, assets, encoder.spectral_encoder(WIDTH, FRAME), RATE, FRAME, WIDTH)
     recordings.assess_stream(recordings.stream_table(spark, f"{path}/in"), job, f"{path}/out", f"{path}/state").awaitTermination()
     good, bad = spark.read.parquet(f"{path}/out/assessments"), spark.read.parquet(f"{path}/out/rejects")
     want, _ = job(df)
