@@ -140,6 +140,21 @@ def job_04_files(spark, sf):
     return of_labels(rows)
 
 
+def written_scores(spark, sf):
+    """One JSON object, in one file, of the score entries of all parts but each seventh."""
+    e = texts_of(parts(spark, sf), score_entry, lambda k: k % 7 != 0).withColumn("value", F.concat(F.lit(","), "value"))
+    ends = spark.createDataFrame([(-1, '{"": {"text": "the, \\"first}"}'), (1 << 62, "}")], e.schema)
+    path = scratch(spark, "scores")
+    e.unionByName(ends).coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(path)
+    return path
+
+
+@query("src_06_one_object", f"WITH {CORPUS_SQL} SELECT utterance_id, string_agg(CASE WHEN i = 0 AND k % 19 = 0 THEN 'other' ELSE upper(word) END, ' ' ORDER BY i) AS said FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM w WHERE label <> 'sp') WHERE k % 7 <> 0 AND k % 23 <> 0 AND (k % 17 <> 0 OR i < n - 1) GROUP BY utterance_id")
+def src_06_one_object(spark, sf):
+    e = corpora.score_object(spark, written_scores(spark, sf)).where(F.col("entry.words").isNotNull())
+    return e.select("utterance_id", F.array_join(F.col("entry.words.text"), " ").alias("said"))
+
+
 JOB_05_SQL = f"""WITH {CORPUS_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS i FROM w WHERE label <> 'sp'),
 r AS (SELECT *, length(word) + CASE WHEN p_size % 8 = 0 AND i = 1 THEN 1 ELSE 0 END AS canonical, length(word) AS heard, CASE WHEN label = '<eps>' THEN 1 ELSE 0 END AS before FROM s
   WHERE k % 11 <> 0 AND k % 13 <> 0 AND k % 7 <> 0 AND k % 23 <> 0 AND k % 17 <> 0 AND k % 19 <> 0),
@@ -157,9 +172,7 @@ WHERE k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0 OR k % 23 = 0 OR k % 17 = 0 OR k % 1
 @query("job_05_from_corpus_files", JOB_05_SQL)
 def job_05_files(spark, sf):
     root, utterances = written_corpus(spark, sf)
-    entries = texts_of(parts(spark, sf), score_entry, lambda k: k % 7 != 0)
-    entries.select(F.concat(F.lit("{"), "value", F.lit("}")).alias("value")).write.text(f"{root}/scores")
-    scores = corpora.score_entries(spark.read.text(f"{root}/scores"))
+    scores = corpora.score_object(spark, written_scores(spark, sf))
     rows = sinks.write_aligned(align.aligned_scored(utterances, scores, "parts"), f"{root}/aligned")
     human = F.round(F.aggregate("phone_labels", F.lit(0.0), lambda s, x: s + x["human_score"]), 6)
     omitted = F.size(F.filter("phone_labels", lambda x: x["omission_label"]))

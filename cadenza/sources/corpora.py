@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cadenza.functions import text as X
 from cadenza.functions.scorejson import SCORES_SCHEMA
+from cadenza.sources import bigjson
 
 # Transcript suffixes, the preferred one first.
 TRANSCRIPTS = (".normalized.txt", ".original.txt", ".txt")
@@ -99,6 +100,13 @@ def score_entries(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.from_json("value", SCORES_SCHEMA)).alias("utterance_id", "entry"))
 
 
+def score_object(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-06 for files that hold one large object each, cut into entries by many tasks; of equal keys the last one counts."""
+    e = bigjson.json_entries(spark, path)
+    each = e.select("path", "block", "seq", F.explode(F.from_json("value", SCORES_SCHEMA)).alias("utterance_id", "entry"))
+    return each.groupBy("utterance_id").agg(F.max_by("entry", F.struct("path", "block", "seq")).alias("entry"))
+
+
 def curated_lexicon(texts: DataFrame) -> DataFrame:
     """SRC-12: (word, phones, ipa, reference_audio_id, syllables, stress_pattern); keys in lower case, syllables default to none."""
     kind = "map<string,struct<phones:array<string>,ipa:string,reference_audio_id:string,syllables:array<array<string>>,stress_pattern:string>>"
