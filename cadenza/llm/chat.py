@@ -1,12 +1,13 @@
 """Chat formatting in budgeted, turn-aligned windows; DataFrame functions only.
 
 A turn is rendered as ``<|turn|>role\\ntext<|end|>\\n``. Control strings inside roles and texts are
-escaped with ``~``, reversibly. Sums of turn tokens deal a conversation's turns to windows: a window is
-filled with turns up to its budget, of which the system turn and the history that it repeats are parts;
-only assistant texts that aren't repeats are under the loss mask.
+escaped with ``~``, reversibly. Prefix sums of turn tokens deal a conversation's turns to windows: a window ends
+with the last turn whose sum, less the sum where the window begins, stays in its budget, of which the system turn and
+the history that it repeats are parts; only assistant texts that aren't repeats are under the loss mask.
 
-Rows are shuffled once, by conversation, as they come. Sorted, they are dealt to blocks of a bounded
-number of turns; windows are cut within blocks, so no array grows with a conversation.
+Rows are shuffled once, by conversation, as they come. Where windows begin follows from the sums alone, one number
+for each turn of a conversation; texts meet in blocks of turns on their way to their windows and never in whole
+conversations. Blocks decide nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>"
-#: Turns of a block; a window ends where its block ends.
+#: Turns of a block, in which texts look up where windows begin.
 BLOCK_TURNS = 1024
 
 
@@ -46,8 +47,7 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """(conv_id, window, formatted, n_repeated, loss): one row per window, windows numbered in order.
 
     Every window but a conversation's first repeats the system turn, if there is one, and then the last
-    turns of the window before, as far as they hold at most ``history`` tokens (none at the start of a
-    block of 1,024 turns). Turns follow while they fit: a window holds at most ``budget`` tokens, repeats
+    turns of the window before, as far as they hold at most ``history`` tokens. Turns follow while they fit: a window holds at most ``budget`` tokens, repeats
     included, unless its one own turn is too long for that. ``history`` tokens stay reserved for repeats.
 
     ``n_repeated``: how many turns at the front are repeats. ``loss``: array of (begin, length) in code
@@ -64,38 +64,45 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     t = t.select("c", F.floor(F.col("i") / BLOCK_TURNS).alias("b"), "i", "top", head(F.col("role")).alias("head"), piece(F.col("role"), F.col("text")).alias("piece"), (F.col("role") == "assistant").alias("answer"))
     size = F.length("piece").cast("long")
     turn = F.struct("i", "piece", tokens(F.col("piece")).alias("k"), size.alias("m"), F.length("head").cast("long").alias("h"), (size - F.length("head") - len(END) - 1).alias("l"), "answer")
-    blocks = t.groupBy("c", "b").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.first("top").alias("top"))
-    system = F.col("top.role") == "system"
-    blocks = blocks.select("c", "b", "turns", F.when(system, piece(F.col("top.role"), F.col("top.text"))).alias("sys"))
-    blocks = blocks.withColumn("room", F.greatest(F.lit(1), budget - history - F.coalesce(tokens(F.col("sys")), F.lit(0))).cast("long"))
+    sys = F.when(F.col("top.role") == "system", piece(F.col("top.role"), F.col("top.text")))
 
-    # where windows start: a turn that doesn't fit opens the next one; a conversation's first window repeats nothing
+    # the prefix sums of a conversation: after each turn
+    sums = t.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("i", tokens(F.col("piece")).alias("k")))).alias("ks"), F.first("top").alias("top"))
+    sums = sums.select("c", "ks", sys.alias("sys"))
+    sums = sums.withColumn("room", F.greatest(F.lit(1), budget - history - F.coalesce(tokens(F.col("sys")), F.lit(0))).cast("long"))
+
+    # where windows begin, by block: at a turn whose sum passes the room of its window, unless that window would be empty;
+    # a conversation's first window repeats nothing, so its room is the budget
     def deal(a: Column, x: Column) -> Column:
-        room = F.when((F.col("b") == 0) & (F.size(a["starts"]) == 1), F.lit(budget).cast("long")).otherwise(F.col("room"))
-        full = (a["fill"] > 0) & (a["fill"] + x["k"] > room)
-        starts = F.when(full, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"])
-        return F.struct(F.when(full, x["k"]).otherwise(a["fill"] + x["k"]).alias("fill"), (a["at"] + 1).alias("at"), starts.alias("starts"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("fill"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
-    blocks = blocks.withColumn("starts", F.aggregate("turns", zero, deal, lambda a: a["starts"]))
-    before = F.sum(F.size("starts")).over(Window.partitionBy("c").orderBy("b")) - F.size("starts")
-    blocks = blocks.withColumn("before", before)
-    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("turns")))
-    lasts = F.concat(F.array(F.lit(0)), F.slice("starts", F.lit(1), F.size("starts") - 1))
-    cuts = F.arrays_zip(lasts.alias("last"), F.col("starts").alias("start"), ends.alias("end"))
-    windows = blocks.select("c", "before", "sys", "turns", F.posexplode(cuts).alias("w", "cut"))
-    part = lambda a, z: F.slice("turns", F.col(a) + 1, F.col(z) - F.col(a))
-
-    # the last turns of the window before, counted from its end while they fit; the system turn isn't one of them
+        room = F.when(a["base"] == 0, F.lit(budget).cast("long")).otherwise(F.col("room"))
+        full = (a["sum"] > a["base"]) & (a["sum"] + x["k"] - a["base"] > room)
+        here = F.when(full, F.concat(a["here"], F.array((x["i"] % BLOCK_TURNS).cast("int")))).otherwise(a["here"])
+        ends = x["i"] % BLOCK_TURNS == BLOCK_TURNS - 1
+        return F.struct(
+            (a["sum"] + x["k"]).alias("sum"), F.when(full, a["sum"]).otherwise(a["base"]).alias("base"), F.when(ends, F.array().cast("array<int>")).otherwise(here).alias("here"),
+            F.when(ends, F.concat(a["starts"], F.array(here))).otherwise(a["starts"]).alias("starts"),
+        )
+
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("base"), F.array().cast("array<int>").alias("here"), F.array().cast("array<array<int>>").alias("starts"))
+    starts = sums.select("c", "sys", F.aggregate("ks", zero, deal, lambda a: F.concat(a["starts"], F.array(a["here"]))).alias("starts"))
+
+    # turns get the number of the window that is open there, and meet in it
+    blocks = t.groupBy("c", "b").agg(F.sort_array(F.collect_list(turn)).alias("turns")).join(starts.withColumnRenamed("c", "cc"), F.col("c").eqNullSafe(F.col("cc"))).drop("cc")
+    before = F.aggregate(F.slice("starts", F.lit(1), F.col("b").cast("int")), F.lit(0).cast("long"), lambda n, x: n + F.size(x))
+    blocks = blocks.select("c", "sys", "turns", before.alias("before"), F.get("starts", F.col("b").cast("int")).alias("here"))
+    dealt = blocks.select("c", "sys", F.explode(F.transform("turns", lambda x, p: F.struct((F.col("before") + F.size(F.filter("here", lambda y: y <= p))).alias("window"), x.alias("turn")))).alias("x"))
+    windows = dealt.groupBy("c", F.col("x.window").alias("window")).agg(F.sort_array(F.collect_list("x.turn")).alias("own"), F.first("sys").alias("sys"))
+
+    # the last turns of a window, counted from its end while they fit; the system turn isn't one of them
     def back(a: Column, x: Column) -> Column:
         fits = a["open"] & (a["k"] + x["k"] <= history) & ((x["i"] > 0) | F.col("sys").isNull())
         return F.struct((a["k"] + x["k"]).alias("k"), (a["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
 
     none = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-    repeated = F.aggregate(F.reverse(part("cut.last", "cut.start")), none, back, lambda a: a["n"])
-    windows = windows.withColumn("n", repeated)
-    windows = windows.select("c", (F.col("before") + F.col("w")).alias("window"), "sys", F.slice("turns", F.col("cut.start") - F.col("n") + 1, F.col("n")).alias("old"), part("cut.start", "cut.end").alias("own"))
-    windows = windows.withColumn("sys", F.when(F.col("window") > 0, F.col("sys")))
+    repeated = F.aggregate(F.reverse("own"), none, back, lambda a: a["n"])
+    tail = F.slice("own", F.size("own") - repeated + 1, repeated)
+    windows = windows.withColumn("old", F.lag(tail).over(Window.partitionBy("c").orderBy("window")))
+    windows = windows.select("c", "window", F.when(F.col("window") > 0, F.col("sys")).alias("sys"), F.coalesce("old", F.slice("own", 1, 0)).alias("old"), "own")
     front = F.coalesce(F.length("sys"), F.lit(0)) + _length(F.col("old"), "m")
 
     def mask(a: Column, x: Column) -> Column:

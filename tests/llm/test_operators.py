@@ -497,3 +497,32 @@ def test_every_segmentation_is_checked_by_what_it_decodes_to():
     texts = ["", " ", "▁", "a▁b", " x", "née ಠಠ ok", "\x00tab\t\n"] + ["".join(rng.choices("ab ▁é漢\n the", k=rng.randrange(1, 40))) for _ in range(300)]
     for text, found in zip(texts, lattice.checked(texts)):
         assert found and all(says == lattice.says(ids, text) == (lattice.decode(np.frombuffer(ids, "<i4")) == text) for _, ids, says in found), text
+
+
+@pytest.mark.parametrize("n", [1023, 1024, 1025, 5000])
+def test_chat_windows_equal_plain_python_however_many_turns(spark, n):
+    rnd = random.Random(n)
+    count = lambda t: len(re.findall(r"\w+|[^\w\s]", t))
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", f"t{i} " * rnd.choice([1, 1, 2, 9, 80])) for i in range(1, n)] + [(2, i, "user", "x") for i in range(n)]
+    budget, history = 120, 40
+    got = defaultdict(list)
+    for r in chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=budget, history=history).orderBy("conv_id", "window").collect():
+        got[r["conv_id"]].append((r["formatted"], r["n_repeated"]))
+    for c in (1, 2):
+        pieces = [f"<|turn|>{role}\n{text}<|end|>\n" for k, _, role, text in rows if k == c]
+        top = pieces[:1] if c == 1 else []
+        want, own, old = [], [], []
+        for i, p in enumerate(pieces):
+            room = max(1, budget - history - sum(map(count, top))) if want else budget
+            if own and sum(map(count, own)) + count(p) > room:
+                want.append((old, own))
+                old, left = [], history
+                for q in reversed(own):
+                    left -= count(q)
+                    if left < 0 or q is pieces[0] and top:
+                        break
+                    old.insert(0, q)
+                old, own = [*top, *old], []
+            own.append(p)
+        want.append((old, own))
+        assert got[c] == [("".join([*o, *w]), len(o)) for o, w in want]
