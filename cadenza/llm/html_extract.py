@@ -1,10 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass labels each block: blocks in navigation,
-forms, adverts, comments and the like are boilerplate by their element; blocks of an article element
-are text unless they are mostly links; all others are judged by link density, length and stop-word
-density. In the second pass, blocks too short or too middling to judge take the label of their
-nearest decided neighbour.
+forms, adverts, comments and the like are boilerplate by their element or name; all others, in an article or not, are
+judged by link density, length and stop-word density. In the second pass, blocks too short to judge take the
+label of their nearest decided neighbour, and middling ones are text beside text.
+
+An article element is evidence, not a verdict: few stop words don't condemn a block in one, and what stands outside
+counts only if it holds several times the article's text, which then is a teaser.
 
 What a form or a class name says is doubted: a form around an article says nothing, and a form without
 one, or an article in an element with a name of boilerplate, counts as text if it holds more text than
@@ -34,6 +36,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 BOILER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended widget toolbar pagination pager copyright legal disclaimer site-header page-header site-footer page-footer main-nav site-nav top-nav nav-menu main-menu main-navigation site-navigation cookie-banner cookie-notice cookie-consent ad-slot ad-container ad-wrapper ad-banner google-ad adsbygoogle social-share share-buttons social-links related-posts related-articles newsletter-signup sidebar-widget widget-area".split())
 COMMENT_NAMES = frozenset("comment comments reply replies respond disqus comment-list commentlist comments-area comments-section comment-body comment-form comment-respond disqus-thread".split())
 CONTENT_NAMES = frozenset("article main content post entry story text".split())
+#: Nouns that mark boilerplate at either end of a compound name, and words that make a compound say something about its surroundings instead (fixed values).
+BOILER_NOUNS = frozenset("ad ads advert advertisement sponsor sponsored promo cookie cookies consent gdpr newsletter related recommended share sharing social popup modal breadcrumb breadcrumbs pagination".split())
+COMMENT_NOUNS = frozenset("comment comments disqus replies".split())
+STATE_WORDS = frozenset("has no is not with without open closed enabled disabled active free layout page single template body wrapper container-fluid post article content".split())
 #: Frequent function words of some European languages (fixed values).
 STOP_WORDS = frozenset(
     "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each how them then she many some so these would into has more her two him see no could my than been who its now did get may "
@@ -44,6 +50,8 @@ STOP_WORDS = frozenset(
 )
 WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
+#: How many times an article's text what stands outside it must hold to make it a teaser.
+TEASER = 4
 MAX_LINKS, SHORT_CHARS, LONG_CHARS, STOP_LOW, STOP_HIGH = 0.5, 70, 200, 0.2, 0.3
 #: The stop words fit a page's language if blocks with so large a share of its longer blocks' characters reach STOP_LOW.
 FIT_SHARE = 0.25
@@ -53,11 +61,18 @@ CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 
 
 class Block:
-    __slots__ = ("parts", "links", "article", "boiler", "heading", "doubt", "text", "label")
+    __slots__ = ("parts", "links", "article", "boiler", "heading", "doubt", "text", "label", "rule", "apart")
 
     def __init__(self, article: bool, boiler: int, heading: bool, doubt: int):
         self.parts: list[str] = []
         self.links, self.article, self.boiler, self.heading, self.doubt = 0, article, boiler, heading, doubt
+        self.rule, self.apart = "", False
+
+
+def _ends(names: set[str], nouns: frozenset[str]) -> bool:
+    """Whether a compound name begins or ends with one of the nouns and says nothing about a state."""
+    parts = [n.split("-") for n in names if "-" in n]
+    return any((p[0] in nouns or p[-1] in nouns) and not STATE_WORDS.intersection(p) for p in parts)
 
 
 def _role(tag: str, attrs: str) -> int:
@@ -75,9 +90,9 @@ def _role(tag: str, attrs: str) -> int:
         return NOTHING
     if tag in BOILER and tag != "form":
         return ELEMENT
-    if names & COMMENT_NAMES:
+    if names & COMMENT_NAMES or _ends(names, COMMENT_NOUNS):
         return COMMENT
-    if names & BOILER_NAMES and not names & CONTENT_NAMES:
+    if (names & BOILER_NAMES or _ends(names, BOILER_NOUNS)) and not names & CONTENT_NAMES:
         return NAME
     return FORM if tag == "form" else NOTHING
 
@@ -188,19 +203,18 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(found: list[Block]) -> None:
-    whole = any(b.article and not b.boiler for b in found)
+    """Labels by element and name, then by links, length and stop words; ``rule`` says which of these decided."""
     long: list[tuple[Block, bool, float]] = []
     for b in found:
         chars = len(b.text.replace(" ", ""))
         linked = b.links / max(1, chars)
-        if b.boiler or whole and not b.article:
-            b.label = BAD
+        b.apart = False
+        if b.boiler:
+            b.label, b.rule = BAD, "element" if b.boiler == ELEMENT else "name"
         elif linked > MAX_LINKS and not b.heading:
-            b.label = BAD
-        elif b.article:
-            b.label = GOOD
+            b.label, b.rule, b.apart = BAD, "links", b.article  # links in an article say nothing about the text beside them
         elif len(b.text) < SHORT_CHARS:
-            b.label = BAD if b.links else SHORT
+            b.label, b.rule = (BAD, "links") if b.links and not b.article and not b.heading else (SHORT, "length")
         else:
             words = WORD.findall(b.text.lower())
             stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
@@ -211,36 +225,51 @@ def first_pass(found: list[Block]) -> None:
     for b, latin, stop in long:
         # the stop words say nothing about other scripts and languages
         if not latin or not fits or stop >= STOP_HIGH:
-            b.label = GOOD if len(b.text) > LONG_CHARS else NEAR
+            b.label = GOOD if b.article or len(b.text) > LONG_CHARS else NEAR
         else:
-            b.label = NEAR if stop >= STOP_LOW else BAD
+            b.label = NEAR if stop >= STOP_LOW or b.article else BAD
+        b.rule = "stop words" if latin and fits else "length"
+    if not any(b.label == GOOD for b in found):  # a page of middling blocks: the likeliest are its text
+        for b, latin, stop in long:
+            if b.label == NEAR and (not latin or not fits or stop >= STOP_HIGH):
+                b.label = GOOD
+    inside = sum(len(b.text) for b in found if b.article and b.label != BAD)
+    outside = sum(len(b.text) for b in found if not b.article and b.label == GOOD)
+    if inside:
+        for b in found:
+            if not b.boiler and b.article == (outside > TEASER * inside):
+                b.label, b.rule, b.apart = BAD, "article", True
 
 
 def second_pass(found: list[Block]) -> None:
-    """Undecided blocks take the label of the nearest neighbour that was judged by its text; headings look ahead; with none they stay."""
+    """Undecided blocks by their decided neighbours, those judged by their text: short ones take the nearest's label (headings look
+    ahead), middling ones are text if either is; with no neighbour they stay."""
     n = len(found)
     before, after = [-1] * n, [-1] * n
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
         last = -1
         for i in order:
             near[i] = last
-            if found[i].label in (GOOD, BAD) and not found[i].boiler:
+            if found[i].label in (GOOD, BAD) and not found[i].boiler and not found[i].apart:
                 last = i
     decided = [b.label for b in found]
     for i, b in enumerate(found):
         if decided[i] in (GOOD, BAD):
             continue
+        b.rule = "neighbour"
         p, q = before[i], after[i]
         if p < 0 and q < 0:
             b.label = GOOD
+        elif decided[i] == NEAR:
+            b.label = GOOD if GOOD in (decided[p] if p >= 0 else "", decided[q] if q >= 0 else "") else BAD
         elif p < 0 or q < 0:
             b.label = decided[max(p, q)]
         elif b.heading or q - i < i - p:
             b.label = decided[q]
-        elif i - p < q - i:
+        elif i - p < q - i or decided[p] == decided[q]:
             b.label = decided[p]
         else:
-            b.label = GOOD if GOOD in (decided[p], decided[q]) and (decided[i] == NEAR or decided[p] == decided[q]) else BAD
+            b.label = BAD
 
 
 def settle(found: list[Block]) -> None:
