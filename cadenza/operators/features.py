@@ -169,7 +169,9 @@ def precompute_features(aligned: DataFrame, audio_root: str, out: str, spec: dic
         shards = plan["shards"]
     listing = corpora.audio_listing(spark, audio_root)
     root = spark._jvm.org.apache.hadoop.fs.Path(audio_root).toUri().getPath().rstrip("/")
-    listing = listing.select("path", F.substring_index("path", f"{root}/", -1).alias("rel_path"))
+    found = scratch(spark, "audio-listing")  # listed once: the files are looked at one by one
+    listing.select("path", F.substring_index("path", f"{root}/", -1).alias("rel_path")).write.parquet(found)
+    listing = spark.read.parquet(found)
     waves = max(1, -(-listing.count() // wave_files))
     words = planned_words(aligned, listing, shards, waves)
     row = F.xxhash64("utterance_id", "audio_path", F.to_json("phone_labels"))

@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cadenza.functions import records
 from cadenza.operators import align, encoder, features
 from cadenza.plans import views as V
 from cadenza.plans.q_functions import WEIGHT_SQL
@@ -240,3 +241,28 @@ def job_06_files(spark, sf):
         "utterance_id", "split", "index", "phoneme", "prev_phoneme", "next_phoneme", "frame_count", r6(F.col("regression_target")).alias("regression_target"),
         r6(total).alias("total"), r6(F.col("variance")).alias("variance"), r6(F.col("energy_mean")).alias("energy"), F.col("duration_z_score").alias("z"), "reason",
     )
+
+
+RECORDS_SQL = f"""WITH {V.PHONES_SQL}, w AS (SELECT utterance_id AS k, first(split) AS split, count(*) AS n, bool_or(index = 2) AS third, bool_or(human_score > 1.9) AS high FROM phones GROUP BY 1),
+b AS (SELECT k, list_filter([CASE WHEN k % 17 = 0 THEN 'speaker_id:missing' END, CASE WHEN k % 7 = 0 THEN 'split:value' END, CASE WHEN k % 11 = 0 THEN 'sample_rate:range' END,
+  CASE WHEN k % 13 = 0 THEN 'phone_labels[].start_ms:range' END, CASE WHEN k % 3 = 0 AND third THEN 'phone_labels[].pronunciation_class:value' END,
+  CASE WHEN k % 5 = 0 AND high THEN 'phone_labels[].human_score:range' END], lambda x: x IS NOT NULL) AS v FROM w)
+SELECT array_to_string(v, ',') AS violations, count(*) AS n FROM b GROUP BY 1"""
+
+
+@query("fn_26_record_types", RECORDS_SQL)
+def fn_26_records(spark, sf):
+    k = F.col("utterance_id").cast("long")
+    label = lambda x, i: F.struct(
+        x["phoneme"].alias("phoneme"), x["index"].alias("index"), F.when((k % 13 == 0) & (i == 0), -1).otherwise(x["start_ms"]).alias("start_ms"), x["end_ms"].alias("end_ms"),
+        F.when((k % 3 == 0) & (i == 2), "odd").otherwise("correct").alias("pronunciation_class"), F.when((k % 5 == 0) & (x["human_score"] > 1.9), 2.5).otherwise(x["human_score"]).alias("human_score"),
+        x["omission_label"].alias("omission_label"), x["pronounced_phone"].alias("pronounced_phone"),
+    )
+    new = {
+        "phone_labels": F.transform("phone_labels", label), "speaker_id": F.when(k % 17 != 0, F.col("speaker_id")), "split": F.when(k % 7 == 0, "dev").otherwise(F.col("split")),
+        "sample_rate": F.when(k % 11 == 0, 0).otherwise(16_000), "duration_ms": F.lit(100), "ipa": F.lit("x"), "audio_quality": F.create_map(F.lit("status"), F.lit("ok")), "alignment_source": F.lit("mfa"),
+    }
+    rows = aligned_orders(spark, sf).withColumns(new).select([f.name for f in records.ALIGNED])
+    good, bad = records.write_validated(rows, records.ALIGNED, scratch(spark, "validated"))
+    found = bad.select(F.array_join("violations", ",").alias("violations")).unionByName(good.select(F.lit("").alias("violations")))
+    return found.groupBy("violations").agg(F.count(F.lit(1)).alias("n"))
