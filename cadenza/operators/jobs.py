@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from cadenza.functions import scores as S
 from cadenza.functions import signal as G
 from cadenza.functions import text as X
 from cadenza.operators import assess, encoder, ledger, pooling, reports, sampling, verify, words
+from cadenza.session import scratch
 from cadenza.sources import corpora, sinks
 
 
@@ -33,6 +33,9 @@ def write_prepared(rows: DataFrame, path: str, schema: str = corpora.PREPARED, d
 
     An existing manifest is an error, and with ``disjoint`` a speaker of both train and val.
     """
+    staged = scratch(rows.sparkSession, "prepared-rows")  # evaluated once
+    rows.write.parquet(staged)
+    rows = rows.sparkSession.read.parquet(staged)
     kept = rows.where(F.col("reason").isNull())
     if disjoint and verify.leaked_speakers(kept.where(F.col("split").isin("train", "val"))).limit(1).count():
         raise ValueError("a speaker is in both train and val")
@@ -79,11 +82,18 @@ REPORT_KEYS = {
 }
 
 
+def _once(e: DataFrame) -> DataFrame:
+    """A report's few columns, evaluated once for its sections: written to the shared folder, so nothing stays in memory and a lost executor takes none of it."""
+    path = scratch(e.sparkSession, "report-rows")
+    e.write.parquet(path)
+    return e.sparkSession.read.schema(e.schema).parquet(path)
+
+
 def evaluation_v1(df: DataFrame, match: Column, duration: Column, presence: Column, match_target: Column, duration_target: Column, present: Column) -> DataFrame:
     """JOB-09: the first report as (section, key, metric, value) rows."""
     e = df.select(match.alias("m"), duration.alias("d"), presence.alias("p"), match_target.alias("mt"), duration_target.alias("dt"), present.alias("pt"))
     e = e.withColumn("tc", L.class_of_target(F.col("mt"), "v1")).withColumn("pc", L.predicted_class(F.col("m"), F.col("p")))
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)  # ten sections read it; it spills, and lost blocks are computed again
+    e = _once(e)
     parts = {
         "errors": reports.errors(e, {"match": (F.col("m"), F.col("mt")), "duration": (F.col("d"), F.col("dt"))}),
         "pearson": reports.pearson(e, F.col("m"), F.col("mt")),
@@ -104,7 +114,7 @@ def evaluation_v1(df: DataFrame, match: Column, duration: Column, presence: Colu
 def evaluation_v2(df: DataFrame, class_pred: Column, class_target: Column, omission_prob: Column, expected: Column, score_target: Column, omitted: Column) -> DataFrame:
     """JOB-10: the second report: classes are predicted directly, omission is a probability of its own."""
     e = df.select(class_pred.alias("pc"), class_target.alias("tc"), omission_prob.alias("o"), expected.alias("s"), score_target.alias("t"), omitted.alias("om"))
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    e = _once(e)
     parts = {
         "errors": reports.errors(e, {"score": (F.col("s"), F.col("t"))}),
         "pearson": reports.pearson(e, F.col("s"), F.col("t")),

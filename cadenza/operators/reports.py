@@ -52,11 +52,11 @@ def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
     return d.withColumn("rate", rate(F.col("n"), F.sum("n").over(Window.partitionBy("true_class"))))
 
 
-def percentiles(df: DataFrame, by: str, value: Column, approximate: bool = False, bin_width: float = 1.0) -> DataFrame:
+def percentiles(df: DataFrame, by: str, value: Column, approximate: bool = False, bins: int = 1000) -> DataFrame:
     """AG-14: linear percentiles for each class, exact at any size.
 
-    Values are counted, equal ones together; counts of bins of ``bin_width`` place every bin's values in
-    the class's order, and running sums within a bin place each value, so no class meets in one task.
+    Values are counted, equal ones together; counts of ``bins`` bins between the least and the largest value place every
+    bin's values in the class's order, and running sums within a bin place each value, so no class meets in one task.
     With ``approximate`` a sketch of each class gives them in one aggregation.
     """
     if approximate:
@@ -64,7 +64,9 @@ def percentiles(df: DataFrame, by: str, value: Column, approximate: bool = False
         d = df.groupBy(F.col(by).alias("class")).agg(p.alias("p"))
         return d.select("class", *[F.get("p", F.lit(i)).alias(f"p{p}") for i, p in enumerate(PERCENTILES)])
     v = df.select(F.col(by).alias("class"), value.cast("double").alias("v"))
-    v = v.groupBy("class", F.floor(F.col("v") / bin_width).alias("b"), "v").agg(F.count("v").alias("n"))
+    ends = v.agg(F.min("v"), F.max("v")).first()
+    low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) / bins or 1.0
+    v = v.groupBy("class", F.floor((F.col("v") - low) / width).alias("b"), "v").agg(F.count("v").alias("n"))
     bins = v.groupBy("class", "b").agg(F.sum("n").alias("m"))  # as many rows as bins
     bins = bins.select(
         "class", "b", (F.sum("m").over(Window.partitionBy("class").orderBy("b")) - F.col("m")).alias("before"),

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cadenza.functions import records
-from cadenza.operators import align, encoder, features
+from cadenza.operators import align, encoder, features, ledger
 from cadenza.plans import views as V
 from cadenza.plans.q_functions import WEIGHT_SQL
 from cadenza.plans.registry import query
@@ -266,3 +266,30 @@ def fn_26_records(spark, sf):
     good, bad = records.write_validated(rows, records.ALIGNED, scratch(spark, "validated"))
     found = bad.select(F.array_join("violations", ",").alias("violations")).unionByName(good.select(F.lit("").alias("violations")))
     return found.groupBy("violations").agg(F.count(F.lit(1)).alias("n"))
+
+
+JOB_12_SQL = """WITH s AS (SELECT p_partkey AS k, p_brand AS dataset, sha256(p_brand || p_partkey)[1:16] AS feature_key FROM part)
+SELECT dataset, feature_key, CASE WHEN k % 10 = 9 THEN 'unplanned' ELSE array_to_string(list_filter([CASE WHEN dataset LIKE '%3' THEN 'missing_root' END, CASE WHEN k % 10 = 1 THEN 'missing_spec' END,
+  CASE WHEN k % 10 = 2 THEN 'missing_state' END, CASE WHEN k % 10 = 4 THEN 'key_mismatch' END, CASE WHEN k % 10 = 3 THEN 'missing_split:val' END], lambda x: x IS NOT NULL), ',') END AS messages FROM s"""
+
+
+@query("job_12_run_messages", JOB_12_SQL)
+def job_12_messages(spark, sf):
+    p = table(spark, sf, "part")
+    key = F.substring(F.sha2(F.concat("p_brand", F.col("p_partkey").cast("string")).cast("binary"), 256), 1, 16)
+    specs = p.select("p_partkey", F.col("p_brand").alias("dataset"), F.concat(F.lit("/data/"), "p_brand").alias("dataset_root"), F.array(F.lit("train"), F.lit("val")).alias("splits"), key.alias("feature_key"))
+    k, store = F.col("p_partkey") % 10, scratch(spark, "feature-store")
+    files_ = ledger.plan_files(specs.drop("p_partkey"))
+    damaged = files_.withColumn("home", F.substring_index("rel_path", "/", 2)).join(specs.select(F.concat_ws("/", "dataset", "feature_key").alias("home"), k.alias("k")), "home")
+    lost = ((F.col("k") == 1) & F.endswith("rel_path", F.lit("/spec.json"))) | ((F.col("k") == 2) & F.endswith("rel_path", F.lit("/state.json"))) | ((F.col("k") == 3) & F.contains("rel_path", F.lit("/splits/val/")))
+    other = (F.col("k") == 4) & F.endswith("rel_path", F.lit("/state.json"))
+    content = F.when(other, F.lit('{"feature_key":"other"}')).otherwise(F.col("content"))
+    write_files(damaged.where(~lost).select("rel_path", content.alias("content")), store)
+    root = spark._jvm.org.apache.hadoop.fs.Path(store).toUri().getPath()
+    listed = corpora.audio_listing(spark, store, ("json",)).select(F.substring_index("path", f"{root}/", -1).alias("rel_path"))
+    states = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "state.json").load(store)
+    states = states.select(F.substring_index("path", f"{root}/", -1).alias("p"), F.get_json_object(F.col("content").cast("string"), "$.feature_key").alias("said_key"))
+    states = states.select(F.get(F.split("p", "/"), F.lit(0)).alias("dataset"), F.get(F.split("p", "/"), F.lit(1)).alias("feature_key"), "said_key")
+    roots = specs.where(~F.endswith("dataset", F.lit("3"))).select("dataset_root")
+    out = ledger.run_messages(specs.where(k != 9), listed, roots, states)
+    return out.select("dataset", "feature_key", F.array_join("messages", ",").alias("messages"))

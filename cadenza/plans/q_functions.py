@@ -153,18 +153,19 @@ def fn_24(spark, sf):
     return V.frames(spark, sf).select("vec_id", v.alias("v")).select("vec_id", F.size("v").alias("width"), r6(add(F.col("v"))).alias("total"), r6(add(F.slice("v", 1, 64))).alias("embedding_total"))
 
 
-SPEC_SQL = """WITH spec AS (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey), j AS (
-SELECT r_name AS dataset, n_name AS backbone, '{"adapter_id":null,"alignment_source":"mfa","artifact_schema_version":"v1","backbone_id":"' || n_name || '","backbone_revision":null,"dataset":"' || r_name || '","embedding_source":"frozen","pooling_version":"mean","sample_rate":16000}' AS s FROM spec)
-SELECT dataset, backbone, substr(sha256(s), 1, 16) AS feature_key FROM j"""
+SPEC_SQL = """WITH spec AS (SELECT p_partkey, p_name, p_brand FROM part), j AS (
+SELECT p_partkey, '{"adapter_id":null,"alignment_source":"mfa","artifact_schema_version":"v1","backbone_id":"' || p_name || '-' || p_partkey || '","backbone_revision":null,"dataset":"' || p_brand
+  || '","embedding_source":"frozen","pooling_version":"mean","sample_rate":16000}' AS s FROM spec)
+SELECT p_partkey, substr(sha256(s), 1, 16) AS feature_key FROM j"""
 
 
 @query("fn_25_feature_key", SPEC_SQL)
 def fn_25(spark, sf):
     from cadenza.operators.ledger import feature_key
 
-    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    spec = {"adapter_id": None, "alignment_source": F.lit("mfa"), "artifact_schema_version": F.lit("v1"), "backbone_id": F.col("n_name"), "backbone_revision": None, "dataset": F.col("r_name"), "embedding_source": F.lit("frozen"), "pooling_version": F.lit("mean"), "sample_rate": F.lit(16000)}
-    return n.select(F.col("r_name").alias("dataset"), F.col("n_name").alias("backbone"), feature_key(spec).alias("feature_key"))
+    backbone = F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string"))
+    spec = {"adapter_id": None, "alignment_source": F.lit("mfa"), "artifact_schema_version": F.lit("v1"), "backbone_id": backbone, "backbone_revision": None, "dataset": F.col("p_brand"), "embedding_source": F.lit("frozen"), "pooling_version": F.lit("mean"), "sample_rate": F.lit(16000)}
+    return table(spark, sf, "part").select("p_partkey", feature_key(spec).alias("feature_key"))
 
 
 @query("fn_26_row_rules", f"WITH {V.PHONES_SQL} SELECT array_to_string(list_filter([CASE WHEN NOT frames >= 5 THEN 'frames' END, CASE WHEN NOT human_score BETWEEN 0 AND 1.5 THEN 'human_score' END, CASE WHEN source NOT IN ('mfa', 'manual') THEN 'source' END], lambda x: x IS NOT NULL), ',') AS broken, count(*) AS n FROM phones GROUP BY 1")

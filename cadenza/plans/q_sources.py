@@ -111,18 +111,18 @@ def src_10(spark, sf):
     return files.alignment_intervals(texts).select("path", "pos", F.round("xmin", 6).alias("xmin"), "text")
 
 
-@query("src_12_curated_lexicon", "SELECT 'w' || n_nationkey AS word, n_name AS ipa, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS INT) AS syllables FROM nation")
+@query("src_12_curated_lexicon", "SELECT 'w' || p_partkey AS word, p_name AS ipa, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS INT) AS syllables FROM part")
 def src_12(spark, sf):
-    n = table(spark, sf, "nation")
-    syll = F.when(F.col("n_nationkey") % 2 == 0, ',"syllables":[["K"]]').otherwise("")
-    j = n.select(F.concat(F.lit('{"W'), F.col("n_nationkey").cast("string"), F.lit('":{"phones":["K"],"ipa":"'), "n_name", F.lit('"'), syll, F.lit("}}")).alias("value"))
+    p = table(spark, sf, "part")
+    syllables = F.when(F.col("p_partkey") % 2 == 0, ',"syllables":[["K"]]').otherwise("")
+    j = p.select(F.concat(F.lit('{"W'), F.col("p_partkey").cast("string"), F.lit('":{"phones":["K"],"ipa":"'), "p_name", F.lit('"'), syllables, F.lit("}}")).alias("value"))
     return corpora.curated_lexicon(j).select("word", "ipa", F.size("syllables").alias("syllables"))
 
 
-@query("src_13_reference_audio", "SELECT 'ref-' || n_nationkey AS audio_id, n_name AS word, 'audio/' || n_name AS asset_path FROM nation")
+@query("src_13_reference_audio", "SELECT 'ref-' || c_custkey AS audio_id, c_name AS word, 'audio/' || c_mktsegment AS asset_path FROM customer")
 def src_13(spark, sf):
-    n = table(spark, sf, "nation")
-    j = n.select(F.concat(F.lit('{"ref-'), F.col("n_nationkey").cast("string"), F.lit('":{"word":"'), "n_name", F.lit('","accent_target":"en-US","asset_path":"audio/'), "n_name", F.lit('"}}')).alias("value"))
+    c = table(spark, sf, "customer")
+    j = c.select(F.concat(F.lit('{"ref-'), F.col("c_custkey").cast("string"), F.lit('":{"word":"'), "c_name", F.lit('","accent_target":"en-US","asset_path":"audio/'), "c_mktsegment", F.lit('"}}')).alias("value"))
     return corpora.reference_audio(j).select("audio_id", "word", "asset_path")
 
 

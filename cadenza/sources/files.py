@@ -89,9 +89,9 @@ def alignment_tiers(files: DataFrame) -> DataFrame:
 
 
 def alignment_texts(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-10: (path, text) of all alignment files below a folder."""
-    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.TextGrid").text(root, wholetext=True)
-    return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """SRC-10: (path, text) of all alignment files below a folder; paths as they are, without the escapes of an address."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.TextGrid").load(root)
+    return found.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def alignment_files(spark: SparkSession, root: str) -> DataFrame:

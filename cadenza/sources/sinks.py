@@ -22,20 +22,20 @@ def write_shards(df: DataFrame, path: str, shard_rows: int, overwrite: bool = Fa
 
 
 def write_dense_words(phones: DataFrame, path: str, compression: str = "snappy", block_bytes: int = 64 << 20, overwrite: bool = False, embedding: str | None = None, width: int = 2) -> dict:
-    """SNK-03: phone rows to one dense row per word, and the manifest read from what was written; no rows are an error.
+    """SNK-03: phone rows to one dense row per word, and the manifest counted while writing; no rows are an error.
 
     With ``embedding`` each phone's acoustic vector is ``width`` wide: the embedding, variance, z and energy.
     """
-    if not phones.limit(1).count():
-        raise ValueError("there are no rows to pack")
-    w = assemble_words(phones, embedding, width).write.mode("overwrite" if overwrite else "errorifexists")
-    w.option("compression", compression).option("parquet.block.size", str(block_bytes)).parquet(path)
+    seen = Observation()
     each = F.size("acoustic_flat") / F.greatest(F.lit(1), F.col("seq_len"))
-    dense = phones.sparkSession.read.parquet(path)
-    m = dense.agg(F.count(F.lit(1)).alias("n"), F.sum("seq_len").alias("rows"), F.min(each).alias("low"), F.max(each).alias("high")).first()
+    w = assemble_words(phones, embedding, width).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("seq_len").alias("rows"), F.min(each).alias("low"), F.max(each).alias("high"))
+    w.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression).option("parquet.block.size", str(block_bytes)).parquet(path)
+    m = seen.get
+    if not m["n"]:
+        raise ValueError("there are no rows to pack")
     if m["low"] != m["high"]:
         raise ValueError("acoustic vectors differ in width")
-    return {"version": 1, "num_utterances": m["n"], "num_rows": m["rows"], "acoustic_dim": int(m["high"]), "dtypes": dict(dense.dtypes)}
+    return {"version": 1, "num_utterances": m["n"], "num_rows": m["rows"], "acoustic_dim": int(m["high"]), "dtypes": dict(w.dtypes)}
 
 
 def write_report(df: DataFrame, path: str, overwrite: bool = True) -> None:

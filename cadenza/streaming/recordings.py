@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,12 @@ def assess_stream(stream: DataFrame, job: Callable[[DataFrame], tuple[DataFrame,
     the batch's id, so a repeated batch replaces itself."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        for name, rows in zip(("assessments", "rejects"), job(batch)):
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # both tables read it
+        try:
+            for name, rows in zip(("assessments", "rejects"), job(batch)):
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

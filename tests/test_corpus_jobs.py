@@ -65,13 +65,13 @@ CAT = [(0.0, 0.1, "K"), (0.1, 0.2, "AE1"), (0.2, 0.3, "T")]
 
 def test_native_cascade(spark, tmp_path):
     texts = {
-        "good": grid([(0, 0.3, "Cat"), (0.3, 0.5, "sp")], CAT), "unknown": grid([(0, 0.3, "dog")], CAT), "short": grid([(0, 0.079, "cat")], CAT), "few": grid([(0, 0.29, "cat")], CAT),
+        "good": grid([(0, 0.3, "Cat"), (0.3, 0.5, "sp")], CAT), "a b#1%é": grid([(0, 0.3, "cat")], CAT), "unknown": grid([(0, 0.3, "dog")], CAT), "short": grid([(0, 0.079, "cat")], CAT), "few": grid([(0, 0.29, "cat")], CAT),
         "other": grid([(0, 0.3, "tac")], CAT), "silent": grid([(0, 0.3, "cat")], [*CAT, (0.3, 0.3, "sil")]), "none": None, "broken": grid([(0, "x", "cat")], CAT), "tierless": grid([(0, 1, "cat")], CAT, ("x", "y")), "text": "hello",
     }
     lexicon = spark.createDataFrame([("cat", ["K", "AE", "T"]), ("tac", ["T", "AE", "K"])], "word string, lexicon_phones array<string>")
     got = {(r["utterance_id"], r["pos"]): r for r in align.aligned_native(prepared(spark, texts, tmp_path), lexicon).collect()}
     assert {k: r["reason"] for k, r in got.items()} == {
-        ("good", 0): None, ("good", 1): "skip_word_label", ("unknown", 0): "missing_cmudict", ("short", 0): "too_short", ("few", 0): "phone_count_mismatch", ("other", 0): "phone_identity_mismatch",
+        ("good", 0): None, ("a b#1%é", 0): None, ("good", 1): "skip_word_label", ("unknown", 0): "missing_cmudict", ("short", 0): "too_short", ("few", 0): "phone_count_mismatch", ("other", 0): "phone_identity_mismatch",
         ("silent", 0): None, ("none", None): "missing_textgrid", ("broken", None): "broken_textgrid", ("tierless", None): "missing_tier", ("text", None): "missing_tier",
     }
     r = got["good", 0]
