@@ -293,3 +293,21 @@ def job_12_messages(spark, sf):
     roots = specs.where(~F.endswith("dataset", F.lit("3"))).select("dataset_root")
     out = ledger.run_messages(specs.where(k != 9), listed, roots, states)
     return out.select("dataset", "feature_key", F.array_join("messages", ",").alias("messages"))
+
+
+LAB_SQL = """WITH u AS (SELECT p_partkey AS k, CASE p_partkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, p_name || ' ' || p_type AS said FROM part)
+SELECT split || '/p' || k || '.lab' AS rel_path, said AS text, (SELECT count(*) FROM u WHERE k % 3 <> 0) AS written, (SELECT count(*) FROM u WHERE k % 3 = 0) AS reused FROM u"""
+
+
+@query("job_03_lab_files", LAB_SQL)
+def job_03_files(spark, sf):
+    k = F.col("p_partkey")
+    split = F.when(k % 10 == 0, "test").when(k % 10 == 1, "val").otherwise("train")
+    path = F.concat(split, F.lit("/p"), k.cast("string"), F.lit(".wav"))
+    u = parts(spark, sf).select("p_partkey", path.alias("audio_path"), F.concat(F.lit(" \n"), "p_name", F.lit(" \t\n "), "p_type").alias("text"))
+    root = scratch(spark, "lab")
+    sinks.write_labs(u.where(k % 3 == 0), root)
+    counts = sinks.write_labs(u, root)  # a third is there already
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.lab").load(root)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
+    return there.select(F.substring_index("path", f"{base}/", -1).alias("rel_path"), F.decode("content", "UTF-8").alias("text"), F.lit(counts["written"]).alias("written"), F.lit(counts["reused"]).alias("reused"))

@@ -16,7 +16,7 @@ from cadenza.plans.registry import query
 from cadenza.plans.views import r6
 from cadenza.session import scratch, table
 from cadenza.sources import corpora, files, sinks
-from cadenza.streaming import recordings
+from cadenza.streaming import recordings, runs
 
 PHONE_ROWS = "utterance_id long, index int, speaker_id long, split string, phoneme string, duration_ms int, start_ms int, end_ms int, human_score double, omission boolean, flag string, variance double, energy double, frames int, source string, line int"
 
@@ -268,3 +268,25 @@ def st_02(spark, sf):
     s = recordings.stream_table(spark, f"{sf}/events.parquet").withColumnRenamed("event_type", "split")
     recordings.progress_counts(s, "split", f"{path}/out", f"{path}/state").awaitTermination()
     return ledger.current_state(spark.read.parquet(f"{path}/out"), "split").select("split", "processed")
+
+
+RUN_STATES_SQL = f"""WITH {V.EVENTS_SQL}, e AS (SELECT feature_key, recording_id AS seq, CASE audio_path WHEN 'view' THEN 'planned' WHEN 'click' THEN 'running' ELSE 'complete' END AS s, recording_id % 2 AS part, recording_id % 100 AS n FROM events_v),
+l AS (SELECT feature_key, list(struct_pack(s := s, ok := 0, odd := 0, a := CASE WHEN part = 0 THEN n END, b := CASE WHEN part = 1 THEN n END) ORDER BY seq) AS x FROM e GROUP BY 1),
+r AS (SELECT feature_key, list_reduce(list_prepend(struct_pack(s := '', ok := 0, odd := 0, a := 0::BIGINT, b := 0::BIGINT), x), lambda y, z:
+  CASE WHEN (y.s = '' AND z.s = 'planned') OR (y.s = 'planned' AND z.s = 'running') OR (y.s = 'running' AND z.s IN ('running', 'complete')) OR (y.s = 'complete' AND z.s = 'running')
+  THEN struct_pack(s := z.s, ok := y.ok + 1, odd := y.odd, a := coalesce(z.a, y.a), b := coalesce(z.b, y.b)) ELSE struct_pack(s := y.s, ok := y.ok, odd := y.odd + 1, a := y.a, b := y.b) END) AS f FROM l)
+SELECT feature_key, CASE WHEN f.s = '' THEN NULL ELSE f.s END AS status, CASE WHEN f.s <> '' THEN f.a + f.b END AS rows, CAST(f.ok AS BIGINT) AS legal, CAST(f.odd AS BIGINT) AS illegal FROM r"""
+
+
+@query("snk_06_run_states", RUN_STATES_SQL)
+def snk_06_run_states(spark, sf):
+    path = scratch(spark, "stream")
+    e = recordings.stream_table(spark, f"{sf}/events.parquet")
+    status = F.when(F.col("event_type") == "view", "planned").when(F.col("event_type") == "click", "running").otherwise("complete")
+    n = (F.col("event_id") % 100).cast("long")
+    moves = e.select(F.get_json_object("props", "$.k").alias("feature_key"), F.col("event_id").cast("long").alias("seq"), status.alias("status"), (F.col("event_id") % 2).cast("string").alias("split"), n.alias("rows"), n.alias("words"), F.col("ts").cast("timestamp").alias("ts"))
+    runs.run_states(moves, f"{path}/out", f"{path}/state", stalled="30 days").awaitTermination()
+    out = spark.read.schema(runs.MADE).parquet(f"{path}/out").where(F.coalesce("reason", F.lit("")) != "stalled")
+    legal = F.col("reason").isNull()
+    last = lambda c: F.max_by(F.when(legal, F.col(c)), F.when(legal, F.col("seq"))).alias(c)
+    return out.groupBy("feature_key").agg(last("status"), last("rows"), F.count_if(legal).alias("legal"), F.count_if(~legal).alias("illegal"))

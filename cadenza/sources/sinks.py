@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as X
 from cadenza.operators.words import assemble_words
+from cadenza.sources.filesink import write_files
 
 
 def write_manifest(df: DataFrame, path: str, overwrite: bool = False, kind: str = "json") -> None:
@@ -66,6 +67,11 @@ def write_transcripts(rows: DataFrame, path: str, existing: DataFrame | None = N
     return {"written": seen.get["total"] - seen.get["reused"], "reused": seen.get["reused"]}
 
 
+def write_labs(df: DataFrame, path: str, overwrite: bool = False) -> dict:
+    """SNK-05, JOB-03: one ``.lab`` file for each utterance (audio_path, text) beside its audio's place below ``path``; how many were written and reused."""
+    return write_files(transcript_rows(df).withColumnRenamed("text", "content"), path, overwrite)
+
+
 def write_aligned(rows: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     """JOB-04, JOB-05: words and utterances with and without a ``reason``, evaluated once into ``path``-rows; the words that passed as
     manifests by split below ``path``, and how many rows each split and reason has as ``path``-summary. Returns all rows as they read back.
