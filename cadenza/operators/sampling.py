@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MILLION = 1_000_000
-
+from cadenza.operators.permute import drawn
 
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(MILLION)) / float(MILLION)
+    return drawn(seed, *keys) / float(1 << 32)
 
 
 def speaker_splits(df: DataFrame, speaker: str, fraction: float, seed: int) -> DataFrame:
@@ -36,7 +35,7 @@ def negative_samples(df: DataFrame, p: float, seed: int, keys: tuple[str, ...] =
     New ids are drawn from 2..vocabulary-1 without the original.
     """
     u = uniform(seed, *[F.col(k) for k in keys])
-    pick = F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(k) for k in keys]), F.lit(vocabulary - 3)) + 2
+    pick = drawn(seed, *[F.col(k) for k in keys], part=1) % (vocabulary - 3) + 2
     other = F.when(pick >= F.col(phone_id), pick + 1).otherwise(pick)
     kind = F.when(u < p / 2, "substitution").when(u < p, "omission").otherwise("")
     d = df.withColumn("augmented", kind)
@@ -48,13 +47,13 @@ def negative_words(dense: DataFrame, p: float, seed: int, key: str = "utterance_
     """WN-13 on dense words: every position by its own draw; a substitution changes id and target, an omission clears
     presence, target and the position's whole acoustic vector. Adds ``augmented``, the kind at each position.
     """
-    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(key), i), F.lit(1_000_000)) / 1_000_000.0
+    draw = lambda i: uniform(seed, F.col(key), i)
     kinds = F.transform("phoneme_ids", lambda x, i: F.when(draw(i) < p / 2, "substitution").when(draw(i) < p, "omission").otherwise(""))
     d = dense.withColumn("augmented", kinds)
     kind = lambda i: F.get(F.col("augmented"), i)
 
     def other(x: Column, i: Column) -> Column:
-        pick = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), i), F.lit(vocabulary - 3)) + 2
+        pick = drawn(seed, F.col(key), i, part=1) % (vocabulary - 3) + 2
         return F.when(pick >= x, pick + 1).otherwise(pick).cast("int")
 
     each = F.size("acoustic_flat") / F.greatest(F.lit(1), F.size("phoneme_ids"))
@@ -78,7 +77,7 @@ def mask_positions(df: DataFrame, ratio: float, min_masks: int, seed: int, key:
         raise ValueError("a ratio in [0, 1], min_masks of at least 0 and block of at least 1 are needed")
     k = mask_count(F.col(n), ratio, min_masks)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n) - block))
-    order = F.transform(F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(seed), F.col(key), i).alias("h"), i.alias("i")))), lambda x: x["i"])
+    order = F.transform(F.array_sort(F.transform(starts, lambda i: F.struct(drawn(seed, F.col(key), i).alias("h"), i.alias("i")))), lambda x: x["i"])
     grow = F.aggregate(order, F.array().cast("array<int>"), lambda acc, s: F.when(F.size(acc) >= k, acc).otherwise(F.array_union(acc, F.sequence(s, F.least(s + block, F.col(n)) - 1))))
     return df.withColumn("mask", F.when((k > 0) & (F.col(n) > 0), F.array_sort(grow)).otherwise(F.array().cast("array<int>")))
 

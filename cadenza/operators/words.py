@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from cadenza.functions import labels as L
 from cadenza.functions.constants import ACOUSTIC_WIDTH
+from cadenza.operators.permute import permuted
 from cadenza.session import scratch
 
 
@@ -55,9 +56,10 @@ def two_level_offsets(df: DataFrame, key: str, order: str, size: str, block_rows
     inner = Window.partitionBy(key, "__b").orderBy(order)
     d = df.withColumn("__b", b)
     totals = d.groupBy(key, "__b").agg(F.sum(size).alias("__t"))
-    before = totals.select(key, "__b", (F.sum("__t").over(Window.partitionBy(key).orderBy("__b")) - F.col("__t")).alias("__before"))
+    before = totals.select(F.col(key).alias("__k"), F.col("__b").alias("__kb"), (F.sum("__t").over(Window.partitionBy(key).orderBy("__b")) - F.col("__t")).alias("__before"))
     d = d.withColumn("__in", F.sum(size).over(inner) - F.col(size))
-    return d.join(before, [key, "__b"]).withColumn("offset", (F.col("__before") + F.col("__in")).cast("long")).drop("__b", "__before", "__in")
+    same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__kb"))
+    return d.join(before, same).withColumn("offset", (F.col("__before") + F.col("__in")).cast("long")).drop("__b", "__k", "__kb", "__before", "__in")
 
 
 def ranked(df: DataFrame, key: str, order: str, block: int = 4096) -> DataFrame:
@@ -93,16 +95,22 @@ def masked(a: Column, mask: Column) -> Column:
 
 
 def block_shuffle(df: DataFrame, key: str, order: str, batch: int, block_words: int, seed: int, epoch: int, drop_last: bool = False) -> DataFrame:
-    """WN-12: a deterministic shuffle of blocks and of rows inside them; ``batch_id`` never crosses a block."""
+    """WN-12: a deterministic shuffle of blocks and of rows inside them: ``block_order``, the block's place among its key's blocks,
+    and ``batch_in_block``. A batch never crosses a block; with ``drop_last`` rows of batches that aren't full go.
+
+    Places are keyed permutations of row numbers, so nothing is sorted for them and no block meets in one task.
+    """
     size = max(batch, block_words)
-    d = ranked(df, key, order).withColumn("block", F.floor(F.col("rn") / size).cast("long"))
-    d = d.withColumn("block_order", F.xxhash64(F.lit(seed), F.lit(epoch), "block"))
-    at = F.row_number().over(Window.partitionBy(key, "block").orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), "rn"), "rn")) - 1
-    d = d.withColumn("batch_in_block", F.floor(at / batch).cast("int"))
+    d = ranked(df, key, order)
+    n = d.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each key
+    d = d.join(n, F.col(key).eqNullSafe(F.col("__key"))).withColumn("block", F.floor(F.col("rn") / size).cast("long"))
+    draw = F.lit(seed * 1_000_003 + epoch * 10_007)
+    rows = F.least(F.lit(size), F.col("__n") - F.col("block") * size)
+    d = d.withColumn("block_order", permuted(F.col("block"), F.ceil(F.col("__n") / size), draw))
+    d = d.withColumn("batch_in_block", F.floor(permuted(F.col("rn") % size, rows, draw + 1 + F.col("block")) / batch).cast("int"))
     if drop_last:
-        n = F.count(F.lit(1)).over(Window.partitionBy(key, "block", "batch_in_block"))
-        d = d.withColumn("__n", n).where(F.col("__n") == batch).drop("__n")
-    return d
+        d = d.where((F.col("batch_in_block") + 1) * batch <= rows)
+    return d.drop("__key", "__n")
 
 
 def batch_count(rows: Column, batch: int, block_words: int, drop_last: bool = False) -> Column:

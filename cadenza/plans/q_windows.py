@@ -11,6 +11,7 @@ from cadenza.operators import runs
 from cadenza.operators import sampling as P
 from cadenza.operators import words as O
 from cadenza.operators.assess import align_frames, primary_issue
+from cadenza.operators.permute import rounds_sql
 from cadenza.plans import views as V
 from cadenza.plans.q_aggregates import SPLIT_SQL
 from cadenza.plans.q_functions import ID_SQL, SCORES_SQL, PENALTY_SQL, STATUS_SQL, WEIGHT_SQL, scored
@@ -118,13 +119,30 @@ def wn_12(spark, sf):
     return count(False).withColumnRenamed("n", "batches").join(count(True).withColumnRenamed("n", "full_batches"), "split")
 
 
-@query("wn_12_block_shuffle")
+DRAW_SQL = "CAST('0x' || md5({0})[{1}:{2}] AS BIGINT)"
+#: Rows with their place among ``n`` by the permutation that ``k`` names: x walks on until it is below n.
+SHUFFLE_SQL = f"""{{0}}, r AS (SELECT utterance_id, split, row_number() OVER (PARTITION BY split ORDER BY utterance_id) - 1 AS rn, count(*) OVER (PARTITION BY split) AS total FROM words),
+b AS (SELECT *, rn // {{1}} AS block, least({{1}}, total - rn // {{1}} * {{1}}) AS rows, CAST(ceil(total / {{1}}.0::DOUBLE) AS BIGINT) AS blocks FROM r),
+t AS (SELECT 'r' AS kind, utterance_id AS id, rn % {{1}} AS i, rows AS n, CAST(ceil(sqrt(rows::DOUBLE)) AS BIGINT) AS side, ({{2}} + 1 + block) % 2147483648 AS k FROM b
+  UNION ALL SELECT 'b', utterance_id, block, blocks, CAST(ceil(sqrt(blocks::DOUBLE)) AS BIGINT), {{2}} % 2147483648 FROM b),
+walk AS (SELECT kind, id, n, side, k, {rounds_sql("i", "side", "k")} AS x FROM t UNION ALL SELECT kind, id, n, side, k, {rounds_sql("x", "side", "k")} FROM walk WHERE x >= n),
+shuffled AS (SELECT b.*, o.x AS block_order, CAST(p.x // 16 AS INT) AS batch_in_block FROM b JOIN walk o ON o.id = b.utterance_id AND o.kind = 'b' AND o.x < o.n JOIN walk p ON p.id = b.utterance_id AND p.kind = 'r' AND p.x < p.n)"""
+
+
+@query("wn_12_block_shuffle", f"WITH RECURSIVE {SHUFFLE_SQL.format(WORDS_SQL, 50, 7 * 1_000_003 + 10_007)} SELECT utterance_id, split, block, block_order, batch_in_block FROM shuffled")
 def wn_12_rows(spark, sf):
     w = V.phones(spark, sf).select("utterance_id", "split").distinct()
     return O.block_shuffle(w, "split", "utterance_id", 16, 50, seed=7, epoch=1).select("utterance_id", "split", "block", "block_order", "batch_in_block")
 
 
-@query("wn_13_negative_samples")
+NEGATIVE_SQL = f"""WITH {V.PHONES_SQL}, p AS (SELECT utterance_id, index, {ID_SQL.format('phoneme')} AS phoneme_id, {V.TARGET_SQL} AS target, 1 - CAST(omission AS INT) AS presence FROM phones),
+d AS (SELECT *, {DRAW_SQL.format("'11:' || utterance_id || ':' || index", 1, 8)} / 4294967296.0::DOUBLE AS u, {DRAW_SQL.format("'11:' || utterance_id || ':' || index", 9, 16)} % 38 + 2 AS pick FROM p),
+k AS (SELECT *, CASE WHEN u < 0.15 THEN 'substitution' WHEN u < 0.3 THEN 'omission' ELSE '' END AS augmented FROM d)
+SELECT utterance_id, index, CAST(phoneme_id AS INT) AS phoneme_id, target, presence, augmented, CAST(CASE WHEN augmented = 'substitution' THEN CASE WHEN pick >= phoneme_id THEN pick + 1 ELSE pick END ELSE phoneme_id END AS INT) AS new_id,
+  CASE augmented WHEN 'substitution' THEN 15.0::DOUBLE WHEN 'omission' THEN 0.0::DOUBLE ELSE target END AS new_target, CASE WHEN augmented = 'omission' THEN 0 ELSE presence END AS new_presence FROM k"""
+
+
+@query("wn_13_negative_samples", NEGATIVE_SQL)
 def wn_13(spark, sf):
     p = V.phones(spark, sf).select("utterance_id", "index", L.phoneme_id(F.col("phoneme")).alias("phoneme_id"), L.regression_target(F.col("human_score")).alias("target"), (1 - F.col("omission").cast("int")).alias("presence"))
     return P.negative_samples(p, 0.3, seed=11)
