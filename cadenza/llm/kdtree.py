@@ -130,6 +130,10 @@ def _search(tree: Tree, keys: np.ndarray, qids: np.ndarray, queries: np.ndarray,
 BOX_BYTES = 64 << 20
 
 
+#: Bytes of vectors in the sample on the driver and in a shard, and the rows that a shard has at least.
+SAMPLE_BYTES, SHARD_BYTES, LEAST_ROWS = 32 << 20, 64 << 20, 8_192
+
+
 def plan_shards(vectors: np.ndarray, rows: int, shard_rows: int, first: int) -> tuple[list[tuple], int]:
     """Median splits of a sample that stands for ``rows`` rows: nodes (axis, threshold, left, right, shard, parts), and the next shard.
 
@@ -257,7 +261,7 @@ def _visits(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return stream.mapInArrow(run, RESULT)
 
 
-def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, shard_rows: int = 8_192, shard_queries: int = 16_384, sample_rows: int = 65_536) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, shard_rows: int | None = None, shard_queries: int = 16_384, sample_rows: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products with all other rows.
 
     Components become floor(scale * x). Ties go to the smaller id; fewer than k rows come back only if
@@ -267,18 +271,23 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     that share an id and a vector are one query, with another vector they have ten rows each. ``is_query``
     may use any column of ``vectors``; its other columns are left out.
 
-    The ``sample_rows`` rows with the smallest hashes of their ids place the splits between shards and
-    nothing else; a shard visited by more than ``shard_queries`` queries has copies.
+    The ``sample_rows`` rows with the smallest hashes of their ids, or fewer so that they hold at most SAMPLE_BYTES, place the
+    splits between shards and nothing else. Unless ``shard_rows`` says how many rows a shard has, it holds a fair share for every
+    core, but at least LEAST_ROWS and at most SHARD_BYTES: a query visits shards, so there should be few.
+    A shard visited by more than ``shard_queries`` queries has copies.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("id"), integer_vector(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     base = base.where(F.col("id").isNotNull() & F.col("v").isNotNull()).withColumn("d", F.size("v")).withColumn("key", F.xxhash64("id", "v"))
     size = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("d").cast("long")).alias("all")).first()
-    shard_rows = max(shard_rows, -(-16 * (size["all"] or 0) // BOX_BYTES))
-    sample = base.select("id", "d", "v").orderBy(F.xxhash64("id", F.lit(2)), "id").limit(sample_rows).collect()
+    width = 8 * max(1, -(-(size["all"] or 0) // max(1, size["n"])))
+    fair = size["n"] // (2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    shard_rows = max(shard_rows or max(LEAST_ROWS, min(fair, SHARD_BYTES // width)), -(-16 * (size["all"] or 0) // BOX_BYTES))
+    sample = base.select("d", "v").orderBy(F.xxhash64("id", F.lit(2)), "id").limit(min(sample_rows, max(1, SAMPLE_BYTES // width))).toArrow()
     nodes, after = {}, 0
-    for d in sorted({r["d"] for r in sample}):
-        same = np.array([r["v"] for r in sample if r["d"] == d], np.int64).reshape(-1, d)
-        nodes[d], after = plan_shards(same, max(1, size["n"] * len(same) // len(sample)), shard_rows, after)
+    lengths = sample.column("d").to_numpy()
+    for d in sorted(set(lengths.tolist())):
+        same = sample.filter(pa.array(lengths == d)).column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        nodes[d], after = plan_shards(same, max(1, size["n"] * len(same) // len(lengths)), shard_rows, after)
     rows = written(_dealt(base, nodes), "kd-rows")
 
     def home(t: pa.Table) -> pa.Table:

@@ -333,7 +333,7 @@ def test_chat_windows_repeat_and_keep_the_budget(spark):
     assert sum(len(x["formatted"].split("<|turn|>")) - 1 - x["n_repeated"] for x in first) == 2500
 
 
-@pytest.mark.parametrize(("shard_rows", "shard_queries"), [(60, 16_384), (25, 2), (8_192, 16_384)])
+@pytest.mark.parametrize(("shard_rows", "shard_queries"), [(60, 16_384), (25, 2), (None, 16_384)])
 def test_top_k_equals_brute_force(spark, shard_rows, shard_queries):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
@@ -526,3 +526,18 @@ def test_chat_windows_equal_plain_python_however_many_turns(spark, n):
             own.append(p)
         want.append((old, own))
         assert got[c] == [("".join([*o, *w]), len(o)) for o, w in want]
+
+
+def test_top_k_samples_wide_vectors_by_their_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    wide = rng.integers(-50, 50, (400, 768)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(wide)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(kdtree, "SAMPLE_BYTES", 100 * 768 * 8)
+    seen = []
+    plan = kdtree.plan_shards
+    monkeypatch.setattr(kdtree, "plan_shards", lambda sample, *more: seen.append(sample.nbytes) or plan(sample, *more))
+    got = kdtree.top_k(df, F.col("vec_id") % 100 == 0, k=5, scale=1, shard_rows=100).collect()
+    assert 0 < sum(seen) <= kdtree.SAMPLE_BYTES
+    for q in (0, 100, 200, 300):
+        order = sorted((-int(wide[q] @ wide[c]), c) for c in range(400) if c != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, c, -s) for n, (s, c) in enumerate(order)]
