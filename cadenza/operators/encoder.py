@@ -16,7 +16,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.constants import CLASSES
 from cadenza.functions.labels import expected_value
+from cadenza.operators.reports import class_weights
 
 #: Samples of a padded batch, and of all batches that a task fills at a time.
 BATCH_SAMPLES, HELD_SAMPLES = 1 << 21, 1 << 23
@@ -127,6 +129,31 @@ def fit_phone_scorer(features: DataFrame, label: str = "class_index", weight: st
     return LogisticRegression(family="multinomial", labelCol=label, weightCol=weight, maxIter=iterations, regParam=0.01).fit(data)
 
 
+def weighted_classes(features: DataFrame, label: str = "class_index") -> DataFrame:
+    """ML-01: the rows with ``weight``, the inverse frequency of their class scaled to mean 1 over the classes (AG-20)."""
+    name = F.get(F.array(*[F.lit(c) for c in CLASSES]), F.col(label).cast("int"))
+    weights = class_weights(features.withColumn("__class", name), "__class").select(F.col("class").alias("__class"), "weight")  # three rows
+    return features.withColumn("__class", name).join(F.broadcast(weights), "__class").drop("__class")
+
+
+def held_out_scores(features: DataFrame, group: str, label: str = "class_index", folds: int = 3, iterations: int = 20) -> DataFrame:
+    """ML-01: every row scored by a model that saw no row of its ``group`` (a speaker): groups are dealt to ``folds`` folds by hash, and
+    each fold is scored by the weighted model of the others, with the weights of those. A fold whose others lack a class is scored as it is.
+    """
+    fold = F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
+    d = features.withColumn("fold", fold)
+    out = None
+    for i in range(folds):
+        mine = d.where(F.col("fold") == i)
+        if not mine.limit(1).count() or not d.where(F.col("fold") != i).limit(1).count():
+            continue
+        scored = score_phones(fit_phone_scorer(weighted_classes(d.where(F.col("fold") != i), label), label, iterations=iterations), mine)
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        raise ValueError("there are no two folds with rows")
+    return out
+
+
 def score_phones(model, features: DataFrame) -> DataFrame:
     """ML-01: class probabilities, the predicted class and the expected score."""
     out = model.transform(features.withColumn("features", array_to_vector("embedding")))

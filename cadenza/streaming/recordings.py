@@ -19,9 +19,15 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def assess_stream(stream: DataFrame, job: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str, checkpoint: str):
+def assess_stream(stream: DataFrame, job: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str, checkpoint: str, key: str = "recording_id", time: str | None = None, late: str = "10 minutes"):
     """ST-01: each micro-batch goes through the batch job; its assessments and its rejects are written to a table each, under
-    the batch's id, so a repeated batch replaces itself."""
+    the batch's id, so a repeated batch replaces itself.
+
+    With ``time``, a column of event times, a recording whose ``key`` came before, within ``late`` of it, is assessed once, also across
+    batches and restarts; one that comes later than ``late`` after the newest is left out. State is kept for ``late`` only.
+    """
+    if time:
+        stream = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # both tables read it

@@ -221,3 +221,55 @@ def test_a_path_listed_twice_resolves_once(spark):
     df = spark.createDataFrame([("a.wav",), (None,)], "p string")
     listing = spark.createDataFrame([("raw/a.wav",), ("raw/a.wav",)], "listed string")
     assert [r.resolved for r in corpora.resolve_audio(df, listing, "p").orderBy("p").collect()] == [None, "raw/a.wav"]
+
+
+def phone_vectors(spark, n=900, seed=4):
+    """Vectors around three centres, the first class rare, of thirty speakers."""
+    rng = np.random.default_rng(seed)
+    kinds = rng.choice(3, n, p=[0.06, 0.3, 0.64])
+    centres = np.array([[2.0, 0, 0], [0, 2.0, 0], [0, 0, 2.0]])
+    rows = [(i, int(i % 30), int(k), [float(x) for x in centres[k] + rng.normal(0, 1.1, 3)]) for i, k in enumerate(kinds)]
+    return spark.createDataFrame(rows, "k long, speaker long, class_index int, embedding array<double>")
+
+
+def test_scorer_weights_are_inverse_frequencies(spark):
+    d = phone_vectors(spark)
+    n = {r["class_index"]: r["count"] for r in d.groupBy("class_index").count().collect()}
+    inverse = {k: 1 / v for k, v in n.items()}
+    got = {r["class_index"]: r["weight"] for r in encoder.weighted_classes(d).select("class_index", "weight").distinct().collect()}
+    assert all(math.isclose(got[k], inverse[k] * 3 / sum(inverse.values())) for k in n)
+
+
+def test_scorer_judges_speakers_that_it_has_not_seen(spark):
+    d = phone_vectors(spark)
+    out = encoder.held_out_scores(d, "speaker").collect()
+    assert sorted(r["k"] for r in out) == list(range(900)) and {r["fold"] for r in out} == {0, 1, 2}
+    assert all(len({r["fold"] for r in out if r["speaker"] == s}) == 1 for s in range(30))
+    recall = lambda rows, c: np.mean([r["prediction"] == c for r in rows if r["class_index"] == c])
+    assert np.mean([r["prediction"] == r["class_index"] for r in out]) > 0.75 and all(recall(out, c) > 0.7 for c in range(3))
+    # without weights the rare class is lost to the frequent ones
+    plain_ = encoder.score_phones(encoder.fit_phone_scorer(d.withColumn("weight", F.lit(1.0))), d).collect()
+    assert recall(plain_, 0) < recall(out, 0) - 0.1
+    assert all(math.isclose(sum(r["probs"]), 1, abs_tol=1e-6) and math.isclose(r["expected_score"], np.dot(r["probs"], [15, 60, 92]), rel_tol=1e-6) for r in out)
+    with pytest.raises(ValueError, match="folds"):
+        encoder.held_out_scores(d.where("speaker = 1"), "speaker")
+
+
+def test_stream_assesses_a_repeated_recording_once(spark):
+    _, df, lexicon, assets = recorded(spark)
+    path = scratch(spark, "stream")
+    job = lambda batch: jobs.assess_recordings(batch, lexicon, assets, encoder.spectral_encoder(WIDTH, FRAME), RATE, FRAME, WIDTH)
+    at = lambda minute: F.timestamp_seconds(F.lit(60 * (1000 + minute)))
+
+    def feed(*parts):
+        for rows, minute in parts:
+            rows.withColumn("ts", at(minute)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            recordings.assess_stream(recordings.stream_table(spark, f"{path}/in"), job, f"{path}/out", f"{path}/state", time="ts").awaitTermination()
+
+    one, two, three = df.where("recording_id < 20"), df.where("recording_id between 10 and 39"), df.where("recording_id >= 40")
+    feed((one, 0), (two, 3), (three, 120))
+    feed((df.where("recording_id = 63").withColumn("recording_id", F.lit(99).cast("long")), 1))  # two hours late
+    feed((one.unionByName(two), 121))  # long after: their first coming is forgotten
+    good, bad = spark.read.parquet(f"{path}/out/assessments"), spark.read.parquet(f"{path}/out/rejects")
+    n = {r["recording_id"]: r["n"] for r in good.select("recording_id").unionByName(bad.select("recording_id")).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n == {i: 2 if i < 40 else 1 for i in range(64)}
