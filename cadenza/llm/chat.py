@@ -44,7 +44,7 @@ def _length(pieces: Column, of: str) -> Column:
 
 
 def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = 512, history: int = 128) -> DataFrame:
-    """(conv_id, window, formatted, n_repeated, loss): one row per window, windows numbered in order.
+    """(conversation, conv_id, window, formatted, n_repeated, loss): one row per window, windows numbered in order.
 
     Every window but a conversation's first repeats the system turn, if there is one, and then the last
     turns of the window before, as far as they hold at most ``history`` tokens. Turns follow while they fit: a window holds at most ``budget`` tokens, repeats
@@ -54,9 +54,10 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     points of ``formatted``. The system turn is a first turn whose role is ``system``. Turns are ordered by
     number, then role, then text (repeated rows are turns of their own); null roles and texts count as
     empty, a null number comes first, null conversation ids form one conversation. Other columns are
-    left out. A conversation is one key of the shuffle.
+    left out. A conversation is one key of the shuffle; ``conversation`` is that key, by which rows stay partitioned.
     """
-    t = df.select(F.col(conv_col).alias("c"), F.col(turn_col).cast("long").alias("n"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # a null id is a key like others inside a struct, so that one partitioning serves all steps
+    t = df.select(F.struct(F.col(conv_col).alias("id")).alias("c"), F.col(turn_col).cast("long").alias("n"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = Window.partitionBy("c").orderBy(F.asc_nulls_first("n"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     t = t.select("c", "role", "text", (F.row_number().over(ordered) - 1).alias("i"), F.first(F.struct("role", "text")).over(ordered).alias("top"))
     head = lambda role: F.concat(F.lit(TURN), escape(role, line=True), F.lit("\n"))
@@ -87,7 +88,7 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     starts = sums.select("c", "sys", F.aggregate("ks", zero, deal, lambda a: F.concat(a["starts"], F.array(a["here"]))).alias("starts"))
 
     # turns get the number of the window that is open there, and meet in it
-    blocks = t.groupBy("c", "b").agg(F.sort_array(F.collect_list(turn)).alias("turns")).join(starts.withColumnRenamed("c", "cc"), F.col("c").eqNullSafe(F.col("cc"))).drop("cc")
+    blocks = t.groupBy("c", "b").agg(F.sort_array(F.collect_list(turn)).alias("turns")).join(starts, "c")
     before = F.aggregate(F.slice("starts", F.lit(1), F.col("b").cast("int")), F.lit(0).cast("long"), lambda n, x: n + F.size(x))
     blocks = blocks.select("c", "sys", "turns", before.alias("before"), F.get("starts", F.col("b").cast("int")).alias("here"))
     dealt = blocks.select("c", "sys", F.explode(F.transform("turns", lambda x, p: F.struct((F.col("before") + F.size(F.filter("here", lambda y: y <= p))).alias("window"), x.alias("turn")))).alias("x"))
@@ -112,7 +113,7 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     start = F.struct(front.cast("long").alias("at"), F.array().cast("array<struct<begin:int,length:int>>").alias("loss"))
     text = F.concat(F.coalesce("sys", F.lit("")), F.array_join(F.transform(F.concat("old", "own"), lambda x: x["piece"]), ""))
     n_repeated = F.size("old") + F.when(F.col("sys").isNotNull(), 1).otherwise(0)
-    return windows.select(F.col("c").alias("conv_id"), "window", text.alias("formatted"), n_repeated.alias("n_repeated"), F.aggregate("own", start, mask, lambda a: a["loss"]).alias("loss"))
+    return windows.select(F.col("c").alias("conversation"), F.col("c.id").alias("conv_id"), "window", text.alias("formatted"), n_repeated.alias("n_repeated"), F.aggregate("own", start, mask, lambda a: a["loss"]).alias("loss"))
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
@@ -130,11 +131,11 @@ def read_windows(windows: DataFrame) -> DataFrame:
 
 def conversation_digests(windows: DataFrame) -> DataFrame:
     """Per conversation, what ``read_windows`` finds: turn and loss counts and SHA-256 digests."""
-    read = read_windows(windows).select("conv_id", F.struct("window", "turns", "targets", F.length("formatted").alias("n")).alias("w"))
-    each = read.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    read = read_windows(windows).select("conversation", F.struct("window", "turns", "targets", F.length("formatted").alias("n")).alias("w"))
+    each = read.groupBy("conversation").agg(F.sort_array(F.collect_list("w")).alias("w"))
     turns = F.flatten(F.transform("w", lambda x: x["turns"]))
     target = F.array_join(F.flatten(F.transform("w", lambda x: x["targets"])), "")
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
-    each = each.select("conv_id", turns.alias("turns"), target.alias("target"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("formatted_chars"))
+    each = each.select(F.col("conversation.id").alias("conv_id"), turns.alias("turns"), target.alias("target"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("formatted_chars"))
     return each.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(said).alias("turns_sha256"), F.length("target").cast("long").alias("loss_chars"), digest(F.col("target")).alias("loss_sha256"), "formatted_chars")
