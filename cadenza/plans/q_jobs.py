@@ -251,6 +251,7 @@ def word_ring(spark, sf):
 
 def assessed(spark, sf, events):
     lex = lexicon(spark, sf)
+    events = events.repartition("event_id")  # a table of one file would be one task
     assets = lex.where(F.length("word") % 3 != 0).select("word", F.concat(F.lit("audio/"), "word", F.lit(".wav")).alias("asset_path"))
     make = encoder.spectral_encoder(SIGNAL["width"], SIGNAL["frame"])
     return jobs.assess_recordings(asked_recordings(spark, sf, events), lex, assets, make, **SIGNAL)
