@@ -2,14 +2,15 @@
 
 A task writes its files below a staging folder of the job, lists them there and moves them to their places at its end.
 A task that fails deletes what it staged; its successor replaces what the list of its partition names. The driver's
-commit adds up the tasks' messages and removes the staging folder; its abort deletes all that the lists name.
+commit adds up the tasks' messages and removes the staging folder; its abort leaves a mark and deletes all that the lists
+name. A task that still runs then looks for the mark after its last move, and takes its files away itself.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -48,6 +49,12 @@ def _listed(store: fs.FileSystem, path: str) -> set[str]:
         return set(json.loads(f.read()))
 
 
+def _take_away(store: fs.FileSystem, files: Iterable[str]) -> None:
+    for f in files:
+        if store.get_file_info(f).type == fs.FileType.File:
+            store.delete_file(f)
+
+
 class FileWriter(DataSourceWriter):
     def __init__(self, root: str, job: str, replace: bool):
         self.root, self.job, self.replace = root, job, replace
@@ -74,6 +81,10 @@ class FileWriter(DataSourceWriter):
                 store.create_dir(folder, recursive=True)
             for i, target in enumerate(staged):
                 store.move(f"{attempt}/{i}", target)
+            if store.get_file_info(f"{root}-counts/{self.job}.aborted").type == fs.FileType.File:
+                _take_away(store, staged)
+                _drop(store, f"{root}/_staging-{self.job}")
+                raise RuntimeError("the write was aborted")
         finally:
             _drop(store, attempt)
         return Wrote(len(staged), reused, size)
@@ -88,10 +99,10 @@ class FileWriter(DataSourceWriter):
     def abort(self, messages: list[Wrote | None]) -> None:
         store, root = opened(self.root)
         staging = f"{root}/_staging-{self.job}"
+        _put(store, f"{root}-counts/{self.job}.aborted", b"")
         for info in store.get_file_info(fs.FileSelector(staging, allow_not_found=True)):
-            for target in _listed(store, info.path) if info.path.endswith(".list") else ():
-                if store.get_file_info(target).type == fs.FileType.File:
-                    store.delete_file(target)
+            if info.path.endswith(".list"):
+                _take_away(store, _listed(store, info.path))
         _drop(store, staging)
 
 

@@ -1,8 +1,11 @@
 """One file for each row: counts, reuse, replacement, and nothing left by a write that fails."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.sources import filesink
 from cadenza.sources.filesink import write_files
 
 
@@ -38,4 +41,21 @@ def test_a_failed_write_leaves_none_of_its_files(spark, tmp_path):
     last = F.when(F.col("content") == "né 199", F.raise_error(F.lit("broken"))).otherwise(F.col("content"))
     with pytest.raises(Exception, match="broken"):
         write_files(rows(spark).withColumn("content", last).coalesce(3), str(root))
+    for _ in range(60):  # tasks that were still at work when the write failed take their files away themselves
+        if found(root) == before and {x.name for x in root.iterdir()} == {"a"}:
+            break
+        time.sleep(0.5)
     assert found(root) == before and {x.name for x in root.iterdir()} == {"a"}
+
+
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path, monkeypatch):
+    root = tmp_path / "lab"
+    writer = filesink.FileWriter(str(root), "job", False)
+    monkeypatch.setattr(filesink.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    late = [{"rel_path": f"a/{i}", "content": "x"} for i in range(3)]
+    assert writer.write(iter(late)).written == 3 and len(found(root / "a")) == 3
+    writer.abort([None])
+    assert not found(root)
+    with pytest.raises(RuntimeError, match="aborted"):
+        writer.write(iter(late))
+    assert not found(root) and not [x for x in root.iterdir() if x.name.startswith("_")]
