@@ -77,7 +77,7 @@ def mask_positions(df: DataFrame, ratio: float, min_masks: int, seed: int, key:
         raise ValueError("a ratio in [0, 1], min_masks of at least 0 and block of at least 1 are needed")
     k = mask_count(F.col(n), ratio, min_masks)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n) - block))
-    order = F.transform(F.array_sort(F.transform(starts, lambda i: F.struct(drawn(seed, F.col(key), i).alias("h"), i.alias("i")))), lambda x: x["i"])
+    order = F.transform(F.array_sort(F.transform(starts, lambda i: F.struct(drawn(seed, F.col(key), i, part=2).alias("h"), i.alias("i")))), lambda x: x["i"])
     grow = F.aggregate(order, F.array().cast("array<int>"), lambda acc, s: F.when(F.size(acc) >= k, acc).otherwise(F.array_union(acc, F.sequence(s, F.least(s + block, F.col(n)) - 1))))
     return df.withColumn("mask", F.when((k > 0) & (F.col(n) > 0), F.array_sort(grow)).otherwise(F.array().cast("array<int>")))
 

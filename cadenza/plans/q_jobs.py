@@ -13,8 +13,9 @@ from cadenza.operators import reports as R
 from cadenza.operators import words as O
 from cadenza.plans import views as V
 from cadenza.plans.q_aggregates import DIM_SQL, OVERALL_SQL, SPLIT_SQL, V1_SQL, with_quality
-from cadenza.plans.q_functions import PENALTY_SQL, STATUS_SQL
+from cadenza.plans.q_functions import ID_SQL, PENALTY_SQL, STATUS_SQL
 from cadenza.plans.q_joins import IV_SQL, SIDECAR_SQL, interval_arrays, lexicon, score_words, sidecars
+from cadenza.plans.q_windows import DRAW_SQL, SHUFFLE_SQL, WORDS_SQL
 from cadenza.plans.registry import query
 from cadenza.plans.views import r6
 
@@ -273,8 +274,24 @@ def job_12(spark, sf):
     return jobs.plan_runs(specs, states, present).select("feature_key", "reason")
 
 
-@query("job_13_epoch_plan")
+PLAN_DRAW = "'5:' || utterance_id || ':' || index"
+JOB_13_SQL = f"""WITH RECURSIVE {SHUFFLE_SQL.format(WORDS_SQL, 64, 3 * 1_000_003 + 2 * 10_007)},
+l1 AS (SELECT utterance_id, split, seq_len, rn, rn // 128 AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY utterance_id) - 1 AS rn FROM words)),
+l2 AS (SELECT *, (row_number() OVER (PARTITION BY split, bucket ORDER BY seq_len, rn) - 1) // 16 AS length_batch FROM l1),
+l3 AS (SELECT *, max(seq_len) OVER (PARTITION BY split, bucket, length_batch) AS width FROM l2),
+p AS (SELECT utterance_id, index, {ID_SQL.format('phoneme')} AS id, 1 - CAST(omission AS INT) AS presence, {DRAW_SQL.format(PLAN_DRAW, 1, 8)} / 4294967296.0::DOUBLE AS u,
+  {DRAW_SQL.format(PLAN_DRAW, 9, 16)} % 38 + 2 AS pick, row_number() OVER (PARTITION BY utterance_id ORDER BY {DRAW_SQL.format(PLAN_DRAW, 17, 24)}, index) AS place, count(*) OVER (PARTITION BY utterance_id) AS n FROM phones),
+k AS (SELECT *, CASE WHEN u < 0.1 THEN 'substitution' WHEN u < 0.2 THEN 'omission' ELSE '' END AS kind, place <= least(n, greatest(1, CAST(round_even(n * 0.3::DOUBLE, 0) AS INT))) AS masked FROM p),
+g AS (SELECT utterance_id, list(CASE WHEN kind = 'substitution' THEN CASE WHEN pick >= id THEN pick + 1 ELSE pick END ELSE id END ORDER BY index) AS ids, string_agg(kind, ',' ORDER BY index) AS augmented,
+  string_agg(CASE WHEN kind = 'omission' THEN 0 ELSE presence END, ',' ORDER BY index) AS presence, string_agg(index, ',' ORDER BY index) FILTER (masked) AS mask FROM k GROUP BY 1)
+SELECT s.utterance_id, s.split, s.block, s.batch_in_block, CAST(l3.bucket AS INT) AS bucket, CAST(l3.length_batch AS INT) AS length_batch, l3.width,
+  array_to_string(list_resize(g.ids, l3.width, 0), ',') AS padded_ids, g.augmented, g.presence, g.mask
+FROM shuffled s JOIN l3 ON l3.utterance_id = s.utterance_id JOIN g ON g.utterance_id = s.utterance_id"""
+
+
+@query("job_13_epoch_plan", JOB_13_SQL)
 def job_13(spark, sf):
     w = V.words(spark, sf)
     d = jobs.epoch_plan(w, "split", "utterance_id", 16, 64, seed=3, epoch=2, mask_ratio=0.3, negatives=0.2)
-    return d.select("utterance_id", "split", "block", "batch_in_block", "bucket", "length_batch", "width", "padded_ids", "augmented", "presence_targets", "mask")
+    said = lambda c, name: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(name)
+    return d.select("utterance_id", "split", "block", "batch_in_block", "bucket", "length_batch", "width", said("padded_ids", "padded_ids"), said("augmented", "augmented"), said("presence_targets", "presence"), said("mask", "mask"))
