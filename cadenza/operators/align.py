@@ -140,7 +140,8 @@ def label_spans(phones: DataFrame, frame_ms: float, key: str = "utterance_id") -
     """
     frame_ms = max(frame_ms, 1e-6)
     n, w = F.greatest(F.lit(1), F.col("total_frames")), L.duration_weight(F.col("phoneme"))
-    d = phones.withColumn("w", w).withColumn("ws", F.sum("w").over(Window.partitionBy(key)))
+    whole = Window.partitionBy(key).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one order, one sum
+    d = phones.withColumn("w", w).withColumn("ws", F.sum("w").over(whole))
     d = d.withColumn("start", F.greatest(F.lit(0), F.least(n - 1, F.floor(F.col("start_ms") / frame_ms))).cast("int"))
     d = d.withColumn("end", F.least(n, F.greatest(F.col("start") + 1, F.ceil(F.col("end_ms") / frame_ms))).cast("int"))
     x = F.greatest(F.lit(1.0), n * F.col("w") / F.col("ws"))

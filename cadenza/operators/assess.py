@@ -61,10 +61,11 @@ def align_frames(phones: DataFrame, key: str = "utterance_id", frame_ms: float =
 
     ``phones`` has key, index, phoneme and total_frames. Each phone gets at least one frame; what is
     over goes round from the first phone, what is missing is taken round from phones longer than one.
-    A word with fewer frames than phones gets no spans but the reason ``too_few_frames``.
+    A word with fewer frames than phones gets no spans but the reason ``too_few_frames``. Weights are
+    summed in the order of phones: a sum in another order can differ in its last bit, and a length with it.
     """
-    w = Window.partitionBy(key)
-    order = w.orderBy("index")
+    order = Window.partitionBy(key).orderBy("index")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = phones.withColumn("w", L.duration_weight(F.col("phoneme"))).withColumn("k", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(order) - 1)
     n = F.col("total_frames")
     d = d.withColumn("len0", F.greatest(F.lit(1), F.floor(F.col("w") / F.sum("w").over(w) * n)).cast("int"))

@@ -1,5 +1,6 @@
 """Composite jobs and the rules that hand-made rows tell apart."""
 
+import itertools
 import math
 
 import numpy as np
@@ -273,3 +274,19 @@ def test_stream_assesses_a_repeated_recording_once(spark):
     good, bad = spark.read.parquet(f"{path}/out/assessments"), spark.read.parquet(f"{path}/out/rejects")
     n = {r["recording_id"]: r["n"] for r in good.select("recording_id").unionByName(bad.select("recording_id")).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert n == {i: 2 if i < 40 else 1 for i in range(64)}
+
+
+def test_weights_are_summed_in_the_order_of_phones(spark):
+    said, n = ["S", "AH", "M", "CH", "B", "L", "AH", "K"], 120
+    weights = {"S": 1.35, "AH": 1.8, "M": 1.1, "CH": 1.25, "B": 0.85, "L": 1.0, "K": 0.85}
+    words = list(itertools.permutations(said))[::97]
+    rows = [(k, i, p, n) for k, word in enumerate(words) for i, p in reversed(list(enumerate(word)))]
+    got = assess.align_frames(spark.createDataFrame(rows, "utterance_id long, index int, phoneme string, total_frames int")).orderBy("utterance_id", "index").collect()
+    for k, word in enumerate(words):
+        total = 0.0
+        for p in word:
+            total += weights[p]
+        lengths = [max(1, int(weights[p] / total * n)) for p in word]
+        over = n - sum(lengths)
+        expected = [x + over // 8 + (i < over % 8) for i, x in enumerate(lengths)]
+        assert [r["length"] for r in got[8 * k : 8 * k + 8]] == expected
