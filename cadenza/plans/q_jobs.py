@@ -93,7 +93,7 @@ def job_07(spark, sf):
     p = V.phones(spark, sf)
     sinks.write_shards(p.where(~((F.col("utterance_id") % 13 == 0) & (F.col("index") == 0))), path, 20_000)
     rules = {"human_score": F.col("human_score") <= 1.8, "frames": F.col("frames") >= 2}
-    profile, totals = jobs.verify_features(corpora.feature_shards(spark, path, PHONE_ROWS + ", frames int"), V.words(spark, sf), rules)
+    profile, totals = jobs.verify_features(corpora.by_word(corpora.feature_shards(spark, path, PHONE_ROWS + ", frames int")), V.words(spark, sf), rules)
     totals = totals.select("row_delta", "matches")  # one row
     return profile.select("split", "rows", "utterances", "broken_rows").join(F.broadcast(totals))
 

@@ -182,7 +182,7 @@ def snk_01(spark, sf):
 def snk_02(spark, sf):
     path = scratch(spark, "shards")
     sinks.write_shards(V.phones(spark, sf), path, 10_000)
-    w = corpora.feature_shards(spark, path, PHONE_ROWS).groupBy("utterance_id").agg(F.count_distinct("shard").alias("s"))
+    w = corpora.by_word(corpora.feature_shards(spark, path, PHONE_ROWS)).groupBy("utterance_id").agg(F.count_distinct("shard").alias("s"))
     return w.agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("s") > 1).cast("int").alias("split_words"))
 
 

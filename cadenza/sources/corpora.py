@@ -81,6 +81,12 @@ def feature_shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("pathGlobFilter", "part-*.json*").json(folder).withColumn("shard", F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1))
 
 
+def by_word(shards: DataFrame) -> DataFrame:
+    """Rows of shards by word, over as many tasks as read them, so that a task's rows don't grow with the shards."""
+    n = shards.rdd.getNumPartitions()
+    return shards.repartition(n, "utterance_id") if n > shards.sparkSession.sparkContext.defaultParallelism else shards
+
+
 def audio_listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("wav", "flac")) -> DataFrame:
     """SRC-04: (path, length) of all audio files below ``root``; contents are never read, derived folders are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
@@ -138,4 +144,4 @@ def read_features(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/dense")
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.read.parquet(f"{folder}/dense")
-    return assemble_words(feature_shards(spark, f"{folder}/shards", schema))
+    return assemble_words(by_word(feature_shards(spark, f"{folder}/shards", schema)))

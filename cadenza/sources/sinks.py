@@ -17,9 +17,9 @@ def write_manifest(df: DataFrame, path: str, overwrite: bool = False, kind: str
 
 
 def write_shards(df: DataFrame, path: str, shard_rows: int, overwrite: bool = False) -> None:
-    """SNK-02: JSON shards of about ``shard_rows`` rows; a word's rows stay together and in order."""
+    """SNK-02: JSON shards of about ``shard_rows`` rows, compressed, each read by one task; a word's rows stay together and in order."""
     n = max(1, -(-df.count() // shard_rows))
-    df.repartition(n, "utterance_id").sortWithinPartitions("utterance_id", "index").write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    df.repartition(n, "utterance_id").sortWithinPartitions("utterance_id", "index").write.mode("overwrite" if overwrite else "errorifexists").option("compression", "gzip").json(path)
 
 
 def write_dense_words(phones: DataFrame, path: str, compression: str = "snappy", block_bytes: int = 64 << 20, overwrite: bool = False, embedding: str | None = None, width: int = 2) -> dict:
