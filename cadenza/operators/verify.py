@@ -13,17 +13,25 @@ def profile(features: DataFrame, embedding: str | None = None, shard: str | None
     counts; ``group`` adds ``group_runs``, the number of adjacent runs of that column (AG-06) within utterances.
     """
     first = F.struct("utterance_id", "index")
-    more = []
-    if shard:
-        more.append(F.count_distinct(shard).alias("shards"))
-    d = features.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("utterance_id").alias("utterances"), F.min("frames").alias("min_frames"), F.max("frames").alias("max_frames"),
-        F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.min_by("phoneme", first).alias("sample"),
-        F.min_by(F.to_json(F.struct("utterance_id", "index", "phoneme", "duration_ms", "frames")), first).alias("sample_row"), *more,
+    row = F.to_json(F.struct("utterance_id", "index", "phoneme", "duration_ms", "frames"))
+    # summed by utterance first, so that no distinct utterances are kept beside each other for a whole split
+    u = features.groupBy("split", "utterance_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("frames").alias("min_frames"), F.max("frames").alias("max_frames"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"),
+        F.min(first).alias("first"), F.min_by(F.struct("phoneme", row.alias("row")), first).alias("s"),
     )
-    if embedding:
-        n = features.groupBy("split", F.size(embedding).alias("width")).agg(F.count(F.lit(1)).alias("n"))
-        d = d.join(n.groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("width", "n")))).alias("widths")), "split", "left")
+    d = u.groupBy("split").agg(
+        F.sum("rows").alias("rows"), F.count("utterance_id").alias("utterances"), F.min("min_frames").alias("min_frames"), F.max("max_frames").alias("max_frames"),
+        F.min("min_ms").alias("min_ms"), F.max("max_ms").alias("max_ms"), F.min_by("s", "first").alias("s"),
+    ).select("split", "rows", "utterances", "min_frames", "max_frames", "min_ms", "max_ms", F.col("s.phoneme").alias("sample"), F.col("s.row").alias("sample_row"))
+    if shard or embedding:
+        of = {"__shard": F.col(shard)} if shard else {}
+        of |= {"__width": F.size(embedding)} if embedding else {}
+        n = features.groupBy("split", *[c.alias(k) for k, c in of.items()]).agg(F.count(F.lit(1)).alias("n"))  # a row for each shard and width
+        if shard:
+            d = d.join(n.groupBy("split").agg(F.count_distinct("__shard").alias("shards")), "split", "left")
+        if embedding:
+            n = n.groupBy("split", F.col("__width").alias("width")).agg(F.sum("n").alias("n"))
+            d = d.join(n.groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("width", "n")))).alias("widths")), "split", "left")
     if group:
         before = F.lag(group).over(Window.partitionBy("split", "utterance_id").orderBy("index"))
         turns = features.select("split", F.col(group).alias("g"), before.alias("p"))

@@ -12,7 +12,7 @@ from cadenza.operators.words import acoustic_vector
 from cadenza.plans import views as V
 from cadenza.plans.registry import query
 from cadenza.plans.views import r6
-from cadenza.session import table
+from cadenza.session import dealt, table
 
 TOKENS_SQL = V.DOCS_SQL + ", tokens AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n\\t\\r]+')) AS token FROM docs)"
 
@@ -69,7 +69,8 @@ def fn_08(spark, sf):
 
 @query("fn_09_word_id", f"WITH {V.PHONES_SQL} SELECT utterance_id || '__' || phoneme || '__' || start_ms AS id, count(*) AS n FROM phones GROUP BY 1")
 def fn_09(spark, sf):
-    return V.phones(spark, sf).groupBy(X.word_id(F.col("utterance_id"), F.col("phoneme"), F.col("start_ms")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    ids = V.phones(spark, sf).select(X.word_id(F.col("utterance_id"), F.col("phoneme"), F.col("start_ms")).alias("id"))
+    return dealt(ids, table(spark, sf, "lineitem").count(), "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fn_10_class_of_human_score", f"WITH {V.PHONES_SQL} SELECT human_score, CASE WHEN human_score >= 1.5 THEN 'correct' WHEN human_score >= 0.5 THEN 'accented' ELSE 'wrong_or_missed' END AS class, count(*) AS n FROM phones GROUP BY ALL")

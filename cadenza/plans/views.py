@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import labels as L
 from cadenza.functions.constants import PHONES
-from cadenza.session import table
+from cadenza.session import dealt, table
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
@@ -19,7 +19,8 @@ def r6(c: Column) -> Column:
 
 def phones(spark: SparkSession, sf: str) -> DataFrame:
     """One row per phone: an order is a word, a line a phone."""
-    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf, "lineitem")
+    li = dealt(lines, lines.count(), "l_orderkey").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     word = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     dur = (F.col("l_quantity") * 10).cast("int")
     gap = F.when(F.col("l_linestatus") == "O", 60).otherwise(0)

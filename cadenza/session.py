@@ -28,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one task after a shuffle of a large table.
+TASK_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, by ``keys`` over as many tasks as it needs to hold at most about TASK_ROWS each.
+
+    What a task sorts and keeps then doesn't grow with the table, whatever number of shuffle partitions the session has. A table
+    that gives each core less than that is left to Spark.
+    """
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the cluster's shared folder; in a folder of our own only in local mode, as in tests, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

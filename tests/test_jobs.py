@@ -290,3 +290,27 @@ def test_weights_are_summed_in_the_order_of_phones(spark):
         over = n - sum(lengths)
         expected = [x + over // 8 + (i < over % 8) for i, x in enumerate(lengths)]
         assert [r["length"] for r in got[8 * k : 8 * k + 8]] == expected
+
+
+def test_phones_of_a_large_table_are_dealt_over_bounded_tasks(spark, monkeypatch):
+    from cadenza import session
+    from cadenza.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    before = views.phones(spark, sf).collect()
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    p = views.phones(spark, sf)
+    rows = p.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert rows < 400 < 6000 / 4
+    assert sorted(p.collect()) == sorted(before)
+
+
+def test_shards_are_compressed_and_dealt_by_word(spark):
+    path = scratch(spark, "shards")
+    rows = spark.range(4000).select((F.col("id") / 4).cast("long").alias("utterance_id"), (F.col("id") % 4).cast("int").alias("index"))
+    sinks.write_shards(rows, path, 100)
+    s = corpora.feature_shards(spark, path, "utterance_id long, index int")
+    assert {x.rsplit("/", 1)[-1].endswith(".json.gz") for x in s.inputFiles()} == {True}
+    spread = corpora.by_word(s.repartition(16))
+    assert spread.rdd.getNumPartitions() == 16
+    assert spread.withColumn("p", F.spark_partition_id()).groupBy("utterance_id").agg(F.count_distinct("p").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1 or rows <> 4").count() == 0
