@@ -15,10 +15,17 @@ def _totals() -> list[Column]:
     return [F.sum(w * score).alias("ws"), F.sum(w).alias("w"), F.avg("confidence").alias("c"), F.first("quality").alias("quality")]
 
 
-def _worst() -> Column:
+def _severity() -> Column:
     # the overall confidence scales all phones of a recording alike, so the penalty alone ranks them
-    rank = F.struct(S.penalty(F.col("match"), F.col("dur"), F.col("presence")).alias("penalty"), (-F.col("index")).alias("first"))
-    return F.max_by(F.struct("phoneme", "status", rank["penalty"].alias("penalty")), rank)
+    return F.struct(S.penalty(F.col("match"), F.col("dur"), F.col("presence")).alias("penalty"), (-F.col("index")).alias("first"))
+
+
+def _phone() -> Column:
+    return F.struct("phoneme", "status", _severity()["penalty"].alias("penalty"))
+
+
+def _worst() -> Column:
+    return F.max_by(_phone(), _severity())
 
 
 def _overall(digits: int) -> tuple[Column, Column]:
@@ -46,14 +53,26 @@ def primary_issue(recordings: DataFrame, phones: DataFrame, key: str) -> DataFra
     return recordings.select(key).join(worst, key, "left").select(key, _issue(F.col("x")).alias("issue"), F.col("x.phoneme").alias("phoneme"))
 
 
+def _assessment(key: list[str]) -> list[Column]:
+    """The assessment of grouped phones: ``ws``, ``w``, ``c``, ``quality`` and the worst phone ``x``, null for a recording without phones, which scores 0."""
+    score, confidence = _overall(3)
+    some = F.col("x").isNotNull()
+    confidence = F.when(some, confidence).otherwise(0.0)
+    severity = (0.65 + 0.35 * confidence) * F.col("x.penalty")
+    return [*key, F.when(some, score).otherwise(0).alias("score"), confidence.alias("confidence"), _issue(F.col("x")).alias("issue"), F.col("x.phoneme").alias("issue_phone"), severity.alias("severity")]
+
+
 def assessments(recordings: DataFrame, phones: DataFrame, key: str) -> DataFrame:
     """AG-21, FN-31 and SL-03 in one aggregation: score, confidence, issue, issue_phone and the issue's severity."""
-    score, confidence = _overall(3)
     d = recordings.select(key).join(phones.groupBy(key).agg(*_totals(), _worst().alias("x")), key, "left")
-    some = F.col("x").isNotNull()  # a recording without phones scores 0
-    d = d.select(key, F.when(some, score).otherwise(0).alias("score"), F.when(some, confidence).otherwise(0.0).alias("confidence"), "x")
-    severity = (0.65 + 0.35 * F.col("confidence")) * F.col("x.penalty")
-    return d.select(key, "score", "confidence", _issue(F.col("x")).alias("issue"), F.col("x.phoneme").alias("issue_phone"), severity.alias("severity"))
+    return d.select(*_assessment([key]))
+
+
+def assessed(phones: DataFrame, same: list[str]) -> DataFrame:
+    """``assessments`` of phone rows that carry ``same``, what they know of their recording with its ``quality``; a recording without phones is a row without ``index``."""
+    some = F.col("index").isNotNull()
+    worst = F.max_by(F.when(some, _phone()), F.when(some, _severity()))
+    return phones.groupBy(*same).agg(*_totals()[:-1], worst.alias("x")).select(*_assessment(same))
 
 
 def align_frames(phones: DataFrame, key: str = "utterance_id", frame_ms: float = 10.0) -> DataFrame:

@@ -132,15 +132,19 @@ def evaluation_v2(df: DataFrame, class_pred: Column, class_target: Column, omiss
     return reports.long_report(parts, REPORT_KEYS)
 
 
-def assess_words(recordings: DataFrame, phones: DataFrame, key: str) -> DataFrame:
-    """JOB-11, its scoring half: phone rows (z, energy, variance, late, alignment confidence, quality) to one assessment per recording."""
+def scored_phones(phones: DataFrame) -> DataFrame:
+    """JOB-11: phone rows (z, energy, variance, late, alignment confidence) with their scores, confidence and status."""
     z, e, v = F.col("z"), F.col("energy"), F.col("variance")
     p = phones.select(
         "*", S.match_score(v, e).alias("match"), S.duration_score(z).alias("dur"), S.presence_score(z, e).alias("presence"),
         S.phone_confidence(F.col("alignment_confidence"), e, v).alias("confidence"),
     )
-    p = p.withColumn("status", S.phone_status(F.col("match"), F.col("dur"), F.col("presence"), z, F.col("late")))
-    return assess.assessments(recordings, p, key)
+    return p.withColumn("status", S.phone_status(F.col("match"), F.col("dur"), F.col("presence"), z, F.col("late")))
+
+
+def assess_words(recordings: DataFrame, phones: DataFrame, key: str) -> DataFrame:
+    """JOB-11, its scoring half: phone rows (z, energy, variance, late, alignment confidence, quality) to one assessment per recording."""
+    return assess.assessments(recordings, scored_phones(phones), key)
 
 
 def assess_recordings(recordings: DataFrame, lexicon: DataFrame, assets: DataFrame, make_encoder: Callable, rate: int, frame: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -161,16 +165,25 @@ def assess_recordings(recordings: DataFrame, lexicon: DataFrame, assets: DataFra
     x = G.peak_normalise(F.col("samples"))
     quality = S.quality_status(G.rms(F.col("samples")), G.clipping_ratio(F.col("samples")), G.silence_ratio(F.col("samples")))
     good = good.select("recording_id", "word", "asset_path", "lexicon_phones", "total_frames", quality.alias("quality"), x.alias("x"))
-    good = encoder.encode_signals(good, "x", make_encoder, frame, width, rate).drop("x")
-    phones = good.select("*", F.posexplode("lexicon_phones").alias("index", "phoneme"))
-    p = assess.align_frames(phones, "recording_id", frame_ms=1000.0 * frame / rate)
-    length = F.col("end") - F.col("start")
-    vector = F.slice("encoded", F.col("start") * width + 1, length * width)
-    energy = G.mean(F.slice("frame_energy", F.col("start") + 1, length))
-    p = p.withColumn("variance", pooling.variance(vector)).withColumn("energy", F.coalesce(energy, F.lit(0.0)))
-    confidence = assess.span_confidence(F.col("energy"), F.coalesce(G.mean(F.col("frame_energy")), F.lit(0.0)))
-    p = p.select("recording_id", "index", "phoneme", "z", "variance", "energy", F.lit(False).alias("late"), confidence.alias("alignment_confidence"), "quality")
-    out = assess_words(good, p, "recording_id").join(good.select("recording_id", "word", "asset_path", "quality"), "recording_id")
+    # recordings of one word and length are dealt alike: their spans are made once and travel to the recordings, whose vectors stay where they are
+    case = F.struct("lexicon_phones", "total_frames").alias("case")
+    phones = good.select(case).distinct().select("case", "case.total_frames", F.posexplode("case.lexicon_phones").alias("index", "phoneme"))
+    dealt = assess.align_frames(phones, "case", frame_ms=1000.0 * frame / rate).groupBy("case").agg(F.array_sort(F.collect_list(F.struct("index", "phoneme", "start", "end", "z"))).alias("spans"))
+    dealt = dealt.select(F.col("case.lexicon_phones").alias("lexicon_phones"), F.col("case.total_frames").alias("total_frames"), "spans")
+    good = good.join(dealt, ["lexicon_phones", "total_frames"], "left").drop("lexicon_phones", "total_frames")
+    encoded = encoder.encode_signals(good, "x", make_encoder, frame, width, rate).drop("x")
+    encoded = encoded.withColumn("mean_energy", F.coalesce(G.mean(F.col("frame_energy")), F.lit(0.0)))
+
+    def pooled(x: Column) -> Column:
+        length = x["end"] - x["start"]
+        vector = F.slice("encoded", x["start"] * width + 1, length * width)
+        energy = G.mean(F.slice("frame_energy", x["start"] + 1, length))
+        return F.struct(x["index"].alias("index"), x["phoneme"].alias("phoneme"), x["z"].alias("z"), pooling.variance(vector).alias("variance"), F.coalesce(energy, F.lit(0.0)).alias("energy"))
+
+    same = ["recording_id", "word", "asset_path", "quality"]
+    p = encoded.select(*same, "mean_energy", F.explode_outer(F.transform("spans", pooled)).alias("p")).select(*same, "mean_energy", "p.*")
+    p = p.withColumns({"late": F.lit(False), "alignment_confidence": assess.span_confidence(F.col("energy"), F.col("mean_energy"))})
+    out = assess.assessed(scored_phones(p), same)
     return out, r.where(F.col("reason").isNotNull()).select("recording_id", "word", "reason")
 
 

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import time
+import uuid
 
 import numpy as np
 import pytest
@@ -314,3 +316,25 @@ def test_shards_are_compressed_and_dealt_by_word(spark):
     spread = corpora.by_word(s.repartition(16))
     assert spread.rdd.getNumPartitions() == 16
     assert spread.withColumn("p", F.spark_partition_id()).groupBy("utterance_id").agg(F.count_distinct("p").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 1 or rows <> 4").count() == 0
+
+
+def test_recordings_are_encoded_once_for_all_that_is_made_of_them(spark, tmp_path):
+    from cadenza.operators.jobs import assess_recordings
+
+    def make():
+        encode = encoder.spectral_encoder(2, 2)()
+
+        def counted(x, sizes):
+            for _ in range(len(x)):
+                (tmp_path / f"{time.time_ns()}-{uuid.uuid4().hex}").touch()
+            return encode(x, sizes)
+
+        return counted
+
+    lexicon = spark.createDataFrame([("ab", ["A", "B"]), ("none", [])], "word string, lexicon_phones array<string>")
+    assets = spark.createDataFrame([], "word string, asset_path string")
+    rows = [(k, "none" if k == 9 else "ab", [math.sin(i * (k + 1)) for i in range(32)]) for k in range(10)]
+    good, _ = assess_recordings(spark.createDataFrame(rows, "recording_id long, asked string, samples array<double>"), lexicon, assets, make, 64, 2, 2)
+    got = {r["recording_id"]: r for r in good.collect()}
+    assert len(got) == 10 and len(list(tmp_path.iterdir())) == 10
+    assert got[9]["score"] == 0 and got[9]["issue"] == "no_signal" and got[9]["issue_phone"] is None
