@@ -142,8 +142,10 @@ def jn_06(spark, sf):
 
 @query("jn_07_phones_in_word", f"WITH {IV_SQL} SELECT doc_id AS utterance_id, pos, length(token) AS n FROM wi WHERE length(token) > 0")
 def jn_07(spark, sf):
-    w, p = intervals(spark, sf)
-    return A.contained(p, w, "utterance_id").groupBy("utterance_id", F.col("pos").cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    # a document's intervals stay in its row, as in its alignment file: no letter is shuffled
+    d = interval_arrays(spark, sf).select(F.col("utterance_id").cast("long").alias("utterance_id"), "words", "phones")
+    w = A.sweep(d, "words", "phones", lambda label: False).where(F.size("phones") > 0)
+    return w.select("utterance_id", F.col("pos").cast("long").alias("pos"), F.size("phones").cast("long").alias("n"))
 
 
 @query("jn_08_positional_zip", f"WITH {V.PHONES_SQL}, m AS (SELECT *, count(*) OVER (PARTITION BY utterance_id) AS n FROM phones) SELECT utterance_id, index AS pos, phoneme AS canonical, round({V.TARGET_SQL}, 6) AS target FROM m WHERE n % 2 = 0")

@@ -338,3 +338,10 @@ def test_recordings_are_encoded_once_for_all_that_is_made_of_them(spark, tmp_pat
     got = {r["recording_id"]: r for r in good.collect()}
     assert len(got) == 10 and len(list(tmp_path.iterdir())) == 10
     assert got[9]["score"] == 0 and got[9]["issue"] == "no_signal" and got[9]["issue_phone"] is None
+
+
+def test_phones_in_words_shuffle_documents_only(spark):
+    from cadenza.plans.all_queries import QUERIES
+
+    plan = QUERIES["jn_07_phones_in_word"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("RepartitionByExpression") == 1
