@@ -21,7 +21,7 @@ from cadenza.plans.q_aggregates import REASON_SQL, SPLIT_SQL
 from cadenza.plans.q_functions import TOKENS_SQL
 from cadenza.plans.registry import query
 from cadenza.plans.views import r6
-from cadenza.session import table
+from cadenza.session import spread, table
 from cadenza.sources import corpora
 
 
@@ -98,6 +98,17 @@ def intervals(spark, sf):
     return words, phones
 
 
+#: Documents of a task that cuts them into intervals.
+DOC_ROWS = 4096
+
+
+def said(text):
+    """A document's tokens, its word labels and the bounds of its words, in letters from its begin."""
+    tokens = re.split("[ \n\t\r]+", text)
+    label = ["sp" if p % 17 == 16 else "<eps>" if p % 19 == 18 else t for p, t in enumerate(tokens)]
+    return tokens, label, np.cumsum([0, *(len(t) or 1 for t in tokens)])
+
+
 def interval_arrays(spark, sf):
     """The same intervals with a row for each document, as its alignment file holds them: ``words`` and ``phones``."""
     interval = pa.struct([("xmin", pa.float64()), ("xmax", pa.float64()), ("label", pa.string())])
@@ -109,20 +120,20 @@ def interval_arrays(spark, sf):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                tokens = re.split("[ \n\t\r]+", b.column("text")[i].as_py())
-                sizes = [max(1, len(t)) for t in tokens]
-                begin = np.cumsum(sizes) - sizes
-                label = ["sp" if p % 17 == 16 else "<eps>" if p % 19 == 18 else t for p, t in enumerate(tokens)]
+                tokens, label, bounds = said(b.column("text")[i].as_py())
+                begin, own = bounds[:-1], np.array([len(t) for t in tokens])
                 letters = "".join(tokens)
-                at = np.concatenate([np.arange(a, a + len(t)) for a, t in zip(begin, tokens)]) if letters else np.zeros(0, np.int64)
-                lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (array(sizes, begin, label), array(np.ones(len(at), np.int64), at, [c.upper() for c in letters]))]
+                at = np.arange(len(letters)) + np.repeat(begin - (np.cumsum(own) - own), own)
+                upper = letters.upper()
+                upper = list(upper) if len(upper) == len(letters) else [c.upper() for c in letters]
+                lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (array(np.diff(bounds), begin, label), array(np.ones(len(at), np.int64), at, upper))]
                 yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns[:-1], *lists], names=[*b.schema.names[:-1], "words", "phones"])
 
     d = V.doc_paths(spark, sf).where(F.col("text").isNotNull())
     d = d.select(F.col("doc_id").cast("string").alias("utterance_id"), "speaker_id", X.split_of_path(F.col("audio_path")).alias("split"), "audio_path", F.lit(True).alias("there"), F.lit(None).cast("string").alias("error"), "text")
     interval_type = "array<struct<xmin:double,xmax:double,label:string>>"
     # a table of one file would be one task
-    return d.repartition("utterance_id").mapInArrow(run, f"utterance_id string, speaker_id string, split string, audio_path string, there boolean, error string, words {interval_type}, phones {interval_type}")
+    return spread(d, DOC_ROWS, "utterance_id").mapInArrow(run, f"utterance_id string, speaker_id string, split string, audio_path string, there boolean, error string, words {interval_type}, phones {interval_type}")
 
 
 def lexicon(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cadenza.functions import labels as L
@@ -11,10 +12,10 @@ from cadenza.operators import encoder as E
 from cadenza.operators import ledger
 from cadenza.operators.words import ranked
 from cadenza.plans import views as V
-from cadenza.plans.q_joins import IV_SQL, intervals
+from cadenza.plans.q_joins import DOC_ROWS, IV_SQL, said
 from cadenza.plans.registry import query
 from cadenza.plans.views import r6
-from cadenza.session import scratch, table
+from cadenza.session import scratch, spread, table
 from cadenza.sources import corpora, files, sinks
 from cadenza.streaming import recordings, runs
 
@@ -101,14 +102,25 @@ def src_09(spark, sf):
     return d.select("word", F.concat(F.array_join("phones", " "), (F.regexp_extract("word", r"(\d+)", 1).cast("long") % 3 + 10).cast("string")).alias("phones"))
 
 
+def word_grids(spark, sf):
+    """(path, text): each document's words as an alignment file, made where the document is."""
+    head = 'File type = "ooTextFile"\nObject class = "TextGrid"\n\nitem []:\n    item [1]:\n        class = "IntervalTier"\n        name = "words"\n'
+
+    def run(batches):
+        for b in batches:
+            for path, text in zip(b.column(0), b.column(1)):
+                label, bounds = said(text.as_py())[1:]
+                at = (bounds * 0.05).tolist()
+                entries = [f'        intervals [{i}]:\n            xmin = {x!r}\n            xmax = {y!r}\n            text = "{t}"\n' for i, (x, y, t) in enumerate(zip(at, at[1:], [x.replace('"', "") for x in label]), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()], pa.string()), pa.array([head + "".join(entries)])], names=["path", "text"])
+
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull()).select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return spread(d, DOC_ROWS, "path").mapInArrow(run, "path string, text string")
+
+
 @query("src_10_alignment_files", f"WITH {IV_SQL} SELECT 'f' || doc_id AS path, CAST(pos AS INT) AS pos, round(xmin, 6) AS xmin, replace(label, '\"', '') AS text FROM (SELECT *, (stop - len) * 0.05::DOUBLE AS xmin FROM wi)")
 def src_10(spark, sf):
-    w, _ = intervals(spark, sf)
-    entry = F.format_string('        intervals [%d]:\n            xmin = %s\n            xmax = %s\n            text = "%s"\n', F.col("pos") + 1, F.col("xmin").cast("string"), F.col("xmax").cast("string"), F.replace("label", F.lit('"'), F.lit("")))
-    body = w.groupBy("utterance_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]), "").alias("b"))
-    head = 'File type = "ooTextFile"\nObject class = "TextGrid"\n\nitem []:\n    item [1]:\n        class = "IntervalTier"\n        name = "words"\n'
-    texts = body.select(F.concat(F.lit("f"), F.col("utterance_id").cast("string")).alias("path"), F.concat(F.lit(head), "b").alias("text"))
-    return files.alignment_intervals(texts).select("path", "pos", F.round("xmin", 6).alias("xmin"), "text")
+    return files.alignment_intervals(word_grids(spark, sf)).select("path", "pos", F.round("xmin", 6).alias("xmin"), "text")
 
 
 @query("src_12_curated_lexicon", "SELECT 'w' || p_partkey AS word, p_name AS ipa, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS INT) AS syllables FROM part")

@@ -42,6 +42,12 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
 
 
+def spread(df: DataFrame, task_rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over tasks of about ``task_rows`` rows each, at least one for each core: for rows that take long, as a small table would be a task or two."""
+    n = -(-df.count() // task_rows)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the cluster's shared folder; in a folder of our own only in local mode, as in tests, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
