@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,21 @@ def containment(words: np.ndarray, phones: np.ndarray) -> tuple[np.ndarray, np.n
     return pairs[:, 0], pairs[:, 1]
 
 
+#: Intervals that a sweep handles at a time.
+SWEEP_INTERVALS = 1 << 18
+
+
+def _apart(*tiers: tuple[np.ndarray, pa.StructArray]) -> list[np.ndarray]:
+    """Bounds as whole numbers in the same order, those of a row below those of the next, so that one sweep serves many rows. An unknown bound holds nothing and is in nothing."""
+    bounds = [np.column_stack([x.field(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1)]) for _, x in tiers]
+    values, rank = np.unique(np.concatenate(bounds), return_inverse=True)
+    words, phones = np.split(rank.reshape(-1, 2), [len(bounds[0])])
+    words, phones = (r + row[:, None] * (len(values) + 1) for r, (row, _) in zip((words, phones), tiers))
+    words[np.isnan(bounds[0]).any(axis=1), 1] = -1
+    phones[np.isnan(bounds[1]).any(axis=1), 1] = np.iinfo(np.int64).max
+    return [words, phones]
+
+
 def silent_native(label: str) -> bool:
     """``is_silence_native`` of a phone's label."""
     return re.sub(r"[0-9]", "", label.strip(" ").lower()) in SILENCE_LABELS
@@ -103,25 +119,35 @@ def sweep(utterances: DataFrame, words: str, phones: str, silent: Callable[[str]
     interval = "struct<xmin:double,xmax:double,label:string>"
     made = {"pos": "int", "xmin": "double", "xmax": "double", "label": "string", "phones": f"array<{interval}>"}
     schema = utterances.select(*own, *[F.lit(None).cast(t).alias(c) for c, t in made.items()]).schema
-    shape = lambda a: np.column_stack([a.field(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1)])
+    sizes = lambda a: pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def swept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, p = batch.column(len(own)), batch.column(len(own) + 1)
+        row, of_row = (np.repeat(np.arange(batch.num_rows), sizes(x)) for x in (w, p))
+        first = np.cumsum(sizes(w)) - sizes(w)
+        w, p = w.flatten(), p.flatten()
+        known = p.field(2).dictionary_encode()
+        names = known.dictionary.to_pylist()
+        heard = np.array([x is not None and not silent(x) for x in names] + [False])
+        said = pa.array([re.sub(r"[0-9]", "", (x or "").upper()) for x in names], pa.string()).take(known.indices)
+        kept = heard[known.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
+        p = pa.StructArray.from_arrays([p.field(0), p.field(1), said], names=["xmin", "xmax", "label"]).filter(pa.array(kept))
+        at, of = containment(*_apart((row, w), (of_row[kept], p)))
+        offsets = pa.array(np.searchsorted(at, np.arange(len(w) + 1)), pa.int32())
+        pos = pa.array(np.arange(len(w)) - first[row], pa.int32())
+        mine = pa.array(row)
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(mine) for i in range(len(own))), pos, *(w.field(i) for i in range(3)), pa.ListArray.from_arrays(offsets, p.take(pa.array(of)))], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                w, p = part.column(len(own)).flatten(), part.column(len(own) + 1).flatten()
-                if not len(w):
-                    continue
-                known = p.field(2).dictionary_encode()
-                names = known.dictionary.to_pylist()
-                heard = np.array([x is not None and not silent(x) for x in names] + [False])
-                said = pa.array([re.sub(r"[0-9]", "", (x or "").upper()) for x in names], pa.string()).take(known.indices)
-                p = pa.StructArray.from_arrays([p.field(0), p.field(1), said], names=["xmin", "xmax", "label"])
-                p = p.filter(pa.array(heard[known.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]))
-                at, of = containment(shape(w), shape(p))
-                offsets = pa.array(np.searchsorted(at, np.arange(len(w) + 1)), pa.int32())
-                same = pa.array(np.zeros(len(w), np.int64))
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(same) for i in range(len(own))), pa.array(np.arange(len(w)), pa.int32()), *(w.field(i) for i in range(3)), pa.ListArray.from_arrays(offsets, p.take(pa.array(of)))], names=schema.names)
+            total = np.cumsum(sum(sizes(batch.column(len(own) + i)) for i in (0, 1)))
+            begin = 0
+            while begin < batch.num_rows:  # rows of some SWEEP_INTERVALS intervals at a time, one at least
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + SWEEP_INTERVALS, "right")))
+                made = swept(batch.slice(begin, end - begin))
+                if made.num_rows:
+                    yield made
+                begin = end
 
     return utterances.select(*own, F.col(words).cast(f"array<{interval}>"), F.col(phones).cast(f"array<{interval}>")).mapInArrow(run, schema)
 

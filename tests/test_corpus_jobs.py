@@ -36,6 +36,24 @@ def test_sweep_of_odd_rows(spark):
     assert [align.silent_scored(x) for x in ("<eps>", "sp1", "12", "a")] == [False, True, True, False]
 
 
+def test_a_sweep_of_many_rows_equals_each_alone(spark, monkeypatch):
+    rnd = random.Random(8)
+    bound = lambda: rnd.choice([None, float("nan"), *([0.1 * rnd.randint(0, 9)] * 8), 1e9, -3.0])
+    tier = lambda n: None if n == 0 else [(bound(), bound(), rnd.choice(["a1", "sil", None, "ü"])) for _ in range(n - 1)]
+    rows = [(k, tier(rnd.randint(0, 7)), tier(rnd.randint(0, 12))) for k in range(200)]
+    d = spark.createDataFrame(rows, f"k long, w {INTERVALS}, p {INTERVALS}").coalesce(1)
+    ok = lambda x: x is not None and x == x
+    want = []
+    for k, w, p in rows:
+        for pos, (a, b, _) in enumerate(w or []):
+            inside = [t for x, y, t in p or [] if t not in ("sil", None) and all(map(ok, (a, b, x, y))) and x >= a and y <= b]
+            want.append((k, pos, [t.upper().strip("1") for t in inside]))
+    taken = lambda: [(r["k"], r["pos"], [x["label"] for x in r["phones"]]) for r in align.sweep(d, "w", "p", align.silent_native).collect()]
+    assert taken() == want
+    monkeypatch.setattr(align, "SWEEP_INTERVALS", 20)
+    assert taken() == want
+
+
 def grid(words, phones, names=("words", "phones")):
     out = 'Object class = "TextGrid"\nitem []:\n'
     for name, tier in zip(names, (words, phones)):
@@ -51,6 +69,30 @@ def test_tiers_of_files(spark):
     assert {k: r["w"] and len(r["w"]) for k, r in got.items()} == {"a": 1, "b": None, "c": None, "d": None, "e": 1}
 
 
+def test_tiers_read_at_once_equal_tiers_read_by_lines(monkeypatch):
+    plain = grid([(0, 1, "a"), (1, 2.5, 'say ""x""')], [(0, 0.5, "b"), (0.5, 1, "")])
+    odd = [
+        plain, plain.replace("item [1]:\n", "    item [1]:  \n"), plain.replace("\n", "\r\n"), plain.rstrip("\n"), plain + "\n\n", plain.replace("xmax = 1\n", "xmax = 1 s\n"),
+        plain.replace("xmin = 0.5\n", ""), plain.replace("xmin = 0.5", "xmin = ?"), plain.replace('text = "b"', 'mark = "b"'), plain.replace('"IntervalTier"', '"TextTier"', 1), plain.replace('name = "phones"\n', ""),
+        plain.replace("intervals [1]:\nxmin = 0.5", "xmin = 0.5"), plain.replace('text = "b"', 'text = "b\x0bc\x85d"'), plain.replace('text = "b"', 'text = "b" "c"'), plain.replace('name = "words"', 'name = "w"" x"\nxmin = 0\nxmax = 9\nintervals: size = 2'),
+        plain.replace("intervals [1]:\nxmin = 1", "a note\nintervals [1]:\nxmin = 1"), plain + 'class = "IntervalTier"\n', 'x\x0bclass = "IntervalTier"\n' + plain, "", "IntervalTier",
+    ]
+    as_rows = lambda found: ([(name, list(zip(*(c.to_pylist() for c in columns)))) for name, columns in found[0]], found[1])
+    want = [files.file_tiers(t) for t in odd]
+    assert [as_rows(files.tier_columns(t)) for t in odd] == want
+    assert [x[2] for x in want[12][0][1][1]] == ["b\x0bc\x85d", ""]  # only line ends end a line
+    monkeypatch.setattr(files, "_by_lines", None)
+    assert as_rows(files.tier_columns(plain)) == want[0]  # the common form isn't read line by line
+
+
+def test_intervals_of_files_in_large_batches(spark):
+    texts = [(f"f{i}", grid([(0, 1, f"w{i}")] * (i % 3), [(0, 1, "p")])) for i in range(20)] + [("x", "nothing"), ("y", None)]
+    d = spark.createDataFrame(texts, "path string, text string").coalesce(1)
+    rows = [tuple(r) for r in files.alignment_intervals(d).collect()]
+    want = [(f"f{i}", t, n, 0.0, 1.0, x, None) for i in range(20) for t, x, k in (("words", f"w{i}", i % 3), ("phones", "p", 1)) for n in range(k)]
+    assert rows == [*want, *((p, None, None, None, None, None, files.NO_TIER) for p in "xy")]
+
+
 def prepared(spark, texts, tmp_path):
     """One utterance for each text; None has no file."""
     root = f"{tmp_path}/grids"
