@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as X
 from cadenza.operators.words import assemble_words
-from cadenza.sources.filesink import write_files
+from cadenza.sources.filesink import by_files, write_files
 
 
 def write_manifest(df: DataFrame, path: str, overwrite: bool = False, kind: str = "json") -> None:
@@ -69,7 +69,7 @@ def write_transcripts(rows: DataFrame, path: str, existing: DataFrame | None = N
 
 def write_labs(df: DataFrame, path: str, overwrite: bool = False) -> dict:
     """SNK-05, JOB-03: one ``.lab`` file for each utterance (audio_path, text) beside its audio's place below ``path``; how many were written and reused."""
-    return write_files(transcript_rows(df).withColumnRenamed("text", "content"), path, overwrite)
+    return write_files(by_files(transcript_rows(df)).withColumnRenamed("text", "content"), path, overwrite)
 
 
 def write_aligned(rows: DataFrame, path: str, overwrite: bool = False) -> DataFrame:

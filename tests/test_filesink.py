@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.sources import filesink
+from cadenza.sources import filesink, sinks
 from cadenza.sources.filesink import write_files
 
 
@@ -59,3 +59,34 @@ def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="aborted"):
         writer.write(iter(late))
     assert not found(root) and not [x for x in root.iterdir() if x.name.startswith("_")]
+
+
+def test_a_task_killed_after_an_abort_leaves_nothing(tmp_path, monkeypatch):
+    root = tmp_path / "lab"
+    writer = filesink.FileWriter(str(root), "job", False)
+    monkeypatch.setattr(filesink.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(filesink, "ASKED", 1, raising=False)
+    left = []
+
+    def late():
+        yield {"rel_path": "a/0", "content": "x"}
+        writer.abort([None])
+        yield {"rel_path": "a/1", "content": "x"}
+        left.append(found(root))  # what stays of a task that is killed now
+        yield {"rel_path": "a/2", "content": "x"}
+
+    with pytest.raises(Exception):
+        writer.write(late())
+    assert not any(left) and not found(tmp_path / "lab-staging") and not found(root)
+
+
+def test_labs_are_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    tasks = []
+    write = sinks.write_files
+    monkeypatch.setattr(sinks, "write_files", lambda df, *more: (tasks.append(df.rdd.getNumPartitions()), write(df, *more))[1])
+    u = spark.range(50).select(F.concat(F.lit("a/u"), F.col("id").cast("string"), F.lit(".wav")).alias("audio_path"), F.lit(" né \n x").alias("text"))
+    assert sinks.write_labs(u.coalesce(1), str(tmp_path / "lab"))["written"] == 50 and tasks[0] >= 4
+    asked = filesink.by_files(sinks.transcript_rows(u.union(u.limit(1).withColumn("audio_path", F.lit("a/none.wav")))).coalesce(1))
+    there = filesink.read_files(asked, f"file://{tmp_path}/lab")
+    assert there.rdd.getNumPartitions() >= 4
+    assert {r["rel_path"]: bytes(r["content"]).decode() for r in there.collect()} == {f"a/u{i}.lab": "né x" for i in range(50)}
