@@ -22,8 +22,9 @@ import heapq
 import re
 import zlib
 from bisect import insort
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,9 @@ from cadenza.llm.common import text_of, worker_cache
 
 SPACE = "▁"
 #: Units of a worker's table (two generations of it are held) and characters of the texts that go through it at a time.
-CACHE_UNITS, CHARS_AT_ONCE = 220_000, 1_500_000
+CACHE_UNITS, CHARS_AT_ONCE = 330_000, 1_500_000
 #: Units of one array; longer units, and those whose merges need more base-4 digits than fit into a long, are searched one by one.
-UNITS_AT_ONCE, ARRAY_CHARS, DIGITS = 4_096, 24, 31
+UNITS_AT_ONCE, ARRAY_CHARS, DIGITS = 1_024, 24, 31
 #: Units longer than this are cut where no piece goes across; what is left in one part beyond SPARSE_CHARS uses sparse scores.
 WHOLE_CHARS, SPARSE_CHARS = 64, 2_000
 #: The earliest missing merge of a segmentation that loses nothing, and of one that doesn't exist.
@@ -71,6 +72,10 @@ class Score:
         return self._with(other, -1)
 
     def __lt__(self, other: Score) -> bool:
+        first = min(self.lead(), other.lead())
+        mine, theirs = self.at.get(first, 0), other.at.get(first, 0)
+        if mine != theirs:
+            return mine < theirs
         rest = (self - other).at
         return bool(rest) and rest[min(rest)] < 0
 
@@ -107,6 +112,7 @@ class Lattice:
             at = _last_merge(p, rank)
             if at:  # a piece that merging can't make is no edge
                 self.piece[p], self.split[i], self.rank[i] = i, at, rank.get(p, TIE)
+        self.ranks, self.splits = self.rank.tolist(), self.split.tolist()
         self.longest = max(map(len, self.piece))
         #: Every beginning of a piece, with the id of the piece that it is or -1.
         self.prefixes: dict[str, int] = {p[:i]: -1 for p in self.piece for i in range(1, len(p) + 1)} | self.piece
@@ -118,7 +124,7 @@ class Lattice:
         self.lists: dict[str, list[tuple[Score, bytes]]] = {}
 
     def _tables(self) -> None:
-        """The tree of beginnings as arrays: (node, character) pairs in order, the node each leads to, the piece at each node."""
+        """The tree of beginnings as arrays: a hash table of (node, character) pairs, the node each leads to, the piece at each node."""
         letters = sorted({c for p in self.piece for c in p})
         known = re.escape("".join(c for c in letters if c != SPACE))
         # a character without a piece is a unit
@@ -128,11 +134,40 @@ class Lattice:
         self.letters = len(letters) + 1
         node = {p: i + 1 for i, p in enumerate(self.prefixes)}
         at = {c: i + 1 for i, c in enumerate(letters)}
-        pairs = sorted(((node[p[:-1]] if len(p) > 1 else 0) * self.letters + at[p[-1]], node[p]) for p in node)
-        self.keys, self.to = np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs], np.int32)
+        pairs = {(node[p[:-1]] if len(p) > 1 else 0) * self.letters + at[p[-1]]: k for p, k in node.items()}
+        self.slots = 1 << (4 * len(pairs)).bit_length()
+        self.keys, self.to = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int64)
+        keys, to = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        slot = self._slot(keys)
+        while len(keys):  # one of those that meet in an empty slot stays, the others go on to the next
+            empty = self.keys[slot] < 0
+            self.keys[slot[empty]], self.to[slot[empty]] = keys[empty], to[empty]
+            more = self.keys[slot] != keys
+            keys, to, slot = keys[more], to[more], slot[more] + 1 & self.slots - 1
+        self.first = np.zeros(self.letters, np.int64)
+        self.first[[at[p] for p in node if len(p) == 1]] = [k for p, k in node.items() if len(p) == 1]
         self.piece_at = np.full(len(node) + 1, -1, np.int32)
         self.piece_at[[node[p] for p in self.piece]] = list(self.piece.values())
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        """Where a pair is looked for first."""
+        return (keys * 0x9E3779B1) >> 16 & self.slots - 1
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        """The node that each (node, character) pair leads to; 0 for none."""
+        slot = self._slot(keys)
+        met = self.keys[slot]
+        out = np.where(met == keys, self.to[slot], 0)
+        going = np.flatnonzero((met != keys) & (met >= 0))
+        slot = slot[going]
+        while len(going):
+            slot = slot + 1 & self.slots - 1
+            met, own = self.keys[slot], keys[going]
+            out[going] = np.where(met == own, self.to[slot], 0)
+            on = (met != own) & (met >= 0)
+            going, slot = going[on], slot[on]
+        return out
+
     def _fallback(self, c: str) -> tuple[int, ...]:
         if not self.id_of_byte:
             return (self.unknown,)
@@ -178,10 +213,20 @@ class Lattice:
             weight = lambda i, p: self._score([(i, p)])
         else:
             zero, one = 0, (length + 1) ** 2
-            bits = (length * one).bit_length()
-            held = {r for p in {p for x in ending for _, p in x if p >= 0} for r, _ in self.merges(p)}
+            bits, ranks, splits = (length * one).bit_length(), self.ranks, self.splits
+            # the merges of a piece are the last ones of the pieces within it, which are edges too
+            held = {ranks[p] for x in ending for i, p in x if p >= 0}
             digit = {r: bits * k for k, r in enumerate(sorted(held, reverse=True))}
-            weight = lambda i, p: sum((one - i - at) << digit[r] for r, at in self.merges(p)) if p >= 0 else 0
+            made: list[dict[int, int]] = [{} for _ in range(length + 1)]
+            for j, x in enumerate(ending):
+                own = made[j]
+                for i, p in x:
+                    if p < 0 or j == i + 1:
+                        own[i] = 0
+                    else:
+                        m = i + splits[p]
+                        own[i] = ((one - i) << digit[ranks[p]]) + made[m][i] + own[m]
+            weight = None
         # forward: step[j] is the best score to j less the best to j - 1; loss of an edge: what the best path into its end has more
         step: list = [zero] * (length + 1)
         losses: list[list[tuple[int, int, object]]] = [[] for _ in range(length + 1)]
@@ -191,7 +236,7 @@ class Lattice:
                 while k > i:
                     since = since + step[k]
                     k -= 1
-                values.append(weight(i, p) - since)
+                values.append((weight(i, p) if weight else made[j][i]) - since)
             best = values[0]
             for v in values[1:]:
                 if best < v:
@@ -212,9 +257,9 @@ class Lattice:
                     i, p, path = path
                     edges.append((i, p))
                 ids = [x for i, p in edges for x in ((p,) if p >= 0 else self._fallback(unit[i]))]
-                made = self._score(edges)
-                top = top or made
-                out.append((top - made, np.array(ids, "<i4").tobytes()))
+                score = self._score(edges)
+                top = top or score
+                out.append((top - score, np.array(ids, "<i4").tobytes()))
                 wanted -= 1
                 if not wanted:
                     break
@@ -239,16 +284,18 @@ class Lattice:
         for d in range(1, widest + 1):
             fit = where < (length - d + 1) * n
             where, state = where[fit], state[fit]
-            key = state * self.letters + text.reshape(-1)[where + (d - 1) * n]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            fit = self.keys[at] == key
-            where, state = where[fit], self.to[at[fit]].astype(np.int64)
+            if d == 1:
+                state = self.first[text.reshape(-1)]
+            else:
+                state = self._next(state * self.letters + text.reshape(-1)[where + (d - 1) * n])
+            fit = state > 0
+            where, state = where[fit], state[fit]
             if not len(where):
                 break
             deep = d
             piece[d].reshape(-1)[where] = self.piece_at[state]
         alone |= (piece[1] < 0).any(axis=0)
-        spans = [(d, i) for d in range(2, deep + 1) for i in range(length - d + 1) if (piece[d, i] >= 0).any()]
+        spans = [(d, i) for d in range(2, deep + 1) for i in np.flatnonzero((piece[d] >= 0).any(axis=1)).tolist()]
         weight = np.full((deep + 1, length, n), -(2**62), np.int64)
         weight[1] = 0
         if spans:
@@ -272,12 +319,12 @@ class Lattice:
             shift = 2 * np.maximum(DIGITS - 1 - place, 1)
             ones = np.empty(ranks.shape, np.int64)
             np.put_along_axis(ones, order, (np.int64(1) << shift) + (left << (shift - 2)), axis=1)
-            every = np.arange(n)
-            for k, (d, i) in enumerate(spans):
-                p = piece[d, i]
-                u = every[(p >= 0) & ~alone]
-                m = self.split[p[u]]
-                weight[d, i, u] = ones[u, k] + weight[m, i, u] + weight[d - m, i + m, u]
+            column = np.zeros((deep + 1, length), np.int64)
+            column[tuple(np.array(spans).T)] = np.arange(len(spans))
+            for d in range(2, deep + 1):
+                i, u = np.nonzero((piece[d] >= 0) & ~alone)
+                m = self.split[piece[d, i, u]]
+                weight[d, i, u] = ones[u, column[d, i]] + weight[m, i, u] + weight[d - m, i + m, u]
         forward, back = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
         came = np.ones((length + 1, n), np.int64)
         starts: list[list[int]] = [[1] for _ in range(length)]
@@ -329,7 +376,7 @@ class Lattice:
                 self.best[unit] = raw[(u + 1) * wide - 4 * c : (u + 1) * wide], lost
         return [unit for unit, bad in zip(units, alone.tolist()) if bad]
 
-    def learn(self, units: set[str]) -> None:
+    def learn(self, units: Iterable[str]) -> None:
         """Put units that the table doesn't hold into it."""
         by_length: dict[int, list[str]] = {}
         for u in units:
@@ -379,34 +426,52 @@ class Lattice:
     def _some(self, texts: list[str]) -> Iterator[list[tuple[float, bytes, bool]]]:
         if len(self.best) > CACHE_UNITS:  # units met again move on from the old table, the others go with it
             self.old, self.best = self.best, {}
+        # units by number, in the order in which they are met
+        number: defaultdict[str, int] = defaultdict(count().__next__)
         cut = [self.units(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.best)
-        again = new.intersection(self.old)
+        of = [np.fromiter(map(number.__getitem__, x), np.int64, len(x)) for x in cut]
+        del cut
+        units = list(number)
+        new = [u for u in units if u not in self.best]
+        again = [u for u in new if u in self.old]
         self.best.update(zip(again, map(self.old.__getitem__, again)))
-        self.learn(new - again)
-        for text, units in zip(texts, cut):
-            if not units:
+        self.learn([u for u in new if u not in self.best])
+        found = list(map(self.best.__getitem__, units))
+        parts, lead = [x[0] for x in found], np.array([x[1] for x in found], np.int64)
+        # all texts' ids one after another: ``ends`` has where each unit's end
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, start = np.frombuffer(b"".join(parts), "<i4"), np.cumsum(size) - size
+        every = np.concatenate(of)
+        many = size[every]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = pool[np.repeat(start[every] - ends[:-1], many) + np.arange(ends[-1])].tobytes()
+        at = 0
+        for text, own in zip(texts, of):
+            if not len(own):
                 yield [(0.0, b"", not text)]
                 continue
-            parts, lead = zip(*map(self.best.__getitem__, units))
-            yield self._best(text, units, parts, np.array(lead))
+            whole, bounds = ids[4 * ends[at] : 4 * ends[at + len(own)]], 4 * (ends[at : at + len(own) + 1] - ends[at])
+            at += len(own)
+            yield self._best(text, whole, bounds, own, units, lead[own])
+
+    def _best(self, text: str, whole: bytes, bounds: np.ndarray, own: np.ndarray, units: list[str], lead: np.ndarray) -> list[tuple[float, bytes, bool]]:
+        """The n best of a text from the units that lose least: a choice other than a unit's best costs what it loses.
 
-    def _best(self, text: str, units: list[str], parts: tuple[bytes, ...], lead: np.ndarray) -> list[tuple[float, bytes, bool]]:
-        """The n best of a text from the units that lose least: a choice other than a unit's best costs what it loses."""
-        whole = b"".join(parts)
+        ``own`` has the text's units by their place in ``units``, ``bounds`` where each one's ids lie in ``whole``.
+        """
         out = [(0.0, whole, self.says(whole, text))]
         if self.n == 1:
             return out
         least = max(0, int(np.partition(lead, -min(self.n - 1, len(lead)))[-min(self.n - 1, len(lead))]))
         cheap: list[int] = []
-        seen: Counter[str] = Counter()
+        seen: Counter[int] = Counter()
         for i in np.flatnonzero(lead >= least).tolist():  # of equal units the first few say all
-            seen[units[i]] += 1
-            if seen[units[i]] < self.n:
+            seen[own[i]] += 1
+            if seen[own[i]] < self.n:
                 cheap.append(i)
         if not cheap:
             return out
-        lists = [self._list(units[i]) for i in cheap]
+        lists = [self._list(units[own[i]]) for i in cheap]
         first = sorted(range(len(cheap)), key=lambda k: (-lists[k][1][0].lead(), k))
         if len(first) >= self.n:  # no need of a unit whose loss begins with an earlier merge than n - 1 others' losses
             bound = lists[first[self.n - 2]][1][0].lead()
@@ -415,12 +480,14 @@ class Lattice:
         cheap, lists = [cheap[k] for k in first], [lists[k] for k in first]
         for lost, pick in self._combine([[x[0] for x in x_] for x_ in lists]):
             if any(pick):
-                own, same = list(parts), True
+                made, at, same = [], 0, True
                 for i, j, found in zip(cheap, pick, lists):
                     if j:
-                        own[i] = found[j][1]
-                        same = same and self._bytes(own[i]) == self._bytes(parts[i])
-                ids = b"".join(own)
+                        a, b = int(bounds[i]), int(bounds[i + 1])
+                        made += whole[at:a], found[j][1]
+                        at = b
+                        same = same and self._bytes(found[j][1]) == self._bytes(whole[a:b])
+                ids = b"".join([*made, whole[at:]])
                 # decoding goes piece by piece: if the parts put in say what those they replace say, so do the wholes
                 out.append((-1.0 / (1 + lost.lead()) if lost.at else 0.0, ids, out[0][2] if same else self.says(ids, text)))
         return out
@@ -428,7 +495,7 @@ class Lattice:
     def _list(self, unit: str) -> list[tuple[Score, bytes]]:
         found = self.lists.get(unit)
         if found is None:
-            if len(self.lists) > CACHE_UNITS // 15:
+            if len(self.lists) > CACHE_UNITS // 22:
                 self.lists.clear()
             found = self.lists[unit] = self.segment(unit, self.n)
         return found
