@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions import labels as L
+from cadenza.functions import packed
 from cadenza.functions.constants import ACOUSTIC_WIDTH
 from cadenza.operators.permute import permuted
 from cadenza.session import scratch
@@ -40,22 +43,91 @@ def assemble_words(phones: DataFrame, embedding: str | None = None, width: int =
     )
 
 
+#: What makes phones' embeddings: a column of vectors, or columns and a function of their numbers that gives a vector in each row.
+Embedding = str | tuple[list[str], Callable[..., np.ndarray]]
+#: Bytes of packed vectors that a task makes at a time; a longer word goes alone.
+PACKED_BYTES = 8 << 20
+
+
+def packed_words(phones: DataFrame, embedding: Embedding, width: int = ACOUSTIC_WIDTH) -> DataFrame:
+    """AG-08 with ``acoustic_flat`` packed: the acoustic vectors of FN-24 as bytes, made where a word's phones are together in order.
+
+    What makes the vectors travels with the phones; with a function of columns these are a few numbers, so that no vector is sorted or shuffled.
+    """
+    columns, make = ([embedding], lambda v: v) if isinstance(embedding, str) else embedding
+    many = len(columns) + 3
+    names = ["phones", "phoneme_ids", "match_targets", "presence_targets"]
+    values = [F.col("phoneme"), L.phoneme_id(F.col("phoneme")), L.regression_target(F.col("human_score")), 1 - F.col("omission").cast("int")]
+    parts = [F.col(c).alias(f"p{i}") for i, c in enumerate([*columns, "variance", "z", "energy"])]
+    at = F.row_number().over(Window.partitionBy("utterance_id").orderBy("index")).alias("at")
+    rows = phones.select("utterance_id", "speaker_id", "split", *[v.alias(n) for n, v in zip(names, values)], at, *parts).sortWithinPartitions("utterance_id", "at")
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "acoustic_flat" else f for f in assemble_words(phones).schema])
+
+    def vectors(a: pa.Array) -> np.ndarray:
+        if not pa.types.is_list(a.type):
+            return packed.numbers(a)
+        long = pc.list_value_length(a)
+        if long.null_count or pc.min_max(long).as_py() != {"min": width - 3, "max": width - 3}:
+            raise ValueError("the acoustic vector has another width")
+        return packed.numbers(a.flatten()).reshape(len(a), width - 3)
+
+    def made(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        """Whole words; ``starts`` has where each begins, and the end."""
+        starts = starts - starts[0]
+        offsets = pa.array(starts.astype(np.int32))
+        first = {c: b.column(c).take(offsets[:-1]) for c in ("utterance_id", "speaker_id", "split")}
+        lists = {c: pa.ListArray.from_arrays(offsets, b.column(c)) for c in names}
+        *of, variance, z, energy = (vectors(b.column(f"p{i}")) for i in range(many))
+        flat, embedded = np.empty((b.num_rows, width)), make(*of)
+        if embedded.shape != (b.num_rows, width - 3):
+            raise ValueError("the acoustic vector has another width")
+        flat[:, : width - 3] = embedded
+        flat[:, width - 3], flat[:, width - 2], flat[:, width - 1] = variance, z, energy
+        out = first | lists | {"duration_targets": lists["match_targets"], "acoustic_flat": packed.pack(flat, width * starts), "seq_len": pa.array(np.diff(starts).astype(np.int32))}
+        return pa.RecordBatch.from_arrays([out[c] for c in schema.names], names=schema.names)
+
+    def some(b: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin, most = 0, PACKED_BYTES // (8 * width)
+        while begin < len(starts) - 1:
+            stop = max(begin + 1, int(np.searchsorted(starts, starts[begin] + most, "right")) - 1)
+            yield made(b.slice(starts[begin], starts[stop] - starts[begin]), starts[begin : stop + 1])
+            begin = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a word whose end isn't there yet
+        for b in batches:
+            starts = np.flatnonzero(b.column("at").to_numpy() == 1)
+            if len(starts):
+                if held or starts[0]:
+                    word = pa.concat_batches([*held, b.slice(0, starts[0])])
+                    yield from some(word, np.array([0, word.num_rows]))
+                yield from some(b, starts)
+                b, held = b.slice(starts[-1]), []
+            held.append(b)
+        if held:
+            word = pa.concat_batches(held)
+            yield from some(word, np.array([0, word.num_rows]))
+
+    return rows.mapInArrow(run, schema)
+
+
 def acoustic_vector(embedding: Column, variance: Column, z: Column, energy: Column, width: int = ACOUSTIC_WIDTH) -> Column:
     """FN-24: the embedding and three scalars; another width than ``width`` is an error."""
     v = F.concat(embedding, F.array(variance, z, energy))
     return F.when(F.size(v) == width, v).otherwise(F.raise_error(F.lit("the acoustic vector has another width")).cast("array<double>"))
 
 
-def two_level_offsets(df: DataFrame, key: str, order: str, size: str, block_rows: int = 4096) -> DataFrame:
+def two_level_offsets(df: DataFrame, key: str, order: str, size: str, block_rows: int = 4096, sizes: DataFrame | None = None) -> DataFrame:
     """WN-06: ``offset``, the sum of ``size`` over the rows of ``key`` before this one in ``order``.
 
     ``order`` is a whole number; rows are summed within blocks of it, then over blocks, so no key's
-    rows need to meet in one task.
+    rows need to meet in one task. ``sizes`` (key, order, size) has the same rows where they are cheaper to read than ``df``,
+    which is evaluated twice otherwise.
     """
     b = F.floor(F.col(order) / block_rows)
     inner = Window.partitionBy(key, "__b").orderBy(order)
     d = df.withColumn("__b", b)
-    totals = d.groupBy(key, "__b").agg(F.sum(size).alias("__t"))
+    totals = (d if sizes is None else sizes.withColumn("__b", b)).groupBy(key, "__b").agg(F.sum(size).alias("__t"))
     before = totals.select(F.col(key).alias("__k"), F.col("__b").alias("__kb"), (F.sum("__t").over(Window.partitionBy(key).orderBy("__b")) - F.col("__t")).alias("__before"))
     d = d.withColumn("__in", F.sum(size).over(inner) - F.col(size))
     same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__kb"))

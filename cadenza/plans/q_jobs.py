@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import labels as L
 from cadenza.functions import text as X
 from cadenza.functions.constants import ACOUSTIC_WIDTH, ENCODER_WIDTH
+from cadenza.functions.packed import summed
 from cadenza.operators import align, encoder, jobs
 from cadenza.operators import reports as R
 from cadenza.operators import words as O
@@ -98,6 +100,13 @@ def job_07(spark, sf):
     return profile.select("split", "rows", "utterances", "broken_rows").join(F.broadcast(totals))
 
 
+def score_and_index(score: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Phones' embeddings: score and index, then zeros."""
+    v = np.zeros((len(score), ENCODER_WIDTH))
+    v[:, 0], v[:, 1] = score, index
+    return v
+
+
 @query("job_08_dense_table", f"""
 WITH {V.PHONES_SQL},
 v AS (SELECT *, (frames - 25) / 20.0::DOUBLE AS z FROM phones),
@@ -108,13 +117,11 @@ FROM w
 """)
 def job_08(spark, sf):
     path = scratch(spark, "dense")
-    # a phone's embedding: its score and index, then zeros, 768 wide
-    vector = F.concat(F.array(F.col("human_score"), F.col("index").cast("double")), F.array_repeat(F.lit(0.0), ENCODER_WIDTH - 2))
-    p = V.phones(spark, sf).withColumn("z", (F.col("frames") - 25) / 20.0).withColumn("mean_embedding", vector)
-    manifest = sinks.write_dense_words(p, path, embedding="mean_embedding", width=ACOUSTIC_WIDTH)
-    d = corpora.dense_words(spark, path, ["utterance_id", "split", "seq_len", "acoustic_flat"], manifest["num_utterances"], manifest["acoustic_dim"])
-    d = d.select("utterance_id", "split", "seq_len", F.size("acoustic_flat").alias("flat"), r6(F.aggregate("acoustic_flat", F.lit(0.0), lambda s, x: s + x)).alias("total"))
-    return O.two_level_offsets(d, "split", "utterance_id", "seq_len").withColumnRenamed("offset", "row_offset").drop("split")
+    p = V.phones(spark, sf).withColumn("z", (F.col("frames") - 25) / 20.0)
+    manifest = sinks.write_dense_words(p, path, compression="zstd", embedding=(["human_score", "index"], score_and_index), width=ACOUSTIC_WIDTH)
+    d = corpora.dense_words(spark, path, ["utterance_id", "split", "seq_len", "acoustic_flat"], manifest["num_utterances"], manifest["acoustic_dim"], as_bytes=True)
+    sums = summed(d, "acoustic_flat", "flat", "total").withColumn("total", r6(F.col("total")))
+    return O.two_level_offsets(sums, "split", "utterance_id", "seq_len", sizes=d.select("utterance_id", "split", "seq_len")).withColumnRenamed("offset", "row_offset").drop("split")
 
 
 def long_sql(section: str, key: str, metrics: dict[str, str], source: str) -> str:

@@ -21,12 +21,14 @@ def phones(spark: SparkSession, sf: str) -> DataFrame:
     """One row per phone: an order is a word, a line a phone."""
     lines = table(spark, sf, "lineitem")
     li = dealt(lines, lines.count(), "l_orderkey").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    word = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    # named before its window: what is grouped by word afterwards needs no shuffle of its own
+    li = li.withColumnRenamed("l_orderkey", "utterance_id")
+    word = Window.partitionBy("utterance_id").orderBy(*LINE_ORDER)
     dur = (F.col("l_quantity") * 10).cast("int")
     gap = F.when(F.col("l_linestatus") == "O", 60).otherwise(0)
     names = F.array(*[F.lit(p) for p in PHONES])
     return li.select(
-        F.col("l_orderkey").alias("utterance_id"), (F.row_number().over(word) - 1).alias("index"), F.col("o_custkey").alias("speaker_id"),
+        "utterance_id", (F.row_number().over(word) - 1).alias("index"), F.col("o_custkey").alias("speaker_id"),
         F.when(F.col("o_custkey") % 10 == 0, "test").when(F.col("o_custkey") % 10 == 1, "val").otherwise("train").alias("split"),
         F.element_at(names, (F.col("l_partkey") % 39 + 1).cast("int")).alias("phoneme"), dur.alias("duration_ms"),
         (F.sum(dur + gap).over(word) - dur).cast("int").alias("start_ms"), (F.sum(dur + gap).over(word)).cast("int").alias("end_ms"),

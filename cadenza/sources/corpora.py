@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions import text as X
+from cadenza.functions.packed import unpacked
 from cadenza.functions.scorejson import SCORES_SCHEMA
 from cadenza.sources import bigjson
 
@@ -126,15 +127,21 @@ def reference_audio(texts: DataFrame) -> DataFrame:
     return t.select("audio_id", "e.*")
 
 
-def dense_words(spark: SparkSession, path: str, columns: list[str] | None = None, rows: int | None = None, width: int | None = None) -> DataFrame:
-    """SRC-14: a dense word table; with ``rows`` its count must agree, with ``width`` each flat array's length."""
+def dense_words(spark: SparkSession, path: str, columns: list[str] | None = None, rows: int | None = None, width: int | None = None, as_bytes: bool = False) -> DataFrame:
+    """SRC-14: a dense word table; with ``rows`` its count must agree, with ``width`` each flat array's length.
+
+    Packed vectors come back as arrays, unless they are wanted ``as_bytes``.
+    """
     df = spark.read.parquet(path)
     if rows is not None and df.count() != rows:
         raise ValueError("the table's row count isn't the manifest's")
     if width is not None:
-        ok = F.size("acoustic_flat") == F.col("seq_len") * width
-        df = df.withColumn("acoustic_flat", F.when(ok, F.col("acoustic_flat")).otherwise(F.raise_error(F.lit("acoustic_flat has another length")).cast("array<double>")))
-    return df.select(*columns) if columns else df
+        kind = df.schema["acoustic_flat"].dataType
+        numbers = F.octet_length("acoustic_flat") / 8 if isinstance(kind, T.BinaryType) else F.size("acoustic_flat")
+        ok = numbers == F.col("seq_len") * width
+        df = df.withColumn("acoustic_flat", F.when(ok, F.col("acoustic_flat")).otherwise(F.raise_error(F.lit("acoustic_flat has another length")).cast(kind)))
+    df = df.select(*columns) if columns else df
+    return df if as_bytes or "acoustic_flat" not in df.columns else unpacked(df, "acoustic_flat")
 
 
 def read_features(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -143,5 +150,5 @@ def read_features(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/dense")
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.read.parquet(f"{folder}/dense")
+        return unpacked(spark.read.parquet(f"{folder}/dense"), "acoustic_flat")
     return assemble_words(by_word(feature_shards(spark, f"{folder}/shards", schema)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as X
-from cadenza.operators.words import assemble_words
+from cadenza.operators.words import Embedding, assemble_words, packed_words
 from cadenza.sources.filesink import by_files, write_files
 
 
@@ -22,14 +22,16 @@ def write_shards(df: DataFrame, path: str, shard_rows: int, overwrite: bool = Fa
     df.repartition(n, "utterance_id").sortWithinPartitions("utterance_id", "index").write.mode("overwrite" if overwrite else "errorifexists").option("compression", "gzip").json(path)
 
 
-def write_dense_words(phones: DataFrame, path: str, compression: str = "snappy", block_bytes: int = 64 << 20, overwrite: bool = False, embedding: str | None = None, width: int = 2) -> dict:
+def write_dense_words(phones: DataFrame, path: str, compression: str = "snappy", block_bytes: int = 64 << 20, overwrite: bool = False, embedding: Embedding | None = None, width: int = 2) -> dict:
     """SNK-03: phone rows to one dense row per word, and the manifest counted while writing; no rows are an error.
 
-    With ``embedding`` each phone's acoustic vector is ``width`` wide: the embedding, variance, z and energy.
+    With ``embedding`` each phone's acoustic vector is ``width`` wide: the embedding, variance, z and energy; ``acoustic_flat`` is then
+    packed (``functions.packed``), which ``corpora.dense_words`` and ``corpora.read_features`` undo.
     """
     seen = Observation()
-    each = F.size("acoustic_flat") / F.greatest(F.lit(1), F.col("seq_len"))
-    w = assemble_words(phones, embedding, width).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("seq_len").alias("rows"), F.min(each).alias("low"), F.max(each).alias("high"))
+    flat = F.octet_length("acoustic_flat") / 8 if embedding else F.size("acoustic_flat")
+    each = flat / F.greatest(F.lit(1), F.col("seq_len"))
+    w = (packed_words(phones, embedding, width) if embedding else assemble_words(phones)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("seq_len").alias("rows"), F.min(each).alias("low"), F.max(each).alias("high"))
     w.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression).option("parquet.block.size", str(block_bytes)).parquet(path)
     m = seen.get
     if not m["n"]:
