@@ -36,7 +36,7 @@ from cadenza.llm.common import text_of, worker_cache
 
 SPACE = "▁"
 #: Units of a worker's table (two generations of it are held) and characters of the texts that go through it at a time.
-CACHE_UNITS, CHARS_AT_ONCE = 330_000, 1_500_000
+CACHE_UNITS, CHARS_AT_ONCE = 330_000, 2_400_000
 #: Units of one array; longer units, and those whose merges need more base-4 digits than fit into a long, are searched one by one.
 UNITS_AT_ONCE, ARRAY_CHARS, DIGITS = 1_024, 24, 31
 #: Units longer than this are cut where no piece goes across; what is left in one part beyond SPARSE_CHARS uses sparse scores.
@@ -95,6 +95,9 @@ class Lattice:
         self.bytes = [p.replace(SPACE, " ").encode() for p in self.text]
         for b, i in self.id_of_byte.items():
             self.bytes[i] = bytes([b])
+        # all pieces' bytes one after another: where each begins and its length
+        self.spelled, self.long = np.frombuffer(b"".join(self.bytes), np.uint8), np.array([len(b) for b in self.bytes], np.int32)
+        self.begin = np.cumsum(self.long, dtype=np.int32) - self.long
         self.unknown = sp.unk_id()
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         scores = {self.text[i]: sp.get_score(i) for i in plain}
@@ -444,22 +447,30 @@ class Lattice:
         every = np.concatenate(of)
         many = size[every]
         ends = np.concatenate([[0], np.cumsum(many)])
-        ids = pool[np.repeat(start[every] - ends[:-1], many) + np.arange(ends[-1])].tobytes()
+        ids = pool[np.repeat(start[every] - ends[:-1], many) + np.arange(ends[-1])]
+        # and what they decode to
+        long = self.long[ids]
+        spelt = np.concatenate([[0], np.cumsum(long)])
+        place = np.repeat((self.begin[ids] - spelt[:-1]).astype(np.int32), long)
+        place += np.arange(spelt[-1], dtype=np.int32)
+        said = self.spelled[place].tobytes()
+        ids = ids.tobytes()
         at = 0
         for text, own in zip(texts, of):
             if not len(own):
                 yield [(0.0, b"", not text)]
                 continue
-            whole, bounds = ids[4 * ends[at] : 4 * ends[at + len(own)]], 4 * (ends[at : at + len(own) + 1] - ends[at])
+            first, last = ends[at], ends[at + len(own)]
+            whole, bounds = ids[4 * first : 4 * last], 4 * (ends[at : at + len(own) + 1] - first)
             at += len(own)
-            yield self._best(text, whole, bounds, own, units, lead[own])
+            yield self._best(text, whole, _same(said[spelt[first] : spelt[last]], text), bounds, own, units, lead[own])
 
-    def _best(self, text: str, whole: bytes, bounds: np.ndarray, own: np.ndarray, units: list[str], lead: np.ndarray) -> list[tuple[float, bytes, bool]]:
+    def _best(self, text: str, whole: bytes, says: bool, bounds: np.ndarray, own: np.ndarray, units: list[str], lead: np.ndarray) -> list[tuple[float, bytes, bool]]:
         """The n best of a text from the units that lose least: a choice other than a unit's best costs what it loses.
 
-        ``own`` has the text's units by their place in ``units``, ``bounds`` where each one's ids lie in ``whole``.
+        ``own`` has the text's units by their place in ``units``, ``bounds`` where each one's ids lie in ``whole``, which ``says`` the text or not.
         """
-        out = [(0.0, whole, self.says(whole, text))]
+        out = [(0.0, whole, says)]
         if self.n == 1:
             return out
         least = max(0, int(np.partition(lead, -min(self.n - 1, len(lead)))[-min(self.n - 1, len(lead))]))
@@ -512,7 +523,9 @@ class Lattice:
                     new = (*pick[:k], j + 1, *pick[k + 1 :])
                     if new not in seen:
                         seen.add(new)
-                        heapq.heappush(heap, (loss + (lists[k][j + 1] - lists[k][j]), len(seen), new))
+                        # a list's first entry loses nothing; an object of its own, as one that is met twice would change the order of ties
+                        more = lists[k][j + 1] - lists[k][j] if j else Score(lists[k][1].at)
+                        heapq.heappush(heap, (loss + more if loss.at else more, len(seen), new))
         return out
 
     def _bytes(self, ids: bytes) -> bytes:
@@ -520,8 +533,7 @@ class Lattice:
 
     def says(self, ids: bytes, text: str) -> bool:
         """Whether a sequence of ids decodes to this text."""
-        made = self._bytes(ids)
-        return made[made[:1] == b" " :] == text.encode()  # UTF-8 of a text is valid, so equal bytes are an equal text
+        return _same(self._bytes(ids), text)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids: byte pieces as UTF-8, the first space dropped."""
@@ -529,6 +541,11 @@ class Lattice:
         return whole[1:] if whole[:1] == " " else whole
 
 
+def _same(made: bytes, text: str) -> bool:
+    """Whether decoded bytes are the text, their first space dropped; UTF-8 of a text is valid, so equal bytes are an equal text."""
+    return made[made[:1] == b" " :] == text.encode()
+
+
 def _last_merge(piece: str, rank: dict[str, int]) -> int:
     """Where merging ``piece`` by itself joins its last two symbols; 1 for a single character, 0 if merging doesn't get there."""
     symbols = list(piece)
