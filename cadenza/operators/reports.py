@@ -20,11 +20,20 @@ def rate(n: Column, of: Column) -> Column:
     return n / F.greatest(F.lit(1), of)
 
 
+def _moments(x: Column, y: Column) -> list[Column]:
+    # a constant side is known by its least and greatest value: its variance, merged from many tasks, can be off 0 by a last bit
+    flat = lambda c: (F.stddev_pop(c) == 0) | (F.min(c) == F.max(c))
+    return [F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(x * y).alias("mxy"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"), (flat(x) | flat(y)).alias("flat")]
+
+
+def _correlation() -> Column:
+    r = F.try_divide(F.col("mxy") - F.col("mx") * F.col("my"), F.col("sx") * F.col("sy"))
+    return F.when((F.col("n") < 2) | F.col("flat"), F.lit(NAN)).otherwise(r)
+
+
 def pearson(df: DataFrame, x: Column, y: Column) -> DataFrame:
     """AG-13: one row ``r``; NaN for fewer than two rows or a side without variance (checked before dividing)."""
-    m = df.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(x * y).alias("mxy"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
-    r = F.try_divide(F.col("mxy") - F.col("mx") * F.col("my"), F.col("sx") * F.col("sy"))
-    return m.select(F.when((F.col("n") < 2) | (F.col("sx") == 0) | (F.col("sy") == 0), F.lit(NAN)).otherwise(r).alias("r"))
+    return df.agg(F.count(F.lit(1)).alias("n"), *_moments(x, y)).select(_correlation().alias("r"))
 
 
 def errors(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -126,9 +135,9 @@ def diagnostics(df: DataFrame, true: str, predicted: str, score: Column, target:
     wrong, middle, right = CLASSES
     m = df.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(predicted) == right).alias("called"), F.avg(F.when(F.col(true) == right, score)).alias("mc"), F.avg(F.when(F.col(true) == wrong, score)).alias("mw"), F.avg(F.when(F.col(true) == middle, score)).alias("ma"),
-        F.count_if(present != 1).alias("omitted"), F.avg(score).alias("mx"), F.avg(target).alias("my"), F.avg(score * target).alias("mxy"), F.stddev_pop(score).alias("sx"), F.stddev_pop(target).alias("sy"),
+        F.count_if(present != 1).alias("omitted"), *_moments(score, target),
     )
-    r = F.when((F.col("n") < 2) | (F.col("sx") == 0) | (F.col("sy") == 0), F.lit(NAN)).otherwise(F.try_divide(F.col("mxy") - F.col("mx") * F.col("my"), F.col("sx") * F.col("sy")))
+    r = _correlation()
     sep = F.coalesce(F.col("mc") - F.col("mw"), F.lit(NAN))
     below = lambda c, v: ~F.isnan(c) & (c < v)  # noqa: E731  NaN is not below anything
     upper, lower = F.coalesce(F.col("mc") - F.col("ma"), F.lit(NAN)), F.coalesce(F.col("ma") - F.col("mw"), F.lit(NAN))
