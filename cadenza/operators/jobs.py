@@ -12,8 +12,8 @@ from cadenza.functions import scorejson as J
 from cadenza.functions import scores as S
 from cadenza.functions import signal as G
 from cadenza.functions import text as X
-from cadenza.operators import assess, encoder, ledger, pooling, reports, sampling, verify, words
-from cadenza.session import scratch
+from cadenza.operators import assess, ledger, pooling, reports, sampling, signals, verify, words
+from cadenza.session import few, scratch
 from cadenza.sources import corpora, sinks
 
 
@@ -154,34 +154,16 @@ def assess_recordings(recordings: DataFrame, lexicon: DataFrame, assets: DataFra
     ``lexicon`` (word, lexicon_phones) and ``assets`` (word, asset_path; none: null). Rejected with a reason:
     ``unknown_word``, ``too_short``, ``too_long``, ``too_few_frames``. The signal is normalised to its peak,
     judged and encoded, whatever its length; frames are ``frame`` samples long and ``width`` wide, and are dealt to
-    phones in proportion and pooled within the row.
+    phones in proportion and pooled where they are made. Signals stay where they are: the vocabulary goes to them.
     """
-    ms = G.duration_ms(F.col("samples"), rate)
-    r = recordings.select("recording_id", F.lower(F.trim("asked")).alias("word"), "samples").join(lexicon, "word", "left").join(assets, "word", "left")
-    r = r.withColumn("reason", F.coalesce(F.when(F.col("lexicon_phones").isNull(), "unknown_word"), G.length_reason(ms)))
-    r = r.withColumn("total_frames", F.floor(F.size("samples") / frame).cast("int"))
-    r = r.withColumn("reason", F.coalesce("reason", F.when(F.col("total_frames") < F.size("lexicon_phones"), "too_few_frames")))
-    good = r.where(F.col("reason").isNull()).drop("reason")
-    x = G.peak_normalise(F.col("samples"))
-    quality = S.quality_status(G.rms(F.col("samples")), G.clipping_ratio(F.col("samples")), G.silence_ratio(F.col("samples")))
-    good = good.select("recording_id", "word", "asset_path", "lexicon_phones", "total_frames", quality.alias("quality"), x.alias("x"))
-    # recordings of one word and length are dealt alike: their spans are made once and travel to the recordings, whose vectors stay where they are
-    case = F.struct("lexicon_phones", "total_frames").alias("case")
-    phones = good.select(case).distinct().select("case", "case.total_frames", F.posexplode("case.lexicon_phones").alias("index", "phoneme"))
-    dealt = assess.align_frames(phones, "case", frame_ms=1000.0 * frame / rate).groupBy("case").agg(F.array_sort(F.collect_list(F.struct("index", "phoneme", "start", "end", "z"))).alias("spans"))
-    dealt = dealt.select(F.col("case.lexicon_phones").alias("lexicon_phones"), F.col("case.total_frames").alias("total_frames"), "spans")
-    good = good.join(dealt, ["lexicon_phones", "total_frames"], "left").drop("lexicon_phones", "total_frames")
-    encoded = encoder.encode_signals(good, "x", make_encoder, frame, width, rate).drop("x")
-    encoded = encoded.withColumn("mean_energy", F.coalesce(G.mean(F.col("frame_energy")), F.lit(0.0)))
-
-    def pooled(x: Column) -> Column:
-        length = x["end"] - x["start"]
-        vector = F.slice("encoded", x["start"] * width + 1, length * width)
-        energy = G.mean(F.slice("frame_energy", x["start"] + 1, length))
-        return F.struct(x["index"].alias("index"), x["phoneme"].alias("phoneme"), x["z"].alias("z"), pooling.variance(vector).alias("variance"), F.coalesce(energy, F.lit(0.0)).alias("energy"))
-
+    words = lexicon.join(assets, "word", "left")
+    r = recordings.select("recording_id", F.lower(F.trim("asked")).alias("word"), "samples").join(few(words), "word", "left")
+    r = r.withColumn("reason", F.coalesce(F.when(F.col("lexicon_phones").isNull(), "unknown_word"), G.length_reason(G.duration_ms(F.col("samples"), rate))))
+    r = r.withColumn("reason", F.coalesce("reason", F.when(F.floor(F.size("samples") / frame) < F.size("lexicon_phones"), "too_few_frames")))
+    good = r.where(F.col("reason").isNull()).select("recording_id", "word", "asset_path", "lexicon_phones", "samples")
+    encoded = signals.pooled_signals(good, make_encoder, frame, width)
     same = ["recording_id", "word", "asset_path", "quality"]
-    p = encoded.select(*same, "mean_energy", F.explode_outer(F.transform("spans", pooled)).alias("p")).select(*same, "mean_energy", "p.*")
+    p = encoded.select(*same, "mean_energy", F.explode_outer("spans").alias("p")).select(*same, "mean_energy", "p.*")
     p = p.withColumns({"late": F.lit(False), "alignment_confidence": assess.span_confidence(F.col("energy"), F.col("mean_energy"))})
     out = assess.assessed(scored_phones(p), same)
     return out, r.where(F.col("reason").isNotNull()).select("recording_id", "word", "reason")

@@ -22,7 +22,7 @@ from cadenza.plans.registry import query
 from cadenza.plans.views import r6
 
 PHONE_ROWS = "utterance_id long, index int, split string, phoneme string, duration_ms int, human_score double"
-from cadenza.session import scratch, table
+from cadenza.session import few, scratch, spread, table
 from cadenza.sources import corpora, sinks
 
 
@@ -235,6 +235,8 @@ def job_11(spark, sf):
 
 #: The signals that stand for recordings: 64 samples a second, frames of 2 samples, encoded 2 numbers wide.
 SIGNAL = {"rate": 64, "frame": 2, "width": 2}
+#: Vectors that go to every task.
+VECTORS = 20_000
 
 
 def asked_recordings(spark, sf, events):
@@ -244,11 +246,13 @@ def asked_recordings(spark, sf, events):
     signals = V.frames(spark, sf).select(F.col("vec_id").alias("signal"), "vector")
     m = signals.agg(F.max("signal") + 1).first()[0]
     length = F.pmod(F.col("event_id"), F.lit(256)) + 8
+    # a vector's 64 samples over and over, as many as the longest recording asks for
+    samples = F.slice(F.concat("vector", F.array_repeat(F.lit(None).cast("double"), 64)), 1, 64)
+    signals = signals.select("signal", F.flatten(F.array_repeat(samples, 5)).alias("ring"))
     r = events.withColumn("slot", F.pmod("user_id", F.lit(n + 2))).withColumn("signal", F.pmod("event_id", F.lit(m)))
-    r = r.join(words, "slot", "left").join(signals, "signal")
+    r = r.join(few(words), "slot", "left").join(few(signals, VECTORS), "signal")
     asked = F.concat(F.lit(" "), F.initcap(F.coalesce("w", F.concat(F.lit("zz"), F.col("slot").cast("string")))))
-    samples = F.transform(F.sequence(F.lit(0), (length - 1).cast("int")), lambda i: F.get("vector", i % 64))
-    return r.select(F.col("event_id").alias("recording_id"), asked.alias("asked"), samples.alias("samples"))
+    return r.select(F.col("event_id").alias("recording_id"), asked.alias("asked"), F.slice("ring", F.lit(1), length.cast("int")).alias("samples"))
 
 
 def word_ring(spark, sf):
@@ -259,7 +263,7 @@ def word_ring(spark, sf):
 
 def assessed(spark, sf, events):
     lex = lexicon(spark, sf)
-    events = events.repartition("event_id")  # a table of one file would be one task
+    events = spread(events.select("event_id", "user_id"), 1 << 16, "event_id")  # a table of one file would be one task
     assets = lex.where(F.length("word") % 3 != 0).select("word", F.concat(F.lit("audio/"), "word", F.lit(".wav")).alias("asset_path"))
     make = encoder.spectral_encoder(SIGNAL["width"], SIGNAL["frame"])
     return jobs.assess_recordings(asked_recordings(spark, sf, events), lex, assets, make, **SIGNAL)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -48,6 +49,15 @@ def spread(df: DataFrame, task_rows: int, *keys: str) -> DataFrame:
     return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
+#: Rows of a vocabulary or another dimension that goes to every task.
+FEW_ROWS = 500_000
+
+
+def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` for a join with a table whose rows are wide: sent to them if it has at most ``most`` rows, which is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the cluster's shared folder; in a folder of our own only in local mode, as in tests, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
