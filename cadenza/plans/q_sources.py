@@ -268,7 +268,7 @@ def st_01(spark, sf):
     from cadenza.plans.q_jobs import assessed
 
     path = scratch(spark, "stream")
-    stream = recordings.stream_table(spark, f"{sf}/events.parquet")
+    stream = recordings.stream_table(spark, f"{sf}/events.parquet").select("event_id", "user_id")  # a batch is kept until both tables are written
     recordings.assess_stream(stream, lambda batch: assessed(spark, sf, batch), f"{path}/out", f"{path}/state").awaitTermination()
     good = spark.read.parquet(f"{path}/out/assessments").withColumn("reason", F.lit(None).cast("string"))
     return good.unionByName(spark.read.parquet(f"{path}/out/rejects"), allowMissingColumns=True).drop("batch")

@@ -91,3 +91,21 @@ def test_recordings_of_a_small_table_use_all_cores(spark):
     finally:
         encoder.spectral_encoder = real
     assert seen.value >= spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_of_the_stream_uses_all_cores(spark, monkeypatch):
+    from cadenza.plans.all_queries import QUERIES
+
+    seen, real = spark.sparkContext.accumulator(0), encoder.spectral_encoder
+
+    def counting(width, window):
+        def make():
+            seen.add(1)
+            return real(width, window)()
+
+        return make
+
+    monkeypatch.setattr(encoder, "spectral_encoder", counting)
+    out = QUERIES["st_01_assess_stream"](spark, "/root/testdata/sf0.001")
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert seen.value >= spark.sparkContext.defaultParallelism
