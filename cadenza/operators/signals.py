@@ -38,15 +38,21 @@ def sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where(end > start, np.add.reduceat(np.append(values, values.dtype.type(0)), cuts)[::2], 0) if len(cuts) else np.zeros(0, values.dtype)
 
 
+def ordered_sums(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The sums of ``count`` values from ``first``, added in their order: another order can differ in its last bit."""
+    total = np.zeros(len(count))
+    for i in range(int(count.max(initial=0))):
+        some = np.flatnonzero(count > i)
+        total[some] += values[first[some] + i]
+    return total
+
+
 def dealt_frames(weights: np.ndarray, first: np.ndarray, count: np.ndarray, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """WN-07, WN-08 as ``assess.align_frames``, for many words: phone weights of all words, each word's first phone, number of phones and frames
     (no fewer than phones) to each phone's first frame, the one after its last, and z."""
     word = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(weights)) - first[word]
-    total = np.zeros(len(count))
-    for i in range(int(count.max(initial=0))):  # in the order of phones: another order can differ in its last bit
-        some = np.flatnonzero(count > i)
-        total[some] += weights[first[some] + i]
+    total = ordered_sums(weights, first, count)
     length = np.maximum(1, np.floor(weights / total[word] * frames[word])).astype(np.int64)
     over = frames - sums(length, first, first + count)
     k = np.maximum(1, count)
